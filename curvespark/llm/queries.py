@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvespark.llm import decontamination, simhash
+from curvespark.llm import bpe, decontamination, simhash, toxicity
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -44,5 +44,27 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(_read(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_simhash": op2_simhash}
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    model = toxicity.fit(docs, _read(spark, folder, "labels").where(~toxicity.held_out()))
+    scored = toxicity.with_scores(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(_read(spark, folder, "documents"), tokenizer())
+
+
+def tokenizer() -> bpe.Tokenizer:
+    import public_tokenizers
+
+    return bpe.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_simhash": op2_simhash,
+    "op5_toxicity": op5_toxicity,
+    "op10_byte_bpe": op10_byte_bpe,
+}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
