@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvespark.llm import bpe, decontamination, simhash, toxicity
+from curvespark.llm import bpe, decontamination, secrets, simhash, toxicity
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan_secrets(_read(spark, folder, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(_read(spark, folder, "documents"), tokenizer())
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
     "op5_toxicity": op5_toxicity,
+    "op8_secrets": op8_secrets,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
