@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvespark.llm import bpe, decontamination, secrets, simhash, toxicity
+from curvespark.llm import bpe, chat, decontamination, embeddings, html, secrets, sharding, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -44,6 +44,66 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(_read(spark, folder, "documents"))
 
 
+def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
+    said = F.lit("</s>[INST] ok [/INST]")
+    message = lambda role: F.struct(F.lit(role).alias("role"), said.alias("content"))
+    own = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.array(message("user"), message("assistant")).alias("messages"))
+    turns = chat.canonical_turns(_read(spark, folder, "conversations")).unionByName(chat.canonical_turns(own))
+    return chat.digests(chat.format_turns(turns))
+
+
+OP3_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(10 + length(replace(replace(replace(replace(role, '\', '\e'), '<', '\l'), '[', '\b'), '|', '\p')) + length(replace(replace(replace(text, '\', '\e'), '<', '\l'), '[', '\b'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+""".replace("\\", "\\")
+
+
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.shard_rows(_read(spark, folder, "documents"), shards=8, seed=0)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_archives(_read(spark, folder, "pages"))
+    return warc.read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
+def op6_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(_read(spark, folder, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+      WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+r AS (SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT r.u, l.v FROM r JOIN l ON r.w = l.u),
+c AS (SELECT u, min(w) AS component_id FROM r GROUP BY u)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.u = v.vec_id) AS n_links, component_id, component_id = v.vec_id AS kept FROM v JOIN c ON c.u = v.vec_id
+"""
+
+
+def op9_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract_text(_read(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents")
     model = toxicity.fit(docs, _read(spark, folder, "labels").where(~toxicity.held_out()))
@@ -68,8 +128,16 @@ def tokenizer() -> bpe.Tokenizer:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
+    "op3_chat": op3_chat,
+    "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
+    "op6_embeddings": op6_embeddings,
+    "op7_sharding": op7_sharding,
     "op8_secrets": op8_secrets,
+    "op9_html": op9_html,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL,
+    "op3_chat": OP3_SQL,
+    "op4_warc": OP4_SQL,
+    "op6_embeddings": OP6_SQL}
