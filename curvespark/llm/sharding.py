@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from curvespark.plans.lineage import stored, new_folder
 
 #: About so many rows share a bucket.
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 500
 
 
 def _numbered(rows: DataFrame, group: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
