@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curvespark.operators import cloud as C
 from curvespark.operators import curves as V
-from curvespark.operators import edits, files, geometry, graph, knots, meanshift, rod, signals, volume
+from curvespark.operators import edits, files, filters, fitting, geometry, graph, knots, meanshift, noise, rod, signals, volume
 from curvespark.plans import projections as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -526,6 +526,40 @@ def ground_forces(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(rod.stretch_and_ground_forces(P.curves_from_events(spark, d), 50.0, 0.5, 1.0, p), 5)
 
 
+@_query()
+def gabor_tensor(spark: SparkSession, d: str) -> DataFrame:
+    found = filters.structure_tensors(P.volume_from_lines(spark, d), directions=8, sigma=1.0, frequency=0.2, reach=3, edge=16)
+    return _rounded(found, 2)
+
+
+@_query(f"""WITH {VOLUME}, w AS (SELECT unnest(range(-4, 5)) AS i), n AS (SELECT i, exp(-0.5 * i ^ 2) / (SELECT sum(exp(-0.5 * i ^ 2)) FROM w) AS g FROM w),
+a AS (SELECT sample, z + i AS z, y, x, sum(v * g) AS v FROM vol, n GROUP BY 1, 2, 3, 4), b AS (SELECT sample, z, y + i AS y, x, sum(v * g) AS v FROM a, n GROUP BY 1, 2, 3, 4), c AS (SELECT sample, z, y, x + i AS x, sum(v * g) AS v FROM b, n GROUP BY 1, 2, 3, 4)
+SELECT sample, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(c.v, 2) AS v FROM c SEMI JOIN vol USING (sample, z, y, x)""")
+def gaussian_volume(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(filters.gaussian_volume(P.volume_from_lines(spark, d), 1.0), 2)
+
+
+@_query()
+def spline_fit(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(fitting.fit_curves(P.curves_from_events(spark, d), 500.0, 50.0), 3)
+
+
+@_query()
+def curves_without_repeats(spark: SparkSession, d: str) -> DataFrame:
+    even = V.resample(P.curves_from_events(spark, d), points=60)
+    return _rounded(fitting.without_repeats(even, 0.4, 0.01), 3)
+
+
+@_query()
+def perlin_warp(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(noise.warped(P.curves_from_events(spark, d), 50.0, 3.0), 5)
+
+
+@_query()
+def flyaways(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(noise.hairs(P.curves_from_events(spark, d), 1000.0, 20.0), 4)
+
+
 # --- inputs, logs and edits -------------------------------------------------------
 
 

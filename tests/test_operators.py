@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from curvespark.operators import cloud as C
 from curvespark.operators import curves as V
-from curvespark.operators import edits, geometry, graph, knots, meanshift, rod, signals, volume
+from curvespark.operators import edits, filters, fitting, geometry, graph, knots, meanshift, noise, rod, signals, volume
 from curvespark.operators.components import connected_components
 from curvespark.sources import arrays
 from curvespark.streaming import repairs
@@ -232,3 +232,37 @@ def test_sessions_stream_as_they_do_in_a_table(spark, tmp_path):
 def test_edit_log(spark):
     log = spark.createDataFrame([(1, 1, "add", 5), (1, 2, "move", 6), (2, 1, "add", 7), (2, 3, "delete", 0)], "id long, version long, kind string, x long")
     assert [tuple(r) for r in edits.replay(log).collect()] == [(1, 2, "move", 6)]
+
+
+def test_filters_see_a_tube_and_do_not_depend_on_blocks(spark):
+    z, x = np.meshgrid(range(12, 15), range(12, 15), indexing="ij")
+    rows = [("s", int(a), y, int(b), 10.0) for a, b in zip(z.ravel(), x.ravel(), strict=True) for y in range(26)]
+    tube = spark.createDataFrame(rows, "sample string, z int, y int, x int, v double")
+    one, many = (filters.structure_tensors(tube, 24, 2.0, 0.15, 5, edge).orderBy("z", "y", "x").toPandas() for edge in (32, 8))
+    assert np.allclose(one[["xx", "yy", "zz", "energy"]], many[["xx", "yy", "zz", "energy"]])
+    middle = spark.createDataFrame(one[(one.y == 13) & (one.z == 13) & (one.x == 13)].drop(columns="energy"))
+    found = signals.symmetric_eigen(middle, "y").first()
+    assert abs(found.t1) > 0.95
+
+
+def test_spline_meets_its_sum_and_curves_repeat(spark):
+    rng = np.random.default_rng(7)
+    t = np.linspace(0, 6, 300)
+    p = np.column_stack([20 * t, 20 * np.sin(t), 0 * t])
+    noisy = p + rng.normal(0, 0.5, p.shape)
+    fit = fitting.smoothing_spline(noisy, 0.75)
+    far = np.sqrt(((fit[:, None] - p[None]) ** 2).sum(2)).min(1)
+    assert far.mean() < 0.5 and fitting.fit_curves(curve_of(spark, noisy)).count() > 100
+    parts = [curve_of(spark, p, 1), curve_of(spark, p[20:200] + 0.5, 2), curve_of(spark, p[:100] + [0, 0, 50], 3), curve_of(spark, p[:50] + [0, 0, 51], 4)]
+    every = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    assert sorted(r.sid for r in fitting.without_repeats(every).select("sid").distinct().collect()) == [1, 3]
+    assert fitting.without_repeats(every.limit(0)).count() == 0
+
+
+def test_noise(spark):
+    p = np.random.default_rng(8).uniform(-5, 5, (2000, 3))
+    v = noise.lattice_noise(p, 0)
+    assert np.abs(v).max() <= 1.1 and v.std() > 0.1 and np.abs(noise.lattice_noise(np.floor(p), 0)).max() == 0.0
+    line = curve_of(spark, [(k, 0, 0) for k in range(50)])
+    assert noise.warped(line, 10.0, 2.0).where("abs(p0 - k) <= 2.2").count() == 50
+    assert noise.hairs(line, 10.0, 5.0).count() == 4 * 8 and noise.hairs(line, 100.0, 5.0).count() == 0
