@@ -23,12 +23,16 @@ _TREES, _DEPTH, _SEED = 20, 5, 7
 _LEFT, _RIGHT = 40, 24
 
 _KEYWORDS = "token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|bearer"
-_ASSIGNED = rf"(?i:{_KEYWORDS})[\"']?[\s]{{0,3}}[:=]{{1,2}}>?[\s]{{0,3}}[\"']?"
+#: What follows a key's name: the sign stands first in the pattern, so that most places fail at once, and the name is looked for behind it.
+_SIGN = r"[:=]=?>?\s{0,3}[\"']?"
+_ASSIGNED = rf"[:=](?<=(?i:{_KEYWORDS})[\"']?\s{{0,3}}[:=])=?>?\s{{0,3}}[\"']?"
 _PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
 _RUN = r"(?<![A-Za-z0-9_+/.\-])(?=[A-Za-z_+/.\-]*+[0-9])[A-Za-z0-9_+/.\-]{16,}+={0,2}"
 _KEY = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,})"
-CANDIDATE = rf"{_PEM}|{_KEY}|{_ASSIGNED}[^\s\"'|]{{6,}}+|{_RUN}"
-_PREFIX = rf"^{_ASSIGNED}"
+CANDIDATE = rf"{_ASSIGNED}[^\s\"'|]{{6,}}+|{_KEY}|{_RUN}|{_PEM}"
+_PREFIX = rf"^{_SIGN}"
+#: What every candidate holds, quick to look for: texts without it have none.
+_NEEDED = r"[0-9:=]|A[KS]IA|AIza|xox[abprs]-|gh[pousr]_|-----BEGIN"
 _PROVIDER = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-|^sk[-_][A-Za-z0-9_-]{20,}$|^AIza[0-9A-Za-z_-]{30,}$|^eyJ[A-Za-z0-9_-]+\.eyJ|^-----BEGIN"
 _PLACEHOLDER = r"(?i)example|sample|dummy|fake|changeme|placeholder|your[_-]|x{4,}|\*{3,}|<[a-z_]+>|0{8,}|12345678|abcdefgh"
 #: Words that occur in identifiers, paths and hosts rather than in keys.
@@ -81,7 +85,8 @@ def _with_candidates(docs: DataFrame, text_col: str, source: Column) -> DataFram
     """``docs`` and two columns: ``__pieces``, the text between candidates, and ``__found``, the candidates with their place and features."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = docs.columns
-    out = docs.select(*kept, F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("__raw"))
+    none = F.slice(F.array(F.lit("")), 1, 0)
+    out = docs.select(*kept, F.when(text.rlike(_NEEDED), F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).otherwise(none).alias("__raw"))
     out = out.select(*kept, "__raw", F.when(F.size("__raw") > 0, F.split(text, CANDIDATE)).otherwise(F.array(text)).alias("__pieces"))
     n = F.size("__raw")
     lengths = F.zip_with(F.slice("__pieces", 1, n), "__raw", lambda p, r: F.struct(F.length(p).alias("before"), F.length(r).alias("own")))
