@@ -104,6 +104,17 @@ def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract_text(_read(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+OP7_SQL = """
+WITH t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END, n)) AS tab),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS name, source IS NULL AS none, hex(encode(coalesce(text, ''))) AS h, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS m FROM documents),
+c AS (SELECT r, doc_id, name, none, m, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
+      xor(CAST(4294967295 AS BIGINT), list_reduce(list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS text_crc32 FROM d, t),
+k AS (SELECT *, (2 * (row_number() OVER (PARTITION BY none, name ORDER BY m, doc_id, text_crc32, size) - 1) + 1) / (2 * count(*) OVER (PARTITION BY none, name)) AS share, count(*) OVER () AS total FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY share, none, name || '"', m, doc_id, text_crc32, size) - 1 AS place FROM k)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 8 // total AS INTEGER) AS shard, CAST(place - ((place * 8 // total) * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+"""
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents")
     model = toxicity.fit(docs, _read(spark, folder, "labels").where(~toxicity.held_out()))
@@ -140,4 +151,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL,
     "op3_chat": OP3_SQL,
     "op4_warc": OP4_SQL,
-    "op6_embeddings": OP6_SQL}
+    "op6_embeddings": OP6_SQL,
+    "op7_sharding": OP7_SQL}
