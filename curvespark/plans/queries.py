@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curvespark.operators import cloud as C
 from curvespark.operators import curves as V
-from curvespark.operators import edits, files, filters, fitting, geometry, graph, knots, meanshift, noise, rod, signals, volume
+from curvespark.operators import edits, files, filters, fitting, geometry, graph, joining, knots, meanshift, noise, rod, signals, volume
 from curvespark.plans import projections as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -539,6 +539,19 @@ def gaussian_volume(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(filters.gaussian_volume(P.volume_from_lines(spark, d), 1.0), 2)
 
 
+@_query()
+def slice_radii(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(volume.slice_radii(P.volume_from_lines(spark, d)))
+
+
+@_query()
+def joined_curves(spark: SparkSession, d: str) -> DataFrame:
+    curves = P.curves_from_events(spark, d)
+    sids = curves.select("sid").distinct().where("sid % 2 = 0")
+    joins = sids.select(F.col("sid").alias("a"), F.lit(1).alias("a_end"), (F.col("sid") + 1).alias("b"), F.lit(0).alias("b_end"), (F.col("sid") + 1_000_000).alias("new_sid"))
+    return _rounded(joining.join_ends(curves, joins), 4)
+
+
 @_query()
 def spline_fit(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(fitting.fit_curves(P.curves_from_events(spark, d), 500.0, 50.0), 3)

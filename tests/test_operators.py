@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from curvespark.operators import cloud as C
 from curvespark.operators import curves as V
-from curvespark.operators import edits, filters, fitting, geometry, graph, knots, meanshift, noise, rod, signals, volume
+from curvespark.operators import edits, filters, fitting, geometry, graph, joining, knots, meanshift, noise, rod, signals, volume
 from curvespark.operators.components import connected_components
 from curvespark.sources import arrays
 from curvespark.streaming import repairs
@@ -266,3 +266,23 @@ def test_noise(spark):
     line = curve_of(spark, [(k, 0, 0) for k in range(50)])
     assert noise.warped(line, 10.0, 2.0).where("abs(p0 - k) <= 2.2").count() == 50
     assert noise.hairs(line, 10.0, 5.0).count() == 4 * 8 and noise.hairs(line, 100.0, 5.0).count() == 0
+
+
+def test_joined_and_closed_curves(spark):
+    a, b, c = curve_of(spark, [(k, 0, 0) for k in range(10)], 1), curve_of(spark, [(30 - k, 0, 0) for k in range(10)], 2), curve_of(spark, [(0, k, 9) for k in range(5)], 3)
+    joins = spark.createDataFrame([(1, 1, 2, 1, 7)], "a long, a_end int, b long, b_end int, new_sid long")
+    out = joining.join_ends(a.union(b).union(c), joins, points=6)
+    made = out.where("sid = 7").orderBy("k").collect()
+    assert [r.k for r in made] == list(range(24)) and [r.p0 for r in made] == sorted(r.p0 for r in made) and all(r.p1 == r.p2 == 0 for r in made)
+    assert sorted(r.sid for r in out.select("sid").distinct().collect()) == [3, 7] and made[0].p0 == 0 and made[-1].p0 == 30
+    t = np.linspace(0, 5, 60)
+    arc = curve_of(spark, np.column_stack([np.cos(t), np.sin(t), 0 * t]))
+    closed = joining.close_loops(arc, spark.createDataFrame([(0,)], "sid long"), 12).orderBy("k").collect()
+    assert len(closed) == 71 and math.dist((closed[-1].p0, closed[-1].p1), (1, 0)) < 1e-9
+
+
+def test_radii_of_a_disc(spark):
+    y, x = np.mgrid[0:41, 0:41]
+    rows = [("s", 0, int(a), int(b), 1.0) for a, b in zip(*np.nonzero((y - 20) ** 2 + (x - 20) ** 2 <= 100), strict=True)]
+    found = volume.slice_radii(spark.createDataFrame([*rows, ("s", 1, 0, 0, 1.0)], "sample string, z int, y int, x int, v double"))
+    assert abs(found.agg(F.max("radius")).first()[0] - 10.5) < 1 and found.select("at").distinct().count() == 1
