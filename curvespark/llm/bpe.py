@@ -1,28 +1,35 @@
 """Byte-level BPE encoding and decoding with Spark's own functions.
 
 A text is cut by the tokenizer's pattern. A word is an array of byte ids that a fold over higher-order functions merges, pair
-by pair, by the ranks of a literal map. The frequent distinct words are folded once and kept in a literal table; a
-word that is not in it is folded where it stands, so the table changes the time and never the ids.
+by pair, by the ranks of a literal map. Frequent distinct words are folded once and meet the texts' words in a broadcast join; a word that is
+not among them is folded where it stands, so that table changes the time and never the ids. Words stay in the order of their texts
+throughout, and tasks put each text's ids together again without a shuffle.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Words whose ids are kept: the most frequent ones of the documents that the table is fitted on.
-KEPT_WORDS = 1 << 17
+from curvespark.plans.lineage import stored
+
+#: Words that are folded once: the most frequent ones, of so many bytes at most, of the documents that the table is fitted on. Its size is bounded by both numbers.
+KEPT_WORDS = 1 << 18
+KEPT_BYTES = 64
 #: About so many documents, chosen by a hash of their id.
 FITTED_ON = 20_000
 _NONE = 2_147_483_647
-_PAIR_BITS, _WORD_BITS = 18, 19
+#: No product of this number and a pair of ids is over 2**62.
+_MIX = 0x2545F491
+_PAIR_BITS = 17
 
 
 def java_pattern(pattern: str) -> str:
@@ -30,31 +37,17 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
-def _cuckoo(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    """A table of ``2**bits`` places: item k stands at its first or its second place (-1: free)."""
-    mask = (1 << bits) - 1
-    table = [-1] * (mask + 1)
-    first, second = (first & first.dtype.type(mask)).tolist(), (second & second.dtype.type(mask)).tolist()
-    for k in range(len(first)):
-        item, at = k, first[k]
-        for _ in range(500):
-            item, table[at] = table[at], item
-            if item < 0:
-                break
-            at = second[item] if at == first[item] else first[item]
-        else:
-            raise ValueError("too many items for the table")
-    return np.array(table, np.int64)
-
-
-def _pair_places(a, b):  # noqa: ANN001, ANN202  numbers, arrays or columns
-    """Two places for a pair; no product is over 2**62."""
-    return (a * 65536 + b) * 0x2545F491, (b * 65536 + a) * 0x1B873593
+def _literal(value: list, kind: str) -> Column:
+    """A constant: Spark folds the parsing away when it plans the query."""
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
-def _literal(values: list, kind: str) -> Column:
-    """An array as a constant: Spark folds the parsing away when it plans the query."""
-    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+def _buckets(places: np.ndarray, keys: list, values: list, bits: int, kind: str) -> Column:
+    """A literal map in ``2**bits`` parts, each of about an entry, so that a look-up doesn't search it all."""
+    parts: list[dict] = [{} for _ in range(1 << bits)]
+    for place, key, value in zip((places & places.dtype.type((1 << bits) - 1)).tolist(), keys, values, strict=True):
+        parts[place][key] = value
+    return _literal(parts, f"array<map<string,{kind.split(',', 1)[1]}>>").cast(f"array<map<{kind}>>")
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -97,31 +90,30 @@ class Tokenizer:
     def merges(self) -> dict[str, Column]:
         """The rank map (pairs, packed with the id of their merger) and the ids of bytes, sized by the vocabulary."""
         a, b, merged = self._pairs()
-        one, two = _pair_places(a, b)
-        table = _cuckoo(one >> 22, two >> 22, _PAIR_BITS)
-        packed = np.where(table < 0, -1, (((a << 20) | b) << 20 | merged)[table]) if len(a) else table
+        key = a * 65536 + b if len(a) == 0 or max(a.max(), b.max()) < 65536 else None
+        if key is None:
+            raise ValueError("more than 65,536 tokens")
+        pairs = _buckets(key * _MIX >> 22, key.tolist(), merged.tolist(), _PAIR_BITS, "bigint,int")
         single = [self.ranks.get(bytes([k]), 0) for k in range(256)]
-        return {"pairs": _literal(packed.tolist(), "bigint"), "bytes": _literal(single, "int")}
+        return {"pairs": pairs, "bytes": _literal(single, "array<int>")}
 
     def pieces(self) -> Column:
         """The bytes of each id, in hexadecimal."""
         out = [""] * (max(self.ranks.values(), default=0) + 1)
         for token, rank in self.ranks.items():
             out[rank] = token.hex()
-        return _literal(out, "string")
+        return _literal(out, "array<string>")
 
     def little(self) -> Column:
         """Each id as four bytes, in hexadecimal."""
-        return _literal([k.to_bytes(4, "little").hex() for k in range(max(self.ranks.values(), default=0) + 1)], "string")
+        return _literal([k.to_bytes(4, "little").hex() for k in range(max(self.ranks.values(), default=0) + 1)], "array<string>")
 
 
 def _merged(pairs: Column, a: Column, b: Column) -> Column:
     """The id of the merger of two tokens, or a number above all ids."""
-    key = F.shiftleft(a.cast("long"), 20).bitwiseOR(b.cast("long"))
-    mask = F.lit((1 << _PAIR_BITS) - 1)
-    first, second = (F.get(pairs, F.shiftright(x, 22).bitwiseAND(mask).cast("int")) for x in _pair_places(a.cast("long"), b.cast("long")))
-    merged = lambda x: x.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
-    return F.when(F.shiftright(first, 20) == key, merged(first)).when(F.shiftright(second, 20) == key, merged(second)).otherwise(F.lit(_NONE))
+    key = a.cast("long") * 65536 + b
+    place = F.shiftright(key * _MIX, 22).bitwiseAND(F.lit((1 << _PAIR_BITS) - 1)).cast("int")
+    return F.coalesce(F.element_at(F.get(pairs, place), key), F.lit(_NONE))
 
 
 def _byte_ids(word: Column, single: Column) -> Column:
@@ -172,29 +164,44 @@ def fold_word(word: Column, lit: dict[str, Column]) -> Column:
     return _bind(_byte_ids(word, lit["bytes"]), folded)
 
 
-def _kept_words(docs: DataFrame, tokenizer: Tokenizer, id_col: str, text_col: str) -> dict[str, Column]:
-    """The table of frequent words: their places by hash, the words and their ids."""
-    merges = tokenizer.merges()
+def _words(text: Column, tokenizer: Tokenizer) -> Column:
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(java_pattern(tokenizer.pattern)), 0)
+
+
+def _kept_words(docs: DataFrame, tokenizer: Tokenizer, fold: Column, id_col: str, text_col: str) -> DataFrame:
+    """``(word, ids)`` of the frequent words, KEPT_WORDS at most."""
     share = min(1.0, FITTED_ON / max(1, docs.count()))
     chosen = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
-    words = chosen.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(java_pattern(tokenizer.pattern)), 0)).alias("word"))
+    words = chosen.select(F.explode(_words(F.col(text_col), tokenizer)).alias("word")).where(F.octet_length("word") <= KEPT_BYTES)
     frequent = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(KEPT_WORDS)
-    ids = _bind_all(merges, lambda lit: fold_word(F.col("word"), lit)).alias("ids")
-    rows = frequent.select("word").repartition(24).select("word", ids).toArrow()  # KEPT_WORDS short rows at most
-    names = rows.column("word").to_pylist()
-    hashes = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in names], np.uint64)
-    slots = _cuckoo(hashes, hashes >> np.uint64(_WORD_BITS), _WORD_BITS)
-    return {"slots": _literal(slots.tolist(), "int"), "words": _literal(names, "string"), "ids": _literal(rows.column("ids").to_pylist(), "array<int>")}
-
-
-def _look_up(word: Column, lit: dict[str, Column]) -> Column:
-    """A word's ids: from the table of frequent words, or else by the fold."""
-    mask = F.lit((1 << _WORD_BITS) - 1)
-
-    def at(place: Column) -> Column:
-        return _bind(F.get(lit["slots"], place.bitwiseAND(mask).cast("int")), lambda k: F.when(F.get(lit["words"], k) == word, F.get(lit["ids"], k)))
-
-    return _bind(F.xxhash64(word), lambda h: F.coalesce(at(h), at(F.shiftrightunsigned(h, _WORD_BITS)), fold_word(word, lit)))
+    return stored(frequent.select("word").repartition(24).select("word", fold.alias("ids")), "words")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text from rows for its words, which come in order: the columns of its first word's row, and all words' ids in one list."""
+    held: pa.RecordBatch | None = None
+
+    def put(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        ids = rows.column(rows.num_columns - 1)
+        offsets = ids.offsets.to_numpy()
+        lists = pa.ListArray.from_arrays(pa.array(np.append(offsets[starts], offsets[len(ids)]), pa.int32()), ids.values)
+        first = rows.take(pa.array(starts))
+        return pa.RecordBatch.from_arrays([*first.columns[:-2], lists], names=[*rows.schema.names[:-2], rows.schema.names[-1]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        places = rows.column(rows.num_columns - 2).to_numpy()
+        starts = np.flatnonzero(places == 0)
+        if places[0] != 0 or places[1:][np.diff(places) != 1].any():
+            raise ValueError("words out of order")
+        last = int(starts[-1])
+        if last:
+            yield put(rows.slice(0, last).take(pa.array(np.arange(last))), starts[:-1])
+        held = rows.slice(last)
+    if held is not None:
+        yield put(held.take(pa.array(np.arange(held.num_rows))), np.zeros(1, np.int64))
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -203,10 +210,18 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_c
     Null and empty texts have no ids (an empty array). A column of ``docs`` named ``ids_col`` is replaced. Rows are encoded by themselves, so
     repeated rows and ids don't matter. The time of a word grows with the square of its length.
     """
-    tables = tokenizer.merges() | _kept_words(docs, tokenizer, id_col, text_col)
-    words = F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(java_pattern(tokenizer.pattern)), 0)
-    ids = _bind_all(tables, lambda lit: F.flatten(F.transform(words, lambda w: _look_up(w, lit))))
-    return docs.select(*(c for c in docs.columns if c != ids_col), ids.alias(ids_col))
+    fold = _bind_all(tokenizer.merges(), lambda lit: fold_word(F.col("word"), lit))
+    kept = F.broadcast(_kept_words(docs, tokenizer, fold, id_col, text_col))  # KEPT_WORDS rows at most
+    columns = [c for c in docs.columns if c != ids_col]
+    # a text without words has one row, whose word is null
+    each = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)), F.posexplode_outer(_words(F.col(text_col), tokenizer)).alias("place", "word"))
+    place = F.coalesce("place", F.lit(0))
+    each = each.select(*(F.when(place == 0, F.col(f"c{k}")).alias(f"c{k}") for k in range(len(columns))), place.alias("place"), "word")
+    none = F.slice(F.array(F.lit(0)), 1, 0)
+    ids = F.when(F.col("word").isNull(), none).otherwise(F.coalesce("ids", fold))
+    placed = each.join(kept, "word", "left").select(*(f"c{k}" for k in range(len(columns))), "place", ids.alias("ids"))
+    schema = T.StructType([T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(columns)] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return placed.mapInArrow(_gathered, schema).toDF(*columns, ids_col)
 
 
 def _joined(ids: Column, table: Column) -> Column:
