@@ -192,7 +192,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     weight = prefixes.agg(F.sum(F.length(F.to_json("windows")))).first()[0] or 0
     if weight <= BROADCAST_BYTES:
         prefixes = F.broadcast(prefixes)
-    joined = places.join(prefixes, "shingle", "left")
+    # the documents' own rows have no shingle; by a hash of their own they spread over a shuffle, and without context they match nothing
+    keyed = places.withColumn("shingle", F.coalesce("shingle", F.xxhash64("row")))
+    joined = keyed.join(prefixes, "shingle", "left")
     start = lambda w: F.col("at") - w["offset"]
     fits = lambda w: (start(w) >= F.col("low")) & (start(w) + F.size(w["words"]) <= F.col("n_words"))
     same = lambda w: F.slice("context", (start(w) - F.col("low") + 1).cast("int"), F.size(w["words"])) == w["words"]
