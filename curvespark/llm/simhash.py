@@ -61,6 +61,7 @@ def _part(fp: Column, at: int, width: int) -> Column:
 
 def _variants(prints: DataFrame, refine: bool) -> DataFrame:
     """A row for each one-wildcard variant of each segment: ``key`` is the segment, the wildcard's place and the other bits."""
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "fp")  # a small table makes many rows
     parts = []
     for s, (at, width) in enumerate(SEGMENTS):
         for bit in range(width):
