@@ -9,6 +9,7 @@ throughout, and tasks put each text's ids together again without a shuffle.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -22,14 +23,14 @@ from pyspark.sql import types as T
 from curvespark.plans.lineage import stored
 
 #: Words that are folded once: the most frequent ones, of so many bytes at most, of the documents that the table is fitted on. Its size is bounded by both numbers.
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 1 << 16
 KEPT_BYTES = 64
 #: About so many documents, chosen by a hash of their id.
 FITTED_ON = 20_000
 _NONE = 2_147_483_647
 #: No product of this number and a pair of ids is over 2**62.
 _MIX = 0x2545F491
-_PAIR_BITS = 17
+_PAIR_BITS = 15
 
 
 def java_pattern(pattern: str) -> str:
@@ -43,7 +44,7 @@ def _literal(value: list, kind: str) -> Column:
 
 
 def _buckets(places: np.ndarray, keys: list, values: list, bits: int, kind: str) -> Column:
-    """A literal map in ``2**bits`` parts, each of about an entry, so that a look-up doesn't search it all."""
+    """A literal map in ``2**bits`` parts, each of a few entries, so that a look-up doesn't search it all."""
     parts: list[dict] = [{} for _ in range(1 << bits)]
     for place, key, value in zip((places & places.dtype.type((1 << bits) - 1)).tolist(), keys, values, strict=True):
         parts[place][key] = value
@@ -174,7 +175,8 @@ def _kept_words(docs: DataFrame, tokenizer: Tokenizer, fold: Column, id_col: str
     chosen = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
     words = chosen.select(F.explode(_words(F.col(text_col), tokenizer)).alias("word")).where(F.octet_length("word") <= KEPT_BYTES)
     frequent = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(KEPT_WORDS)
-    return stored(frequent.select("word").repartition(24).select("word", fold.alias("ids")), "words")
+    # the words first, so that few plans carry the literal map
+    return stored(stored(frequent.select("word").repartition(24), "frequent").select("word", fold.alias("ids")), "words")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +240,45 @@ def decode(ids: Column, tokenizer: Tokenizer) -> Column:
     return _joined(ids, tokenizer.pieces())
 
 
+def decoded(encoded: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """``encoded``'s columns and ``text_col``, the text that the ids stand for; like ``decode``, but tasks hold the pieces instead of the plan."""
+    pieces = _pieces(tokenizer)
+    kept = encoded.select(*(c for c in encoded.columns if c not in (ids_col, text_col)), ids_col)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(batch.num_columns - 1)
+            texts = [None if x is None else b"".join(map(pieces.__getitem__, x)).decode("utf-8", "replace") for x in ids.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
+
+    return kept.mapInArrow(put, T.StructType([*kept.schema.fields, T.StructField(text_col, T.StringType())]))
+
+
+def _pieces(tokenizer: Tokenizer) -> list[bytes]:
+    pieces = [b""] * (max(tokenizer.ranks.values(), default=0) + 1)
+    for token, rank in tokenizer.ranks.items():
+        pieces[rank] = token
+    return pieces
+
+
+def _digester(tokenizer: Tokenizer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    pieces = _pieces(tokenizer)
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(1)
+            values, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
+            own = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            plain = [sha(b"".join(map(pieces.__getitem__, x.tolist()))) for x in own]
+            columns = [batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([sha(x.tobytes()) for x in own], pa.string()), pa.array(plain, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digest
+
+
 def digests(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for each row: the text encoded, its ids digested and decoded again."""
-    encoded = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer)
-    ids = F.col("ids")
-    return encoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(id_bytes(ids, tokenizer), 256).alias("ids_sha256"), F.sha2(decode(ids, tokenizer), 256).alias("decoded_sha256"))
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for each row: the text encoded, its ids digested, and decoded again by concatenating their pieces."""
+    encoded = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer).select("doc_id", "ids")
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.mapInArrow(_digester(tokenizer), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
