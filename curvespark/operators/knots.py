@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curvespark.operators.cloud import AXES
+from curvespark.plans.lineage import stored
 
 
 def matchings(left: int, right: int, most: int = 8) -> list[tuple[tuple[int, int], ...]]:
@@ -44,60 +46,123 @@ def crossings(segments: DataFrame) -> DataFrame:
         a = a.withColumn(f"n{c}", F.explode(F.array(*(F.col(f"a_{c}") + s for s in (-1, 0, 1)))))
     b = placed.select(*(F.col(c).alias(f"b_{c}") for c in placed.columns))
     near = a.join(b, (F.col("a_sid") == F.col("b_sid")) & (F.col("ncx") == F.col("b_cx")) & (F.col("ncy") == F.col("b_cy")) & (F.col("a_k") + 1 < F.col("b_k")))
+    return _crossed(near).select(F.col("a_sid").alias("sid"), F.col("a_k").alias("k"), F.col("b_k").alias("j"), "t", "u")
+
+
+def _crossed(near: DataFrame) -> DataFrame:
+    """Those pairs of segments a and b that cross properly, with where on each as ``t`` and ``u``."""
     d = lambda s, c: F.col(f"{s}_{c}1") - F.col(f"{s}_{c}0")
     near = near.withColumn("den", d("a", "x") * d("b", "y") - d("a", "y") * d("b", "x")).where("den <> 0")
     ox, oy = F.col("b_x0") - F.col("a_x0"), F.col("b_y0") - F.col("a_y0")
     near = near.withColumns({"t": (ox * d("b", "y") - oy * d("b", "x")) / F.col("den"), "u": (ox * d("a", "y") - oy * d("a", "x")) / F.col("den")})
-    return near.where("t > 0 and t < 1 and u > 0 and u < 1").select(F.col("a_sid").alias("sid"), F.col("a_k").alias("k"), F.col("b_k").alias("j"), "t", "u")
+    return near.where("t > 0 and t < 1 and u > 0 and u < 1")
 
 
-def determinant(p: np.ndarray, samples: int = 400) -> float:
-    """The knot determinant of a closed polyline: 1 for the unknot, 3 for the trefoil, 5 for the figure of eight; 0 if the colouring matrix is singular.
+def _log_determinant(under: np.ndarray, over: np.ndarray) -> float:
+    """The logarithm of the knot determinant of crossings, given by their places along the curve below and above; below log 0.5 it is 0.
 
-    Seen along the axis of least spread, arcs run from one under-crossing to the next, and each crossing says twice the arc over it equals the two that end at it.
+    Arcs run from one under-crossing to the next, and each crossing says twice the arc over it equals the two that end at it. The matrix is dense.
     """
-    p = np.vstack([p, p[:1]])
-    s = np.concatenate([[0], np.cumsum(np.linalg.norm(np.diff(p, axis=0), axis=1))])
-    at = np.linspace(0, s[-1], samples, endpoint=False)
-    q = np.stack([np.interp(at, s, p[:, k]) for k in AXES], 1)
-    q = (q - q.mean(0)) @ np.linalg.svd(q - q.mean(0), full_matrices=False)[2].T
-    a, b = q, np.roll(q, -1, 0)
-    d = b - a
-    den = d[:, None, 0] * d[None, :, 1] - d[:, None, 1] * d[None, :, 0]
-    o = a[None, :, :2] - a[:, None, :2]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (o[..., 0] * d[None, :, 1] - o[..., 1] * d[None, :, 0]) / den
-        u = (o[..., 0] * d[:, None, 1] - o[..., 1] * d[:, None, 0]) / den
-    n = len(q)
-    i, j = np.nonzero((t > 0) & (t < 1) & (u > 0) & (u < 1))
-    keep = (j > i + 1) & ~((i == 0) & (j == n - 1))
-    i, j = i[keep], j[keep]
-    if not len(i):
-        return 1.0
-    zi, zj = a[i, 2] + t[i, j] * d[i, 2], a[j, 2] + u[i, j] * d[j, 2]
-    under = np.where(zi < zj, i + t[i, j], j + u[i, j])
-    over = np.where(zi < zj, j + u[i, j], i + t[i, j])
     order = np.argsort(under)
-    ends = under[order]
-    arc = lambda x: np.searchsorted(ends, x) % len(ends)
-    m = np.zeros((len(ends), len(ends)))
-    for row, k in enumerate(order):
-        m[row, arc(over[k])] += 2
-        m[row, row] -= 1
-        m[row, (row + 1) % len(ends)] -= 1
-    sign, size = np.linalg.slogdet(m[:-1, :-1]) if len(ends) > 1 else (1.0, 0.0)
-    return 0.0 if sign == 0 or size < -20 else float(round(math.exp(size))) if size < 25 else math.exp(size)
+    n, ends = len(order), under[order]
+    rows = np.arange(n - 1)
+    m = np.zeros((n - 1, n - 1))
+    for arc, weight in ((np.searchsorted(ends, over[order]) % n, 2), (np.arange(n), -1), (np.arange(1, n + 1) % n, -1)):
+        inside = arc[:-1] < n - 1
+        np.add.at(m, (rows[inside], arc[:-1][inside]), weight)
+    return float(np.linalg.slogdet(m)[1])
+
+
+def _from_log(size: float) -> tuple[float | None, float | None]:
+    """The determinant, whole where its logarithm is below 25 and None beyond a double, and its decimal logarithm, None for 0."""
+    if size < math.log(0.5):
+        return 0.0, None
+    return (float(round(math.exp(size))) if size < 25 else math.exp(size) if size < 709 else None), size / math.log(10)
+
 
+def determinant(p: np.ndarray) -> float | None:
+    """The knot determinant of a closed polyline, all of its vertices: 1 for the unknot, 3 for the trefoil, 5 for the figure of eight; 0 if the colouring matrix is singular.
+
+    It is seen along the axis of least spread.
+    """
+    q = (p - p.mean(0)) @ np.linalg.svd(p - p.mean(0), full_matrices=False)[2].T
+    d, n = np.roll(q, -1, 0) - q, len(q)
+    under, over = [], []
+    for i in range(n - 2):
+        j = np.arange(i + 2, n - (i == 0))
+        o = q[j] - q[i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            den = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
+            t, u = (o[:, 0] * d[j, 1] - o[:, 1] * d[j, 0]) / den, (o[:, 0] * d[i, 1] - o[:, 1] * d[i, 0]) / den
+        hit = (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        j, t, u = j[hit], t[hit], u[hit]
+        below = q[i, 2] + t * d[i, 2] < q[j, 2] + u * d[j, 2]
+        under.append(np.where(below, i + t, j + u))
+        over.append(np.where(below, j + u, i + t))
+    under, over = (np.concatenate(x) if x else np.empty(0) for x in (under, over))
+    return _from_log(_log_determinant(under, over))[0] if len(under) else 1.0
+
+
+def _closed_segments(curves: DataFrame) -> DataFrame:
+    """``(sid, k, n, x0..z1, wx, wy)``: the segments of each closed curve, seen along its axis of least spread, how many they are and their mean extents.
+
+    Points that repeat the one before them, or close the curve by themselves, are no vertices.
+    """
+    by, whole, names = Window.partitionBy("sid").orderBy("k"), Window.partitionBy("sid"), [f"p{k}" for k in AXES]
+    equal = lambda pairs: functools.reduce(lambda a, b: a & b, (F.col(a).eqNullSafe(b) for a, b in pairs))
+    p = curves.select("sid", "k", *names).withColumn("again", equal((c, F.lag(c).over(by)) for c in names)).where("not again")
+    p = p.withColumns({f"f{k}": F.first(f"p{k}").over(by) for k in AXES} | {f"n{k}": F.lead(f"p{k}").over(by) for k in AXES} | {"last": F.lead("k").over(by).isNull()})
+    p = p.where(~(F.col("last") & equal((f"p{k}", F.col(f"f{k}")) for k in AXES)))
+    p = stored(p.select("sid", (F.row_number().over(by) - 1).alias("k"), F.count("*").over(whole).alias("n"), *names, *(F.when(F.col("last"), F.col(f"f{k}")).otherwise(F.col(f"n{k}")).alias(f"n{k}") for k in AXES)), "vertices")
+    spread = p.groupBy("sid").agg(*(F.avg(c).alias(f"m{c[1]}") for c in names), *(F.covar_pop(f"p{i}", f"p{j}").alias(f"c{i}{j}") for i in AXES for j in AXES))
+
+    def axes(batches):  # noqa: ANN001, ANN202
+        for rows in batches:
+            vectors = np.linalg.eigh(np.nan_to_num(rows[[f"c{i}{j}" for i in AXES for j in AXES]].to_numpy(float)).reshape(-1, 3, 3))[1]
+            yield rows[["sid", "m0", "m1", "m2"]].assign(**{f"{c}{k}": vectors[:, k, 2 - at] for at, c in enumerate("xyz") for k in AXES})
+
+    kind = curves.schema["sid"].dataType.simpleString()
+    seen = spread.mapInPandas(axes, f"sid {kind}, " + ", ".join(f"{c}{k} double" for c in "mxyz" for k in AXES))
+    at = lambda c, point: sum(((F.col(f"{point}{k}") - F.col(f"m{k}")) * F.col(f"{c}{k}") for k in AXES), F.lit(0.0))
+    out = p.join(seen, "sid").select("sid", "k", "n", *(at(c, point).alias(f"{c}{end}") for c in "xyz" for end, point in enumerate("pn")))
+    return out.withColumns({f"w{c}": F.avg(F.abs(F.col(f"{c}1") - F.col(f"{c}0"))).over(whole) for c in "xy"})
 
-def knot_determinants(curves: DataFrame, samples: int = 400) -> DataFrame:
-    """``(sid, det, log10_det)`` of each closed curve; a curve is what one task holds."""
+
+def _curve_crossings(segments: DataFrame) -> DataFrame:
+    """``(sid, under, over)``: where along its curve each crossing passes below and above itself.
+
+    Cells are as wide as the mean extent of a curve's segments, and longer segments meet others piece by piece: three pieces a segment on the average, however long the closing one is.
+    """
+    extent = lambda c: F.try_divide(F.abs(F.col(f"{c}1") - F.col(f"{c}0")), F.col(f"w{c}"))
+    pieces = F.greatest(F.lit(1), F.ceil(1.01 * F.coalesce(F.greatest(extent("x"), extent("y")), F.lit(0.0))))
+    placed = segments.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    middle = lambda c: F.col(f"{c}0") + (F.col("piece") + 0.5) / F.col("pieces") * (F.col(f"{c}1") - F.col(f"{c}0"))
+    placed = placed.select("sid", "k", "n", *(f"{c}{e}" for c in "xyz" for e in (0, 1)), *(F.coalesce(F.floor(F.try_divide(middle(c), F.col(f"w{c}"))), F.lit(0)).alias(f"c{c}") for c in "xy"))
+    a, b = (placed.select(*(F.col(c).alias(f"{s}_{c}") for c in placed.columns)) for s in "ab")
+    for c in ("cx", "cy"):
+        a = a.withColumn(f"n{c}", F.explode(F.array(*(F.col(f"a_{c}") + s for s in (-1, 0, 1)))))
+    apart = (F.col("a_k") + 1 < F.col("b_k")) & ~((F.col("a_k") == 0) & (F.col("b_k") == F.col("a_n") - 1))
+    near = a.join(b, (F.col("a_sid") == F.col("b_sid")) & (F.col("ncx") == F.col("b_cx")) & (F.col("ncy") == F.col("b_cy")) & apart)
+    found = _crossed(near).dropDuplicates(["a_sid", "a_k", "b_k"])
+    height = lambda s, x: F.col(f"{s}_z0") + F.col(x) * (F.col(f"{s}_z1") - F.col(f"{s}_z0"))
+    below, on_a, on_b = height("a", "t") < height("b", "u"), F.col("a_k") + F.col("t"), F.col("b_k") + F.col("u")
+    return found.select(F.col("a_sid").alias("sid"), F.when(below, on_a).otherwise(on_b).alias("under"), F.when(below, on_b).otherwise(on_a).alias("over"))
+
+
+def knot_determinants(curves: DataFrame) -> DataFrame:
+    """``(sid, det, log10_det)`` of each closed curve, from all of its vertices; a curve's crossings are what one task holds, in a dense matrix.
+
+    ``det`` is whole where its logarithm is below 25, null beyond a double; ``log10_det`` is null where ``det`` is 0.
+    """
 
     def rule(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = determinant(rows.sort_values("k")[["p0", "p1", "p2"]].to_numpy(float), samples) if len(rows) > 3 else 1.0
-        return pd.DataFrame({"sid": [key[0]], "det": [found], "log10_det": [math.log10(found) if found > 0 else None]})
+        det, log10 = _from_log(_log_determinant(rows["under"].to_numpy(), rows["over"].to_numpy()))
+        return pd.DataFrame({"sid": [key[0]], "det": [det], "log10_det": [log10]}).astype({"det": float, "log10_det": float})
 
     kind = curves.schema["sid"].dataType.simpleString()
-    return curves.select("sid", "k", "p0", "p1", "p2").groupBy("sid").applyInPandas(rule, f"sid {kind}, det double, log10_det double")
+    crossed = _curve_crossings(stored(_closed_segments(curves), "segments")).groupBy("sid").applyInPandas(rule, f"sid {kind}, det double, log10_det double").withColumn("crosses", F.lit(True))
+    plain = F.col("crosses").isNull()
+    return curves.select("sid").distinct().join(crossed, "sid", "left").select("sid", F.when(plain, 1.0).otherwise(F.col("det")).alias("det"), F.when(plain, 0.0).otherwise(F.col("log10_det")).alias("log10_det"))
 
 
 def ranked(solutions: DataFrame, group: str, score: str) -> DataFrame:

@@ -418,7 +418,7 @@ def segment_crossings(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def knot_determinant(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(knots.knot_determinants(P.curves_from_events(spark, d).where("k < 40")), 6)
+    return _rounded(knots.knot_determinants(P.curves_from_events(spark, d)), 6)
 
 
 @_query("SELECT s.s_suppkey AS sid, place, behind FROM (SELECT s_suppkey, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) AS place, round(s_acctbal - min(s_acctbal) OVER (PARTITION BY s_nationkey), 4) AS behind FROM supplier) s")

@@ -12,6 +12,7 @@ from curvespark.operators import cloud as C
 from curvespark.operators import curves as V
 from curvespark.operators import edits, filters, fitting, geometry, graph, joining, knots, meanshift, noise, rod, signals, volume
 from curvespark.operators.components import connected_components
+from curvespark.plans import queries
 from curvespark.sources import arrays
 from curvespark.streaming import repairs
 
@@ -155,6 +156,26 @@ def test_knots():
     assert len(knots.matchings(2, 2)) == 2 and len(knots.matchings(3, 3, 4)) == 4 and knots.matchings(1, 2) == [((0, 0),), ((0, 1),)]
 
 
+def test_determinants_take_all_vertices(spark, monkeypatch):
+    t = np.linspace(-2.1, 2.1, 21)
+    long_trefoil = np.column_stack([t**3 - 3 * t, t**4 - 4 * t**2, t**5 / 5 - 2 * t])
+    closed = lambda p: np.vstack([p[:1] + [0, 6, 0], p, p[-1:] + [0, 6, 0]])
+    chain, one = closed(np.vstack([long_trefoil + [7 * k, 0, 0] for k in range(40)])), closed(long_trefoil)
+    rng = np.random.default_rng(3)
+    walks = [rng.uniform(-1, 1, (8 + s, 3)) for s in range(12)]
+    curves = curve_of(spark, chain, 100).union(curve_of(spark, [(0, 0, 0), (1, 0, 0)], 101)).union(curve_of(spark, np.repeat(one, 2, 0)[[*range(46), 0]], 102))
+    for s, p in enumerate(walks):
+        curves = curves.union(curve_of(spark, p, s))
+    found = {r.sid: r for r in knots.knot_determinants(curves).collect()}
+    assert len(found) == 15 and math.isclose(found[100].log10_det, 40 * math.log10(3), rel_tol=1e-9) and (found[101].det, found[101].log10_det, found[102].det) == (1.0, 0.0, 3.0)
+    for s, p in enumerate(walks):
+        want = knots.determinant(p)
+        assert math.isclose(found[s].det, want, rel_tol=1e-6) and (want >= math.exp(25) or want % 2 == 1)
+    trefoil = curve_of(spark, np.vstack([one[:1] + [[-k / 30, k / 30, 0]] for k in range(60, 0, -1)] + [one]), 7)
+    monkeypatch.setattr(queries.P, "curves_from_events", lambda *_: trefoil)
+    assert [(r.sid, r.det) for r in queries.knot_determinant(spark, "").collect()] == [(7, 3.0)]
+
+
 def test_choices(spark):
     got = sorted(tuple(r.choice) for r in knots.choices(spark, [2, 3]).collect())
     assert got == sorted(itertools.product(range(2), range(3)))
