@@ -12,23 +12,77 @@ from curvespark.operators.curves import total_length
 from curvespark.plans.lineage import stored
 
 
-def _basis(t: np.ndarray, knots: np.ndarray) -> np.ndarray:
-    """Values of the cubic B-splines on clamped knots."""
-    t = np.minimum(t, np.nextafter(knots[-1], 0))
-    b = ((knots[:-1] <= t[:, None]) & (t[:, None] < knots[1:])).astype(float)
+def _basis(t: np.ndarray, knots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the four cubic B-splines on clamped knots that aren't zero at each ``t``, and the four values."""
+    t = np.clip(t, knots[0], np.nextafter(knots[-1], 0))
+    at = np.clip(np.searchsorted(knots, t, "right") - 1, 3, len(knots) - 5)
+    b = np.ones((len(t), 1))
     for p in range(1, 4):
-        n = len(knots) - p - 1
-        with np.errstate(divide="ignore", invalid="ignore"):
-            left = np.nan_to_num((t[:, None] - knots[:n]) / (knots[p : p + n] - knots[:n]))
-            right = np.nan_to_num((knots[p + 1 : p + 1 + n] - t[:, None]) / (knots[p + 1 : p + 1 + n] - knots[1 : 1 + n]))
-        b = left * b[:, :n] + right * b[:, 1 : n + 1]
-    return b
+        wider = np.zeros((len(t), p + 1))
+        for r in range(p):
+            low, high = knots[at + r + 1 - p], knots[at + r + 1]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                part = np.nan_to_num(b[:, r] / (high - low))
+            wider[:, r] += part * (high - t)
+            wider[:, r + 1] += part * (t - low)
+        b = wider
+    return at - 3, b
+
+
+def _values(basis: tuple[np.ndarray, np.ndarray], c: np.ndarray) -> np.ndarray:
+    first, b = basis
+    return sum(b[:, r, None] * c[first + r] for r in range(4))
+
+
+def _solve(diagonals: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x`` of the symmetric positive definite band matrix with three ``diagonals`` (row ``r``: entries ``i, i + r``) beside the main one.
+
+    Blocks of three make it tridiagonal; every second block is eliminated until one is left, in memory linear in ``y``.
+    """
+    n, m = len(y), -(-len(y) // 3)
+    band = np.zeros((4, 3 * m + 3))
+    band[0, n:] = 1.0
+    for r in range(4):
+        band[r, : n - r] = diagonals[r, : n - r]
+    right = np.zeros((3 * m, y.shape[1]))
+    right[:n] = y
+    main, upper, at = np.zeros((m, 3, 3)), np.zeros((m, 3, 3)), 3 * np.arange(m)
+    for i in range(3):
+        for j in range(3):
+            main[:, i, j] = band[abs(i - j), at + min(i, j)]
+            if j <= i:
+                upper[:, i, j] = band[3 + j - i, at + i]
+    return _halved(main, upper[:-1], right.reshape(m, 3, -1)).reshape(3 * m, -1)[:n]
+
+
+def _halved(main: np.ndarray, upper: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cyclic reduction of a symmetric block-tridiagonal system: blocks at odd places are solved from their neighbours."""
+    m = len(main)
+    if m == 1:
+        return np.linalg.solve(main, y)
+    turned = lambda x: np.swapaxes(x, 1, 2)
+    odd = np.arange(1, m, 2)
+    inner = odd[odd + 1 < m]
+    left, right = turned(upper[odd - 1]), upper[inner]  # what ties an odd block to the even one before and after it
+    by_left, by_y = np.linalg.solve(main[odd], left), np.linalg.solve(main[odd], y[odd])
+    by_right = np.linalg.solve(main[inner], right)
+    even, even_y, k = main[::2].copy(), y[::2].copy(), len(inner)
+    even[: len(odd)] -= turned(left) @ by_left
+    even_y[: len(odd)] -= turned(left) @ by_y
+    even[1 : k + 1] -= turned(right) @ by_right
+    even_y[1 : k + 1] -= turned(right) @ by_y[:k]
+    x = np.empty_like(y)
+    x[::2] = _halved(even, -(turned(left[:k]) @ by_right), even_y)
+    x[1::2] = by_y - by_left @ x[odd - 1]
+    x[inner] -= by_right @ x[inner + 1]
+    return x
 
 
 def smoothing_spline(p: np.ndarray, smooth: float = 1.5, spacing: float = 1.0) -> np.ndarray:
     """Points every ``spacing`` on a cubic spline whose squared residuals sum to ``smooth`` times the number of points, or less.
 
-    Knots double until the free fit is below that; then a penalty on second differences grows, by bisection, until the sum is met.
+    Knots double until the free fit is below that or there are as many coefficients as points; then a penalty on second differences grows, by
+    bisection, until the sum is met. All systems are bands, so memory is linear in the curve. At most 200,000 points are returned.
     """
     steps = np.linalg.norm(np.diff(p, axis=0), axis=1)
     keep = np.concatenate([[True], steps > 1e-12])
@@ -40,13 +94,22 @@ def smoothing_spline(p: np.ndarray, smooth: float = 1.5, spacing: float = 1.0) -
     while True:
         inner = min(inner, len(p) - 4)
         knots = np.concatenate([[0] * 4, np.quantile(t, np.linspace(0, 1, inner + 2)[1:-1]), [1] * 4])
-        b = _basis(t, knots)
-        rough = np.diff(np.eye(b.shape[1]), 2, axis=0)
-        rough = rough.T @ rough
-        gram, moment = b.T @ b, b.T @ p
-        solve = lambda w: np.linalg.solve(gram + (w + 1e-9) * rough + 1e-12 * np.eye(len(gram)), moment)  # noqa: B023, E731
-        residual = lambda c: float(((b @ c - p) ** 2).sum())  # noqa: B023, E731
-        if residual(solve(0.0)) <= target or inner >= len(p) - 4 or inner >= 400:
+        basis, size = _basis(t, knots), inner + 4
+        first, b = basis
+        gram, moment = np.zeros((4, size)), np.zeros((size, p.shape[1]))
+        for r in range(4):
+            for q in range(r, 4):
+                gram[q - r] += np.bincount(first + r, b[:, r] * b[:, q], size)
+            for k in range(p.shape[1]):
+                moment[:, k] += np.bincount(first + r, b[:, r] * p[:, k], size)
+        rough, ones = np.zeros((4, size)), np.array([1.0, -2.0, 1.0])
+        for r in range(3):
+            for q in range(r, 3):
+                rough[q - r, r : r + size - 2] += ones[r] * ones[q]
+        ridge = np.array([[1e-12], [0], [0], [0]])
+        solve = lambda w: _solve(gram + (w + 1e-9) * rough + ridge, moment)  # noqa: B023, E731
+        residual = lambda c: float(((_values(basis, c) - p) ** 2).sum())  # noqa: B023, E731
+        if residual(solve(0.0)) <= target or inner >= len(p) - 4:
             break
         inner *= 2
     lo, hi = -9.0, 9.0
@@ -55,7 +118,7 @@ def smoothing_spline(p: np.ndarray, smooth: float = 1.5, spacing: float = 1.0) -
         lo, hi = (mid, hi) if residual(solve(10**mid)) <= target else (lo, mid)
     c = solve(10**lo)
     n = int(np.clip(round(s[-1] / spacing) + 1, 4, 200_000))
-    return _basis(np.linspace(0, 1, n), knots) @ c
+    return _values(_basis(np.linspace(0, 1, n), knots), c)
 
 
 def fit_curves(curves: DataFrame, smooth: float = 1.5, spacing: float = 1.0) -> DataFrame:

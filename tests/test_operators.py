@@ -280,6 +280,16 @@ def test_spline_meets_its_sum_and_curves_repeat(spark):
     assert fitting.without_repeats(every.limit(0)).count() == 0
 
 
+def test_splines_of_long_curves_meet_their_sum():
+    t = np.linspace(0, 1, 1500)
+    p = np.column_stack([1500 * t, 30 * np.sin(400 * np.pi * t), 30 * np.cos(400 * np.pi * t)])
+    fit = fitting.smoothing_spline(p, 0.5, 0.5)
+    far = np.array([((fit - x) ** 2).sum(1).min() for x in p])
+    assert far.mean() <= 0.5 + 0.25**2  # half a step beside the fit's own place at most
+    few = np.random.default_rng(5).uniform(0, 100, (9, 3))
+    assert len(fitting.smoothing_spline(few, 0.01)) > 100
+
+
 def test_noise(spark):
     p = np.random.default_rng(8).uniform(-5, 5, (2000, 3))
     v = noise.lattice_noise(p, 0)
