@@ -25,8 +25,10 @@ _LEFT, _RIGHT = 40, 24
 _KEYWORDS = "token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|bearer"
 #: What follows a key's name: the sign stands first in the pattern, so that most places fail at once, and the name is looked for behind it.
 _SIGN = r"[:=]=?>?\s{0,3}[\"']?"
-_ASSIGNED = rf"[:=](?<=(?i:{_KEYWORDS})[\"']?\s{{0,3}}[:=])=?>?\s{{0,3}}[\"']?"
-_PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+_ASSIGNED = rf"[:=](?<=(?i:{_KEYWORDS})[\"']?\s{{0,3}}[:=])(?!=?>?\s{{0,3}}[\"']?-----BEGIN )=?>?\s{{0,3}}[\"']?"
+#: A private key as a whole, whatever its length, with header lines (``Proc-Type: ...``), its line ends real or escaped.
+_PEM_HEADERS = r"(?:(?:\s|\\[rn])*+[A-Za-z][A-Za-z0-9\-]*+:[^\r\n\\]*+){0,64}+"
+_PEM = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----{_PEM_HEADERS}[A-Za-z0-9+/=\s\\]*+(?:-----END [A-Z ]{{0,30}}PRIVATE KEY-----)?"
 _RUN = r"(?<![A-Za-z0-9_+/.\-])(?=[A-Za-z_+/.\-]*+[0-9])[A-Za-z0-9_+/.\-]{16,}+={0,2}"
 _KEY = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,})"
 CANDIDATE = rf"{_ASSIGNED}[^\s\"'|]{{6,}}+|{_KEY}|{_RUN}|{_PEM}"
@@ -167,6 +169,7 @@ def _scored(docs: DataFrame, text_col: str, source_col: str | None) -> DataFrame
         score = "CASE WHEN f.provider > 0 OR f.keyword_left > 0 AND f.assigned > 0 AND f.placeholder = 0 THEN 1.0D ELSE 0.0D END"
     else:
         score = forest
+    score = f"CASE WHEN x.c.value LIKE '-----BEGIN %' THEN 1.0D ELSE {score} END"  # few corpora have private keys for the forest to learn from
     scored = F.expr(f"transform(__found, x -> struct(x.c as c, {re.sub(r'\bf\.', 'x.f.', score)} as score))")
     return found.withColumn("__found", scored)
 

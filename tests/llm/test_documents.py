@@ -177,6 +177,22 @@ def test_secrets_are_found_and_masked(spark):
     assert secrets.scan_secrets(frame.limit(0)).count() == 0
 
 
+def pem(lines, headers="", end="\n"):
+    body = end.join(hashlib.sha256(str(k).encode()).hexdigest() + "/a/" for k in range(lines))
+    return f"-----BEGIN RSA PRIVATE KEY-----{end}{headers}{body}{end}-----END RSA PRIVATE KEY-----"
+
+
+def test_private_keys_are_masked_whole(spark):
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    keys = [pem(20), pem(400), pem(5, headers), pem(20, end="\\n")]
+    texts = [f"{before}{key}{after}" for key in keys for before, after in (('private_key = "', '" more'), ("secret: ", " more"), ("a ", ", more"))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact_secrets(frame, source_col=None).collect()}
+    for k, text in enumerate(texts):
+        key = keys[k // 3]
+        assert got[k].replace(" ", "") == text.replace(key, "[SECRET]").replace(" ", "")
+
+
 def test_forest_sql_is_the_forest(spark):
     rng = np.random.default_rng(0)
     rows = [tuple(float(x) for x in rng.random(len(secrets.FEATURES))) for _ in range(300)]
