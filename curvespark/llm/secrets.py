@@ -24,8 +24,9 @@ _LEFT, _RIGHT = 40, 24
 
 _KEYWORDS = "token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|bearer"
 #: What follows a key's name: the sign stands first in the pattern, so that most places fail at once, and the name is looked for behind it.
-_SIGN = r"[:=]=?>?\s{0,3}[\"']?"
-_ASSIGNED = rf"[:=](?<=(?i:{_KEYWORDS})[\"']?\s{{0,3}}[:=])(?!=?>?\s{{0,3}}[\"']?-----BEGIN )=?>?\s{{0,3}}[\"']?"
+_SCHEME = r"(?:(?i:bearer|basic|token)\s{1,3})?"
+_SIGN = rf"[:=]=?>?\s{{0,3}}[\"']?{_SCHEME}"
+_ASSIGNED = rf"[:=](?<=(?i:{_KEYWORDS})[\"']?\s{{0,3}}[:=])(?!=?>?\s{{0,3}}[\"']?-----BEGIN )=?>?\s{{0,3}}[\"']?{_SCHEME}"
 #: A private key as a whole, whatever its length, with header lines (``Proc-Type: ...``), its line ends real or escaped.
 _PEM_HEADERS = r"(?:(?:\s|\\[rn])*+[A-Za-z][A-Za-z0-9\-]*+:[^\r\n\\]*+){0,64}+"
 _PEM = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----{_PEM_HEADERS}[A-Za-z0-9+/=\s\\]*+(?:-----END [A-Z ]{{0,30}}PRIVATE KEY-----)?"
@@ -95,15 +96,16 @@ def _with_candidates(docs: DataFrame, text_col: str, source: Column) -> DataFram
     empty = F.struct(F.lit(0).alias("at"), F.slice(F.array(F.lit(0)), 1, 0).alias("starts"))
     step = lambda s, x: F.struct((s["at"] + x["before"] + x["own"]).alias("at"), F.array_append(s["starts"], s["at"] + x["before"]).alias("starts"))
     starts = F.aggregate(lengths, empty, step, lambda s: s["starts"])
-    zipped = F.arrays_zip(F.col("__raw").alias("raw"), F.slice("__pieces", 1, n).alias("before"), F.slice("__pieces", 2, n).alias("after"), starts.alias("at"))
-    out = out.select(*kept, "__pieces", F.transform(zipped, lambda z: F.struct(z["raw"].alias("raw"), z["before"].alias("before"), z["after"].alias("after"), z["at"].alias("at"), F.regexp_extract(z["raw"], _PREFIX, 0).alias("prefix"))).alias("__zipped"))
+    zipped = F.arrays_zip(F.col("__raw").alias("raw"), starts.alias("at"))
+    out = out.select(*kept, "__pieces", F.transform(zipped, lambda z: F.struct(z["raw"].alias("raw"), z["at"].alias("at"), F.regexp_extract(z["raw"], _PREFIX, 0).alias("prefix"))).alias("__zipped"))
 
     def candidate(z: Column) -> Column:
+        first = F.greatest(z["at"] - _LEFT, F.lit(0))
         return F.struct(
             (z["at"] + F.length(z["prefix"])).alias("start"),
             F.substring(z["raw"], F.length(z["prefix"]) + 1, F.length(z["raw"])).alias("value"),
-            F.concat(F.right(z["before"], F.lit(_LEFT)), z["prefix"]).alias("left"),
-            F.left(z["after"], F.lit(_RIGHT)).alias("right"),
+            F.concat(F.substring(text, first + 1, z["at"] - first), z["prefix"]).alias("left"),
+            F.substring(text, z["at"] + F.length(z["raw"]) + 1, F.lit(_RIGHT)).alias("right"),
             z["prefix"].alias("prefix"),
             (z["prefix"] != "").alias("assigned"),
         )

@@ -193,6 +193,17 @@ def test_private_keys_are_masked_whole(spark):
         assert got[k].replace(" ", "") == text.replace(key, "[SECRET]").replace(" ", "")
 
 
+def test_candidates_see_the_text_around_them(spark):
+    texts = [f"Authorization: Bearer {KEY}", f'é 4000000000000000 token {KEY} "', f"token {KEY} {KEY[::-1]} end"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [(r.doc_id, r.x.c, r.x.f) for r in secrets._with_candidates(frame, "text", F.lit("")).select("doc_id", F.explode("__found").alias("x")).orderBy("doc_id", "x.c.start").collect()]
+    assert [(k, c.value) for k, c, _ in found] == [(0, KEY), (1, "4000000000000000"), (1, KEY), (2, KEY), (2, KEY[::-1])]
+    assert found[0][1].assigned and found[0][2].keyword_left == 1
+    for k, c, _ in found:
+        before, after = texts[k][: c.start], texts[k][c.start + len(c.value) :]
+        assert before.endswith(c.left) and len(c.left) >= min(40, len(before)) and c.right == after[:24]
+
+
 def test_forest_sql_is_the_forest(spark):
     rng = np.random.default_rng(0)
     rows = [tuple(float(x) for x in rng.random(len(secrets.FEATURES))) for _ in range(300)]
