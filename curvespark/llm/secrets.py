@@ -25,8 +25,8 @@ _LEFT, _RIGHT = 40, 24
 _KEYWORDS = "token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|bearer"
 #: What follows a key's name: the sign stands first in the pattern, so that most places fail at once, and the name is looked for behind it.
 _SCHEME = r"(?:(?i:bearer|basic|token)\s{1,3})?"
-_SIGN = rf"[:=]=?>?\s{{0,3}}[\"']?{_SCHEME}"
-_ASSIGNED = rf"[:=](?<=(?i:{_KEYWORDS})[\"']?\s{{0,3}}[:=])(?!=?>?\s{{0,3}}[\"']?-----BEGIN )=?>?\s{{0,3}}[\"']?{_SCHEME}"
+_SIGN = rf"[:=][:=]?>?\s{{0,3}}[\"']?{_SCHEME}"
+_ASSIGNED = rf"[:=](?<=(?i:{_KEYWORDS})[\"']?\s{{0,3}}[:=])(?![:=]?>?\s{{0,3}}[\"']?-----BEGIN )[:=]?>?\s{{0,3}}[\"']?{_SCHEME}"
 #: A private key as a whole, whatever its length, with header lines (``Proc-Type: ...``), its line ends real or escaped.
 _PEM_HEADERS = r"(?:(?:\s|\\[rn])*+[A-Za-z][A-Za-z0-9\-]*+:[^\r\n\\]*+){0,64}+"
 _PEM = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----{_PEM_HEADERS}[A-Za-z0-9+/=\s\\]*+(?:-----END [A-Z ]{{0,30}}PRIVATE KEY-----)?"

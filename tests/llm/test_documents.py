@@ -204,6 +204,14 @@ def test_candidates_see_the_text_around_them(spark):
         assert before.endswith(c.left) and len(c.left) >= min(40, len(before)) and c.right == after[:24]
 
 
+def test_signs_are_those_of_the_plain_pattern(spark):
+    plain = re.compile(rf"(?i:{secrets._KEYWORDS})[\"']?\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}[\"']?([^\s\"'|]{{6,}})")
+    texts = [f"{name}{left}{sign}{right}hunterxy z" for name in ("password", "api_key", "colour") for left in ("", " ", '" ') for sign in (":", "=", "::", "=:", ":=", "==", "=>", "::>", ":>") for right in ("", " ", ' "', '"')]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [x.c.value for x in r.found] for r in secrets._with_candidates(frame, "text", F.lit("")).select("doc_id", F.col("__found").alias("found")).collect()}
+    assert got == {k: plain.findall(text) for k, text in enumerate(texts)}
+
+
 def test_forest_sql_is_the_forest(spark):
     rng = np.random.default_rng(0)
     rows = [tuple(float(x) for x in rng.random(len(secrets.FEATURES))) for _ in range(300)]
