@@ -1,18 +1,17 @@
-"""Byte-level BPE encoding and decoding with Spark's own functions.
+"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A text is cut by the tokenizer's pattern. A word is an array of byte ids that a fold over higher-order functions merges, pair
-by pair, by the ranks of a literal map. Frequent distinct words are folded once and meet the texts' words in a broadcast join; a word that is
-not among them is folded where it stands, so that table changes the time and never the ids. Words stay in the order of their texts
-throughout, and tasks put each text's ids together again without a shuffle.
+Tasks cut texts into words by the tokenizer's pattern and gather them in blocks: a block's distinct words, each once, and its texts as places among
+them. A word is an array of bytes, one character each in a string, so that Spark's string functions merge it; a fold over the word's possible
+mergers, in the order of their ranks, replaces pairs by what a literal rank map says. Texts are then the ids of their words. A block holds all that it needs, so
+nothing is shuffled, no table of words has to fit anywhere, and every text is treated alike whatever the corpus.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curvespark.plans.lineage import stored
+#: A block ends with the text that brings it to so many characters: larger blocks fold fewer words, smaller ones take less memory.
+BLOCK_CHARS = 1 << 24
+#: Ids from here on stand for characters above the surrogates, which no string may hold.
+_SURROGATES, _SKIPPED = 0xD800, 0x800
 
-#: Words that are folded once: the most frequent ones, of so many bytes at most, of the documents that the table is fitted on. Its size is bounded by both numbers.
-KEPT_WORDS = 1 << 16
-KEPT_BYTES = 64
-#: About so many documents, chosen by a hash of their id.
-FITTED_ON = 20_000
-_NONE = 2_147_483_647
-#: No product of this number and a pair of ids is over 2**62.
-_MIX = 0x2545F491
-_PAIR_BITS = 15
 
-
-def java_pattern(pattern: str) -> str:
-    r"""The tokenizer's pattern for Java: ``\s`` is any Unicode white space there too."""
-    return "(?U)" + pattern
+def _code(rank: int) -> int:
+    """The character that stands for an id."""
+    return rank if rank < _SURROGATES else rank + _SKIPPED
 
 
 def _literal(value: list, kind: str) -> Column:
@@ -43,14 +35,6 @@ def _literal(value: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
-def _buckets(places: np.ndarray, keys: list, values: list, bits: int, kind: str) -> Column:
-    """A literal map in ``2**bits`` parts, each of a few entries, so that a look-up doesn't search it all."""
-    parts: list[dict] = [{} for _ in range(1 << bits)]
-    for place, key, value in zip((places & places.dtype.type((1 << bits) - 1)).tolist(), keys, values, strict=True):
-        parts[place][key] = value
-    return _literal(parts, f"array<map<string,{kind.split(',', 1)[1]}>>").cast(f"array<map<{kind}>>")
-
-
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -73,6 +57,7 @@ class Tokenizer:
 
     ranks: dict[bytes, int]
     pattern: str
+    _splits: dict[bytes, tuple[int, int]] = field(default_factory=dict, repr=False)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Tokenizer:
@@ -80,205 +65,176 @@ class Tokenizer:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
 
-    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = []
-        for token, rank in self.ranks.items():
-            for k in range(1, len(token)):
-                if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None:
-                    out.append((a, b, rank))
-        return tuple(np.array(out, np.int64).reshape(-1, 3).T)  # type: ignore[return-value]
-
-    def merges(self) -> dict[str, Column]:
-        """The rank map (pairs, packed with the id of their merger) and the ids of bytes, sized by the vocabulary."""
-        a, b, merged = self._pairs()
-        key = a * 65536 + b if len(a) == 0 or max(a.max(), b.max()) < 65536 else None
-        if key is None:
-            raise ValueError("more than 65,536 tokens")
-        pairs = _buckets(key * _MIX >> 22, key.tolist(), merged.tolist(), _PAIR_BITS, "bigint,int")
-        single = [self.ranks.get(bytes([k]), 0) for k in range(256)]
-        return {"pairs": pairs, "bytes": _literal(single, "array<int>")}
+    def splits(self) -> dict[bytes, tuple[int, int]]:
+        """The pair of ids that merges into each token.
+
+        While ranks are merged in their order, the parts of a token meet as this pair only: what is merged between a token's ends doesn't depend on
+        what stands around them. A token's parts have lower ranks than itself, so no merger makes a pair of a lower rank. ValueError if a
+        vocabulary isn't like this (none made by training is).
+        """
+        if not self._splits:
+            for token, rank in self.ranks.items():
+                parts = [token[k : k + 1] for k in range(len(token))]
+                while len(parts) > 1:
+                    pairs = [self.ranks.get(a + b, rank) for a, b in zip(parts, parts[1:], strict=False)]
+                    if (least := min(pairs)) >= rank:
+                        break
+                    k = pairs.index(least)
+                    parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                if len(parts) == 2:
+                    self._splits[token] = (self.ranks[parts[0]], self.ranks[parts[1]])
+                elif len(parts) > 2:
+                    raise ValueError(f"ranks aren't in an order of mergers at {token!r}")
+            if missing := 256 - sum(len(t) == 1 for t in self.ranks):
+                raise ValueError(f"{missing} bytes have no id")
+        return self._splits
+
+    def mergers(self) -> dict[str, Column]:
+        """The literal rank map: at a rank, the two characters of its pair, and the character of their merger."""
+        pairs = [""] * (max(self.ranks.values()) + 1)
+        for token, (a, b) in self.splits().items():
+            pairs[self.ranks[token]] = chr(_code(a)) + chr(_code(b))
+        return {"pairs": _literal(pairs, "array<string>"), "merged": _literal([chr(_code(k)) for k in range(len(pairs))], "array<string>")}
 
     def pieces(self) -> Column:
-        """The bytes of each id, in hexadecimal."""
+        """The bytes of each id, as strings that need not be valid by themselves."""
         out = [""] * (max(self.ranks.values(), default=0) + 1)
         for token, rank in self.ranks.items():
-            out[rank] = token.hex()
-        return _literal(out, "array<string>")
+            out[rank] = base64.b64encode(token).decode()
+        return _literal(out, "array<binary>").cast("array<string>")
 
     def little(self) -> Column:
-        """Each id as four bytes, in hexadecimal."""
-        return _literal([k.to_bytes(4, "little").hex() for k in range(max(self.ranks.values(), default=0) + 1)], "array<string>")
-
-
-def _merged(pairs: Column, a: Column, b: Column) -> Column:
-    """The id of the merger of two tokens, or a number above all ids."""
-    key = a.cast("long") * 65536 + b
-    place = F.shiftright(key * _MIX, 22).bitwiseAND(F.lit((1 << _PAIR_BITS) - 1)).cast("int")
-    return F.coalesce(F.element_at(F.get(pairs, place), key), F.lit(_NONE))
-
-
-def _byte_ids(word: Column, single: Column) -> Column:
-    """Ids of the UTF-8 bytes of a word."""
-
-    def of(c: Column) -> Column:
-        code = F.ascii(c)
-        low = lambda at: F.shiftright(code, at).bitwiseAND(F.lit(63)) + 128
-        get = lambda x: F.get(single, x)
-        return (
-            F.when(code < 0x80, F.array(get(code)))
-            .when(code < 0x800, F.array(get(F.shiftright(code, 6) + 192), get(low(0))))
-            .when(code < 0x10000, F.array(get(F.shiftright(code, 12) + 224), get(low(6)), get(low(0))))
-            .otherwise(F.array(get(F.shiftright(code, 18) + 240), get(low(12)), get(low(6)), get(low(0))))
-        )
-
-    return F.flatten(F.transform(F.split(word, ""), of))
-
-
-def fold_word(word: Column, lit: dict[str, Column]) -> Column:
-    """Ids of a non-empty word: while some pair has a merger, the leftmost pair of the lowest rank is merged."""
-    pairs = lit["pairs"]
-
-    def state(ids: Column, ranks: Column) -> Column:
-        return _bind(ranks, lambda r: F.struct(ids.alias("ids"), r.alias("ranks"), F.coalesce(F.array_min(r), F.lit(_NONE)).alias("least")))
-
-    def merge(s: Column) -> Column:
-        ids, ranks, new = s["ids"], s["ranks"], s["least"]
-
-        def at(i: Column) -> Column:
-            n = F.size(ids)
-            none = F.slice(ranks, 1, 0)
-            before = F.when(i > 1, F.array(_merged(pairs, F.get(ids, i - 2), new))).otherwise(none)
-            after = F.when(i + 1 < n, F.array(_merged(pairs, new, F.get(ids, i + 1)))).otherwise(none)
-            return state(
-                F.concat(F.slice(ids, 1, i - 1), F.array(new), F.slice(ids, i + 2, n)),
-                F.concat(F.slice(ranks, 1, F.greatest(i - 2, F.lit(0))), before, after, F.slice(ranks, i + 2, n)),
-            )
-
-        return _bind(F.array_position(ranks, new).cast("int"), at)
-
-    def folded(ids: Column) -> Column:
-        n = F.size(ids)
-        neighbours = F.zip_with(F.slice(ids, 1, n - 1), F.slice(ids, 2, n), lambda a, b: _merged(pairs, a, b))
-        steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array(F.lit(2)))
-        return F.aggregate(steps, state(ids, neighbours), lambda s, _: F.when(s["least"] == _NONE, s).otherwise(merge(s)), lambda s: s["ids"])
-
-    return _bind(_byte_ids(word, lit["bytes"]), folded)
-
-
-def _words(text: Column, tokenizer: Tokenizer) -> Column:
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(java_pattern(tokenizer.pattern)), 0)
-
-
-def _kept_words(docs: DataFrame, tokenizer: Tokenizer, fold: Column, id_col: str, text_col: str) -> DataFrame:
-    """``(word, ids)`` of the frequent words, KEPT_WORDS at most."""
-    share = min(1.0, FITTED_ON / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
-    words = chosen.select(F.explode(_words(F.col(text_col), tokenizer)).alias("word")).where(F.octet_length("word") <= KEPT_BYTES)
-    frequent = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(KEPT_WORDS)
-    # the words first, so that few plans carry the literal map
-    return stored(stored(frequent.select("word").repartition(24), "frequent").select("word", fold.alias("ids")), "words")
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text from rows for its words, which come in order: the columns of its first word's row, and all words' ids in one list."""
-    held: pa.RecordBatch | None = None
-
-    def put(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
-        ids = rows.column(rows.num_columns - 1)
-        offsets = ids.offsets.to_numpy()
-        lists = pa.ListArray.from_arrays(pa.array(np.append(offsets[starts], offsets[len(ids)]), pa.int32()), ids.values)
-        first = rows.take(pa.array(starts))
-        return pa.RecordBatch.from_arrays([*first.columns[:-2], lists], names=[*rows.schema.names[:-2], rows.schema.names[-1]])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        places = rows.column(rows.num_columns - 2).to_numpy()
-        starts = np.flatnonzero(places == 0)
-        if places[0] != 0 or places[1:][np.diff(places) != 1].any():
-            raise ValueError("words out of order")
-        last = int(starts[-1])
-        if last:
-            yield put(rows.slice(0, last).take(pa.array(np.arange(last))), starts[:-1])
-        held = rows.slice(last)
-    if held is not None:
-        yield put(held.take(pa.array(np.arange(held.num_rows))), np.zeros(1, np.int64))
-
-
-def encode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs``' columns and ``ids_col``, the ids of the whole text without special tokens, each match of the pattern by itself.
+        """Each id as four bytes, as strings that need not be valid."""
+        return _literal([base64.b64encode(k.to_bytes(4, "little")).decode() for k in range(max(self.ranks.values(), default=0) + 1)], "array<binary>").cast("array<string>")
 
-    Null and empty texts have no ids (an empty array). A column of ``docs`` named ``ids_col`` is replaced. Rows are encoded by themselves, so
-    repeated rows and ids don't matter. The time of a word grows with the square of its length.
-    """
-    fold = _bind_all(tokenizer.merges(), lambda lit: fold_word(F.col("word"), lit))
-    kept = F.broadcast(_kept_words(docs, tokenizer, fold, id_col, text_col))  # KEPT_WORDS rows at most
-    columns = [c for c in docs.columns if c != ids_col]
-    # a text without words has one row, whose word is null
-    each = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)), F.posexplode_outer(_words(F.col(text_col), tokenizer)).alias("place", "word"))
-    place = F.coalesce("place", F.lit(0))
-    each = each.select(*(F.when(place == 0, F.col(f"c{k}")).alias(f"c{k}") for k in range(len(columns))), place.alias("place"), "word")
-    none = F.slice(F.array(F.lit(0)), 1, 0)
-    ids = F.when(F.col("word").isNull(), none).otherwise(F.coalesce("ids", fold))
-    placed = each.join(kept, "word", "left").select(*(f"c{k}" for k in range(len(columns))), "place", ids.alias("ids"))
-    schema = T.StructType([T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(columns)] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return placed.mapInArrow(_gathered, schema).toDF(*columns, ids_col)
 
+def fold_words(words: Column, tokenizer: Tokenizer) -> Column:
+    """Ids, a character each, of an array of words: structs of ``bytes`` (their ids, a character each) and ``ranks`` (ascending, of all tokens that occur in the word)."""
 
-def _joined(ids: Column, table: Column) -> Column:
-    return F.unhex(F.array_join(_bind(table, lambda t: F.transform(ids, lambda i: F.get(t, i))), ""))
+    def fold(word: Column, lit: dict[str, Column]) -> Column:
+        return F.aggregate(word["ranks"], word["bytes"], lambda s, rank: F.replace(s, F.get(lit["pairs"], rank), F.get(lit["merged"], rank)))
 
+    return _bind_all(tokenizer.mergers(), lambda lit: F.transform(words, lambda w: fold(w, lit)))
 
-def id_bytes(ids: Column, tokenizer: Tokenizer) -> Column:
-    """The ids as little-endian unsigned 32-bit integers, one after the other."""
-    return _joined(ids, tokenizer.little())
 
+class _Numbered(dict):
+    """Numbers keys in the order of their first use."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
 
-def decode(ids: Column, tokenizer: Tokenizer) -> Column:
-    """The bytes that the ids stand for: their pieces, concatenated (null ids: null)."""
-    return _joined(ids, tokenizer.pieces())
 
+def _strings(codes: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Strings of so many characters each, from code points one after the other (below the surrogates)."""
+    data = codes.astype("<u4").tobytes().decode("utf-32-le").encode()
+    widths = 1 + (codes >= 0x80).astype(np.int32) + (codes >= 0x800)
+    ends = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])[np.concatenate([[0], np.cumsum(lengths)])]
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
 
-def decoded(encoded: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``encoded``'s columns and ``text_col``, the text that the ids stand for; like ``decode``, but tasks hold the pieces instead of the plan."""
-    pieces = _pieces(tokenizer)
-    kept = encoded.select(*(c for c in encoded.columns if c not in (ids_col, text_col)), ids_col)
 
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cutter(tokenizer: Tokenizer, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each block: its distinct words and its texts. The last column holds the texts, the others go with them."""
+    ranks, pattern = tokenizer.ranks, tokenizer.pattern
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+        import regex
+
+        words_of = regex.compile(pattern).findall
+        tokens = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            if len(token) > 1:
+                tokens.add_word(token.decode("latin-1"), rank)
+        if len(tokens):
+            tokens.make_automaton()
+        single = np.array([ranks[bytes([k])] for k in range(256)], np.int64)
+
+        def put(held: list[pa.RecordBatch], words: _Numbered, places: list[np.ndarray]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            data = [w.encode() for w in words]
+            found = [sorted({r for _, r in tokens.iter(d.decode("latin-1"))}) if len(d) > 1 else [] for d in data] if len(tokens) else [[]] * len(data)
+            lengths = np.fromiter(map(len, data), np.int64, len(data))
+            chars = _strings(single[np.frombuffer(b"".join(data), np.uint8)], lengths)
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            all_ranks = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter((r for f in found for r in f), np.int32, int(ends[-1]))))
+            offsets = pa.array(np.cumsum([0, *map(len, places)], dtype=np.int32))
+            texts = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places)))
+            docs = pa.StructArray.from_arrays([*rows.columns, texts], names=[*rows.schema.names, "places"])
+            own = pa.StructArray.from_arrays([chars, all_ranks], names=["bytes", "ranks"])
+            whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays([whole(own), whole(docs)], names=["words", "docs"])
+
+        held, words, places, size = [], _Numbered(), [], 0
         for batch in batches:
-            ids = batch.column(batch.num_columns - 1)
-            texts = [None if x is None else b"".join(map(pieces.__getitem__, x)).decode("utf-8", "replace") for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
+            start = 0
+            texts = batch.column(batch.num_columns - 1)
+            rows = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
+            for k in range(batch.num_rows):
+                text = texts[k].as_py() or ""
+                places.append(np.fromiter(map(words.__getitem__, words_of(text)), np.int32))
+                size += len(text)
+                if size >= block:
+                    yield put([*held, rows.slice(start, k + 1 - start)], words, places)
+                    held, words, places, size, start = [], _Numbered(), [], 0, k + 1
+            if start < batch.num_rows:
+                held.append(rows.slice(start))
+        if held:
+            yield put(held, words, places)
+
+    return cut
+
+
+def _encoded(docs: DataFrame, tokenizer: Tokenizer, columns: list[str], text_col: str, then: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """``columns`` of ``docs`` and what ``then`` makes of the ids of the whole text, a character each."""
+    kept = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)), F.col(text_col).cast("string").alias("text"))
+    # a row that has no columns still counts
+    kept = kept.select(F.lit(0).cast("byte").alias("row"), "*")
+    docs_type = T.StructType([*kept.schema.fields[:-1], T.StructField("places", T.ArrayType(T.IntegerType()))])
+    words_type = T.StructType([T.StructField("bytes", T.StringType()), T.StructField("ranks", T.ArrayType(T.IntegerType()))])
+    blocks = kept.mapInArrow(_cutter(tokenizer, BLOCK_CHARS), T.StructType([T.StructField("words", T.ArrayType(words_type)), T.StructField("docs", T.ArrayType(docs_type))]))
+    folded = blocks.select("docs", fold_words(F.col("words"), tokenizer).alias("words"))
+    put = lambda d: F.struct(*(d[f"c{k}"].alias(f"c{k}") for k in range(len(columns))), F.array_join(F.transform(d["places"], lambda p: F.get("words", p)), "").alias("ids"))
+    each = folded.select(F.inline(F.transform("docs", put)))
+    return each.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)), *(x.alias(c) for c, x in then(F.col("ids")).items()))
+
+
+def _id_array(chars: Column, tokenizer: Tokenizer) -> Column:
+    """Ids of a string with a character for each."""
+
+    def rank(char: Column) -> Column:
+        code = F.ascii(char)
+        return code if max(tokenizer.ranks.values()) < _SURROGATES else F.when(code < _SURROGATES, code).otherwise(code - _SKIPPED)
+
+    return F.when(chars == "", F.slice(F.array(F.lit(0)), 1, 0)).otherwise(F.transform(F.split(chars, ""), rank))
+
+
+def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``docs``' columns and ``ids_col``, the ids of the whole text without special tokens, each match of the pattern by itself.
 
-    return kept.mapInArrow(put, T.StructType([*kept.schema.fields, T.StructField(text_col, T.StringType())]))
+    Null and empty texts have no ids (an empty array). A column of ``docs`` named ``ids_col`` is replaced. Rows are encoded by themselves, so
+    repeated rows and ids don't matter. The time of a word grows with its length times the number of distinct tokens in it.
+    """
+    columns = [c for c in docs.columns if c != ids_col]
+    return _encoded(docs, tokenizer, columns, text_col, lambda chars: {ids_col: _id_array(chars, tokenizer)})
 
 
-def _pieces(tokenizer: Tokenizer) -> list[bytes]:
-    pieces = [b""] * (max(tokenizer.ranks.values(), default=0) + 1)
-    for token, rank in tokenizer.ranks.items():
-        pieces[rank] = token
-    return pieces
+def _joined(ids: Column, table: Column) -> Column:
+    return _bind(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")).cast("binary")
 
 
-def _digester(tokenizer: Tokenizer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    pieces = _pieces(tokenizer)
-    sha = lambda data: hashlib.sha256(data).hexdigest()
+def decode(ids: Column, tokenizer: Tokenizer) -> Column:
+    """The bytes that the ids stand for: their pieces, concatenated (null ids: null)."""
+    return _joined(ids, tokenizer.pieces())
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1)
-            values, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            own = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-            plain = [sha(b"".join(map(pieces.__getitem__, x.tolist()))) for x in own]
-            columns = [batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([sha(x.tobytes()) for x in own], pa.string()), pa.array(plain, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return digest
+def id_bytes(ids: Column, tokenizer: Tokenizer) -> Column:
+    """The ids as little-endian unsigned 32-bit integers, one after the other (null ids: null)."""
+    return _joined(ids, tokenizer.little())
 
 
 def digests(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for each row: the text encoded, its ids digested, and decoded again by concatenating their pieces."""
-    encoded = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer).select("doc_id", "ids")
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(_digester(tokenizer), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    encoded = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", "text"), tokenizer)
+    ids = F.col("ids")
+    return encoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(id_bytes(ids, tokenizer), 256).alias("ids_sha256"), F.sha2(decode(ids, tokenizer), 256).alias("decoded_sha256"))

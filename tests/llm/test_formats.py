@@ -154,11 +154,34 @@ def test_tokens_against_the_library(spark):
     texts = ["", None, "   ", "a", "I'll 're isn't  \n\n\t x", "naïve café 北京 🙂👩‍👩‍👧 ٣٤٥", "  x　 y\u0085z", "x" * 700, "abc123!!??  \r\n", "\x00\x01﻿", "<|endoftext|>", "ab" * 300, "12" * 90]
     rng = np.random.default_rng(0)
     texts += ["".join(rng.choice(list("abcdehlnrst éß0 .,'\n"), 200)) for _ in range(30)]
+    texts += ["a" * 1_000_000, "北京" * 20_000, "".join(rng.choice(list("abcdefgh"), 30_000)), " " * 50_000, "naïveté " * 30_000]  # words without an end, and a long text
     frame = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(None, "null id", 1), (3, "a", 1)], "doc_id long, text string, ids int")
     rows = bpe.encode(frame, tokenizer)
     assert rows.columns == ["doc_id", "text", "ids"]
     for r in rows.select("*", bpe.decode(F.col("ids"), tokenizer).alias("back")).collect():
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.back).decode() == (r.text or "")
-    digests = {r.doc_id: r for r in bpe.digests(frame.where("doc_id = 4"), tokenizer).collect()}
-    assert digests[4].ids_sha256 == hashlib.sha256(np.array(library.encode_ordinary(texts[4]), "<u4").tobytes()).hexdigest()
-    assert bpe.encode(frame.limit(0), tokenizer).count() == 0
+    for r in bpe.digests(frame.where("doc_id is not null and doc_id < 40"), tokenizer).collect():
+        text = "a" if r.doc_id == 3 else texts[r.doc_id] or ""
+        ids = library.encode_ordinary(text)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert bpe.encode(frame.limit(0), tokenizer).count() == 0 and bpe.encode(frame.select("text"), tokenizer).count() == frame.count()
+
+
+@pytest.mark.parametrize("block", [1, 100, 10_000])
+def test_blocks_do_not_change_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", block)
+    tokenizer = bpe.Tokenizer({bytes([k]): k for k in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 60_000, b"aa": 300, b"aaaa": 65_536}, r"\S+|\s+")
+    frame = spark.createDataFrame([(k, "abc aaaaa bcab" * (k % 7)) for k in range(50)], "doc_id long, text string").coalesce(1)
+    want = {0: []} | {k: ([60_000, 32, 65_536, 97, 32, 257, *[256 + 0]] if k == 1 else None) for k in (1,)}
+    got = {r.doc_id: r for r in bpe.encode(frame, tokenizer).select("*", bpe.decode(F.col("ids"), tokenizer).alias("back"), bpe.id_bytes(F.col("ids"), tokenizer).alias("raw")).collect()}
+    assert len(got) == 50 and got[0].ids == want[0] and got[1].ids == want[1]
+    for r in got.values():
+        assert bytes(r.back).decode() == r.text and bytes(r.raw) == np.array(r.ids, "<u4").tobytes()
+
+
+def test_ranks_that_are_no_mergers():
+    single = {bytes([k]): k for k in range(256)}
+    with pytest.raises(ValueError):
+        bpe.Tokenizer(single | {b"abc": 256}, r"\S+").splits()
+    with pytest.raises(ValueError):
+        bpe.Tokenizer({b"a": 0}, r"\S+").splits()
