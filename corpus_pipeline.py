@@ -39,8 +39,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, ids, decoded)`` of each document: its token ids, and the text that they decode to (null texts: no ids, an empty text)."""
     model = tokenizer()
-    back = bpe.decoded(bpe.encode(docs.select("doc_id", "text"), model).select("doc_id", "ids"), model)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    encoded = bpe.encode(docs.select("doc_id", "text"), model).select("doc_id", "ids")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.decode(F.col("ids"), model).cast("string").alias("decoded"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
