@@ -1,13 +1,15 @@
 """Main text of web pages by two passes over their blocks.
 
-The first pass decides blocks by the part of the page that they stand in, by stop-word density, length and link density. The second gives
-the short blocks that are left the label of the nearest decided neighbours.
+A page is cut into blocks of text. The first pass decides blocks by stop-word density, length and link density; what holds them is one more feature,
+which moves these limits. The second gives blocks that are left, most of them short, the label of the nearest decided neighbours in
+the same part of the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GOOD, BAD, OPEN = 1, 0, -1
-_LONG, _SHORT = 140, 50
-_STOP_HIGH, _STOP_LOW, _LINKS = 0.3, 0.15, 0.4
+#: Limits of the first pass. Blocks under _LONG characters are short; _STOPS are the least densities outside and inside of an article.
+_LONG = 70
+_STOPS = (0.3, 0.12)
+_FEW_STOPS = 0.1
+_LINKS = 0.4
 
 #: Stop words of the languages that pages are written in.
 STOP_WORDS = frozenset(
@@ -31,150 +36,198 @@ _BLOCKS = frozenset(
 )
 _CONTAINERS = frozenset("article aside body div dialog dl fieldset figure footer form head header html li main menu nav ol section select table td tr ul details".split())
 _FURNITURE = frozenset("nav header footer aside form menu dialog head select fieldset".split())
-_RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|button|canvas|title"
+_PARTS = frozenset(("article", "main"))
+#: Elements of which nothing is read.
+_RAW = frozenset("script style noscript template svg math iframe object textarea button canvas title".split())
+_WORDS_OF_NAMES = r"(?:^|[\s_-])(?:{})(?:$|[\s_-])"
+#: Names of what is no article wherever it stands, and of what is none if it is mostly links.
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|nav\w*|breadcrumbs?|side-?bar|widget|foot(?:er)?|masthead|top-?bar|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w*|"
-    r"comments?|disqus|replies|share|sharing|social|related|recommend\w*|trending|login|signup|search|pagination|pager|legal|copyright|disclaimer)(?:$|[\s_-])",
-    re.I,
+    _WORDS_OF_NAMES.format(r"ads?|advert\w*|banner|sponsor\w*|promo|menu|nav|navbar|navigation|breadcrumbs?|side-?bar|foot(?:er)?|masthead|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|comments?|disqus|replies|login|signup|pagination|pager|notice|share|sharing|social"), re.I
 )
+_LINKED_NAMES = re.compile(_WORDS_OF_NAMES.format(r"widget|overlay|related|recommend\w*|trending|search|legal|copyright|disclaimer|top-?bar"), re.I)
 _ROLES = re.compile(r"(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert)$", re.I)
-_TAG = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_TAG_END = re.compile(r"[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
+_ATTRIBUTE = re.compile(r"([^\s=/\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)|'([^']*+)|([^\s\"']++)))?")
 _WORD = re.compile(r"\w+")
 
 
 @dataclass
 class Block:
-    """A run of text between block tags: its text, the characters in links, whether it stands in an article and in page furniture."""
+    """A run of text between block tags: its text, the characters in links, the article it stands in (0: none), whether it belongs to page furniture (1: if it is mostly links)."""
 
     text: str
     linked: int
-    article: bool
-    furniture: bool
+    part: int
+    furniture: int
 
 
-def _is_furniture(name: str, rest: str, in_article: bool) -> bool:
+def _furniture(name: str, rest: str, in_article: bool) -> int:
+    """2: whatever it holds, 1: if that is mostly links, 0: no."""
     if name in _FURNITURE and not (name == "header" and in_article):
-        return True
-    if not rest or name in ("body", "html", "article", "main"):
-        return False
-    for key, *values in _ATTRIBUTE.findall(rest):
-        value, key = next((v for v in values if v), ""), key.lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key in ("class", "id") and _NAMES.search(value) or key == "role" and _ROLES.match(value):
-            return True
-    return False
+        return 2
+    found = 0
+    if rest and name not in ("body", "html", "article", "main"):
+        for key, *values in _ATTRIBUTE.findall(rest):
+            value, key = next((v for v in values if v), ""), key.lower()
+            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+                return 2
+            if key in ("class", "id") and _NAMES.search(value) or key == "role" and _ROLES.match(value):
+                return 2
+            if key in ("class", "id") and _LINKED_NAMES.search(value):
+                found = 1
+    return found
+
+
+def _tag_end(page: str, at: int) -> int:
+    """The place of the ``>`` that ends a tag, outside of quoted values; the page's end if there is none."""
+    while m := _TAG_END.search(page, at):
+        at = m.end()
+        if m[0] == ">":
+            return m.start()
+        if page[max(0, m.start() - 8) : m.start()].rstrip().endswith("="):  # else the quote is part of a name
+            if (at := page.find(m[0], at) + 1) == 0:
+                break
+    return len(page)
+
+
+def _tags(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """Each tag with the text before it: text, name, whether it is an end tag, attributes. Every character is read a fixed number of times, however broken the page is."""
+    start = at = 0
+    while (lt := page.find("<", at)) >= 0:
+        following = page[lt + 1 : lt + 2]
+        if following == "!" or following == "?":
+            text = page[start:lt]
+            if page.startswith("<!--", lt):
+                at = len(page) if (end := page.find("-->", lt + 2)) < 0 else end + 3
+            else:
+                at = len(page) if (end := page.find(">", lt)) < 0 else end + 1
+            yield text, "", False, ""
+            start = at
+            continue
+        closing = following == "/"
+        m = _NAME.match(page, lt + 1 + closing)
+        if m is None:
+            at = lt + 1
+            continue
+        end = _tag_end(page, m.end())
+        yield page[start:lt], m[0].lower(), closing, page[m.end() : end]
+        start = at = min(end + 1, len(page))
+        if not closing and m[0].lower() in _RAW and not page[m.end() : end].rstrip().endswith("/"):
+            close = _RAW_END[m[0].lower()].search(page, at)
+            start = at = len(page) if close is None else close.start()
+    yield page[start:], "", False, ""
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, character references decoded, white space put together; blocks without text are left out."""
     out: list[Block] = []
     text: list[str] = []
-    linked = links = articles = 0
-    stack: list[tuple[str, bool]] = []
-    furniture = 0
+    linked = links = furniture = weak = 0
+    seen, parts = 0, [0]
+    stack: list[tuple[str, int]] = []
+    standing: Counter[str] = Counter()
 
     def close() -> None:
         nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(Block(joined, min(linked, len(joined)), articles > 0, furniture > 0))
+                out.append(Block(joined, min(linked, len(joined)), parts[-1], 2 if furniture else 1 if weak else 0))
             text.clear()
         linked = 0
 
-    def add(raw: str) -> None:
-        nonlocal linked
+    for raw, name, closing, rest in _tags(page):
         if raw:
             piece = html.unescape(raw) if "&" in raw else raw
             text.append(piece)
             if links:
                 linked += len(" ".join(piece.split()))
-
-    at = 0
-    for m in _TAG.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
-            continue
         if name == "a":
-            links = 0 if m["end"] else 1
+            links = 0 if closing else 1
         elif name == "br":
             text.append(" ")
         if name not in _BLOCKS:
             continue
         close()
-        if m["end"]:
-            if any(n == name for n, _ in stack):
-                while stack:
-                    n, f = stack.pop()
-                    furniture -= f
-                    articles -= n in ("article", "main")
-                    if n == name:
-                        break
-        elif name in _CONTAINERS and not (m["rest"] or "").rstrip().endswith("/"):
-            links = 0 if name in ("nav", "article", "main", "footer") else links
-            bad = _is_furniture(name, m["rest"] or "", articles > 0)
-            stack.append((name, bad))
-            furniture += bad
-            articles += name in ("article", "main")
-        elif m["rest"] and _is_furniture("p", m["rest"], articles > 0):
-            stack.append((name, True))
-            furniture += 1
-    add(page[at:])
+        if closing:
+            while standing[name]:
+                n, f = stack.pop()
+                standing[n] -= 1
+                furniture -= f == 2
+                weak -= f == 1
+                if n in _PARTS:
+                    parts.pop()
+                if n == name:
+                    break
+            continue
+        holds = name in _CONTAINERS and not rest.rstrip().endswith("/")
+        kind = _furniture(name, rest, len(parts) > 1) if holds or rest else 0
+        if holds or kind:
+            if holds and name in ("nav", "article", "main", "footer"):
+                links = 0
+            if name in _PARTS and holds:
+                seen += 1
+                parts.append(seen)
+            stack.append((name, kind))
+            standing[name] += 1
+            furniture += kind == 2
+            weak += kind == 1
     close()
     return out
 
 
 def first_pass(block: Block) -> int:
-    """Good, bad, or open: short, or of middling stop-word density."""
-    if block.furniture:
-        return BAD
+    """Good, bad, or open: short ones, and those that the densities don't decide."""
     density = block.linked / len(block.text)
-    if density > _LINKS and (not block.article or density > 0.9):
-        return BAD
-    if block.article:
-        return GOOD
-    if "©" in block.text:
+    if block.furniture == 2 or block.furniture == 1 and density > _LINKS:
         return BAD
-    if len(block.text) < _SHORT:
-        return OPEN
+    inside = block.part > 0
+    if density > _LINKS:
+        return OPEN if inside else BAD
+    if len(block.text) < _LONG:
+        return BAD if "©" in block.text and not inside else OPEN
     words = _WORD.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= _STOP_HIGH and len(block.text) >= _LONG and density <= _LINKS / 2:
+    if stops >= _STOPS[inside]:
         return GOOD
-    return OPEN if stops >= _STOP_LOW else BAD
-
-
-def second_pass(labels: list[int]) -> list[int]:
-    """Open blocks take the label of the nearest decided neighbour; between a good and a bad one equally near, or without any, they are bad."""
-    n = len(labels)
-    before, after = [n + 1] * n, [n + 1] * n
-    last = {GOOD: -n - 2, BAD: -n - 2}
-    good_before, bad_before = [0] * n, [0] * n
-    for k, label in enumerate(labels):
-        if label != OPEN:
-            last[label] = k
-        good_before[k], bad_before[k] = k - last[GOOD], k - last[BAD]
-    last = {GOOD: 2 * n + 2, BAD: 2 * n + 2}
-    for k in range(n - 1, -1, -1):
-        if labels[k] != OPEN:
-            last[labels[k]] = k
-        before[k] = min(good_before[k], last[GOOD] - k)
-        after[k] = min(bad_before[k], last[BAD] - k)
-    return [label if label != OPEN else GOOD if before[k] < after[k] else BAD for k, label in enumerate(labels)]
+    return BAD if stops < _FEW_STOPS and not inside else OPEN
+
+
+def second_pass(found: list[Block], labels: list[int]) -> list[int]:
+    """Open blocks take the label of the nearest decided neighbour in the same article (outside: of those outside), other than furniture.
+
+    Between a good and a bad one equally near, and without any, they are good in an article and bad outside.
+    """
+    out = list(labels)
+    by_part: dict[int, list[int]] = {}
+    for k, block in enumerate(found):
+        if block.furniture != 2 and not (block.furniture == 1 and labels[k] == BAD):
+            by_part.setdefault(block.part, []).append(k)
+    for part, places in by_part.items():
+        far = len(places) + 1
+        before: list[tuple[int, int]] = []  # distance and label of the last decided block
+        near, label = far, OPEN
+        for k in places:
+            near, label = (0, labels[k]) if labels[k] != OPEN else (near + 1, label)
+            before.append((near, label))
+        near, label = far, OPEN
+        for i in range(len(places) - 1, -1, -1):
+            k = places[i]
+            near, label = (0, labels[k]) if labels[k] != OPEN else (near + 1, label)
+            if labels[k] == OPEN:
+                a, b = before[i], (near, label)
+                nearest = {x[1] for x in (a, b) if x[0] == min(a[0], b[0])} - {OPEN}
+                out[k] = nearest.pop() if len(nearest) == 1 else GOOD if part else BAD
+    return out
 
 
 def main_text(page: str | None) -> str:
-    """The blocks that both passes call good, joined by line ends; null and empty pages have none."""
+    """The blocks that both passes call good, two line ends between them; null and empty pages have none."""
     found = blocks(page or "")
-    labels = second_pass([first_pass(b) for b in found])
-    return "\n".join(b.text for b, label in zip(found, labels, strict=True) if label == GOOD)
+    labels = second_pass(found, [first_pass(b) for b in found])
+    return "\n\n".join(b.text for b, label in zip(found, labels, strict=True) if label == GOOD)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -104,6 +104,17 @@ def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract_text(_read(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+#: What the given pages hold: one article without furniture inside, whose text is wanted whole.
+OP9_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, string_split_regex(h, '</?(?:p|h[1-6]|div|ul|ol|li|section|blockquote|pre|table|tr|td|th|figure|figcaption)(?:\s[^>]*)?>') AS parts FROM a),
+t AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(regexp_replace(x, '<br\s*/?>', ' ', 'g'), '<[^>]*>', '', 'g')) AS parts FROM b),
+u AS (SELECT page_id, url, list_transform(parts, lambda x: replace(replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS parts FROM t),
+w AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM u),
+j AS (SELECT page_id, url, coalesce(array_to_string(parts, chr(10) || chr(10)), '') AS text FROM w)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM j
+"""
+
 OP7_SQL = """
 WITH t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END, n)) AS tab),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS name, source IS NULL AS none, hex(encode(coalesce(text, ''))) AS h, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS m FROM documents),
@@ -152,4 +163,5 @@ ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL,
     "op3_chat": OP3_SQL,
     "op4_warc": OP4_SQL,
     "op6_embeddings": OP6_SQL,
-    "op7_sharding": OP7_SQL}
+    "op7_sharding": OP7_SQL,
+    "op9_html": OP9_SQL}
