@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A block ends with the text that brings it to so many characters: larger blocks fold fewer words, smaller ones take less memory.
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 22
 #: Ids from here on stand for characters above the surrogates, which no string may hold.
 _SURROGATES, _SKIPPED = 0xD800, 0x800
 
