@@ -1,26 +1,30 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Everything runs as DataFrame functions: a document's candidates are an array of structs, the forest is a sum of CASE expressions over
-their features, and no row leaves its partition.
+Everything runs as DataFrame functions: one pass of the pattern marks a document's candidates, which become an array of structs, the forest is a sum of
+CASE expressions over their features, and no row leaves its partition. The forest sees a candidate's length, its character transitions, the dictionary
+words in it, whether it is a path, and the words beside it; the labels that it is fitted on come from other things: exact formats and the alphabet of the value.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvespark.plans.lineage import stored
 
-#: The forest is fitted on so many labelled findings at most, those with the smallest hash.
+#: The forest is fitted on the labelled findings of about so many documents, chosen by a hash of their texts, and on so many findings at most, those with the smallest hash.
+FITTED_ON = 50_000
 MAX_LABELLED = 20_000
 THRESHOLD = 0.5
 REDACTED = "[SECRET]"
-_TREES, _DEPTH, _SEED = 20, 5, 7
+_TREES, _DEPTH, _SEED = 20, 6, 7
 _LEFT, _RIGHT = 40, 24
+#: So many candidates are summed up at once, so that the time grows hardly faster than their number.
+_RUN_OF = 256
 
 _KEYWORDS = "token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|bearer"
 #: What follows a key's name: the sign stands first in the pattern, so that most places fail at once, and the name is looked for behind it.
@@ -38,6 +42,8 @@ _PREFIX = rf"^{_SIGN}"
 _NEEDED = r"[0-9:=]|A[KS]IA|AIza|xox[abprs]-|gh[pousr]_|-----BEGIN"
 _PROVIDER = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-|^sk[-_][A-Za-z0-9_-]{20,}$|^AIza[0-9A-Za-z_-]{30,}$|^eyJ[A-Za-z0-9_-]+\.eyJ|^-----BEGIN"
 _PLACEHOLDER = r"(?i)example|sample|dummy|fake|changeme|placeholder|your[_-]|x{4,}|\*{3,}|<[a-z_]+>|0{8,}|12345678|abcdefgh"
+#: Formats of what is no secret: numbers of any kind, addresses, hosts, file names, dates, UUIDs.
+_HARMLESS = r"^[0-9.\-/+_]+$|^[A-Za-z0-9._+\-]+@|^(?:[a-z0-9\-]+\.)+(?:com|net|org|edu|gov|io)\b|\.(?:html?|css|js|png|jpe?g|gif|pdf|txt|csv|json|xml|ya?ml|py|java|gz|zip)$|^\d{4}-\d\d-\d\d|^(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})$"
 #: Words that occur in identifiers, paths and hosts rather than in keys.
 _DICTIONARY = (
     "mail http https www com net org edu info test tests example sample data file files image images static media page pages index main home user users admin config build "
@@ -45,7 +51,7 @@ _DICTIONARY = (
     "the and for with this that from have not are was you all can one our out get set new add key word text html json xml yaml csv pdf png jpg svg css lib src bin usr var etc opt tmp log logs"
 ).split()
 
-FEATURES = ("length", "distinct", "digits", "uppers", "symbols", "hex", "all_digits", "transitions", "vowels", "dictionary", "path", "keyword_left", "assigned", "hash_left", "placeholder", "quoted", "provider", "at_sign", "source_path")
+FEATURES = ("length", "letter_digit", "lower_upper", "word_symbol", "repeats", "dictionary", "path", "source_path", "keyword_left", "hash_left", "example_left", "quoted", "mail_beside")
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -53,146 +59,182 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def _features(c: Column, source: Column) -> list[Column]:
-    """Numbers of a candidate: its make-up, its character transitions, dictionary words in it, and what stands around it."""
+    """Numbers of a candidate: its length, its character transitions, dictionary words in it, paths, and what stands around it."""
     value, left, right = c["value"], c["left"], c["right"]
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"[^A-Za-z0-9]", "-"), r"[0-9]", "0"), r"[a-z]", "a"), r"[A-Z]", "A")
     pieces = F.filter(F.split(F.lower(value), r"[^a-z]+"), lambda w: F.length(w) >= 3)
     known = F.aggregate(F.filter(pieces, lambda w: w.isin(_DICTIONARY)), F.lit(0), lambda s, w: s + F.length(w))
     is_true = lambda x: F.when(x, 1.0).otherwise(0.0)
-    letters = F.greatest(_count(value, r"[A-Za-z]"), F.lit(1.0))
     return [
         n,
-        F.size(F.array_distinct(F.split(value, ""))) / n,
-        _count(value, r"[0-9]") / n,
-        _count(value, r"[A-Z]") / n,
-        _count(value, r"[^A-Za-z0-9]") / n,
-        is_true(value.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")),
-        is_true(value.rlike(r"^[0-9.\-/+_]+$")),
-        _count(shape, r"0(?=[aA\-])|a(?=[0A\-])|A(?=[0a\-])|-(?=[0aA])") / n,
-        _count(value, r"(?i)[aeiou]") / letters,
+        _count(value, r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])") / n,
+        _count(value, r"[a-z](?=[A-Z])|[A-Z](?=[a-z])") / n,
+        _count(value, r"[A-Za-z0-9](?=[^A-Za-z0-9])|[^A-Za-z0-9](?=[A-Za-z0-9])") / n,
+        _count(value, r"(.)(?=\1)") / n,
         known / n,
         is_true(value.rlike(r"^[./]|/.*/|\.[a-z]{2,4}$|\.(?:com|net|org)\b")),
+        is_true(F.coalesce(source, F.lit("")).rlike(r"(?i)test|example|sample|fixture|doc")),
         is_true(left.rlike(rf"(?i)\b(?:{_KEYWORDS})\b")),
-        is_true(c["assigned"] | left.rlike(r"[:=]\W{0,8}$")),
         is_true(left.rlike(r"(?i)\b(?:commit|sha\d*|md5|checksum|digest|revision|hash|uuid|etag|isbn|phone|tel)\W{0,4}$")),
-        is_true(value.rlike(_PLACEHOLDER) | left.rlike(r"(?i)\b(?:example|sample|dummy|fake|placeholder)\b")),
+        is_true(left.rlike(r"(?i)\b(?:example|sample|dummy|fake|placeholder)\b")),
         is_true(left.rlike(r"[\"']$") | right.rlike(r"^[\"']")),
-        is_true(value.rlike(_PROVIDER)),
         is_true(left.rlike(r"@[\w.\-]*$") | right.rlike(r"^@")),
-        is_true(F.coalesce(source, F.lit("")).rlike(r"(?i)test|example|sample|fixture|doc")),
     ]
 
 
+def _escaped(text: Column) -> Column:
+    """The text without the two marks: they and the escape itself become the escape and a letter of their own kind."""
+    return F.replace(F.replace(F.replace(text, F.lit("\x03"), F.lit("\x03\x04")), F.lit("\x01"), F.lit("\x03\x05")), F.lit("\x02"), F.lit("\x03\x06"))
+
+
+def _plain(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("\x03\x06"), F.lit("\x02")), F.lit("\x03\x05"), F.lit("\x01")), F.lit("\x03\x04"), F.lit("\x03"))
+
+
+def _starts(lengths: Column) -> Column:
+    """Running sums before each of an array of numbers: within runs, over the runs' sums, and both together."""
+    empty = F.struct(F.lit(0).alias("at"), F.slice(F.array(F.lit(0)), 1, 0).alias("starts"))
+    step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _RUN_OF).cast("int")), lambda k: F.aggregate(F.slice(lengths, k * _RUN_OF + 1, _RUN_OF), empty, step))
+    firsts = F.aggregate(F.transform(runs, lambda r: r["at"]), empty, step, lambda s: s["starts"])
+    return F.flatten(F.zip_with(runs, firsts, lambda r, first: F.transform(r["starts"], lambda x: x + first)))
+
+
 def _with_candidates(docs: DataFrame, text_col: str, source: Column) -> DataFrame:
-    """``docs`` and two columns: ``__pieces``, the text between candidates, and ``__found``, the candidates with their place and features."""
+    """``docs`` and two columns: ``__before``, the text before the first candidate, and ``__found``, the candidates with the text after each, their place and features."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = docs.columns
-    none = F.slice(F.array(F.lit("")), 1, 0)
-    out = docs.select(*kept, F.when(text.rlike(_NEEDED), F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).otherwise(none).alias("__raw"))
-    out = out.select(*kept, "__raw", F.when(F.size("__raw") > 0, F.split(text, CANDIDATE)).otherwise(F.array(text)).alias("__pieces"))
-    n = F.size("__raw")
-    lengths = F.zip_with(F.slice("__pieces", 1, n), "__raw", lambda p, r: F.struct(F.length(p).alias("before"), F.length(r).alias("own")))
-    empty = F.struct(F.lit(0).alias("at"), F.slice(F.array(F.lit(0)), 1, 0).alias("starts"))
-    step = lambda s, x: F.struct((s["at"] + x["before"] + x["own"]).alias("at"), F.array_append(s["starts"], s["at"] + x["before"]).alias("starts"))
-    starts = F.aggregate(lengths, empty, step, lambda s: s["starts"])
-    zipped = F.arrays_zip(F.col("__raw").alias("raw"), starts.alias("at"))
-    out = out.select(*kept, "__pieces", F.transform(zipped, lambda z: F.struct(z["raw"].alias("raw"), z["at"].alias("at"), F.regexp_extract(z["raw"], _PREFIX, 0).alias("prefix"))).alias("__zipped"))
+    odd = text.rlike("[\x01-\x03]")
+    marked = F.regexp_replace(F.when(odd, _escaped(text)).otherwise(text), CANDIDATE, "\x01$0\x02")
+    # only a text that holds what every candidate holds is searched
+    out = docs.select(*kept, odd.alias("__odd"), F.split(F.when(text.rlike(_NEEDED), marked).otherwise(F.lit("")), "\x01").alias("__parts"))
+    restored = lambda x: F.when(F.col("__odd"), _plain(x)).otherwise(x)
+    n = F.size("__parts")
+    own = F.slice("__parts", 2, F.greatest(n - 1, F.lit(0)))
+    joined = lambda first, many: F.replace(F.array_join(F.slice("__parts", first, many), ""), F.lit("\x02"), F.lit(""))
+
+    def piece(part: Column, k: Column) -> Column:
+        raw = F.substring_index(part, "\x02", 1)
+        # every part but the first has seven characters or more, so a few of them hold what stands beside
+        low = F.greatest(k + 1 - _LEFT // 6, F.lit(1))
+        return F.struct(
+            restored(raw).alias("raw"),
+            restored(F.substring_index(part, "\x02", -1)).alias("rest"),
+            F.right(restored(joined(low, k + 2 - low)), F.lit(_LEFT)).alias("left"),
+            F.left(restored(F.concat(F.substring_index(part, "\x02", -1), joined(k + 3, F.lit(_RIGHT // 6)))), F.lit(_RIGHT)).alias("right"),
+            F.regexp_extract(restored(raw), _PREFIX, 0).alias("prefix"),
+        )
+
+    before = F.when(n > 1, restored(F.get("__parts", F.lit(0)))).otherwise(text)
+    out = out.select(*kept, before.alias("__before"), F.transform(own, piece).alias("__pieces"))
+    lengths = F.concat(F.array(F.length("__before")), F.transform("__pieces", lambda p: F.length(p["raw"]) + F.length(p["rest"])))
+    out = out.select(*kept, "__before", "__pieces", F.when(F.size("__pieces") > 0, F.slice(_starts(lengths), 2, F.size("__pieces"))).alias("__at"))
 
-    def candidate(z: Column) -> Column:
-        first = F.greatest(z["at"] - _LEFT, F.lit(0))
+    def candidate(p: Column, at: Column) -> Column:
         return F.struct(
-            (z["at"] + F.length(z["prefix"])).alias("start"),
-            F.substring(z["raw"], F.length(z["prefix"]) + 1, F.length(z["raw"])).alias("value"),
-            F.concat(F.substring(text, first + 1, z["at"] - first), z["prefix"]).alias("left"),
-            F.substring(text, z["at"] + F.length(z["raw"]) + 1, F.lit(_RIGHT)).alias("right"),
-            z["prefix"].alias("prefix"),
-            (z["prefix"] != "").alias("assigned"),
+            (at + F.length(p["prefix"])).alias("start"),
+            F.substring(p["raw"], F.length(p["prefix"]) + 1, F.length(p["raw"])).alias("value"),
+            F.concat(p["left"], p["prefix"]).alias("left"),
+            p["right"].alias("right"),
+            p["prefix"].alias("prefix"),
+            (p["prefix"] != "").alias("assigned"),
+            p["rest"].alias("rest"),
         )
 
-    out = out.select(*kept, "__pieces", F.transform("__zipped", candidate).alias("__found"))
+    found = F.when(F.size("__pieces") > 0, F.zip_with("__pieces", "__at", candidate))
+    none = F.filter(F.transform("__pieces", lambda p: candidate(p, F.lit(0))), lambda p: F.lit(False))
+    out = out.select(*kept, "__before", F.coalesce(found, none).alias("__found"))
     numbers = lambda c: F.struct(*(f.cast("double").alias(k) for f, k in zip(_features(c, source), FEATURES, strict=True)))
-    return out.select(*kept, "__pieces", F.transform("__found", lambda c: F.struct(c.alias("c"), numbers(c).alias("f"))).alias("__found"))
+    return out.select(*kept, "__before", F.transform("__found", lambda c: F.struct(c.alias("c"), numbers(c).alias("f"))).alias("__found"))
 
 
-def label_findings(found: DataFrame) -> DataFrame:
-    """Labels for findings (columns ``c`` and ``f``) whose kind is beyond doubt; the others are left out.
-
-    True: provider formats, and values of two kinds of characters or more that are assigned to a key's name. False: numbers, hosts, mail
-    addresses, paths, hashes that are named as such, placeholders.
-    """
-    f = F.col("f")
-    false = (f["placeholder"] > 0) | (f["all_digits"] > 0) | (f["path"] > 0) | (f["at_sign"] > 0) | (f["hash_left"] > 0) | (f["dictionary"] > 0.4)
-    true = (f["provider"] > 0) | ((f["keyword_left"] > 0) & (f["assigned"] > 0) & (f["digits"] > 0) & (f["digits"] < 1) & (f["length"] >= 12) & (f["distinct"] > 0.2))
-    return found.withColumn("label", F.when(true & (f["placeholder"] == 0), 1.0).when(false, 0.0)).where("label is not null")
+def _each(found: DataFrame) -> DataFrame:
+    """A row for each finding, ``x``. Not ``explode``, for which the optimiser would ask beforehand, by the pattern again, whether there is any."""
+    return found.select(*(c for c in found.columns if c != "__found"), F.explode_outer("__found").alias("x")).where("x is not null")
 
 
-def train_forest(labelled: DataFrame) -> str | None:
-    """A random forest on findings with features ``f`` and a ``label``, as a SQL expression of a struct ``f``: the share of trees that vote for a secret.
+def label_findings(found: DataFrame) -> DataFrame:
+    """Labels for findings (column ``c``) whose kind is beyond doubt by what the forest doesn't see; the others are left out.
 
-    None if there are not labels of both kinds.
+    True: provider formats, and values with an assignment sign of 16 characters or more, with letters and three digits, that draw on their alphabet as
+    evenly as random ones do (entropy over 3.2 bits a character). False: numbers, hosts, mail addresses, file names, dates, UUIDs, placeholders,
+    values of few different characters (under 2.5 bits), and hexadecimal numbers of a digest's length that nothing is assigned to.
     """
+    value = F.col("c.value")
+    n = F.length(value).cast("double")
+    counts = F.transform(F.array_distinct(F.split(value, "")), lambda x: F.size(F.filter(F.split(value, ""), lambda y: y == x)) / n)
+    entropy = F.when(n > 256, F.lit(None)).otherwise(F.aggregate(counts, F.lit(0.0), lambda s, p: s - p * F.log2(p)))  # long values are left to their formats
+    mixed = value.rlike(r"^[A-Za-z0-9_+/=-]{16,}$") & value.rlike(r"[A-Za-z]") & (F.regexp_count(value, F.lit(r"[0-9]")) >= 3)
+    harmless = value.rlike(_HARMLESS) | value.rlike(_PLACEHOLDER)
+    random = F.when(mixed & (entropy > 3.2) & F.col("c.assigned"), 1.0)
+    digest = value.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$") & ~F.col("c.assigned")
+    label = F.when(value.rlike(_PROVIDER) & ~value.rlike(_PLACEHOLDER), 1.0).when(harmless | digest | (entropy < 2.5), 0.0).otherwise(random)
+    return found.withColumn("label", label).where("label is not null")
+
+
+def fit_model(labelled: DataFrame) -> RandomForestClassificationModel | None:
+    """A random forest on findings with features ``f`` and a ``label``; None if there are not labels of both kinds."""
     rows = labelled.select("label", *(F.col("f")[k].alias(k) for k in FEATURES))
     rows = stored(rows.orderBy(F.xxhash64(*rows.columns)).limit(MAX_LABELLED), "labelled")
     if rows.select("label").distinct().count() < 2:
         return None
     points = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    model = RandomForestClassifier(numTrees=_TREES, maxDepth=_DEPTH, seed=_SEED, featureSubsetStrategy="sqrt").fit(points)
-    return _forest_sql(model.toDebugString)
-
-
-def _forest_sql(described: str) -> str:
-    """The forest's description as nested CASE expressions."""
-    lines = [x.strip() for x in described.splitlines() if re.match(r"\s*(If|Else|Predict)", x)]
-    at = 0
-
-    def node() -> str:
-        nonlocal at
-        line = lines[at]
-        at += 1
-        if m := re.match(r"Predict: ([\d.]+)", line):
-            return m[1] + "D"
-        m = re.match(r"If \(feature (\d+) <= (\S+)\)", line)
-        low = node()
-        at += 1  # its Else
-        return f"CASE WHEN f.{FEATURES[int(m[1])]} <= {float(m[2])!r}D THEN {low} ELSE {node()} END"
-
-    trees = []
-    while at < len(lines):
-        trees.append(node())
+    return RandomForestClassifier(numTrees=_TREES, maxDepth=_DEPTH, seed=_SEED, featureSubsetStrategy="sqrt").fit(points)
+
+
+def forest_sql(model: RandomForestClassificationModel) -> str:
+    """The forest as nested CASE expressions of a struct ``f``: the mean over its trees of the share of secrets in the leaf that a finding falls in."""
+
+    def node(x) -> str:  # noqa: ANN001  a node in the JVM
+        if x.subtreeDepth() == 0:
+            share = x.impurityStats()
+            no, yes = share.stats()[0], share.stats()[1]
+            return f"{yes / (no + yes)!r}D"
+        return f"CASE WHEN f.{FEATURES[x.split().featureIndex()]} <= {x.split().threshold()!r}D THEN {node(x.leftChild())} ELSE {node(x.rightChild())} END"
+
+    trees = [node(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode")) for t in model.trees]
     return "(" + " + ".join(trees) + f") / {len(trees)}.0D"
 
 
-def _scored(docs: DataFrame, text_col: str, source_col: str | None) -> DataFrame:
+def fit_forest(docs: DataFrame, text_col: str = "text", source_col: str | None = "source") -> str:
+    """The score of a finding's features ``f``, as SQL, from the findings in about FITTED_ON documents that can be labelled.
+
+    Without findings of both kinds: what stands beside a key's name is a secret, and what changes often between letters and digits.
+    """
+    share = int(1_000_000 * min(1.0, FITTED_ON / max(1, docs.count())))
+    chosen = docs.where(F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(1_000_000)) < share)
     source = F.col(source_col).cast("string") if source_col else F.lit("")
-    found = _with_candidates(docs, text_col, source)
-    forest = train_forest(label_findings(found.select(F.explode("__found").alias("x")).select("x.c", "x.f")))
-    if forest is None:  # no findings to learn from: what the labelling rules call true
-        score = "CASE WHEN f.provider > 0 OR f.keyword_left > 0 AND f.assigned > 0 AND f.placeholder = 0 THEN 1.0D ELSE 0.0D END"
-    else:
-        score = forest
-    score = f"CASE WHEN x.c.value LIKE '-----BEGIN %' THEN 1.0D ELSE {score} END"  # few corpora have private keys for the forest to learn from
+    found = _each(_with_candidates(chosen, text_col, source).select("__found")).select("x.c", "x.f")
+    model = fit_model(label_findings(found))
+    if model is None:
+        return "CASE WHEN f.keyword_left > 0 AND f.example_left = 0 OR f.letter_digit > 0.2 AND f.length >= 20 AND f.hash_left = 0 THEN 1.0D ELSE 0.0D END"
+    return forest_sql(model)
+
+
+def _scored(docs: DataFrame, text_col: str, source_col: str | None, forest: str) -> DataFrame:
+    found = _with_candidates(docs, text_col, F.col(source_col).cast("string") if source_col else F.lit(""))
+    score = f"CASE WHEN x.c.value LIKE '-----BEGIN %' THEN 1.0D ELSE {forest} END"  # few corpora have private keys for the forest to learn from
     scored = F.expr(f"transform(__found, x -> struct(x.c as c, {re.sub(r'\bf\.', 'x.f.', score)} as score))")
     return found.withColumn("__found", scored)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source") -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", forest: str | None = None) -> DataFrame:
     """``(doc_id, start, length, secret_sha256, score, is_secret)`` for each candidate: its place in code points and what the forest says of it.
 
-    Null and empty texts have no candidates. Repeated rows are each searched. Null sources count as empty. Without labelled findings of both
-    kinds, only assigned values and provider formats are secrets.
+    Null and empty texts have no candidates. Repeated rows are each searched. Null sources count as empty. ``forest`` is what ``fit_forest`` returns;
+    it is fitted on ``docs`` if it isn't given.
     """
     wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(source_col).alias("source")] if source_col else []))
-    scored = _scored(wanted, "text", "source" if source_col else None)
-    out = scored.select("doc_id", F.explode("__found").alias("x"))
+    source_col = "source" if source_col else None
+    scored = _scored(wanted, "text", source_col, forest or fit_forest(wanted, "text", source_col))
+    out = _each(scored.select("doc_id", "__found"))
     return out.select("doc_id", F.col("x.c.start").cast("long").alias("start"), F.length("x.c.value").cast("long").alias("length"), F.sha2("x.c.value", 256).alias("secret_sha256"), "x.score", (F.col("x.score") >= THRESHOLD).alias("is_secret"))
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", source_col: str | None = "source") -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", source_col: str | None = "source", forest: str | None = None) -> DataFrame:
     """``docs`` with each secret in the text replaced by ``[SECRET]``; all rows stay, null texts stay null."""
-    scored = _scored(docs, text_col, source_col)
-    shown = lambda x: F.concat(x["c"]["prefix"], F.when(x["score"] >= THRESHOLD, F.lit(REDACTED)).otherwise(x["c"]["value"]))
-    last = F.element_at("__pieces", -1)
-    text = F.concat(F.array_join(F.zip_with(F.slice("__pieces", 1, F.size("__found")), "__found", lambda p, x: F.concat(p, shown(x))), ""), last)
+    scored = _scored(docs, text_col, source_col, forest or fit_forest(docs, text_col, source_col))
+    shown = lambda x: F.concat(x["c"]["prefix"], F.when(x["score"] >= THRESHOLD, F.lit(REDACTED)).otherwise(x["c"]["value"]), x["c"]["rest"])
+    text = F.concat("__before", F.array_join(F.transform("__found", shown), ""))
     clean = F.when(F.col(text_col).isNotNull() & (F.size("__found") > 0), text).otherwise(F.col(text_col))
     return scored.select(*(clean.alias(c) if c == text_col else F.col(c) for c in docs.columns))

@@ -7,6 +7,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from curvespark.llm import decontamination, secrets, sharding, simhash, toxicity
@@ -198,7 +200,7 @@ def test_candidates_see_the_text_around_them(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = [(r.doc_id, r.x.c, r.x.f) for r in secrets._with_candidates(frame, "text", F.lit("")).select("doc_id", F.explode("__found").alias("x")).orderBy("doc_id", "x.c.start").collect()]
     assert [(k, c.value) for k, c, _ in found] == [(0, KEY), (1, "4000000000000000"), (1, KEY), (2, KEY), (2, KEY[::-1])]
-    assert found[0][1].assigned and found[0][2].keyword_left == 1
+    assert found[0][1].assigned and found[0][2].keyword_left == 1 and found[0][2].letter_digit > 0.3
     for k, c, _ in found:
         before, after = texts[k][: c.start], texts[k][c.start + len(c.value) :]
         assert before.endswith(c.left) and len(c.left) >= min(40, len(before)) and c.right == after[:24]
@@ -216,9 +218,44 @@ def test_forest_sql_is_the_forest(spark):
     rng = np.random.default_rng(0)
     rows = [tuple(float(x) for x in rng.random(len(secrets.FEATURES))) for _ in range(300)]
     frame = spark.createDataFrame([(float(r[0] + r[3] > 1), r) for r in rows], "label double, f struct<" + ",".join(f"{k}:double" for k in secrets.FEATURES) + ">")
-    score = secrets.train_forest(frame)
-    got = frame.select("label", F.expr(score).alias("s")).collect()
-    assert sum((r.s >= 0.5) == (r.label == 1) for r in got) > 285 and all(0 <= r.s <= 1 for r in got)
+    model = secrets.fit_model(frame)
+    wide = VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(frame.select("label", "f", "f.*"))
+    got = model.transform(wide).select("label", F.expr(secrets.forest_sql(model)).alias("s"), vector_to_array("probability")[1].alias("p")).collect()
+    assert all(abs(r.s - r.p) < 1e-12 for r in got) and len({r.s for r in got}) > 20
+    assert sum((r.s >= 0.5) == (r.label == 1) for r in got) > 285
+    assert secrets.fit_model(frame.where("label = 1")) is None
+
+
+def test_secrets_of_whole_documents(spark):
+    """The given documents hold keys as ``token = "..."``, beside card numbers, mail addresses, hosts and phone numbers."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    truth = {(k, m.start(1), 40) for k, text in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', text)}
+    found = secrets.scan_secrets(docs).collect()
+    said = {(r.doc_id, r.start, r.length) for r in found if r.is_secret}
+    assert len(truth) > 100 and len(found) > 2 * len(truth)
+    assert len(said & truth) >= 0.99 * len(truth) and len(said & truth) >= 0.97 * len(said)
+
+
+def test_forest_on_findings_that_it_has_not_seen(spark):
+    found = secrets._each(secrets._with_candidates(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), "text", F.col("source")).select("doc_id", "__found"))
+    labelled = secrets.label_findings(found.select("doc_id", "x.c", "x.f")).cache()
+    held = F.col("doc_id") % 4 == 0
+    score = secrets.forest_sql(secrets.fit_model(labelled.where(~held)))
+    rows = labelled.where(held).select("label", F.expr(score).alias("s")).collect()
+    hit = sum(r.s >= 0.5 and r.label == 1 for r in rows)
+    assert len(rows) > 100 and hit >= 0.97 * sum(r.label for r in rows) and hit >= 0.97 * sum(r.s >= 0.5 for r in rows)
+
+
+def test_secrets_beside_control_characters(spark):
+    texts = [f"\x01 a token = \"{KEY}\" \x02\x03\x04 b", "\x03\x05 none", f"\x02{KEY}\x01\x03{KEY}\x02"]
+    texts += [" ".join(f"{k:016d}" for k in range(10**15, 10**15 + 3000)) + f' token = "{KEY}"']  # many candidates
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rule = "CASE WHEN f.letter_digit > 0 THEN 1.0D ELSE 0.0D END"
+    masked = {r.doc_id: r.text for r in secrets.redact_secrets(frame, source_col=None, forest=rule).collect()}
+    assert masked == {k: t.replace(KEY, "[SECRET]") for k, t in enumerate(texts)}
+    found = secrets.scan_secrets(frame, source_col=None, forest=rule).collect()
+    assert len(found) == 3004 and all(hashlib.sha256(texts[r.doc_id][r.start : r.start + r.length].encode()).hexdigest() == r.secret_sha256 for r in found)
 
 
 def brute_shards(rows, shards, seed):
