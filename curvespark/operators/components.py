@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvespark.plans.lineage import stored
+from curvespark.plans.lineage import discard, stored
 
 
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
@@ -23,20 +23,23 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> Da
     while True:
         both = pairs.union(pairs.select("v", "u"))
         parent = both.groupBy("u").agg(F.min("v").alias("p"))
-        parent = stored(parent.select(F.col("u").alias("label"), F.least("u", "p").alias("parent")), "parent")
+        first = stored(parent.select(F.col("u").alias("label"), F.least("u", "p").alias("parent")), "parent")
+        parent = first
         for _ in range(2):
             above = parent.select(F.col("label").alias("parent"), F.col("parent").alias("above"))
             parent = parent.join(above, "parent").select("label", F.col("above").alias("parent"))
         parent = stored(parent, "parent")
         if labels is None:
-            labels = parent.select(F.col("label").alias("node"), F.col("parent").alias("component"))
+            moved_on = stored(parent.select(F.col("label").alias("node"), F.col("parent").alias("component")), "labels")
         else:
             moved = parent.select(F.col("label").alias("component"), "parent")
-            labels = labels.join(moved, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-            labels = stored(labels, "labels")
+            moved_on = labels.join(moved, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
+            moved_on = stored(moved_on, "labels")
         left = parent.select(F.col("label").alias("u"), F.col("parent").alias("pu"))
         right = parent.select(F.col("label").alias("v"), F.col("parent").alias("pv"))
-        pairs = pairs.join(left, "u").join(right, "v").where("pu <> pv")
-        pairs = stored(pairs.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
+        fewer = pairs.join(left, "u").join(right, "v").where("pu <> pv")
+        fewer = stored(fewer.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
+        discard(first, parent, labels, pairs)
+        pairs, labels = fewer, moved_on
         if pairs.isEmpty():
             return labels

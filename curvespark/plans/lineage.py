@@ -6,15 +6,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset (tests, local use), a new one."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a new one for a local session, and an error on a cluster, whose machines share no such folder."""
+    context = spark.sparkContext._jsc.sc()
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and context.getCheckpointDir().isDefined():
+        folder = context.getCheckpointDir().get()
     if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="curvespark-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="curvespark-")
+    if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -29,4 +34,20 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``stored`` returned and nothing will read again; anything else is left alone."""
+    for table in tables:
+        if table is not None and (path := getattr(table, "_stored_at", None)):
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def numbered(df: DataFrame, column: str, name: str = "rows") -> DataFrame:
+    """``df`` stored with a number of its own for each row, so that every later scan sees the same numbers, however it is split."""
+    return stored(df.withColumn(column, F.monotonically_increasing_id()), name)
