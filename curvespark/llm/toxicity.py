@@ -27,7 +27,8 @@ MAX_FEATURES = 4_000
 MIN_RATIO = 24.0
 THRESHOLD = 0.3
 _PREFIXES = (3, 4, 5, 6)
-_CACHE = 300_000
+#: A task remembers the features of so many tokens, of so many characters at most.
+_CACHE, _CACHED_CHARS = 65_536, 32
 _SLICE = 1 << 22
 
 #: What a character may stand for.
@@ -102,9 +103,10 @@ def decode(token: str, model: np.ndarray, spaced: bool = False) -> str:
         if spaced and slots[-1][0][0]:
             slots.append([("", 0.0), (" ", _SPACE)])
         k = end
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # the letters so far are chained from the last one back, so that a long token takes linear time
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for slot in slots:
-        following: dict[tuple[int, int], tuple[float, str]] = {}
+        following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, out) in states.items():
             for letters, cost in slot:
                 x, y, s = a, b, score + cost
@@ -113,9 +115,14 @@ def decode(token: str, model: np.ndarray, spaced: bool = False) -> str:
                     s += model[x, y, z]
                     x, y = y, z
                 if (x, y) not in following or s > following[x, y][0]:
-                    following[x, y] = (s, out + letters)
+                    following[x, y] = (s, (out, letters) if letters else out)
         states = following
-    return max(states.items(), key=lambda x: x[1][0] + model[x[0][0], x[0][1], 0])[1][1]
+    chain = max(states.items(), key=lambda x: x[1][0] + model[x[0][0], x[0][1], 0])[1][1]
+    found: list[str] = []
+    while chain is not None:
+        chain, letters = chain
+        found.append(letters)
+    return "".join(reversed(found))
 
 
 def words_of(token: str, model: np.ndarray) -> list[str]:
@@ -188,9 +195,11 @@ class ToxicityModel:
 
     def _of(self, token: str) -> tuple[int, ...]:
         if (found := self._seen.get(token)) is None:
-            if len(self._seen) >= _CACHE:
-                self._seen.clear()
-            found = self._seen[token] = tuple(self.features[f] for f in _features(token, self.characters) if f in self.features)
+            found = tuple(self.features[f] for f in _features(token, self.characters) if f in self.features)
+            if len(token) <= _CACHED_CHARS:
+                if len(self._seen) >= _CACHE:
+                    self._seen.clear()
+                self._seen[token] = found
         return found
 
     def present(self, text: str | None) -> tuple[list[int], float]:
@@ -230,7 +239,7 @@ def _fit(rows: list[list[int]], lengths: np.ndarray, labels: np.ndarray, n: int)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """A model from ``docs`` (all texts, for the character model) and from ``labels`` (id and 0/1; null labels are left out, of repeated ids the largest holds).
+    """A model from ``docs`` (all texts, for the character model) and from ``labels`` (id and 0/1; null labels are left out, of repeated ids the largest holds, and the last text in order).
 
     Without labelled documents, every score is zero.
     """
@@ -239,7 +248,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = stored(texts.join(F.broadcast(known), "id").select("id", "label", "text"), "labelled")  # MAX_LABELLED ids at most
+    known = texts.join(F.broadcast(known), "id").groupBy("id", "label").agg(F.max("text").alias("text"))  # MAX_LABELLED rows at most
+    known = stored(known, "labelled")
     total = known.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     if not total.n:
         return ToxicityModel(characters, {})
