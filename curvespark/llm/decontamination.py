@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvespark.plans.lineage import stored
+from curvespark.plans.lineage import numbered, stored
 
 WINDOW_WORDS = 13
 SHINGLE_WORDS = 3
@@ -180,14 +180,14 @@ def _prefixes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: st
     return prefixes, sizes, _filter(prefixes)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: ``row`` (its place), ``doc_id`` (as text), ``n_words``, ``n_hit``, ``items`` and ``hits`` (start and length in words, items).
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """A row for each row of ``docs``: ``row`` (``row_col``, a number of its own for each row; its place, if none is given), ``doc_id`` (as text), ``n_words``, ``n_hit``, ``items`` and ``hits`` (start and length in words, items).
 
     Null and empty texts have no words and no hits. Repeated rows and ids are each returned. Items without words have no window; items
     that share an id count as one; a null item id is the empty string. Other columns are not read, so their names can't clash.
     """
     prefixes, sizes, bits = _prefixes(docs, benchmark, text_col, item_col, item_text_col)
-    wanted = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    wanted = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     places = wanted.mapInArrow(_candidates(sizes, bits), "row long, doc_id string, n_words long, shingle long, at long, low long, context array<string>")
     weight = prefixes.agg(F.sum(F.length(F.to_json("windows")))).first()[0] or 0
     if weight <= BROADCAST_BYTES:
@@ -212,6 +212,7 @@ def is_contaminated() -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
-    """The rows of ``docs``, a table that is read from files, that aren't contaminated."""
-    bad = find_contamination(docs, benchmark, id_col, text_col, **columns).where(is_contaminated()).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(bad, "__row", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that aren't contaminated. Rows are numbered once and stored."""
+    placed = numbered(docs, "__row", "documents")
+    bad = find_contamination(placed, benchmark, id_col, text_col, row_col="__row", **columns).where(is_contaminated()).select(F.col("row").alias("__row"))
+    return placed.join(bad, "__row", "left_anti").select(*docs.columns)

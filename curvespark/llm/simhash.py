@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvespark.operators.components import connected_components
-from curvespark.plans.lineage import stored
+from curvespark.plans.lineage import numbered, stored
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -135,11 +135,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, a table that is read from files, less all but one of each near-duplicate group: the one with the smallest id.
+    """The rows of ``docs`` less all but one of each near-duplicate group: the one with the smallest id.
 
-    Rows are told apart by their place in the files, so repeated ids and null ids (last in order) lose no group.
+    Rows are numbered once and stored, so repeated ids and null ids (last in order) lose no group.
     """
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
+    placed = numbered(docs, "__row", "documents")
     prints = stored(fingerprints(placed, {"__row": "__row", "doc_id": id_col}, text_col), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first")
     least = prints.groupBy("fp").agg(first).join(link_fingerprints(prints), "fp")
