@@ -18,9 +18,9 @@ def squared_distance(a: str, b: str) -> Column:
 
 
 def normalise_directions(cloud: DataFrame) -> DataFrame:
-    """Directions of length one; zero directions stay zero."""
+    """Directions of length one; those of 1e-8 or less stay as they are."""
     n = F.sqrt(dot("d", "d"))
-    return cloud.withColumns({f"d{k}": F.when(n > 1e-12, F.col(f"d{k}") / n).otherwise(F.lit(0.0)) for k in AXES})
+    return cloud.withColumns({f"d{k}": F.col(f"d{k}") / F.when(n > 1e-8, n).otherwise(F.lit(1.0)) for k in AXES})
 
 
 def strong(cloud: DataFrame, energy: float, linearity: float) -> DataFrame:
@@ -79,7 +79,10 @@ def neighbours(cloud: DataFrame, radius: float, inclusive: bool = True, half: bo
 
 
 def nearest(cloud: DataFrame, k: int, radius: float, inclusive: bool = True) -> DataFrame:
-    """The ``k`` nearest neighbours of each point within ``radius``, ranked by distance and id."""
+    """The ``k`` nearest neighbours of each point within ``radius``, ranked by distance and id.
+
+    Spark limits the groups of such a rank before it shuffles them too (``WindowGroupLimit``, for ``k`` up to 1,000), so a task sends ``k`` neighbours of a point at most.
+    """
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy("d2", "b_id"))
     return neighbours(cloud, radius, inclusive).withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -106,8 +109,8 @@ def united_degree(cloud: DataFrame, radius: float, similarity: float = 0.85, mos
 
 
 def united_filter(cloud: DataFrame, radius: float, similarity: float = 0.85, keep: float = 0.85, most: int = 512) -> DataFrame:
-    """Points whose united degree is ``keep`` or more."""
-    good = united_degree(cloud, radius, similarity, most).where(F.col("degree") >= keep).select("id")
+    """Points whose united degree is over ``keep``."""
+    good = united_degree(cloud, radius, similarity, most).where(F.col("degree") > keep).select("id")
     return cloud.join(good, "id", "left_semi")
 
 

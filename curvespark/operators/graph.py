@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from curvespark.operators.cloud import neighbours
 from curvespark.operators.components import connected_components
-from curvespark.plans.lineage import stored
+from curvespark.plans.lineage import discard, stored
 
 
 def proximity_edges(cloud: DataFrame, radius: float) -> DataFrame:
@@ -25,8 +25,25 @@ def labelled_components(nodes: DataFrame, edges: DataFrame, least: int = 1) -> D
     found = connected_components(edges, "u", "v").withColumnRenamed("node", "id")
     all_nodes = nodes.select("id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = all_nodes.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    label = F.row_number().over(Window.orderBy(F.desc("size"), "component")) - 1  # a row a component
-    return all_nodes.join(sizes.withColumn("label", label), "component").select("id", "component", "size", "label")
+    # sizes differ far less than components do: how many components are larger, then the place among those as large
+    of_size = sizes.groupBy("size").agg(F.count("*").alias("n"))
+    larger = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a size
+    ranked = sizes.join(of_size.select("size", larger.alias("larger")), "size")
+    first = ranked.where("size = 1").select("component", "size", "larger")
+    rest = ranked.where("size > 1").withColumn("label", F.col("larger") + F.row_number().over(Window.partitionBy("size").orderBy("component")) - 1)
+    named = rest.select("component", "size", "label").union(_ranked_singles(first))
+    return all_nodes.join(named, "component").select("id", "component", "size", F.col("label").cast("int").alias("label"))
+
+
+def _ranked_singles(singles: DataFrame, parts: int = 4096) -> DataFrame:
+    """Labels of the components of one node, most of a sparse cloud: ranked within ranges of ids, so that no task holds them all."""
+    ends = singles.agg(F.min("component").alias("lo"), F.max("component").alias("hi")).first()
+    wide = max(1.0, ((ends["hi"] or 0) - (ends["lo"] or 0) + 1) / parts)
+    placed = singles.withColumn("part", F.floor((F.col("component") - F.lit(ends["lo"] or 0)) / wide))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part
+    counts = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("component"))
+    return placed.join(F.broadcast(counts), "part").select("component", "size", (F.col("larger") + F.col("before") + rank - 1).alias("label"))  # ``parts`` rows
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,6 +73,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         for end in ("cu", "cv"):
             moved = moved.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"n{end}")), end)
         work = stored(moved.where("ncu <> ncv").select("u", "v", "w", F.col("ncu").alias("cu"), F.col("ncv").alias("cv")), "edges")
+        discard(groups)
     return edges.select("u", "v", "w").limit(0) if chosen is None else chosen.distinct()
 
 

@@ -31,10 +31,16 @@ class ShiftParameters:
     weight: float = 1.0
 
 
+#: What each variant of the published comparison changes.
 ABLATIONS = {
-    "full": {}, "isotropic": {"ratio": 1.0, "along": 1.0, "across": 1.0}, "no_direction_weight": {"alpha": 0.0}, "no_turn": {"turn": False},
-    "no_lock": {"weight": 0.0}, "constant_wide": {"last": 30.0}, "constant_narrow": {"first": 10.0},
-}
+    "full": {},
+    "without_anisotropy": {"ratio": 1.0, "across": 1.0, "alpha": 0.0},
+    "without_turning": {"turn": False},
+    "without_damping": {"gamma": 0.0},
+    "without_lock": {"weight": 0.0},
+    "constant_30": {"first": 30.0, "last": 30.0, "weight": 0.0},
+    "constant_10": {"first": 10.0, "last": 10.0},
+}
 
 
 def ablated(parameters: ShiftParameters, name: str) -> ShiftParameters:

@@ -10,32 +10,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CORNERS = np.array(list(itertools.product((0, 1), repeat=3)))
-#: Gradients of improved Perlin noise: towards the middles of a cube's edges, four of them twice.
-_GRADIENTS = np.array([v for v in itertools.product((-1, 0, 1), repeat=3) if sum(map(abs, v)) == 2] + [(1, 1, 0), (-1, 1, 0), (0, -1, 1), (0, -1, -1)], float)
+#: The gradients of improved Perlin noise in their order, and where in the noise the three channels of a vector field are read.
+GRADIENTS = ((1, 1, 0), (-1, 1, 0), (1, -1, 0), (-1, -1, 0), (1, 0, 1), (-1, 0, 1), (1, 0, -1), (-1, 0, -1), (0, 1, 1), (0, -1, 1), (0, 1, -1), (0, -1, -1))
+CHANNELS = (0.0, 19.1, 53.7)
 
 
-def lattice_noise(p: np.ndarray, seed: int) -> np.ndarray:
+def lattice_table(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).permutation(256)
+
+
+def lattice_noise(p: np.ndarray, seed: int = 0) -> np.ndarray:
     """Noise in -1..1 at points ``(n, 3)``: zero on the lattice, smooth between (a quintic fade)."""
-    table = np.random.default_rng(seed).permutation(256)
+    table, gradients = lattice_table(seed), np.array(GRADIENTS, float)
     cell = np.floor(p).astype(np.int64)
     part = p - cell
     fade = part**3 * (part * (part * 6 - 15) + 10)
     out = np.zeros(len(p))
     for corner in _CORNERS:
         at = (cell + corner) & 255
-        pick = table[(table[(table[at[:, 0]] + at[:, 1]) & 255] + at[:, 2]) & 255] & 15
-        slope = (_GRADIENTS[pick] * (part - corner)).sum(1)
+        pick = table[(table[(table[at[:, 0]] + at[:, 1]) & 255] + at[:, 2]) & 255] % len(GRADIENTS)
+        slope = (gradients[pick] * (part - corner)).sum(1)
         out += slope * np.prod(np.where(corner == 1, fade, 1 - fade), axis=1)
     return out
 
 
 def warped(curves: DataFrame, scale: float, size: float, seed: int = 0) -> DataFrame:
-    """Curves whose points are moved by three channels of noise, of wavelength ``scale`` and strength ``size``."""
+    """Curves whose points are moved by three channels of noise at ``scale`` times their positions, ``size`` strong; without either they stay."""
+    if size <= 1e-9 or scale <= 0:
+        return curves
 
     @F.pandas_udf("p0 double, p1 double, p2 double")
     def move(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
         p = np.stack([a, b, c], 1).astype(float)
-        by = np.stack([lattice_noise(p / scale, seed + k) for k in range(3)], 1)
+        by = np.stack([lattice_noise(p * scale + at, seed) for at in CHANNELS], 1)
         return pd.DataFrame(p + size * by, columns=["p0", "p1", "p2"])
 
     moved: Column = move("p0", "p1", "p2")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvespark.operators.cloud import AXES
+from curvespark.operators.curves import gaussian_smooth
 
 
 def rigid_fit(pairs: DataFrame, group: str) -> DataFrame:
@@ -73,24 +74,32 @@ def peaks(signal: DataFrame, column: str, height: float, apart: int, most: int)
     return signal.select("sid", "k", column).groupBy("sid").applyInPandas(rule, f"sid {kind}, k long, value double")
 
 
-def local_writhe(curves: DataFrame, window: int) -> DataFrame:
-    """``(sid, k, writhe)``: the Gauss integral over pairs of segments within ``window`` of each point; null where the window leaves the curve."""
+def local_writhe(curves: DataFrame, half: int, sigma: float = 3.0, spacing: float = 1.0) -> DataFrame:
+    """``(sid, k, writhe)``: the Gauss integral of an evenly spaced curve, smoothed, over the pairs of points within ``half`` of each point.
+
+    Tangents are central differences, those at the ends their neighbours'. Null where the window leaves the curve, and on curves that it covers whole.
+    """
+    by = Window.partitionBy("sid").orderBy("k")
+    smooth = gaussian_smooth(curves.select("sid", "k", "p0", "p1", "p2"), ["p0", "p1", "p2"], sigma)
+    inner = {f"t{i}": (F.lead(f"p{i}").over(by) - F.lag(f"p{i}").over(by)) / (2 * spacing) for i in AXES}
+    ends = {f"t{i}": F.coalesce(f"t{i}", F.lead(f"t{i}").over(by), F.lag(f"t{i}").over(by), F.lit(0.0)) for i in AXES}
+    rows_of = smooth.withColumns(inner).withColumns(ends)
 
     def rule(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k")
-        p = rows[["p0", "p1", "p2"]].to_numpy(float)
-        e, mid = np.diff(p, axis=0), (p[1:] + p[:-1]) / 2
-        out = np.full(len(p), np.nan)
-        for c in range(window, len(p) - window):
-            t, m = e[c - window : c + window], mid[c - window : c + window]
-            r = m[:, None] - m[None]
-            d = np.linalg.norm(r, axis=2)
-            np.fill_diagonal(d, np.inf)
-            out[c] = (np.einsum("ijk,ijk->ij", np.cross(t[:, None], t[None]), r) / np.maximum(d, 1e-12) ** 3).sum() / (4 * np.pi)
-        return pd.DataFrame({"sid": key[0], "k": rows["k"].to_numpy(), "writhe": [None if np.isnan(x) else x for x in out]})
+        p, t = (rows[[f"{c}{i}" for i in AXES]].to_numpy(float) for c in "pt")
+        out: list[float | None] = [None] * len(p)
+        if 2 * half + 1 < len(p):
+            for c in range(half, len(p) - half):
+                r, d = p[c - half : c + half + 1], t[c - half : c + half + 1]
+                apart = r[:, None] - r[None]
+                far = (apart**2).sum(2)
+                np.fill_diagonal(far, np.inf)
+                out[c] = spacing**2 / (4 * np.pi) * float((np.einsum("ijk,ijk->ij", np.cross(d[:, None], d[None]), apart) * far**-1.5).sum())
+        return pd.DataFrame({"sid": key[0], "k": rows["k"].to_numpy(), "writhe": out}).astype({"writhe": float})
 
     kind = curves.schema["sid"].dataType.simpleString()
-    return curves.select("sid", "k", "p0", "p1", "p2").groupBy("sid").applyInPandas(rule, f"sid {kind}, k long, writhe double")
+    return rows_of.select("sid", "k", *(f"{c}{i}" for c in "pt" for i in AXES)).groupBy("sid").applyInPandas(rule, f"sid {kind}, k long, writhe double")
 
 
 def subsequence_warping(signal: DataFrame, template: list[float], column: str = "x") -> DataFrame:

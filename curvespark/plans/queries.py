@@ -40,7 +40,7 @@ CLOUD_EMB = (
     + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {'pd'[i // 3]}{i % 3}" for i in range(6))
     + ", sqrt(CAST(embedding[7] AS DOUBLE) ^ 2 + CAST(embedding[8] AS DOUBLE) ^ 2 + CAST(embedding[9] AS DOUBLE) ^ 2) AS energy, abs(CAST(embedding[10] AS DOUBLE)) AS linearity FROM embeddings)"
 )
-UNIT = "unit AS (SELECT id, p0, p1, p2, energy, linearity, CASE WHEN n > 1e-12 THEN d0 / n ELSE 0 END AS d0, CASE WHEN n > 1e-12 THEN d1 / n ELSE 0 END AS d1, CASE WHEN n > 1e-12 THEN d2 / n ELSE 0 END AS d2 FROM (SELECT *, sqrt(d0 * d0 + d1 * d1 + d2 * d2) AS n FROM cloud))"
+UNIT = "unit AS (SELECT id, p0, p1, p2, energy, linearity, CASE WHEN n > 1e-8 THEN d0 / n ELSE d0 END AS d0, CASE WHEN n > 1e-8 THEN d1 / n ELSE d1 END AS d1, CASE WHEN n > 1e-8 THEN d2 / n ELSE d2 END AS d2 FROM (SELECT *, sqrt(d0 * d0 + d1 * d1 + d2 * d2) AS n FROM cloud))"
 VOLUME = "vol AS (SELECT l_returnflag AS sample, CAST(l_linenumber AS INTEGER) AS z, CAST(round(l_quantity) AS INTEGER) AS y, CAST(round(l_discount * 100) AS INTEGER) AS x, round(avg(l_extendedprice), 4) AS v FROM lineitem GROUP BY ALL)"
 CURVE = """curve AS (SELECT user_id AS sid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 3.6e9 AS p0, value AS p1,
  CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS p2 FROM events)"""
@@ -82,9 +82,15 @@ def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
     return volume.otsu(P.volume_from_lines(spark, d))
 
 
-@_query()
+@_query(f"""{HIST}, bins AS (SELECT sample, bin, coalesce(n, 0) AS n, lo, hi FROM (SELECT sample, any_value(lo) AS lo, any_value(hi) AS hi, unnest(range(0, 256)) AS bin FROM h GROUP BY sample) LEFT JOIN (SELECT sample, bin, n FROM h) USING (sample, bin)),
+ww AS (SELECT unnest(range(-12, 13)) AS i), tot AS (SELECT sum(exp(-0.5 * (i / 3.0) ^ 2)) AS t FROM ww), ask AS (SELECT sample, bin, lo, hi, exp(-0.5 * (i / 3.0) ^ 2) / t AS w, CASE WHEN bin + i < 0 THEN -1 - bin - i WHEN bin + i > 255 THEN 511 - bin - i ELSE bin + i END AS at_ FROM bins, ww, tot),
+sm AS (SELECT a.sample, a.bin, any_value(a.lo) AS lo, any_value(a.hi) AS hi, sum(a.w * b.n) AS y FROM ask a JOIN bins b ON a.sample = b.sample AND a.at_ = b.bin GROUP BY 1, 2),
+pk AS (SELECT sample, bin, y FROM (SELECT *, lag(y) OVER o AS l, lead(y) OVER o AS r, max(y) OVER (PARTITION BY sample) AS top FROM sm WINDOW o AS (PARTITION BY sample ORDER BY bin)) WHERE y > l AND y >= r AND y >= 0.01 * top),
+one AS (SELECT sample, arg_min(bin, (-y, bin)) AS a FROM pk GROUP BY sample), two AS (SELECT pk.sample, any_value(a) AS a, arg_min(bin, (-y, bin)) AS b FROM pk JOIN one USING (sample) WHERE abs(bin - a) >= 10 GROUP BY pk.sample),
+va AS (SELECT sm.sample, arg_min(bin, (y, bin)) AS k, any_value(lo) AS lo, any_value(hi) AS hi FROM sm JOIN two USING (sample) WHERE bin BETWEEN least(a, b) AND greatest(a, b) GROUP BY sm.sample)
+SELECT v.sample, round(coalesce(any_value(va.lo + (k + 0.5) * (va.hi - va.lo) / 256), quantile_cont(v, 0.95)), 6) AS threshold FROM vol v LEFT JOIN va USING (sample) GROUP BY v.sample""")
 def valley_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return volume.valley(P.volume_from_lines(spark, d))
+    return _rounded(volume.valley(P.volume_from_lines(spark, d)))
 
 
 @_query(f"WITH {VOLUME} SELECT sample, count(*) AS n, min(v) AS v_min, max(v) AS v_max, round(avg(v), 6) AS v_mean, round(stddev_pop(v), 6) AS v_std, round(quantile_cont(v, 0.25), 6) AS v_p25, round(quantile_cont(v, 0.5), 6) AS v_p50, round(quantile_cont(v, 0.75), 6) AS v_p75 FROM vol GROUP BY sample")
@@ -162,7 +168,7 @@ def united_degree(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(C.united_degree(P.cloud_from_events(spark, d), RADIUS).select("id", "n", "degree"))
 
 
-@_query(f"{DEGREE} SELECT id FROM deg WHERE degree >= 0.85")
+@_query(f"{DEGREE} SELECT id FROM deg WHERE degree > 0.85")
 def united_filter(spark: SparkSession, d: str) -> DataFrame:
     return C.united_filter(P.cloud_from_events(spark, d), RADIUS).select("id")
 
@@ -214,6 +220,31 @@ def spring_step(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(meanshift.spring_step(cloud, links, 1.0, 1.0).select("id", "p0", "p1", "p2"))
 
 
+def _variant_sql(name: str, ratio: float, across: float, alpha: float, gamma: float, turn: bool) -> str:
+    """A step of a variant, from the pairs within the longest reach of all variants."""
+    wide, narrow = (ratio * BW) ** 2, BW**2
+    moved = ", ".join(f"damp * CASE WHEN sz > 1e-8 THEN n{k} / sz ELSE d{k} END + (1 - damp) * d{k} AS x{k}" for k in range(3)) if turn else "d0 AS x0, d1 AS x1, d2 AS x2"
+    return f"""SELECT '{name}' AS variant, id, {', '.join(f'round(p{k} + e{k} - al * d{k}, 5) + 0.0 AS p{k}' for k in range(3))}, {', '.join(f'round(x{k} / CASE WHEN sqrt(x0 * x0 + x1 * x1 + x2 * x2) > 1e-8 THEN sqrt(x0 * x0 + x1 * x1 + x2 * x2) ELSE 1 END, 5) + 0.0 AS d{k}' for k in range(3))} FROM
+(SELECT *, {moved} FROM (SELECT *, e0 * d0 + e1 * d1 + e2 * d2 AS al, sqrt(n0 * n0 + n1 * n1 + n2 * n2) AS sz, 1 - (abs(wt) / (w + 1e-12)) ^ {gamma} AS damp FROM
+(SELECT id, p0, p1, p2, d0, d1, d2, coalesce(w, 0) AS w, coalesce(wt, 0) AS wt, {', '.join(f'CASE WHEN w > 1e-12 THEN m{k} / w - p{k} ELSE 0 END AS e{k}, coalesce(n{k}, 0) AS n{k}' for k in range(3))} FROM cloud LEFT JOIN
+(SELECT a_id AS id, sum(w) AS w, sum(w * sign(t)) AS wt, {', '.join(f'sum(w * b_p{k}) AS m{k}, sum(w * side * b_d{k}) AS n{k}' for k in range(3))} FROM
+(SELECT *, CASE WHEN a_d0 * b_d0 + a_d1 * b_d1 + a_d2 * b_d2 < 0 THEN -1.0 ELSE 1.0 END AS side, CASE WHEN t * t / {wide} + greatest(d2 - t * t, 0) / {narrow} <= 1 THEN exp(-(t * t / (2 * {wide}) + {across} * greatest(d2 - t * t, 0) / (2 * {narrow}))) * abs(a_d0 * b_d0 + a_d1 * b_d1 + a_d2 * b_d2) ^ {alpha} ELSE 0 END AS w FROM
+(SELECT *, {_ALONG} AS t FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS rk FROM pairs WHERE d2 <= {(max(ratio, 1.0) * BW) ** 2}) WHERE rk <= 128)) GROUP BY a_id) USING (id))))"""
+
+
+_VARIANTS = {"full": (2.0, 2.0, 2.0, 0.1, True), "without_anisotropy": (1.0, 1.0, 0.0, 0.1, True), "without_turning": (2.0, 2.0, 2.0, 0.1, False), "without_damping": (2.0, 2.0, 2.0, 0.0, True)}
+
+
+@_query(f"WITH {CLOUD_EV}, {pairs_sql('cloud', 2 * BW)} " + " UNION ALL ".join(_variant_sql(n, *v) for n, v in _VARIANTS.items()))
+def shift_variants(spark: SparkSession, d: str) -> DataFrame:
+    """A step of each variant that changes the step; the others change the schedule or the links."""
+    cloud, out = P.cloud_from_events(spark, d), None
+    for name in _VARIANTS:
+        step = _rounded(meanshift.shift_step(cloud, BW, meanshift.ablated(meanshift.ShiftParameters(), name)).select(F.lit(name).alias("variant"), "id", *(f"{c}{k}" for c in "pd" for k in range(3))), 5)
+        out = step if out is None else out.unionByName(step)
+    return out
+
+
 @_query()
 def mean_shift_loop(spark: SparkSession, d: str) -> DataFrame:
     p = meanshift.ShiftParameters(steps=3, first=2.5, last=1.5, lock_at=1, reach=5.0)
@@ -270,7 +301,9 @@ def mst_edges_per_component(spark: SparkSession, d: str) -> DataFrame:
     return tree.join(named, "u").groupBy("component").agg(F.count("*").alias("tree_edges"))
 
 
-@_query()
+@_query(f"""{COMPONENTS}, e AS (SELECT row_number() OVER (ORDER BY d2, a_id, b_id) AS n, a_id AS u, b_id AS v, sqrt(d2) AS w FROM pairs WHERE a_id < b_id), both_ AS (SELECT n, u, v FROM e UNION ALL SELECT n, v, u FROM e),
+reach AS (SELECT n, v AS goal, u AS at_ FROM e UNION SELECT r.n, r.goal, b.v FROM reach r JOIN both_ b ON b.u = r.at_ AND b.n < r.n WHERE r.at_ <> r.goal)
+SELECT u, v, round(w, 6) + 0.0 AS w FROM e WHERE n NOT IN (SELECT n FROM reach WHERE at_ = goal)""")
 def mst_edges(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(graph.spanning_forest(_graph(spark, d)[1]))
 
@@ -327,7 +360,11 @@ def resample_density(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(V.resample(P.curves_from_events(spark, d), spacing=100.0), 3)
 
 
-@_query()
+@_query(f"""{SEGS}, tn AS (SELECT *, {', '.join(f'(coalesce(lead(p{i}) OVER o, p{i}) - coalesce(lag(p{i}) OVER o, p{i})) / nullif(coalesce(lead(s) OVER o, s) - coalesce(lag(s) OVER o, s), 0) AS t{i}' for i in range(3))} FROM sg WINDOW o AS (PARTITION BY sid ORDER BY k)),
+tv AS (SELECT *, {', '.join(f'lead(t{i}) OVER o AS v{i}' for i in range(3))} FROM tn WINDOW o AS (PARTITION BY sid ORDER BY k)),
+tg AS (SELECT sid, total, n, j, CASE WHEN j = n - 1 THEN total ELSE total * j / (n - 1) END AS t FROM (SELECT sid, total, n, unnest(range(0, n)) AS j FROM (SELECT DISTINCT sid, total, CAST(greatest(round_even(total / 100.0, 0) + 1, 4) AS BIGINT) AS n FROM sg WHERE total > 0))),
+hit AS (SELECT g.sid, j, s1 - s AS h, least(greatest((t - s) / (s1 - s), 0), 1) AS u, {', '.join(f'p{i}, q{i}, t{i}, v{i}' for i in range(3))} FROM tg g JOIN tv ON g.sid = tv.sid AND s1 > s AND ((t >= s AND t < s1 AND j < n - 1) OR (j = n - 1 AND s1 >= tv.total)))
+SELECT sid, j AS k, {', '.join(f'round((2 * u ^ 3 - 3 * u ^ 2 + 1) * p{i} + (u ^ 3 - 2 * u ^ 2 + u) * h * t{i} + (3 * u ^ 2 - 2 * u ^ 3) * q{i} + (u ^ 3 - u ^ 2) * h * v{i}, 3) + 0.0 AS p{i}' for i in range(3))} FROM hit""")
 def resample_hermite(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(V.resample_hermite(P.curves_from_events(spark, d), 100.0), 3)
 
@@ -430,12 +467,18 @@ def rank_min_score(spark: SparkSession, d: str) -> DataFrame:
 # --- shapes, geometry, rods -----------------------------------------------------
 
 
-@_query()
+@_query(f"""WITH {CURVE}, pr AS (SELECT a.sid, {', '.join(f'a.p{i} AS a{i}, b.p{i} AS b{i}' for i in range(3))} FROM curve a JOIN curve b ON b.sid = a.sid + 1 AND b.k = a.k),
+st AS (SELECT sid, count(*) AS n, {', '.join(f'regr_sxy(a{i}, b{j}) AS c{i}{j}' for i in range(3) for j in range(3))}, {' + '.join(f'coalesce(var_pop({c}{i}), 0)' for c in 'ab' for i in range(3))} AS spread FROM pr GROUP BY sid),
+g AS (SELECT *, c00 * (c11 * c22 - c12 * c21) - c01 * (c10 * c22 - c12 * c20) + c02 * (c10 * c21 - c11 * c20) AS det, {', '.join(f'{" + ".join(f"c{r}{i} * c{r}{j}" for r in range(3))} AS {n}' for i, j, n in ((0, 0, 'xx'), (0, 1, 'xy'), (0, 2, 'xz'), (1, 1, 'yy'), (1, 2, 'yz'), (2, 2, 'zz')))} FROM st),
+q AS (SELECT *, (xx + yy + zz) / 3 AS m FROM g), p AS (SELECT *, sqrt(((xx - m) ^ 2 + (yy - m) ^ 2 + (zz - m) ^ 2 + 2 * (xy ^ 2 + xz ^ 2 + yz ^ 2)) / 6) AS p FROM q),
+r AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(-1, least(1, ((xx - m) * ((yy - m) * (zz - m) - yz ^ 2) - xy * (xy * (zz - m) - yz * xz) + xz * (xy * yz - (yy - m) * xz)) / (2 * p ^ 3)))) / 3 ELSE 0 END AS f FROM p),
+l AS (SELECT *, sqrt(greatest(m + 2 * p * cos(f), 0)) AS s0, sqrt(greatest(m + 2 * p * cos(f + 4 * pi() / 3), 0)) AS s1 FROM r)
+SELECT sid, n, round(sqrt(greatest(n * spread - 2 * (s0 + s1 + CASE WHEN s0 * s1 > 0 THEN det / (s0 * s1) ELSE 0 END), 0) / n), 3) AS rms FROM l""")
 def rigid_fit(spark: SparkSession, d: str) -> DataFrame:
     curves = P.curves_from_events(spark, d)
     other = curves.select((F.col("sid") - 1).alias("sid"), "k", *(F.col(f"p{i}").alias(f"b{i}") for i in range(3)))
     pairs = curves.select("sid", "k", *(F.col(f"p{i}").alias(f"a{i}") for i in range(3))).join(other, ["sid", "k"])
-    return signals.rigid_fit(pairs, "sid").select("sid", "n", F.round("rms", 4).alias("rms"))
+    return signals.rigid_fit(pairs, "sid").select("sid", "n", F.round("rms", 3).alias("rms"))
 
 
 @_query()
@@ -449,21 +492,34 @@ def warped_stretch(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(signals.subsequence_warping(P.signal_from_lines(spark, d), [10_000.0, 30_000.0, 50_000.0, 20_000.0]), 2)
 
 
-@_query()
+@_query(f"""WITH {SIGNAL}, nb AS (SELECT *, lag(x) OVER o AS l, lead(x) OVER o AS r FROM sig WINDOW o AS (PARTITION BY sid ORDER BY k)), pk AS (SELECT sid, k, x FROM nb WHERE x > l AND x >= r AND x >= 50000.0),
+c AS (SELECT sid, list([k] ORDER BY x DESC, k) AS ks FROM pk GROUP BY sid), g AS (SELECT sid, unnest(list_reduce(ks, lambda acc, c: CASE WHEN len(acc) < 10 AND len(list_filter(acc, lambda a: abs(a - c[1]) < 5)) = 0 THEN list_concat(acc, c) ELSE acc END)) AS k FROM c)
+SELECT g.sid, g.k, x AS value FROM g JOIN sig USING (sid, k)""")
 def signal_peaks(spark: SparkSession, d: str) -> DataFrame:
     return signals.peaks(P.signal_from_lines(spark, d), "x", 50_000.0, 5, 10)
 
 
-@_query()
+@_query(f"""WITH {CURVE}, nn AS (SELECT *, count(*) OVER (PARTITION BY sid) AS n FROM curve), ww AS (SELECT unnest(range(-12, 13)) AS i), tot AS (SELECT sum(exp(-0.5 * (i / 3.0) ^ 2)) AS w FROM ww),
+ask AS (SELECT sid, k, n, exp(-0.5 * (i / 3.0) ^ 2) / tot.w AS w, ((k + i) % (2 * n) + 2 * n) % (2 * n) AS at_ FROM nn, ww, tot),
+sm AS (SELECT a.sid, a.k, any_value(a.n) AS n, {', '.join(f'sum(a.w * c.p{i}) AS p{i}' for i in range(3))} FROM ask a JOIN nn c ON a.sid = c.sid AND c.k = CASE WHEN at_ < a.n THEN at_ ELSE 2 * a.n - 1 - at_ END GROUP BY a.sid, a.k),
+ti AS (SELECT *, {', '.join(f'(lead(p{i}) OVER o - lag(p{i}) OVER o) / 2 AS u{i}' for i in range(3))} FROM sm WINDOW o AS (PARTITION BY sid ORDER BY k)),
+t AS (SELECT *, {', '.join(f'coalesce(u{i}, lead(u{i}) OVER o, lag(u{i}) OVER o, 0) AS t{i}' for i in range(3))} FROM ti WINDOW o AS (PARTITION BY sid ORDER BY k)),
+pr AS (SELECT a.sid, a.k AS i, b.k AS j, any_value(a.n) AS n, sum(((a.t1 * b.t2 - a.t2 * b.t1) * (a.p0 - b.p0) + (a.t2 * b.t0 - a.t0 * b.t2) * (a.p1 - b.p1) + (a.t0 * b.t1 - a.t1 * b.t0) * (a.p2 - b.p2)) / ((a.p0 - b.p0) ^ 2 + (a.p1 - b.p1) ^ 2 + (a.p2 - b.p2) ^ 2) ^ 1.5) AS v FROM t a JOIN t b ON a.sid = b.sid AND a.k <> b.k AND abs(a.k - b.k) <= 10 GROUP BY 1, 2, 3),
+o AS (SELECT sid, k, n FROM t WHERE k >= 5 AND k < n - 5 AND n > 11), w AS (SELECT o.sid, o.k, sum(v) / (4 * pi()) AS writhe FROM o JOIN pr ON o.sid = pr.sid AND abs(i - o.k) <= 5 AND abs(j - o.k) <= 5 GROUP BY 1, 2)
+SELECT t.sid, t.k, round(writhe, 6) + 0.0 AS writhe FROM t LEFT JOIN w USING (sid, k)""")
 def local_writhe(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(signals.local_writhe(P.curves_from_events(spark, d), 5))
 
 
-@_query()
+@_query(f"""WITH {CLOUD_EV}, {UNIT}, t AS (SELECT CAST(p2 AS BIGINT) AS g, {', '.join(f'sum(d{i} * d{j} * energy) AS {n}' for i, j, n in ((0, 0, 'xx'), (0, 1, 'xy'), (0, 2, 'xz'), (1, 1, 'yy'), (1, 2, 'yz'), (2, 2, 'zz')))} FROM unit GROUP BY 1),
+q AS (SELECT *, (xx + yy + zz) / 3 AS m FROM t), p AS (SELECT *, sqrt(((xx - m) ^ 2 + (yy - m) ^ 2 + (zz - m) ^ 2 + 2 * (xy ^ 2 + xz ^ 2 + yz ^ 2)) / 6) AS p FROM q),
+r AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(-1, least(1, ((xx - m) * ((yy - m) * (zz - m) - yz ^ 2) - xy * (xy * (zz - m) - yz * xz) + xz * (xy * yz - (yy - m) * xz)) / (2 * p ^ 3)))) / 3 ELSE 0 END AS f FROM p),
+l AS (SELECT g, m + 2 * p * cos(f + 2 * pi() / 3) + 1e-8 AS l0, m + 2 * p * cos(f + 4 * pi() / 3) + 1e-8 AS l1, m + 2 * p * cos(f) + 1e-8 AS l2 FROM r)
+SELECT g, round(l0, 3) + 0.0 AS l0, round(l1, 3) + 0.0 AS l1, round(l2, 3) + 0.0 AS l2, round((l1 - l0) / (l1 + l0 + 1e-6), 5) + 0.0 AS linearity FROM l""")
 def eigen_linearity(spark: SparkSession, d: str) -> DataFrame:
     cloud = C.normalise_directions(P.cloud_from_events(spark, d))
     outer = [F.sum(F.col(f"d{i}") * F.col(f"d{j}") * F.col("energy")).alias(n) for i, j, n in ((0, 0, "xx"), (0, 1, "xy"), (0, 2, "xz"), (1, 1, "yy"), (1, 2, "yz"), (2, 2, "zz"))]
-    return signals.symmetric_eigen(cloud.withColumn("g", F.col("p2").cast("long")).groupBy("g").agg(*outer), "g").select("g", *(F.round(f"l{i}", 3).alias(f"l{i}") for i in range(3)), F.round("linearity", 5).alias("linearity"))
+    return signals.symmetric_eigen(cloud.withColumn("g", F.col("p2").cast("long")).groupBy("g").agg(*outer), "g").select("g", *((F.round(f"l{i}", 3) + 0.0).alias(f"l{i}") for i in range(3)), (F.round("linearity", 5) + 0.0).alias("linearity"))
 
 
 @_query()
@@ -544,7 +600,16 @@ def slice_radii(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(volume.slice_radii(P.volume_from_lines(spark, d)))
 
 
-@_query()
+@_query(f"""WITH {CURVE}, ks AS (SELECT *, max(k) OVER (PARTITION BY sid) AS last FROM curve), ev AS (SELECT DISTINCT sid AS a, sid + 1 AS b, sid + 1000000 AS new FROM curve WHERE sid % 2 = 0),
+ea AS (SELECT new, {', '.join(f'max(p{i}) FILTER (k = last) AS a{i}, coalesce(max(p{i}) FILTER (k = last) - max(p{i}) FILTER (k = last - 1), 0) AS x{i}' for i in range(3))} FROM ks JOIN ev ON sid = a GROUP BY new),
+eb AS (SELECT new, {', '.join(f'max(p{i}) FILTER (k = 0) AS b{i}, coalesce(max(p{i}) FILTER (k = 0) - max(p{i}) FILTER (k = 1), 0) AS y{i}' for i in range(3))} FROM ks JOIN ev ON sid = b GROUP BY new),
+en AS (SELECT *, sqrt({' + '.join(f'(b{i} - a{i}) ^ 2' for i in range(3))}) AS h, sqrt(x0 ^ 2 + x1 ^ 2 + x2 ^ 2) AS nx, sqrt(y0 ^ 2 + y1 ^ 2 + y2 ^ 2) AS ny FROM ea JOIN eb USING (new)),
+br AS (SELECT *, j / 15.0 AS u FROM en, (SELECT unnest(range(1, 15)) AS j)),
+parts AS (SELECT new AS sid, 0 AS part, k AS at_, p0, p1, p2 FROM curve JOIN ev ON sid = a
+ UNION ALL SELECT new, 1, j, {', '.join(f'(1 - u) ^ 3 * a{i} + 3 * (1 - u) ^ 2 * u * (a{i} + 0.4 * h * CASE WHEN nx > 1e-12 THEN x{i} / nx ELSE 0 END) + 3 * (1 - u) * u ^ 2 * (b{i} + 0.4 * h * CASE WHEN ny > 1e-12 THEN y{i} / ny ELSE 0 END) + u ^ 3 * b{i}' for i in range(3))} FROM br
+ UNION ALL SELECT new, 2, k, p0, p1, p2 FROM curve JOIN ev ON sid = b),
+made AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY part, at_) - 1 AS k, p0, p1, p2 FROM parts)
+SELECT sid, k, {', '.join(f'round(p{i}, 4) + 0.0 AS p{i}' for i in range(3))} FROM (SELECT sid, k, p0, p1, p2 FROM curve WHERE sid NOT IN (SELECT a FROM ev UNION ALL SELECT b FROM ev) UNION ALL SELECT * FROM made)""")
 def joined_curves(spark: SparkSession, d: str) -> DataFrame:
     curves = P.curves_from_events(spark, d)
     sids = curves.select("sid").distinct().where("sid % 2 = 0")
@@ -563,9 +628,20 @@ def curves_without_repeats(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(fitting.without_repeats(even, 0.4, 0.01), 3)
 
 
-@_query()
+def _noise_sql(scale: float) -> str:
+    """The noise field, corner by corner; the permutation is what its seed makes."""
+    table = noise.lattice_table(0).tolist()
+    slopes = [f"CASE h {' '.join(f'WHEN {k} THEN {g[i]}' for k, g in enumerate(noise.GRADIENTS))} END" for i in range(3)]
+    weight = " * ".join(f"CASE WHEN c{i} = 1 THEN e{i} ELSE 1 - e{i} END" for i in range(3))
+    return f"""WITH {CURVE}, t AS (SELECT {table} AS perm), ch AS (SELECT sid, k, p0, p1, p2, ch, {', '.join(f'p{i} * {scale} + at_ AS x{i}' for i in range(3))} FROM curve, (SELECT unnest(range(0, 3)) AS ch, unnest({list(noise.CHANNELS)}) AS at_)),
+f AS (SELECT *, {', '.join(f'CAST(floor(x{i}) AS BIGINT) AS i{i}, x{i} - floor(x{i}) AS f{i}' for i in range(3))} FROM ch), g AS (SELECT *, {', '.join(f'f{i} ^ 3 * (f{i} * (f{i} * 6 - 15) + 10) AS e{i}' for i in range(3))} FROM f),
+co AS (SELECT *, perm[1 + ((perm[1 + ((perm[1 + ((i0 + c0) & 255)] + i1 + c1) & 255)] + i2 + c2) & 255)] % 12 AS h FROM g, t, (SELECT unnest([0, 1]) AS c0), (SELECT unnest([0, 1]) AS c1), (SELECT unnest([0, 1]) AS c2)),
+n AS (SELECT sid, k, any_value(p0) AS p0, any_value(p1) AS p1, any_value(p2) AS p2, {', '.join(f'sum(CASE WHEN ch = {c} THEN s ELSE 0 END) AS n{c}' for c in range(3))} FROM (SELECT *, ({' + '.join(f'({slopes[i]}) * (f{i} - c{i})' for i in range(3))}) * {weight} AS s FROM co) GROUP BY sid, k)"""
+
+
+@_query(f"{_noise_sql(0.02)} SELECT sid, k, {', '.join(f'round(p{i} + 3.0 * n{i}, 5) + 0.0 AS p{i}' for i in range(3))} FROM n")
 def perlin_warp(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(noise.warped(P.curves_from_events(spark, d), 50.0, 3.0), 5)
+    return _rounded(noise.warped(P.curves_from_events(spark, d), 0.02, 3.0), 5)
 
 
 @_query()
