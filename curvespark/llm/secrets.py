@@ -203,8 +203,8 @@ def fit_forest(docs: DataFrame, text_col: str = "text", source_col: str | None =
     """
     share = int(1_000_000 * min(1.0, FITTED_ON / max(1, docs.count())))
     chosen = docs.where(F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(1_000_000)) < share)
-    source = F.col(source_col).cast("string") if source_col else F.lit("")
-    found = _each(_with_candidates(chosen, text_col, source).select("__found")).select("x.c", "x.f")
+    chosen = chosen.select(F.col(text_col).alias("text"), (F.col(source_col).cast("string") if source_col else F.lit("")).alias("source"))
+    found = _each(_with_candidates(chosen, "text", F.col("source")).select("__found")).select("x.c", "x.f")
     model = fit_model(label_findings(found))
     if model is None:
         return "CASE WHEN f.keyword_left > 0 AND f.example_left = 0 OR f.letter_digit > 0.2 AND f.length >= 20 AND f.hash_left = 0 THEN 1.0D ELSE 0.0D END"
@@ -233,8 +233,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", source_col: str | None = "source", forest: str | None = None) -> DataFrame:
     """``docs`` with each secret in the text replaced by ``[SECRET]``; all rows stay, null texts stay null."""
-    scored = _scored(docs, text_col, source_col, forest or fit_forest(docs, text_col, source_col))
+    # the rows as one column, so that no name of theirs can clash
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"), (F.col(source_col).cast("string") if source_col else F.lit("")).alias("source"))
+    scored = _scored(held, "text", "source", forest or fit_forest(docs, text_col, source_col))
     shown = lambda x: F.concat(x["c"]["prefix"], F.when(x["score"] >= THRESHOLD, F.lit(REDACTED)).otherwise(x["c"]["value"]), x["c"]["rest"])
     text = F.concat("__before", F.array_join(F.transform("__found", shown), ""))
-    clean = F.when(F.col(text_col).isNotNull() & (F.size("__found") > 0), text).otherwise(F.col(text_col))
-    return scored.select(*(clean.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    clean = F.when(F.col("text").isNotNull() & (F.size("__found") > 0), text).otherwise(F.col("text"))
+    return scored.select(*((clean if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

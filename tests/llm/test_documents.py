@@ -176,6 +176,8 @@ def test_secrets_are_found_and_masked(spark):
     masked = {(r.doc_id, r.text) for r in secrets.redact_secrets(frame).collect()}
     assert (0, 'text token = "[SECRET]" more') in masked and (1, docs[1][1]) in masked and (1000, None) in masked and (1001, "") in masked
     assert secrets.redact_secrets(frame).columns == frame.columns
+    clash = frame.select("doc_id", "text", *(F.lit(k).alias(c) for k, c in enumerate(("source", "__before", "__found", "__parts", "row", "c"))))
+    assert {(r.doc_id, r.text) for r in secrets.redact_secrets(clash).collect()} == masked and secrets.redact_secrets(clash).columns == clash.columns
     assert secrets.scan_secrets(frame.limit(0)).count() == 0
 
 
