@@ -716,3 +716,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     degree = C.united_degree(cloud, RADIUS)
     joined = cloud.where("energy > 20").join(degree, "id")
     return joined.groupBy(F.col("p2").cast("long").alias("user_id")).agg(F.count("*").alias("points"), F.sum("n").alias("links"), F.round(F.avg("degree"), 6).alias("degree"))
+
+
+from curvespark.plans import more_queries  # noqa: E402, F401  adds its own to both tables
