@@ -57,7 +57,8 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """The minimum spanning forest of ``(u, v, w)``, by Boruvka rounds: each component takes its lightest edge (ties by ends), then components merge.
 
-    Every round at least halves the components that have edges, and works on joins and aggregations alone.
+    Every round at least halves the components that have edges, and works on joins and aggregations alone. As ties are broken, the chosen edges
+    lead from each component to a root, the smaller of two that chose the same edge; pointers jump there, twice as far each time.
     """
     work = stored(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w").groupBy("u", "v").agg(F.min("w").alias("w")), "edges")
     work = work.select("u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv"))
@@ -65,18 +66,36 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     while not work.isEmpty():
         edge = F.struct("w", "u", "v", "cu", "cv")
         ends = work.select(F.col("cu").alias("c"), edge.alias("e")).union(work.select(F.col("cv"), edge))
-        best = stored(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct(), "best")
+        best = stored(ends.groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"), "best")
         picked = best.select("u", "v", "w")
         chosen = picked if chosen is None else chosen.union(picked)
-        groups = stored(connected_components(best, "cu", "cv"), "groups")
+        groups = _roots(best)
         moved = work
         for end in ("cu", "cv"):
             moved = moved.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"n{end}")), end)
         work = stored(moved.where("ncu <> ncv").select("u", "v", "w", F.col("ncu").alias("cu"), F.col("ncv").alias("cv")), "edges")
-        discard(groups)
     return edges.select("u", "v", "w").limit(0) if chosen is None else chosen.distinct()
 
 
+def _roots(best: DataFrame) -> DataFrame:
+    """``(node, component)``: the root that each component ``c`` comes to by its chosen edge ``(cu, cv)``."""
+    over = best.select("c", F.when(F.col("cu") == F.col("c"), F.col("cv")).otherwise(F.col("cu")).alias("to"))
+    back = over.select(F.col("c").alias("to"), F.col("to").alias("back"))
+    now = over.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
+    now = stored(now, "pointers")
+    while True:
+        after = now
+        for _ in range(2):
+            step = after.select(F.col("c").alias("to"), F.col("to").alias("next"))
+            after = after.join(step, "to").select("c", F.col("next").alias("to"))
+        after = stored(after.join(now.select("c", F.col("to").alias("was")), "c"), "pointers")
+        moved = not after.where("to <> was").isEmpty()
+        discard(now)
+        if not moved:
+            return after.select(F.col("c").alias("node"), F.col("to").alias("component"))
+        now = after.select("c", "to")
+
+
 def keep_largest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges of the component with the most nodes (ties: the smallest node)."""
     top = labelled_components(nodes, edges).where("label = 0").select(F.col("id").alias("u"))

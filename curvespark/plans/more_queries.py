@@ -36,9 +36,9 @@ def branch_members(spark: SparkSession, d: str) -> DataFrame:
     return _branches(spark, d)[2]
 
 
-@_query(f"{FOREST} SELECT junction AS id FROM (SELECT junction, branch, count(*) AS size FROM br WHERE hops <= 3 GROUP BY 1, 2) GROUP BY junction HAVING min(size) > 2")
+@_query(f"{FOREST} SELECT junction AS id FROM (SELECT junction, branch, count(*) AS size FROM br WHERE hops <= 2 GROUP BY 1, 2) GROUP BY junction HAVING min(size) > 1")
 def real_junctions(spark: SparkSession, d: str) -> DataFrame:
-    return junctions.real_junctions(_forest(spark, d)[1], 2)
+    return junctions.real_junctions(_forest(spark, d)[1], 1)
 
 
 @_query(f"{FOREST} SELECT junction, CAST(row_number() OVER (PARTITION BY junction ORDER BY size DESC, branch) AS INTEGER) AS place, branch, size FROM size QUALIFY place <= 5")

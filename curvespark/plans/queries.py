@@ -473,12 +473,12 @@ g AS (SELECT *, c00 * (c11 * c22 - c12 * c21) - c01 * (c10 * c22 - c12 * c20) +
 q AS (SELECT *, (xx + yy + zz) / 3 AS m FROM g), p AS (SELECT *, sqrt(((xx - m) ^ 2 + (yy - m) ^ 2 + (zz - m) ^ 2 + 2 * (xy ^ 2 + xz ^ 2 + yz ^ 2)) / 6) AS p FROM q),
 r AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(-1, least(1, ((xx - m) * ((yy - m) * (zz - m) - yz ^ 2) - xy * (xy * (zz - m) - yz * xz) + xz * (xy * yz - (yy - m) * xz)) / (2 * p ^ 3)))) / 3 ELSE 0 END AS f FROM p),
 l AS (SELECT *, sqrt(greatest(m + 2 * p * cos(f), 0)) AS s0, sqrt(greatest(m + 2 * p * cos(f + 4 * pi() / 3), 0)) AS s1 FROM r)
-SELECT sid, n, round(sqrt(greatest(n * spread - 2 * (s0 + s1 + CASE WHEN s0 * s1 > 0 THEN det / (s0 * s1) ELSE 0 END), 0) / n), 3) AS rms FROM l""")
+SELECT sid, n, round(sqrt(greatest(n * spread - 2 * (s0 + s1 + CASE WHEN s0 * s1 > 0 THEN det / (s0 * s1) ELSE 0 END), 0) / n), 2) AS rms FROM l""")
 def rigid_fit(spark: SparkSession, d: str) -> DataFrame:
     curves = P.curves_from_events(spark, d)
     other = curves.select((F.col("sid") - 1).alias("sid"), "k", *(F.col(f"p{i}").alias(f"b{i}") for i in range(3)))
     pairs = curves.select("sid", "k", *(F.col(f"p{i}").alias(f"a{i}") for i in range(3))).join(other, ["sid", "k"])
-    return signals.rigid_fit(pairs, "sid").select("sid", "n", F.round("rms", 3).alias("rms"))
+    return signals.rigid_fit(pairs, "sid").select("sid", "n", F.round("rms", 2).alias("rms"))
 
 
 @_query()
