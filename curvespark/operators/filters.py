@@ -7,7 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curvespark.operators.signals import symmetric_eigen
+from curvespark.plans.lineage import stored
+
 AXES = ("z", "y", "x")
+#: A worker keeps the filters' spectra if they take no more bytes than this; else each block computes them.
+_SPECTRA_BYTES = 256 << 20
 
 
 def hemisphere(n: int) -> np.ndarray:
@@ -40,16 +45,34 @@ def _dense(rows: pd.DataFrame, block: tuple[int, ...], edge: int, halo: int) ->
     return cube
 
 
-def structure_tensors(volume: DataFrame, directions: int = 128, sigma: float = 7.0, frequency: float = 0.05, reach: int = 21, edge: int = 64) -> DataFrame:
+def wrapped(volume: DataFrame, sizes: dict[str, int], halo: int) -> DataFrame:
+    """The volume with copies of what lies within ``halo`` of either end of an axis beyond its other end, for each axis of ``sizes``: volumes that close on themselves there."""
+    out = volume
+    for a, n in sizes.items():
+        shifts = F.array_compact(F.array(F.lit(0), F.when(F.col(a) < halo, F.lit(n)), F.when(F.col(a) >= n - halo, F.lit(-n))))
+        out = out.withColumn(a, F.explode(F.transform(shifts, lambda s: (F.col(a) + s).cast("int"))))  # noqa: B023  used at once
+    return out
+
+
+def structure_tensors(volume: DataFrame, directions: int = 128, sigma: float = 7.0, frequency: float = 0.05, reach: int = 21, edge: int = 64, wrap: dict[str, int] | None = None) -> DataFrame:
     """``(sample, z, y, x, xx, xy, xz, yy, yz, zz, energy)`` of each voxel that isn't empty: the filters' squared responses times their directions' outer products, and the sum of their sizes.
 
-    What lies outside the volume is zero. A block of ``edge`` voxels a side and its halo is what one task holds.
+    What lies outside the volume is zero, but along the axes of ``wrap`` (with their lengths) the volume closes on itself. A block of ``edge`` voxels a side and its
+    halo is what one task holds; the filters' spectra are computed once in a task's worker.
     """
-    bank = hemisphere(directions)
+    spectra: list[np.ndarray] = []
+
+    def bank() -> list[np.ndarray]:
+        if not spectra:
+            size = (edge + 4 * reach,) * 3
+            spectra.extend(np.fft.fftn(gabor_kernel(d, sigma, frequency, reach), size).astype(np.complex64) if directions * np.prod(size) * 8 <= _SPECTRA_BYTES else None for d in hemisphere(directions))
+        return spectra
 
     def rule(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         block = tuple(int(b) for b in key[1:])
         inside = np.logical_and.reduce([(rows[a] >= b * edge) & (rows[a] < (b + 1) * edge) for a, b in zip(AXES, block, strict=True)])
+        for a, n in (wrap or {}).items():
+            inside &= (rows[a] >= 0) & (rows[a] < n)
         own = rows[inside]
         if own.empty:
             return pd.DataFrame({c: np.zeros(0, np.int32 if c in AXES else float) for c in names}).astype({"sample": object})
@@ -58,31 +81,70 @@ def structure_tensors(volume: DataFrame, directions: int = 128, sigma: float = 7
         spectrum = np.fft.fftn(cube, size)
         at = [own[a].to_numpy() - b * edge + 2 * reach for a, b in zip(AXES, block, strict=True)]
         sums, energy = np.zeros((6, len(own))), np.zeros(len(own))
-        for d in bank:
-            answer = np.fft.ifftn(spectrum * np.fft.fftn(gabor_kernel(d, sigma, frequency, reach), size))[at[0], at[1], at[2]]
-            power = np.abs(answer) ** 2
+        for d, known in zip(hemisphere(directions), bank(), strict=True):
+            filtered = known if known is not None else np.fft.fftn(gabor_kernel(d, sigma, frequency, reach), size)
+            power = np.abs(np.fft.ifftn(spectrum * filtered)[at[0], at[1], at[2]]) ** 2
             energy += np.sqrt(power)
             sums += power * np.array([d[0] * d[0], d[0] * d[1], d[0] * d[2], d[1] * d[1], d[1] * d[2], d[2] * d[2]])[:, None]
         return pd.DataFrame({"sample": key[0]} | {a: own[a].to_numpy() for a in AXES} | dict(zip(names[4:10], sums, strict=True)) | {"energy": energy}, columns=names)
 
     names = ["sample", "z", "y", "x", "xx", "xy", "xz", "yy", "yz", "zz", "energy"]
     kind = volume.schema["sample"].dataType.simpleString()
-    blocks = with_halo(volume.select("sample", *AXES, "v"), edge, reach)
+    around = wrapped(volume.select("sample", *AXES, "v"), wrap or {}, reach)
+    blocks = with_halo(around, edge, reach)
     return blocks.groupBy("sample", *(f"b_{a}" for a in AXES)).applyInPandas(rule, f"sample {kind}, z int, y int, x int, " + ", ".join(f"{c} double" for c in names[4:]))
 
 
-def gaussian_volume(volume: DataFrame, sigma: float) -> DataFrame:
-    """``(sample, z, y, x, v)`` of each voxel that isn't empty, smoothed with zeros outside; one axis after the other as joins on shifted places, so no task needs a block.
+def gaussian_volume(volume: DataFrame, sigma: float, columns: tuple[str, ...] = ("v",), edge: int = 64) -> DataFrame:
+    """``(sample, z, y, x, ...)`` of each voxel that isn't empty, its ``columns`` smoothed one axis after the other with zeros outside.
 
-    The first two axes also fill empty voxels within reach, which the next ones need.
+    The window is ``int(4 * sigma + 1)`` wide, or one more to be odd. A block of ``edge`` voxels a side and its halo is what one task holds.
     """
-    reach = int(4 * sigma + 0.5)
+    reach = (int(4 * sigma + 1) | 1) // 2
     weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    weights = (weights / weights.sum()).tolist()
-    out = volume.select("sample", *AXES, "v")
-    for axis in AXES:
-        spread = F.explode(F.arrays_zip(F.sequence(F.lit(-reach), F.lit(reach)).alias("i"), F.array(*map(F.lit, weights)).alias("w")))
-        moved = out.withColumn("e", spread)
-        others = [c for c in AXES if c != axis]
-        out = moved.select("sample", *others, (F.col(axis) + F.col("e.i")).alias(axis), (F.col("v") * F.col("e.w")).alias("v")).groupBy("sample", *AXES).agg(F.sum("v").alias("v"))
-    return out.join(volume.select("sample", *AXES), ["sample", *AXES], "left_semi")
+    weights = weights / weights.sum()
+
+    def along(cube: np.ndarray, axis: int) -> np.ndarray:
+        padded = np.pad(cube, [(reach, reach) if a == axis else (0, 0) for a in range(3)])
+        n = cube.shape[axis]
+        return sum(w * np.take(padded, range(k, k + n), axis) for k, w in enumerate(weights))
+
+    def rule(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        block = tuple(int(b) for b in key[1:])
+        own = rows[np.logical_and.reduce([(rows[a] >= b * edge) & (rows[a] < (b + 1) * edge) for a, b in zip(AXES, block, strict=True)])]
+        out = {"sample": [key[0]] * len(own)} | {a: own[a].to_numpy() for a in AXES}
+        low = [int(rows[a].min()) for a in AXES]
+        shape = [int(rows[a].max()) - m + 1 for a, m in zip(AXES, low, strict=True)]
+        place, mine = ([r[a].to_numpy() - m for a, m in zip(AXES, low, strict=True)] for r in (rows, own))
+        for c in columns:
+            cube = np.zeros(shape)
+            if len(own):
+                cube[place[0], place[1], place[2]] = rows[c]
+                for axis in range(3):
+                    cube = along(cube, axis)
+            out[c] = cube[mine[0], mine[1], mine[2]]
+        return pd.DataFrame(out).astype({"sample": object})
+
+    kind = volume.schema["sample"].dataType.simpleString()
+    blocks = with_halo(volume.select("sample", *AXES, *columns), edge, reach)
+    return blocks.groupBy("sample", *(f"b_{a}" for a in AXES)).applyInPandas(rule, f"sample {kind}, z int, y int, x int, " + ", ".join(f"{c} double" for c in columns))
+
+
+TENSOR = ("xx", "xy", "xz", "yy", "yz", "zz")
+
+
+def oriented_cloud(volume: DataFrame, energy: float = 32_000.0, linearity: float = 0.03, sigma: float = 7.0, ratio: float = 1.0, every: int = 1, **bank: object) -> DataFrame:
+    """``(sample, p0..p2, d0..d2, energy, linearity)``: the whole way from a volume to the cloud of the voxels whose filters answer strongly and along a line.
+
+    Structure tensors, smoothed by ``ratio`` times ``sigma`` (rounded, one at least); the direction is that of the least eigenvector, positions and directions are
+    in the order z, y, x. Voxels over both limits stay, of them those whose places are multiples of ``every``. ``bank`` goes to ``structure_tensors``.
+    """
+    tensors = stored(structure_tensors(volume, sigma=sigma, **bank), "tensors")
+    smooth = gaussian_volume(tensors, max(1, round(sigma * ratio)), TENSOR)
+    place = ["sample", *AXES]
+    solved = symmetric_eigen(smooth.withColumn("place", F.struct(*place)), "place")
+    out = solved.select("place.*", "t0", "t1", "t2", "linearity").join(tensors.select(*place, "energy"), place)
+    out = out.where((F.col("energy") > energy) & (F.col("linearity") > linearity))
+    for a in AXES:
+        out = out.where(F.col(a) % every == 0)
+    return out.select("sample", *(F.col(a).cast("double").alias(f"p{k}") for k, a in enumerate(AXES)), F.col("t2").alias("d0"), F.col("t1").alias("d1"), F.col("t0").alias("d2"), "energy", "linearity")

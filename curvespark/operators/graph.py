@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterable
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,119 +121,3 @@ def straight_connection(a: tuple[int, float, float, float], b: tuple[int, float,
     last = F.when(F.col("k") == inner, F.lit(b[0])).otherwise(F.col("k") + first_id)
     chain = spark.range(inner + 1).select(F.col("id").alias("k")).select(F.when(F.col("k") == 0, F.lit(a[0])).otherwise(F.col("k") + first_id - 1).alias("u"), last.alias("v"), F.lit(length / (inner + 1)).alias("w"))
     return points, chain
-
-
-class Tree:
-    """A component's tree, small enough for a task: adjacency with weights, and walks on it."""
-
-    def __init__(self, edges: Iterable[tuple[int, int, float]]) -> None:
-        self.near: dict[int, dict[int, float]] = {}
-        for u, v, w in edges:
-            self.near.setdefault(u, {})[v] = w
-            self.near.setdefault(v, {})[u] = w
-
-    def distances(self, start: int, most_hops: int | None = None, blocked: frozenset[int] = frozenset()) -> tuple[dict[int, float], dict[int, int]]:
-        """Lengths from a node, and each node's predecessor."""
-        far, before, queue = {start: 0.0}, {start: start}, deque([(start, 0)])
-        while queue:
-            node, hops = queue.popleft()
-            if most_hops is not None and hops >= most_hops:
-                continue
-            for other, w in sorted(self.near.get(node, {}).items()):
-                if other not in far and other not in blocked:
-                    far[other], before[other] = far[node] + w, node
-                    queue.append((other, hops + 1))
-        return far, before
-
-    def path(self, a: int, b: int) -> list[int]:
-        """Nodes from ``a`` to ``b``; empty if there is no path."""
-        _, before = self.distances(a)
-        if b not in before:
-            return []
-        out = [b]
-        while out[-1] != a:
-            out.append(before[out[-1]])
-        return out[::-1]
-
-    def diameter(self) -> list[int]:
-        """The longest path: two sweeps from the smallest node; ties go to the smallest node."""
-        if not self.near:
-            return []
-        far, _ = self.distances(min(self.near))
-        a = min(far, key=lambda n: (-far[n], n))
-        far, _ = self.distances(a)
-        return self.path(a, min(far, key=lambda n: (-far[n], n)))
-
-    def peel(self, least: float) -> list[list[int]]:
-        """Longest paths, one after the other, each taken out of the forest, while they are ``least`` long."""
-        out = []
-        pieces = [self]
-        while pieces:
-            tree = pieces.pop()
-            path = tree.diameter()
-            if len(path) < 2 or sum(tree.near[a][b] for a, b in zip(path, path[1:], strict=False)) < least:
-                continue
-            out.append(path)
-            gone = set(path)
-            left = [(u, v, w) for u, vs in tree.near.items() for v, w in vs.items() if u < v and u not in gone and v not in gone]
-            pieces += Tree(left).parts()
-        return sorted(out, key=lambda p: (-len(p), p[0]))
-
-    def parts(self) -> list[Tree]:
-        seen: set[int] = set()
-        out = []
-        for node in sorted(self.near):
-            if node not in seen:
-                own = set(self.distances(node)[0])
-                seen |= own
-                out.append(Tree((u, v, w) for u in own for v, w in self.near[u].items() if u < v))
-        return out
-
-    def subtree_size(self, root: int, branch: int, enough: int) -> int:
-        """Nodes of a branch of ``root``, counted up to ``enough``."""
-        seen, stack = {root, branch}, [branch]
-        while stack and len(seen) <= enough:
-            for other in self.near[stack.pop()]:
-                if other not in seen:
-                    seen.add(other)
-                    stack.append(other)
-        return len(seen) - 1
-
-    def junctions(self, least: int = 20) -> list[int]:
-        """Nodes with three branches or more that each have over ``least`` nodes."""
-        return [n for n, near in sorted(self.near.items()) if len(near) >= 3 and sum(self.subtree_size(n, b, least + 1) > least for b in near) >= 3]
-
-
-def per_component(edges: DataFrame, components: DataFrame, rule: Callable[[int, Tree], pd.DataFrame], schema: str) -> DataFrame:
-    """``rule`` of each component's tree; a component is what one task holds."""
-    named = edges.join(components.select(F.col("id").alias("u"), "component"), "u").select("component", "u", "v", "w")
-
-    def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return rule(int(key[0]), Tree(zip(rows["u"].tolist(), rows["v"].tolist(), rows["w"].tolist(), strict=True)))
-
-    return named.groupBy("component").applyInPandas(of, schema)
-
-
-def diameter_paths(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """``(component, k, id)``: the nodes of each tree's longest path in order."""
-
-    def rule(component: int, tree: Tree) -> pd.DataFrame:
-        path = tree.diameter()
-        return pd.DataFrame({"component": component, "k": range(len(path)), "id": path}, columns=["component", "k", "id"])
-
-    return per_component(edges, components, rule, "component long, k long, id long")
-
-
-def peeled_paths(edges: DataFrame, components: DataFrame, least: float) -> DataFrame:
-    """``(component, path, k, id)``: longest paths peeled off each tree."""
-
-    def rule(component: int, tree: Tree) -> pd.DataFrame:
-        rows = [(component, n, k, node) for n, path in enumerate(tree.peel(least)) for k, node in enumerate(path)]
-        return pd.DataFrame(rows, columns=["component", "path", "k", "id"])
-
-    return per_component(edges, components, rule, "component long, path long, k long, id long")
-
-
-def junctions(edges: DataFrame, components: DataFrame, least: int = 20) -> DataFrame:
-    """``(component, id)`` of real junctions."""
-    return per_component(edges, components, lambda c, t: pd.DataFrame({"component": c, "id": t.junctions(least)}, columns=["component", "id"]), "component long, id long")

@@ -44,7 +44,7 @@ def symmetric_eigen(tensors: DataFrame, key: str) -> DataFrame:
 
     def solve(batches):  # noqa: ANN001, ANN202
         for rows in batches:
-            v = np.nan_to_num(rows[["xx", "xy", "xz", "yy", "yz", "zz"]].to_numpy(float))
+            v = np.nan_to_num(rows[["xx", "xy", "xz", "yy", "yz", "zz"]].to_numpy(float), posinf=0.0, neginf=0.0)
             m = v[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3) + 1e-8 * np.eye(3)
             values, vectors = np.linalg.eigh(m)
             t = vectors[:, :, 0]
@@ -53,7 +53,7 @@ def symmetric_eigen(tensors: DataFrame, key: str) -> DataFrame:
             yield pd.DataFrame(out | {"linearity": (values[:, 1] - values[:, 0]) / (values[:, 1] + values[:, 0] + 1e-6)})
 
     kind = tensors.schema[key].dataType.simpleString()
-    return tensors.mapInPandas(solve, f"{key} {kind}, l0 double, l1 double, l2 double, t0 double, t1 double, t2 double, linearity double")
+    return tensors.select(key, "xx", "xy", "xz", "yy", "yz", "zz").mapInPandas(solve, f"{key} {kind}, l0 double, l1 double, l2 double, t0 double, t1 double, t2 double, linearity double")
 
 
 def peaks(signal: DataFrame, column: str, height: float, apart: int, most: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curvespark.operators import cloud as C
 from curvespark.operators import curves as V
-from curvespark.operators import edits, files, filters, fitting, geometry, graph, joining, knots, meanshift, noise, rod, signals, volume
+from curvespark.operators import edits, files, filters, fitting, geometry, graph, joining, knots, meanshift, noise, rod, signals, trees, volume
 from curvespark.plans import projections as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,16 +308,22 @@ def mst_edges(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(graph.spanning_forest(_graph(spark, d)[1]))
 
 
-@_query()
+@_query(f"""{COMPONENTS}, e AS (SELECT row_number() OVER (ORDER BY d2, a_id, b_id) AS n, a_id AS u, b_id AS v, sqrt(d2) AS w FROM pairs WHERE a_id < b_id), both_ AS (SELECT n, u, v FROM e UNION ALL SELECT n, v, u FROM e),
+reach AS (SELECT n, v AS goal, u AS at_ FROM e UNION SELECT r.n, r.goal, b.v FROM reach r JOIN both_ b ON b.u = r.at_ AND b.n < r.n WHERE r.at_ <> r.goal), tree AS (SELECT u, v, w FROM e WHERE n NOT IN (SELECT n FROM reach WHERE at_ = goal)),
+arcs AS (SELECT u AS a, v AS b, w FROM tree UNION ALL SELECT v, u, w FROM tree), d1 AS (SELECT component, component AS node, CAST(0 AS DOUBLE) AS d, CAST(-1 AS BIGINT) AS prev FROM l WHERE size > 1 UNION ALL SELECT component, b, d + w, node FROM d1 JOIN arcs ON a = node AND b <> prev),
+a1 AS (SELECT component, node FROM d1 QUALIFY row_number() OVER (PARTITION BY component ORDER BY round(d, 9) DESC, node) = 1),
+d2_ AS (SELECT component, node, CAST(0 AS DOUBLE) AS d, CAST(-1 AS BIGINT) AS prev, [node] AS path FROM a1 UNION ALL SELECT component, b, d + w, node, list_append(path, b) FROM d2_ JOIN arcs ON a = node AND b <> prev),
+b1 AS (SELECT component, path FROM d2_ QUALIFY row_number() OVER (PARTITION BY component ORDER BY round(d, 9) DESC, node) = 1)
+SELECT component, unnest(range(0, len(path))) AS k, unnest(path) AS id FROM b1""")
 def tree_diameter(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark, d)
-    return graph.diameter_paths(graph.spanning_forest(edges), graph.labelled_components(nodes, edges, 2))
+    return trees.longest_paths(graph.spanning_forest(edges), graph.labelled_components(nodes, edges, 2)).select("component", "k", "id")
 
 
 @_query()
 def peel_paths(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark, d)
-    return graph.peeled_paths(graph.spanning_forest(edges), graph.labelled_components(nodes, edges, 2), 1.0)
+    return trees.peeled_paths(graph.spanning_forest(edges), graph.labelled_components(nodes, edges, 2), 1.0)
 
 
 @_query(f"""WITH {CLOUD_EV}, {pairs_sql('cloud', 3.0)}, h AS (SELECT a_id AS id, count(*) AS n3, count(*) FILTER (d2 <= 4) AS n2 FROM pairs GROUP BY a_id) SELECT id FROM h WHERE n3 >= 3 AND n2 < 3""")
@@ -588,13 +594,20 @@ def gabor_tensor(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(found, 2)
 
 
-@_query(f"""WITH {VOLUME}, w AS (SELECT unnest(range(-4, 5)) AS i), n AS (SELECT i, exp(-0.5 * i ^ 2) / (SELECT sum(exp(-0.5 * i ^ 2)) FROM w) AS g FROM w),
+@_query(f"""WITH {VOLUME}, w AS (SELECT unnest(range(-2, 3)) AS i), n AS (SELECT i, exp(-0.5 * i ^ 2) / (SELECT sum(exp(-0.5 * i ^ 2)) FROM w) AS g FROM w),
 a AS (SELECT sample, z + i AS z, y, x, sum(v * g) AS v FROM vol, n GROUP BY 1, 2, 3, 4), b AS (SELECT sample, z, y + i AS y, x, sum(v * g) AS v FROM a, n GROUP BY 1, 2, 3, 4), c AS (SELECT sample, z, y, x + i AS x, sum(v * g) AS v FROM b, n GROUP BY 1, 2, 3, 4)
 SELECT sample, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(c.v, 2) AS v FROM c SEMI JOIN vol USING (sample, z, y, x)""")
 def gaussian_volume(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(filters.gaussian_volume(P.volume_from_lines(spark, d), 1.0), 2)
 
 
+@_query()
+def volume_cloud(spark: SparkSession, d: str) -> DataFrame:
+    """From the volume to the oriented cloud, by a small bank of filters."""
+    found = filters.oriented_cloud(P.volume_from_lines(spark, d), energy=1000.0, linearity=0.01, sigma=1.0, directions=8, frequency=0.2, reach=3, edge=16)
+    return _rounded(found, 3)
+
+
 @_query()
 def slice_radii(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(volume.slice_radii(P.volume_from_lines(spark, d)))

@@ -279,3 +279,57 @@ def test_numbers_hold_however_a_scan_is_split(spark, tmp_path):
         assert {r.id: r.row for r in table.select("id", "row").collect()} == before and len(set(before.values())) == 20_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def brute_tensors(v, directions, sigma, frequency, reach, wrap):
+    """Responses by direct sums over the kernel."""
+    from curvespark.operators import filters
+
+    out, energy = np.zeros((*v.shape, 6)), np.zeros(v.shape)
+    padded = np.pad(np.pad(v, [(reach, reach) if a in wrap else (0, 0) for a in range(3)], mode="wrap"), [(0, 0) if a in wrap else (reach, reach) for a in range(3)])
+    for d in filters.hemisphere(directions):
+        kernel = filters.gabor_kernel(d, sigma, frequency, reach)
+        answer = np.zeros(v.shape, complex)
+        for i, j, k in itertools.product(range(2 * reach + 1), repeat=3):
+            answer += kernel[2 * reach - i, 2 * reach - j, 2 * reach - k] * padded[i : i + v.shape[0], j : j + v.shape[1], k : k + v.shape[2]]
+        power = np.abs(answer) ** 2
+        energy += np.sqrt(power)
+        out += power[..., None] * np.array([d[0] * d[0], d[0] * d[1], d[0] * d[2], d[1] * d[1], d[1] * d[2], d[2] * d[2]])
+    return out, energy
+
+
+@pytest.mark.parametrize("wrap", [{}, {"z": 9, "x": 8}])
+def test_structure_tensors_in_blocks(spark, wrap):
+    from curvespark.operators import filters
+
+    v = np.random.default_rng(2).uniform(1, 2, (9, 10, 8))
+    frame = spark.createDataFrame([("s", *map(int, i), float(v[i])) for i in np.ndindex(*v.shape)], "sample string, z int, y int, x int, v double")
+    want, energy = brute_tensors(v, 4, 1.0, 0.2, 2, [a for a, n in enumerate("zyx") if n in wrap])
+    got = filters.structure_tensors(frame, 4, 1.0, 0.2, 2, edge=4, wrap=wrap).collect()
+    assert len(got) == v.size
+    for r in got:
+        assert np.allclose([r[c] for c in filters.TENSOR], want[r.z, r.y, r.x], rtol=1e-4, atol=1e-6) and abs(r.energy - energy[r.z, r.y, r.x]) < 1e-3 * energy.max()
+
+
+def test_gaussian_volume_in_blocks(spark):
+    from curvespark.operators import filters
+
+    v = np.random.default_rng(3).uniform(0, 1, (7, 9, 11))
+    frame = spark.createDataFrame([("s", *map(int, i), float(v[i])) for i in np.ndindex(*v.shape)], "sample string, z int, y int, x int, v double")
+    weights = np.exp(-0.5 * (np.arange(-3, 4) / 1.5) ** 2)
+    weights /= weights.sum()
+    want = v
+    for axis in range(3):
+        want = np.apply_along_axis(lambda line: np.convolve(line, weights, "same"), axis, want)
+    for edge in (4, 64):
+        got = filters.gaussian_volume(frame, 1.5, edge=edge).collect()
+        assert len(got) == v.size and all(abs(r.v - want[r.z, r.y, r.x]) < 1e-12 for r in got)
+
+
+def test_a_rod_becomes_a_cloud_along_it(spark):
+    from curvespark.operators import filters
+
+    rows = [("s", z, y, x, 100.0 * math.exp(-((z - 8) ** 2 + (y - 8) ** 2) / 4)) for z in range(4, 13) for y in range(4, 13) for x in range(24)]
+    frame = spark.createDataFrame(rows, "sample string, z int, y int, x int, v double")
+    cloud = filters.oriented_cloud(frame, energy=20.0, linearity=0.03, sigma=2.0, directions=32, frequency=0.15, reach=5, edge=16).where("p2 between 6 and 17 and abs(p0 - 8) <= 1 and abs(p1 - 8) <= 1").collect()
+    assert len(cloud) > 20 and all(abs(r.d2) > 0.9 for r in cloud)

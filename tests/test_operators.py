@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from curvespark.operators import cloud as C
 from curvespark.operators import curves as V
-from curvespark.operators import edits, filters, fitting, geometry, graph, joining, knots, meanshift, noise, rod, signals, volume
+from curvespark.operators import edits, filters, fitting, geometry, graph, joining, knots, meanshift, noise, rod, signals, trees, volume
 from curvespark.operators.components import connected_components
 from curvespark.plans import queries
 from curvespark.sources import arrays
@@ -83,11 +83,64 @@ def test_spanning_forest_weighs_the_least(spark):
     assert math.isclose(sum(r.w for r in tree), total) and len(tree) == 60 - len({root(k) for k in range(60)})
 
 
-def test_trees():
-    line = [(k, k + 1, 1.0) for k in range(10)]
-    tree = graph.Tree([*line, (5, 20, 1.0), (20, 21, 1.0)])
-    assert tree.diameter() == list(range(10, -1, -1)) and tree.path(0, 21) == [0, 1, 2, 3, 4, 5, 20, 21] and tree.peel(0.5)[0] == list(range(10, -1, -1)) and sorted(tree.peel(0.5)[1]) == [20, 21]
-    assert tree.junctions(1) == [5] and tree.junctions(2) == [] and graph.Tree([]).diameter() == []
+def walk_far(near, start):
+    far, before, queue = {start: 0.0}, {start: None}, [start]
+    for node in queue:
+        for other, w in sorted(near[node].items()):
+            if other not in far:
+                far[other], before[other] = far[node] + w, node
+                queue.append(other)
+    return far, before
+
+
+def longest(edges):
+    near = {}
+    for u, v, w in edges:
+        near.setdefault(u, {})[v] = w
+        near.setdefault(v, {})[u] = w
+    seen, out = set(), []
+    for root in sorted(near):
+        if root in seen:
+            continue
+        far, _ = walk_far(near, root)
+        seen |= set(far)
+        a = min(far, key=lambda n: (-round(far[n], 9), n))
+        far, before = walk_far(near, a)
+        b = min(far, key=lambda n: (-round(far[n], 9), n))
+        path = [b]
+        while path[-1] != a:
+            path.append(before[path[-1]])
+        out.append((root, path[::-1], far[b], set(far)))
+    return out
+
+
+def peel(edges, least):
+    out, pieces = {}, [(root, [e for e in edges if e[0] in own]) for root, _, _, own in longest(edges)]
+    while pieces:
+        whole, left = pieces.pop()
+        for _, path, length, own in longest(left):
+            if length >= least:
+                out.setdefault(whole, []).append(path)
+                pieces.append((whole, [e for e in left if e[0] in own and not {e[0], e[1]} & set(path)]))
+    return {k: sorted(v, key=lambda p: (-len(p), p[0])) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_longest_paths_of_forests(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges = [(int(rng.integers(max(0, k - 6), k)), k, float(rng.integers(1, 4)) / 4) for k in range(1, 45)]
+    edges += [(a + 200, b + 200, w) for a, b, w in edges[:25]] + [(300 + k, 301 + k, 1.0) for k in range(20)] + [(500, 501, 0.0)]
+    frame = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in edges], "u long, v long, w double")
+    pieces = connected_components(frame).withColumnRenamed("node", "id")
+    got = {}
+    for r in trees.longest_paths(frame, pieces).orderBy("component", "k").collect():
+        got.setdefault(r.component, []).append(r.id)
+    assert got == {root: path for root, path, _, _ in longest(edges)}
+    peeled = {}
+    for r in trees.peeled_paths(frame, pieces, 2.0).orderBy("component", "path", "k").collect():
+        peeled.setdefault(r.component, {}).setdefault(r.path, []).append(r.id)
+    assert {c: list(p.values()) for c, p in peeled.items()} == peel(edges, 2.0)
+    assert trees.longest_paths(frame.limit(0), pieces).count() == 0 == trees.peeled_paths(frame.limit(0), pieces, 0.5).count()
 
 
 def test_straight_connection(spark):
@@ -105,7 +158,7 @@ def test_mean_shift_thins_a_tube(spark):
     one = meanshift.shift_step(cloud, 4.0, meanshift.ShiftParameters(turn=False)).orderBy("id").toPandas()
     assert np.abs(one.p0 - p[:, 0]).max() < 1e-9
     assert meanshift.mean_shift(cloud.limit(0), meanshift.ShiftParameters(steps=1)).count() == 0
-    assert meanshift.ablated(meanshift.ShiftParameters(), "no_lock").weight == 0.0
+    assert meanshift.ablated(meanshift.ShiftParameters(), "without_lock").weight == 0.0
 
 
 def test_springs_keep_the_centre(spark):
