@@ -139,7 +139,7 @@ def fit_curves(curves: DataFrame, smooth: float = 1.5, spacing: float = 1.0) ->
 
 
 def without_repeats(curves: DataFrame, near: float = 6.0, share: float = 0.6) -> DataFrame:
-    """Curves less those of which ``share`` or more of the points lie within ``near`` of longer curves that stay.
+    """Curves less those of which ``share`` or more of the points lie nearer than ``near`` to longer curves that stay.
 
     Curves are taken longest first (ties: the smaller id). In each round, all curves whose longer neighbours are decided are decided at once, so the rounds follow the longest
     chain of neighbours and not the number of curves.
@@ -147,7 +147,7 @@ def without_repeats(curves: DataFrame, near: float = 6.0, share: float = 0.6) ->
     length = total_length(curves).select("sid", "length")
     points = curves.withColumn("id", F.monotonically_increasing_id())
     points = stored(points.join(length, "sid"), "points")
-    pairs = neighbours(points.select("id", "p0", "p1", "p2", "sid", "length"), near)
+    pairs = neighbours(points.select("id", "p0", "p1", "p2", "sid", "length"), near, inclusive=False)
     longer = (F.col("b_length") > F.col("a_length")) | ((F.col("b_length") == F.col("a_length")) & (F.col("b_sid") < F.col("a_sid")))
     covers = stored(pairs.where((F.col("a_sid") != F.col("b_sid")) & longer).select(F.col("a_sid").alias("sid"), F.col("a_id").alias("id"), F.col("b_sid").alias("over")).distinct(), "covers")
     sizes = points.groupBy("sid").agg(F.count("*").alias("n"))

@@ -103,8 +103,8 @@ def _tops(hang: DataFrame) -> DataFrame:
         now._stored_at = after._stored_at
 
 
-def peeled_paths(tree: DataFrame, components: DataFrame, least: float) -> DataFrame:
-    """``(component, path, k, id)``: the longest path of each tree, then those of what is left of it without that path, and so on, while they have two nodes and are ``least`` long.
+def peeled_paths(tree: DataFrame, components: DataFrame, least: float, least_nodes: int = 2) -> DataFrame:
+    """``(component, path, k, id)``: the longest path of each tree, then those of what is left of it without that path, and so on, while they have ``least_nodes`` nodes and are ``least`` long.
 
     All pieces of all trees lose a path in a round. Paths are numbered by their nodes, the most first, then by their first node.
     """
@@ -112,11 +112,12 @@ def peeled_paths(tree: DataFrame, components: DataFrame, least: float) -> DataFr
     taken = None
     while not left.isEmpty():
         pieces = stored(connected_components(left, "u", "v").withColumnRenamed("node", "id"), "pieces")
-        paths = longest_paths(left, pieces).where(F.col("length") >= least)
+        paths = longest_paths(left, pieces).withColumn("n", F.count("*").over(Window.partitionBy("component")))
+        paths = paths.where((F.col("length") >= least) & (F.col("n") >= least_nodes))
         gone = paths.select("component").distinct()
         wholes = left.select(F.col("u").alias("id"), "whole").distinct()
         first = F.min_by("id", "k").over(Window.partitionBy("component"))
-        made = paths.withColumns({"first": first, "n": F.count("*").over(Window.partitionBy("component"))})
+        made = paths.withColumn("first", first)
         made = stored(made.join(pieces.select("id", "component"), ["id", "component"]).join(_whole(wholes, left), "id").select("whole", "component", "first", "n", "k", "id"), "peeled")
         taken = made if taken is None else taken.union(made)
         live = left.join(pieces.select(F.col("id").alias("u"), "component").join(gone, "component"), "u").select("u", "v", "w", "whole")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curvespark.operators import cloud as C
 from curvespark.operators import curves as V
-from curvespark.operators import graph, junctions, records, shapes
+from curvespark.operators import assembly, graph, junctions, records, shapes
 from curvespark.plans import projections as P
 from curvespark.plans.queries import CLOUD_EV, CURVE, _query, _rounded, pairs_sql
 
@@ -229,6 +229,14 @@ def piece_correspondences(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(shapes.correspondences(pieces), 3)
 
 
+@_query()
+def component_curves(spark: SparkSession, d: str) -> DataFrame:
+    """Curves along the spanning forest of the cloud."""
+    cloud, tree = _forest(spark, d)
+    curves, names = assembly.component_curves(cloud, tree, 8, 1.5, 2.0, 120.0, 5.0, 2.0, 0.6)
+    return _rounded(curves.join(names, "sid").select("component", "sid", "k", "p0", "p1", "p2"), 3)
+
+
 # --- records ----------------------------------------------------------------------
 
 

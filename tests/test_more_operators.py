@@ -333,3 +333,50 @@ def test_a_rod_becomes_a_cloud_along_it(spark):
     frame = spark.createDataFrame(rows, "sample string, z int, y int, x int, v double")
     cloud = filters.oriented_cloud(frame, energy=20.0, linearity=0.03, sigma=2.0, directions=32, frequency=0.15, reach=5, edge=16).where("p2 between 6 and 17 and abs(p0 - 8) <= 1 and abs(p1 - 8) <= 1").collect()
     assert len(cloud) > 20 and all(abs(r.d2) > 0.9 for r in cloud)
+
+
+def test_two_strands_become_two_curves(spark):
+    from curvespark.operators import assembly
+
+    rng = np.random.default_rng(6)
+    t = np.arange(0, 60, 1.0)
+    strands = [np.stack([t, 5 * np.sin(t / 10), 0 * t], 1), np.stack([t, 30 + 0 * t, t / 5], 1)]
+    points = np.concatenate([s + rng.normal(0, 0.1, s.shape) for s in strands] + [np.array([[200.0, 200, 200], [201, 200, 200]])])
+    cloud = cloud_of(spark, points)
+    tree = graph.spanning_forest(graph.proximity_edges(cloud, 2.5))
+    curves, names = assembly.component_curves(cloud, tree, 10, 0.04, 1.0)
+    rows = curves.collect()
+    assert {r.sid for r in rows} == {0, 1} and {(r.sid, r.component) for r in names.collect()} == {(0, 0), (1, 60)}
+    for sid, strand in enumerate(strands):
+        own = np.array([(r.p0, r.p1, r.p2) for r in sorted(rows, key=lambda r: r.k) if r.sid == sid])
+        assert len(own) > 50 and np.sqrt(((own[:, None] - strand[None]) ** 2).sum(2)).min(1).max() < 1.0
+    alone, _ = assembly.component_curves(cloud, tree.where("u < 60"), 10, 0.04, 1.0)
+    assert alone.select("sid").distinct().count() == 1
+
+
+def test_combinations_with_loops(spark):
+    from curvespark.operators import assembly
+
+    joins = [
+        (0, 1, 1, 2, 0), (0, 2, 1, 3, 0),  # a chain of three
+        (1, 1, 1, 2, 0), (1, 2, 1, 1, 0),  # two curves in a ring
+        (2, 1, 0, 1, 1),  # a curve closed on itself
+        (3, 1, 0, 2, 0), (3, 3, 1, 4, 1),  # two pairs
+        (4, 1, 0, 2, 0), (4, 3, 0, 3, 1),  # a pair, and a closed one
+    ]
+    got = {r.combo: r.loops for r in assembly.endpoint_loops(spark.createDataFrame(joins, "combo int, a int, a_end int, b int, b_end int")).collect()}
+    assert got == {0: False, 1: True, 2: True, 3: False, 4: True}
+
+
+def test_stages_are_run_once(spark, tmp_path):
+    from curvespark.operators import assembly
+
+    ran = []
+
+    def stage(name, f):
+        return name, lambda df: ran.append(name) or f(df)
+
+    stages = [stage("double", lambda df: df.withColumn("id", F.col("id") * 2)), stage("drop", lambda df: df.where("id > 2"))]
+    for _ in range(2):
+        assert sorted(r.id for r in assembly.run_stages(spark, spark.range(4).toDF("id"), stages, f"file://{tmp_path}/s").collect()) == [4, 6]
+    assert ran == ["double", "drop"]
