@@ -20,6 +20,8 @@ MAX_DISTANCE = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Above so many distinct fingerprints, a variant also carries one of five pieces of the other segments, one of which is equal.
 REFINE_ABOVE = 8_000_000
+#: Places in which a large group's fingerprints meet what its group is called.
+SALTS = 16
 _CHUNK = 1 << 16
 
 
@@ -129,8 +131,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = stored(fingerprints(docs, {"doc_id": id_col}, text_col), "fingerprints")
     groups = link_fingerprints(prints)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(groups, "fp")
-    smallest = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = least.join(smallest, "component").select("fp", "component_id")
+    smallest = stored(least.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
+    # a group's other fingerprints, maybe a third of all, meet its smallest id in several places
+    alone = least.where("fp = component").join(smallest, "component").select("fp", "component_id")
+    spread = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    others = least.where("fp <> component").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    names = alone.union(others.join(spread, ["component", "salt"]).select("fp", "component_id"))
     return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
