@@ -34,6 +34,12 @@ def tables_for(n: int) -> tuple[int, int]:
     return hashes, math.ceil(math.log(_MISSED) / math.log(1 - _NEAR**hashes))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; they are scaled by their largest part first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _signer(hashes: int, tables: int, width: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     mix = np.cumprod(np.full(hashes, 0x9E3779B97F4A7C15, np.uint64))
@@ -48,7 +54,7 @@ def _signer(hashes: int, tables: int, width: float) -> Callable[[Iterator[pa.Rec
                     rng = np.random.default_rng((_SEED, d))
                     drawn[d] = rng.standard_normal((d, hashes * tables)), rng.uniform(0, width, hashes * tables)
                 directions, shift = drawn[d]
-                cells = np.floor((v / np.linalg.norm(v) @ directions + shift) / width).astype(np.int64).astype(np.uint64)
+                cells = np.floor((_unit(v[None])[0] @ directions + shift) / width).astype(np.int64).astype(np.uint64)
                 runs = cells.reshape(tables, hashes) * mix
                 runs ^= runs >> np.uint64(31)
                 signs.append((runs * np.uint64(0xFF51AFD7ED558CCD)).sum(1).view(np.int64).tolist())
@@ -63,8 +69,7 @@ def _compare(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     def links(rows: pa.Table) -> Iterator[tuple[int, int, int]]:
         ids = rows.column("class").to_numpy()
         table, first, second = (rows.column(c)[0].as_py() for c in ("table", "first", "second"))
-        x = np.array(rows.column("vector").to_pylist(), float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(np.array(rows.column("vector").to_pylist(), float))
         copies, signs, block = rows.column("copies").to_numpy(), np.array(rows.column("signs").to_pylist()), rows.column("block").to_numpy()
         a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
         near = x[a] @ x[b].T >= least
