@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -126,6 +127,40 @@ def test_simhash_groups_and_keep(spark, tmp_path):
     assert simhash.simhash_groups(docs.limit(0)).count() == 0 == simhash.keep_one_of_each_group(docs.limit(0)).count()
 
 
+def test_simhash_of_whole_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    prints = {r.doc_id: simhash.simhash(r.text) for r in docs.collect()}
+    groups = brute_groups(sorted(set(prints.values())))
+    least = {}
+    for k, p in prints.items():
+        least[groups[p]] = min(least.get(groups[p], k), k)
+    got = simhash.simhash_groups(docs).collect()
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(k, f"{p:016x}", least[groups[p]]) for k, p in prints.items()} and len(got) == len(prints)
+
+
+def test_toxicity_on_labels_that_it_has_not_seen(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    unseen = toxicity.held_out()
+    model = toxicity.fit(docs, labels.where(~unseen))
+    held = labels.where(unseen & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    rows = toxicity.with_scores(docs.join(F.broadcast(held), "doc_id").select("doc_id", "text", "toxic"), model).collect()
+    hit = sum(r.score >= toxicity.THRESHOLD and r.toxic == 1 for r in rows)
+    assert len(rows) > 500 and hit >= 0.95 * sum(r.score >= toxicity.THRESHOLD for r in rows) and hit >= 0.9 * sum(r.toxic for r in rows)
+
+
+def test_toxicity_of_long_tokens_takes_linear_time(spark):
+    model = toxicity.character_model(spark.createDataFrame([("the house stands near the river",)], "text string"))
+    start = time.process_time()
+    assert len(toxicity.decode("a1" * 50_000, model)) > 50_000 and len(toxicity.restore("1d10t " + "x" * 300_000, model)) > 5
+    assert time.process_time() - start < 30
+
+
+def test_toxicity_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "you idiot"), (1, "you idiot"), (1, "fine")] * 10 + [(k, "fine words") for k in range(2, 50)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(k, int(k == 1)) for k in range(1, 50)], "doc_id long, toxic int"))
+    assert 0 <= model.score("you idiot") <= 1
+
+
 def test_toxicity_restores_and_scores(spark):
     rng = np.random.default_rng(5)
     clean = ["the house stands near the river", "a letter came this morning", "they planted trees along the road", "idle words and idioms are not idiotic things", "people read stories about stupor and stupas"]

@@ -251,6 +251,13 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert all(got[i].component_id in group for i in group) and embeddings.near_duplicate_vectors(frame.limit(0)).count() == 0
 
 
+def test_embeddings_of_extreme_lengths(spark):
+    base = [0.3, -0.5, 0.2, 0.7]
+    rows = [(k, [x * 10.0**e for x in base]) for k, e in enumerate((0, 200, -200, 300, -300))] + [(9, [1e200, 0.0, 0.0, 0.0])]
+    got = {r.vec_id: r for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), label_col=None).collect()}
+    assert all(got[k].n_links == 4 and got[k].component_id == 0 for k in range(5)) and got[9].n_links == 0
+
+
 def test_tokens_against_the_library(spark):
     import public_tokenizers as P
     import tiktoken
