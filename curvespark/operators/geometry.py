@@ -22,6 +22,15 @@ def hemisphere_directions(spark: SparkSession, n: int = 128) -> DataFrame:
     return spark.range(n).select("id", (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"), z.alias("z"))
 
 
+def nearest_direction(cloud: DataFrame, n: int = 128) -> DataFrame:
+    """``(id, direction, lean)``: of ``n`` directions of the hemisphere the one that each point's direction leans to most, either way round (ties: the first); points without a direction are left out."""
+    bank = hemisphere_directions(cloud.sparkSession, n).withColumnRenamed("id", "direction")
+    lean = F.abs(F.col("d0") * F.col("x") + F.col("d1") * F.col("y") + F.col("d2") * F.col("z"))
+    rows = cloud.where("d0 * d0 + d1 * d1 + d2 * d2 > 1e-16").select("id", "d0", "d1", "d2").join(F.broadcast(bank), F.lit(True))  # ``n`` rows
+    best = F.max(F.struct(F.round(lean, 9).alias("lean"), (-F.col("direction")).alias("m"))).alias("b")
+    return rows.groupBy("id").agg(best).select("id", (-F.col("b.m")).alias("direction"), F.col("b.lean").alias("lean"))
+
+
 def frames(curves: DataFrame) -> DataFrame:
     """Rotation-minimising frames: ``t*`` tangent, ``n*`` and ``b*`` across it, carried from point to point by double reflection.
 

@@ -52,6 +52,11 @@ def bandwidth(step: int, p: ShiftParameters) -> float:
     return p.first if p.steps < 2 else p.first * (p.last / p.first) ** (step / (p.steps - 1))
 
 
+def bandwidth_at(step: Column, p: ShiftParameters) -> Column:
+    """The same for a column of steps."""
+    return F.lit(p.first) if p.steps < 2 else p.first * F.pow(F.lit(p.last / p.first), step / (p.steps - 1))
+
+
 def _kernel(bw: float, p: ShiftParameters) -> tuple[Column, Column]:
     """The weight of a pair, and the neighbour's offset along the point's direction."""
     along = sum(((F.col(f"b_p{k}") - F.col(f"a_p{k}")) * F.col(f"a_d{k}") for k in AXES[1:]), (F.col("b_p0") - F.col("a_p0")) * F.col("a_d0"))

@@ -233,7 +233,7 @@ def piece_correspondences(spark: SparkSession, d: str) -> DataFrame:
 def component_curves(spark: SparkSession, d: str) -> DataFrame:
     """Curves along the spanning forest of the cloud."""
     cloud, tree = _forest(spark, d)
-    curves, names = assembly.component_curves(cloud, tree, 8, 1.5, 2.0, 120.0, 5.0, 2.0, 0.6)
+    curves, names = assembly.component_curves(cloud, tree, 5, 1.5, 2.0, 180.0, 2.0, 1.0, 0.9)
     return _rounded(curves.join(names, "sid").select("component", "sid", "k", "p0", "p1", "p2"), 3)
 
 

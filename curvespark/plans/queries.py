@@ -203,11 +203,11 @@ def meanshift_dirs(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(meanshift.shift_step(P.cloud_from_events(spark, d), BW).select("id", "d0", "d1", "d2"), 5)
 
 
-@_query("SELECT CAST(i AS BIGINT) AS step, n_name, round(30.0 * (10.0 / 30.0) ** (i / 24.0), 9) AS bw FROM (SELECT n_nationkey AS i, n_name FROM nation)")
+@_query(f"WITH {CLOUD_EV} SELECT id, CAST(id % 25 AS BIGINT) AS step, round(30.0 * (10.0 / 30.0) ** ((id % 25) / 24.0), 9) AS bw FROM cloud")
 def bandwidth_schedule(spark: SparkSession, d: str) -> DataFrame:
-    p = meanshift.ShiftParameters(steps=25)
-    table = F.create_map(*(x for k in range(p.steps) for x in (F.lit(k), F.lit(meanshift.bandwidth(k, p)))))
-    return P.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("step"), "n_name", F.round(table[F.col("n_nationkey").cast("int")], 9).alias("bw"))
+    """The bandwidth at the step that each point is at."""
+    rows = P.cloud_from_events(spark, d).select("id", (F.col("id") % 25).cast("long").alias("step"))
+    return rows.withColumn("bw", F.round(meanshift.bandwidth_at(F.col("step"), meanshift.ShiftParameters(steps=25)), 9))
 
 
 @_query(f"""WITH {CLOUD_EV}, {pairs_sql('cloud', RADIUS)}, e AS (SELECT a_id AS a, b_id AS b, sqrt(d2) AS len, {', '.join(f'b_p{k} - a_p{k} AS e{k}' for k in range(3))} FROM pairs WHERE a_id < b_id AND d2 > 0 AND ({_LEAN('a')} OR {_LEAN('b')})),
@@ -558,10 +558,11 @@ def tube_faces(spark: SparkSession, d: str) -> DataFrame:
     return geometry.tube_faces(P.curves_from_events(spark, d), 6)
 
 
-@_query("SELECT CAST(i AS BIGINT) AS id, n_name, round(sqrt(1 - z * z) * cos(a), 6) + 0.0 AS x, round(sqrt(1 - z * z) * sin(a), 6) + 0.0 AS y, round(z, 6) AS z FROM (SELECT n_nationkey AS i, n_name, (n_nationkey + 0.5) / 25 AS z, 2 * pi() * n_nationkey / ((1 + sqrt(5)) / 2) AS a FROM nation)")
+@_query(f"""WITH {CLOUD_EV}, dirs AS (SELECT i AS direction, sqrt(1 - ((i + 0.5) / 25) ^ 2) * cos(2 * pi() * i / ((1 + sqrt(5)) / 2)) AS x, sqrt(1 - ((i + 0.5) / 25) ^ 2) * sin(2 * pi() * i / ((1 + sqrt(5)) / 2)) AS y, (i + 0.5) / 25 AS z FROM (SELECT unnest(range(0, 25)) AS i))
+SELECT id, CAST(direction AS BIGINT) AS direction, round(lean, 6) AS lean FROM (SELECT id, direction, round(abs(d0 * x + d1 * y + d2 * z), 9) AS lean FROM cloud, dirs) QUALIFY row_number() OVER (PARTITION BY id ORDER BY lean DESC, direction) = 1""")
 def fibonacci_dirs(spark: SparkSession, d: str) -> DataFrame:
-    names = P.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_name")
-    return _rounded(geometry.hemisphere_directions(spark, 25).join(names, "id"))
+    """The direction of the bank that each point leans to."""
+    return _rounded(geometry.nearest_direction(P.cloud_from_events(spark, d), 25))
 
 
 KB = f"""WITH {CURVE}, e AS (SELECT sid, k, {', '.join(f'p{i} - lag(p{i}) OVER o AS e{i}, lead(p{i}) OVER o - p{i} AS g{i}' for i in range(3))} FROM curve WINDOW o AS (PARTITION BY sid ORDER BY k)),
