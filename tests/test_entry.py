@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -22,7 +23,7 @@ def sql():
 
 def plain(df):
     df = df[sorted(df.columns)]
-    tidy = lambda v: None if v is None or isinstance(v, float) and math.isnan(v) else f"{v:.6g}" if isinstance(v, float) else str(v)
+    tidy = lambda v: None if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v) else f"{v:.6g}" if isinstance(v, float) else str(v)
     return sorted((tuple(map(tidy, r)) for r in df.itertuples(index=False)), key=str)
 
 
