@@ -12,6 +12,7 @@ import hashlib
 import itertools
 import json
 import os
+import re
 import struct
 import uuid
 import zipfile
@@ -83,20 +84,55 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def parse_record(data: bytes) -> dict:
-    """A record's fields; a response's digest and length are those of its payload, which must agree with its headers."""
+    """A record's fields; those that it doesn't have are None. Responses and resources have a payload, whose digest and length must agree with what the record says of them."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-    body = rest[: int(fields["Content-Length"])]
-    kind, digest, size = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
-    payload = body.partition(b"\r\n\r\n")[2] if kind == "response" else None
-    if payload is not None and (len(payload) != size or base32_sha1(payload) != digest):
-        raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    body = rest[: int(fields["content-length"])]
+    kind = fields.get("warc-type", "")
+    digest, size = fields.get("warc-payload-digest"), fields.get("x-payload-length")
+    digest = digest.partition(":")[2] or digest if digest and (digest.lower().startswith("sha1:") or ":" not in digest) else None
+    payload = None
+    if kind in ("response", "resource"):
+        http = fields.get("content-type", "").lower().startswith("application/http")
+        payload = body.partition(b"\r\n\r\n")[2] if http else body
+        if size is not None and len(payload) != int(size) or digest is not None and base32_sha1(payload) != digest.upper():
+            raise ValueError(f"damaged record {fields.get('warc-record-id')}")
     number = lambda k: int(fields[k]) if k in fields else None
-    url = fields.get("WARC-Target-URI")
-    return {"page_id": number("X-Page-ID"), "url": None if url is None else _unline(url), "record_type": kind, "payload_digest": digest, "payload_bytes": size, "refers_to": number("X-Refers-To-Page-ID"), "payload": payload}
+    url = fields.get("warc-target-uri")
+    own = "x-payload-length" in fields  # written here, and so its address is escaped
+    return {
+        "page_id": number("x-page-id"),
+        "url": None if url is None else _unline(url) if own else url.strip("<>"),
+        "record_type": kind,
+        "payload_digest": base32_sha1(payload) if payload is not None else digest,
+        "payload_bytes": len(payload) if payload is not None else number("x-payload-length"),
+        "refers_to": number("x-refers-to-page-id"),
+        "payload": payload,
+    }
+
+
+def split_records(data: bytes) -> Iterator[bytes]:
+    """The records of a run of bytes, plain or each in a gzip stream of its own."""
+    while data.strip(b"\r\n"):
+        if data[:2] == b"\x1f\x8b":
+            stream = zlib.decompressobj(31)
+            plain = stream.decompress(data) + stream.flush()
+            if not stream.eof:
+                raise ValueError("a record's gzip stream is cut off")
+            yield from split_records(plain)
+            data = stream.unused_data
+            continue
+        data = data.lstrip(b"\r\n")
+        end = data.find(b"\r\n\r\n")
+        size = re.search(rb"(?im)^content-length:[ \t]*(\d+)", data[: max(end, 0)])
+        if end < 0 or size is None:
+            raise ValueError("not a WARC record")
+        stop = end + 4 + int(size[1])
+        yield data[:stop]
+        data = data[stop:]
 
 
 def _files(path: str) -> tuple[pafs.FileSystem, str]:
@@ -114,7 +150,7 @@ class Member:
 
 
 def members(file: pa.NativeFile) -> dict[str, Member]:
-    """Stored members by name, from the end record, the ZIP64 end record where there is one, and the central directory. Compressed members are left out."""
+    """Stored members by name, from the end record, the ZIP64 end record where there is one, and the central directory; a compressed member has no range, so its size is -1."""
     total = file.size()
     tail_at = max(0, total - 65_535 - 22)
     tail = file.read_at(total - tail_at, tail_at)
@@ -151,9 +187,34 @@ def members(file: pa.NativeFile) -> dict[str, Member]:
         if method == 0:
             name_size, extra_size = struct.unpack_from("<HH", file.read_at(30, local), 26)
             out[name] = Member(local + 30 + name_size + extra_size, packed)
+        else:
+            out[name] = Member(local, -1)
     return out
 
 
+def _indexed(file: pa.NativeFile, found: dict[str, Member]) -> dict[str, list[tuple[int, int]]]:
+    """Offsets and lengths of records by member, from the archive's indexes: JSON lines, with or without a sort key before the JSON, plain or gzip."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for name, member in found.items():
+        if not name.startswith("indexes/") or member.size < 0 or name.endswith(".idx"):
+            continue
+        data = file.read_at(member.size, member.start)
+        while data[:2] == b"\x1f\x8b":
+            stream = zlib.decompressobj(31)
+            plain, rest = stream.decompress(data) + stream.flush(), stream.unused_data
+            while rest[:2] == b"\x1f\x8b":
+                stream = zlib.decompressobj(31)
+                plain, rest = plain + stream.decompress(rest) + stream.flush(), stream.unused_data
+            data = plain
+        for line in data.splitlines():
+            if (at := line.find(b"{")) < 0 or b'"offset"' not in line:
+                continue
+            entry = json.loads(line[at:])
+            own = entry.get("filename")
+            out.setdefault(RECORDS if own is None else own if own in found else f"archive/{own}", []).append((int(entry["offset"]), int(entry["length"])))
+    return {name: sorted(set(places)) for name, places in out.items()}
+
+
 def _writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = (b for b in batches if b.num_rows)
@@ -201,20 +262,28 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of whole records, as places in the archive's file."""
+    """Runs of whole records, as places in the archive's file; a member that no index speaks of is one run."""
     for batch in batches:
         for path in batch.column(0).to_pylist():
             files, place = _files(path)
+            starts: list[int] = []
+            lengths: list[int] = []
             with files.open_input_file(place) as file:
                 found = members(file)
-                index = file.read_at(found[INDEX].size, found[INDEX].start)
-            base, starts, lengths = found[RECORDS].start, [], []
-            for entry in map(json.loads, index.splitlines()):
-                if starts and lengths[-1] + entry["length"] <= RANGE_BYTES and starts[-1] + lengths[-1] == base + entry["offset"]:
-                    lengths[-1] += entry["length"]
-                else:
-                    starts.append(base + entry["offset"])
-                    lengths.append(entry["length"])
+                index = _indexed(file, found)
+            for name, member in found.items():
+                if not name.startswith("archive/") or not name.endswith((".warc", ".warc.gz")):
+                    continue
+                if member.size < 0:
+                    raise ValueError(f"{path}: {name} is compressed in the archive, so its records have no ranges")
+                last = -1
+                for offset, length in index.get(name, [(0, member.size)] if member.size else []):
+                    if last == offset and lengths[-1] + length <= RANGE_BYTES:
+                        lengths[-1] += length
+                    else:
+                        starts.append(member.start + offset)
+                        lengths.append(length)
+                    last = offset + length
             yield pa.RecordBatch.from_arrays([pa.array([path] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], names=["path", "start", "length"])
 
 
@@ -228,19 +297,18 @@ def _reader(with_payload: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 files, place = _files(path)
                 with files.open_input_file(place) as file:
                     data = file.read_at(length, start)
-                rows = []
-                while data:
-                    stream = zlib.decompressobj(31)
-                    plain = stream.decompress(data) + stream.flush()
-                    data = stream.unused_data
-                    rows.append(parse_record(plain))
+                rows = [parse_record(x) for x in split_records(data)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True)], names=names)
 
     return read
 
 
 def read_archives(archives: DataFrame, path_col: str = "path", with_payload: bool = True) -> DataFrame:
-    """A row for each record of the archives at ``path_col``; their ranges are dealt over the cluster. No archives give no rows."""
+    """A row for each record of the archives at ``path_col``; their ranges are dealt over the cluster. No archives give no rows.
+
+    Archives of other writers are read too: records are found by their index, or one after the other where it doesn't name their member; what a record doesn't say is
+    null. A member that the archive compresses is an error.
+    """
     spark = archives.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long" + ", payload binary" * with_payload

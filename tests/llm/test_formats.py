@@ -1,8 +1,10 @@
 """Chat formatting, WARC archives, HTML, embeddings, tokens and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import io
+import json
 import re
 import struct
 import time
@@ -71,6 +73,41 @@ def test_warc_round_trip(spark, tmp_path):
     assert least.count() == 0
 
 
+def foreign(kind, url, body, extra=(), http=True):
+    block = (b"HTTP/1.1 200 OK\r\n\r\n" if http else b"") + body
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", *([f"warc-target-uri: {url}"] if url else []), *extra, f"Content-Type: {'application/http; msgtype=response' if http else 'text/plain'}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    digest = base64.b32encode(hashlib.sha1(b"<p>b</p>").digest()).decode()
+    records = [foreign("warcinfo", None, b"software: x", http=False), foreign("response", "http://a/50%", b"<p>a</p>"), foreign("response", "http://b", b"<p>b</p>", [f"WARC-Payload-Digest: sha1:{digest}"]), foreign("revisit", "http://c", b"", [f"WARC-Payload-Digest: sha1:{digest}"]), foreign("resource", "http://d", b"plain", http=False)]
+    packed = [gzip.compress(r) for r in records]
+    at, lines = 0, []
+    for k, p in enumerate(packed):
+        if k:
+            lines.append(f'com,x)/ 2024 {json.dumps({"url": "u", "offset": str(at), "length": str(len(p)), "filename": "one.warc.gz"})}')
+        at += len(p)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("archive/one.warc.gz", b"".join(packed))
+        z.writestr("archive/two.warc", b"".join(records))
+        z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(lines).encode()))
+        z.writestr("datapackage.json", "{}", compress_type=zipfile.ZIP_DEFLATED)
+    archives = spark.createDataFrame([(f"file://{tmp_path}/a.zip",)], "path string")
+    got = sorted((r.record_type, r.url or "", r.payload_bytes if r.payload_bytes is not None else -1, r.payload_digest or "") for r in warc.read_archives(archives).collect())
+    named = lambda data: base64.b32encode(hashlib.sha1(data).digest()).decode()
+    one = [("response", "http://a/50%", 8, named(b"<p>a</p>")), ("response", "http://b", 8, digest), ("revisit", "http://c", -1, digest), ("resource", "http://d", 5, named(b"plain"))]
+    assert got == sorted([*one, *one, ("warcinfo", "", -1, "")])
+    with zipfile.ZipFile(tmp_path / "b.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("archive/one.warc.gz", b"".join(packed))
+    with pytest.raises(Exception, match="compressed in the archive"):
+        warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/b.zip",)], "path string")).collect()
+    with pytest.raises(ValueError):
+        warc.parse_record(foreign("response", "u", b"x", ["WARC-Payload-Digest: sha1:AAAA"]))
+    with pytest.raises(ValueError):
+        list(warc.split_records(packed[1][:-9]))
+
+
 def test_zip64_directory():
     with io.BytesIO() as out:
         with zipfile.ZipFile(out, "w") as z:
