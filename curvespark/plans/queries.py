@@ -220,22 +220,30 @@ def spring_step(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(meanshift.spring_step(cloud, links, 1.0, 1.0).select("id", "p0", "p1", "p2"))
 
 
-def _variant_sql(name: str, ratio: float, across: float, alpha: float, gamma: float, turn: bool) -> str:
-    """A step of a variant, from the pairs within the longest reach of all variants."""
-    wide, narrow = (ratio * BW) ** 2, BW**2
+def _step_sql(ratio: float, across: float, alpha: float, gamma: float, turn: bool, bw: float = BW, cloud: str = "cloud", pairs: str = "pairs") -> str:
+    """``(id, p*, d*, energy, linearity)`` after a step, from the pairs within its longest reach or more."""
+    wide, narrow = (ratio * bw) ** 2, bw**2
     moved = ", ".join(f"damp * CASE WHEN sz > 1e-8 THEN n{k} / sz ELSE d{k} END + (1 - damp) * d{k} AS x{k}" for k in range(3)) if turn else "d0 AS x0, d1 AS x1, d2 AS x2"
-    return f"""SELECT '{name}' AS variant, id, {', '.join(f'round(p{k} + e{k} - al * d{k}, 5) + 0.0 AS p{k}' for k in range(3))}, {', '.join(f'round(x{k} / CASE WHEN sqrt(x0 * x0 + x1 * x1 + x2 * x2) > 1e-8 THEN sqrt(x0 * x0 + x1 * x1 + x2 * x2) ELSE 1 END, 5) + 0.0 AS d{k}' for k in range(3))} FROM
+    return f"""SELECT id, {', '.join(f'p{k} + e{k} - al * d{k} AS p{k}' for k in range(3))}, {', '.join(f'x{k} / CASE WHEN sqrt(x0 * x0 + x1 * x1 + x2 * x2) > 1e-8 THEN sqrt(x0 * x0 + x1 * x1 + x2 * x2) ELSE 1 END AS d{k}' for k in range(3))}, energy, linearity FROM
 (SELECT *, {moved} FROM (SELECT *, e0 * d0 + e1 * d1 + e2 * d2 AS al, sqrt(n0 * n0 + n1 * n1 + n2 * n2) AS sz, 1 - (abs(wt) / (w + 1e-12)) ^ {gamma} AS damp FROM
-(SELECT id, p0, p1, p2, d0, d1, d2, coalesce(w, 0) AS w, coalesce(wt, 0) AS wt, {', '.join(f'CASE WHEN w > 1e-12 THEN m{k} / w - p{k} ELSE 0 END AS e{k}, coalesce(n{k}, 0) AS n{k}' for k in range(3))} FROM cloud LEFT JOIN
+(SELECT id, p0, p1, p2, d0, d1, d2, energy, linearity, coalesce(w, 0) AS w, coalesce(wt, 0) AS wt, {', '.join(f'CASE WHEN w > 1e-12 THEN m{k} / w - p{k} ELSE 0 END AS e{k}, coalesce(n{k}, 0) AS n{k}' for k in range(3))} FROM {cloud} LEFT JOIN
 (SELECT a_id AS id, sum(w) AS w, sum(w * sign(t)) AS wt, {', '.join(f'sum(w * b_p{k}) AS m{k}, sum(w * side * b_d{k}) AS n{k}' for k in range(3))} FROM
 (SELECT *, CASE WHEN a_d0 * b_d0 + a_d1 * b_d1 + a_d2 * b_d2 < 0 THEN -1.0 ELSE 1.0 END AS side, CASE WHEN t * t / {wide} + greatest(d2 - t * t, 0) / {narrow} <= 1 THEN exp(-(t * t / (2 * {wide}) + {across} * greatest(d2 - t * t, 0) / (2 * {narrow}))) * abs(a_d0 * b_d0 + a_d1 * b_d1 + a_d2 * b_d2) ^ {alpha} ELSE 0 END AS w FROM
-(SELECT *, {_ALONG} AS t FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS rk FROM pairs WHERE d2 <= {(max(ratio, 1.0) * BW) ** 2}) WHERE rk <= 128)) GROUP BY a_id) USING (id))))"""
+(SELECT *, {_ALONG} AS t FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS rk FROM {pairs} WHERE d2 <= {(max(ratio, 1.0) * bw) ** 2}) WHERE rk <= 128)) GROUP BY a_id) USING (id))))"""
+
+
+def _numbered_pairs(table: str, radius: float, n: int) -> str:
+    """``pairs_sql`` under names of its own."""
+    out = pairs_sql(table, radius)
+    for old, new in (("g AS (SELECT *", f"g{n} AS (SELECT *"), ("FROM g a,", f"FROM g{n} a,"), ("o AS (SELECT a.*", f"o{n} AS (SELECT a.*"), ("FROM o a JOIN g b", f"FROM o{n} a JOIN g{n} b"), ("pairs AS (SELECT", f"pairs{n} AS (SELECT")):
+        out = out.replace(old, new)
+    return out
 
 
 _VARIANTS = {"full": (2.0, 2.0, 2.0, 0.1, True), "without_anisotropy": (1.0, 1.0, 0.0, 0.1, True), "without_turning": (2.0, 2.0, 2.0, 0.1, False), "without_damping": (2.0, 2.0, 2.0, 0.0, True)}
 
 
-@_query(f"WITH {CLOUD_EV}, {pairs_sql('cloud', 2 * BW)} " + " UNION ALL ".join(_variant_sql(n, *v) for n, v in _VARIANTS.items()))
+@_query(f"WITH {CLOUD_EV}, {pairs_sql('cloud', 2 * BW)} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, id, {', '.join(f'round({c}{k}, 5) + 0.0 AS {c}{k}' for c in 'pd' for k in range(3))} FROM ({_step_sql(*v)})" for n, v in _VARIANTS.items()))
 def shift_variants(spark: SparkSession, d: str) -> DataFrame:
     """A step of each variant that changes the step; the others change the schedule or the links."""
     cloud, out = P.cloud_from_events(spark, d), None
@@ -245,7 +253,22 @@ def shift_variants(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@_query()
+_FULL = _VARIANTS["full"]
+_LOOP_BW = [2.5, 2.5 * 0.6**0.5, 1.5]
+
+
+def _spring_sql(n: int) -> str:
+    """Cloud ``m{n}`` after its links have pulled, as ``t{n}``."""
+    return f"""e{n} AS (SELECT links.a, links.b, rest, {', '.join(f'y.p{k} - x.p{k} AS e{k}' for k in range(3))} FROM links JOIN m{n} x ON x.id = links.a JOIN m{n} y ON y.id = links.b), l{n} AS (SELECT *, sqrt(e0 * e0 + e1 * e1 + e2 * e2) AS len FROM e{n}),
+f{n} AS (SELECT a AS id, {', '.join(f'(len - rest) * e{k} / len AS f{k}' for k in range(3))} FROM l{n} WHERE len > 1e-9 UNION ALL SELECT b, {', '.join(f'-(len - rest) * e{k} / len' for k in range(3))} FROM l{n} WHERE len > 1e-9),
+v{n} AS (SELECT *, sqrt(f0 * f0 + f1 * f1 + f2 * f2) AS s FROM (SELECT id, {', '.join(f'avg(f{k}) AS f{k}' for k in range(3))} FROM f{n} GROUP BY id)),
+t{n} AS (SELECT m.id, {', '.join(f'm.p{k} + coalesce(f{k} * CASE WHEN s > 5.0 THEN 5.0 / s ELSE 1 END, 0) AS p{k}' for k in range(3))}, d0, d1, d2, energy, linearity FROM m{n} m LEFT JOIN v{n} ON v{n}.id = m.id)"""
+
+
+@_query(f"""WITH {CLOUD_EV}, {_numbered_pairs('cloud', 2 * _LOOP_BW[0], 0)}, t1 AS ({_step_sql(*_FULL, _LOOP_BW[0], 'cloud', 'pairs0')}), {_numbered_pairs('t1', RADIUS, 1)},
+links AS (SELECT a_id AS a, b_id AS b, sqrt(d2) AS rest FROM pairs1 WHERE a_id < b_id AND d2 > 0 AND ({_LEAN('a')} OR {_LEAN('b')})),
+m2 AS ({_step_sql(*_FULL, _LOOP_BW[1], 't1', 'pairs1')}), {_spring_sql(2)}, {_numbered_pairs('t2', 2 * _LOOP_BW[2], 2)}, m3 AS ({_step_sql(*_FULL, _LOOP_BW[2], 't2', 'pairs2')}), {_spring_sql(3)}
+SELECT id, {', '.join(f'round({c}{k}, 4) + 0.0 AS {c}{k}' for c in 'pd' for k in range(3))}, round(energy, 4) + 0.0 AS energy, round(linearity, 4) + 0.0 AS linearity FROM t3""")
 def mean_shift_loop(spark: SparkSession, d: str) -> DataFrame:
     p = meanshift.ShiftParameters(steps=3, first=2.5, last=1.5, lock_at=1, reach=5.0)
     return _rounded(meanshift.mean_shift(P.cloud_from_events(spark, d), p), 4)
