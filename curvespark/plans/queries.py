@@ -551,28 +551,30 @@ def eigen_linearity(spark: SparkSession, d: str) -> DataFrame:
     return signals.symmetric_eigen(cloud.withColumn("g", F.col("p2").cast("long")).groupBy("g").agg(*outer), "g").select("g", *((F.round(f"l{i}", 3) + 0.0).alias(f"l{i}") for i in range(3)), (F.round("linearity", 5) + 0.0).alias("linearity"))
 
 
-@_query()
-def frames_along_curves(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(geometry.frames(P.curves_from_events(spark, d)), 5)
-
+_RMF = ", ".join
+FRAME = f"""WITH RECURSIVE {CURVE}, {STEP}, gr AS (SELECT *, {_RMF(f'coalesce(lead(p{i}) OVER o, p{i}) - coalesce(lag(p{i}) OVER o, p{i}) AS g{i}' for i in range(3))}, count(*) OVER (PARTITION BY sid) AS n FROM al WINDOW o AS (PARTITION BY sid ORDER BY k)),
+gn AS (SELECT *, CASE WHEN k = 0 OR k = n - 1 THEN 1.0 ELSE 0.5 END AS h FROM gr), gs AS (SELECT *, greatest(h * sqrt(g0 ^ 2 + g1 ^ 2 + g2 ^ 2), 1e-12) AS len FROM gn), tg AS (SELECT sid, k, s, p0, p1, p2, {_RMF(f'CASE WHEN n = 1 THEN {float(i == 0)} ELSE h * g{i} / len END AS t{i}' for i in range(3))} FROM gs),
+sx AS (SELECT sid, k, CASE WHEN abs(t0) <= abs(t1) AND abs(t0) <= abs(t2) THEN 0 WHEN abs(t1) <= abs(t2) THEN -t2 ELSE t1 END AS c0, CASE WHEN abs(t0) <= abs(t1) AND abs(t0) <= abs(t2) THEN t2 WHEN abs(t1) <= abs(t2) THEN 0 ELSE -t0 END AS c1, CASE WHEN abs(t0) <= abs(t1) AND abs(t0) <= abs(t2) THEN -t1 WHEN abs(t1) <= abs(t2) THEN t0 ELSE 0 END AS c2 FROM tg WHERE k = 0),
+fm AS (SELECT sid, k, {_RMF(f'CAST(c{i} / greatest(sqrt(c0 ^ 2 + c1 ^ 2 + c2 ^ 2), 1e-12) AS DOUBLE) AS n{i}' for i in range(3))} FROM sx UNION ALL
+ SELECT sid, k + 1, {_RMF(f'CASE WHEN c < 1e-24 THEN n{i} WHEN c2 < 1e-24 THEN l{i} ELSE l{i} - 2 * (w0 * l0 + w1 * l1 + w2 * l2) / c2 * w{i} END' for i in range(3))} FROM (SELECT *, w0 * w0 + w1 * w1 + w2 * w2 AS c2 FROM (SELECT *, {_RMF(f'u{i} - (t{i} - 2 * vt / nullif(c, 0) * v{i}) AS w{i}, n{i} - 2 * vn / nullif(c, 0) * v{i} AS l{i}' for i in range(3))} FROM
+ (SELECT *, v0 * v0 + v1 * v1 + v2 * v2 AS c, v0 * n0 + v1 * n1 + v2 * n2 AS vn, v0 * t0 + v1 * t1 + v2 * t2 AS vt FROM (SELECT f.sid, f.k, {_RMF(f'f.n{i} AS n{i}, a.t{i} AS t{i}, b.t{i} AS u{i}, b.p{i} - a.p{i} AS v{i}' for i in range(3))} FROM fm f JOIN tg a ON a.sid = f.sid AND a.k = f.k JOIN tg b ON b.sid = f.sid AND b.k = f.k + 1))))),
+fr AS (SELECT tg.sid, tg.k, s, p0, p1, p2, t0, t1, t2, n0, n1, n2, t1 * n2 - t2 * n1 AS b0, t2 * n0 - t0 * n2 AS b1, t0 * n1 - t1 * n0 AS b2 FROM tg JOIN fm ON tg.sid = fm.sid AND tg.k = fm.k)"""
 
-FRAME = f"WITH {CURVE}, {STEP}, fr AS (SELECT sid, k, s, p0, p1, p2, 1.0 AS n0, 0.0 AS n1, 0.0 AS n2, 0.0 AS b0, 1.0 AS b1, 0.0 AS b2 FROM al)"
 
-
-def _fixed_frame(spark: SparkSession, d: str) -> DataFrame:
-    fixed = {f"{s}{i}": F.lit(float(i == j)) for j, s in ((0, "n"), (1, "b")) for i in range(3)}
-    return V.arc_length(P.curves_from_events(spark, d)).withColumns(fixed)
+@_query(f"{FRAME} SELECT sid, k, {', '.join(f'round({c}{i}, 5) + 0.0 AS {c}{i}' for c in 'tnb' for i in range(3))} FROM fr")
+def frames_along_curves(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(geometry.frames(P.curves_from_events(spark, d)), 5)
 
 
 @_query(f"{FRAME}, h AS (SELECT *, 2 * pi() * s / 300 + 2 * pi() * ply / 4 AS th FROM fr, (SELECT unnest(range(0, 4)) AS ply)) SELECT sid, CAST(ply AS INTEGER) AS ply, k, {', '.join(f'round(p{i} + 16 * (cos(th) * n{i} + sin(th) * b{i}), 3) + 0.0 AS p{i}' for i in range(3))} FROM h")
 def ply_helix(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(geometry.plies(_fixed_frame(spark, d), 4, 300.0, 16.0), 3)
+    return _rounded(geometry.plies(geometry.framed(P.curves_from_events(spark, d)), 4, 300.0, 16.0), 3)
 
 
 @_query(f"""{FRAME}, h AS (SELECT *, fibre * pi() * (3 - sqrt(5)) AS ps FROM fr, (SELECT unnest(range(0, 3)) AS fibre)), t AS (SELECT *, 2 * pi() * s / 80 + ps AS th FROM h), r AS (SELECT *, 6 * sqrt((fibre + 0.5) / 3) * (0.7 + 0.15 * (cos(th + ps) + 1)) AS rr FROM t)
 SELECT sid, CAST(fibre AS INTEGER) AS fibre, k, {', '.join(f'round(p{i} + rr * (cos(th) * n{i} + sin(th) * b{i}), 3) + 0.0 AS p{i}' for i in range(3))} FROM r""")
 def fibre_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(geometry.fibres(_fixed_frame(spark, d), 3, 80.0, 6.0, 0.3), 3)
+    return _rounded(geometry.fibres(geometry.framed(P.curves_from_events(spark, d)), 3, 80.0, 6.0, 0.3), 3)
 
 
 @_query(f"""WITH {CURVE}, n AS (SELECT sid, count(*) AS n FROM curve GROUP BY sid HAVING count(*) > 1), q AS (SELECT sid, i, j FROM (SELECT sid, unnest(range(0, n - 1)) AS i FROM n), (SELECT unnest(range(0, 6)) AS j)), v AS (SELECT sid, i * 6 + j AS a, i * 6 + (j + 1) % 6 AS b FROM q)
