@@ -339,19 +339,25 @@ def test_two_strands_become_two_curves(spark):
     from curvespark.operators import assembly
 
     rng = np.random.default_rng(6)
-    t = np.arange(0, 60, 1.0)
+    t = np.arange(0, 30, 1.0)
     strands = [np.stack([t, 5 * np.sin(t / 10), 0 * t], 1), np.stack([t, 30 + 0 * t, t / 5], 1)]
     points = np.concatenate([s + rng.normal(0, 0.1, s.shape) for s in strands] + [np.array([[200.0, 200, 200], [201, 200, 200]])])
     cloud = cloud_of(spark, points)
     tree = graph.spanning_forest(graph.proximity_edges(cloud, 2.5))
     curves, names = assembly.component_curves(cloud, tree, 10, 0.04, 1.0)
     rows = curves.collect()
-    assert {r.sid for r in rows} == {0, 1} and {(r.sid, r.component) for r in names.collect()} == {(0, 0), (1, 60)}
+    assert {r.sid for r in rows} == {0, 1} and {(r.sid, r.component) for r in names.collect()} == {(0, 0), (1, 30)}
     for sid, strand in enumerate(strands):
         own = np.array([(r.p0, r.p1, r.p2) for r in sorted(rows, key=lambda r: r.k) if r.sid == sid])
-        assert len(own) > 50 and np.sqrt(((own[:, None] - strand[None]) ** 2).sum(2)).min(1).max() < 1.0
-    alone, _ = assembly.component_curves(cloud, tree.where("u < 60"), 10, 0.04, 1.0)
-    assert alone.select("sid").distinct().count() == 1
+        assert len(own) > 25 and np.sqrt(((own[:, None] - strand[None]) ** 2).sum(2)).min(1).max() < 1.0
+
+
+def test_one_component_gives_its_longest_path(spark):
+    from curvespark.operators import assembly
+
+    cloud = cloud_of(spark, [(float(k), 0.1 * (k % 2), 0.0) for k in range(25)] + [(12.0, float(k), 0.0) for k in range(2, 5)])
+    curves, names = assembly.component_curves(cloud, graph.spanning_forest(graph.proximity_edges(cloud, 2.1)), 10, 0.04, 1.0)
+    assert names.count() == 1 and curves.agg(F.max('p1')).first()[0] < 1.5
 
 
 def test_combinations_with_loops(spark):
