@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvespark.llm import bpe, chat, decontamination, embeddings, html, secrets, sharding, simhash, toxicity, warc
+from curvespark.llm import bpe, chat, decontamination, embeddings, html, merkle, secrets, sharding, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -141,6 +141,39 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(_read(spark, folder, "documents"), tokenizer())
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.digests(_read(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END, n)) AS tab),
+f AS (SELECT doc_id, source, coalesce(source, '') AS name, source IS NOT NULL AS named, text, hex(encode(CAST(doc_id AS VARCHAR))) AS h,
+      concat(coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+             coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-')) AS head FROM documents),
+c AS (SELECT *, xor(CAST(4294967295 AS BIGINT), list_reduce(list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS crc FROM f, t),
+d AS (SELECT doc_id, name, named, head || coalesce(octet_length(encode(text)) || ':' || text, '-') AS was,
+      head || coalesce(octet_length(encode(CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)) || ':' || CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END, '-') AS now FROM c),
+l AS (SELECT doc_id, name, named, sha256(was) AS leaf, sha256(now) AS other FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY named, name ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY named, name) AS n FROM l),
+g AS (SELECT DISTINCT named, name FROM r),
+s AS (SELECT *, row_number() OVER (ORDER BY named, name) - 1 AS k, count(*) OVER () AS m FROM g),
+low AS (SELECT k AS tree, 0 AS level, i, leaf AS h, n FROM r JOIN s USING (named, name)
+        UNION ALL SELECT tree, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM low WHERE n > 1 GROUP BY tree, level, i // 3, n),
+high AS (SELECT 0 AS level, tree AS i, h, (SELECT count(*) FROM s) AS n FROM low WHERE n = 1
+         UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM high WHERE n > 1 GROUP BY level, i // 3, n),
+node AS (SELECT tree, level, i, h, n FROM low UNION ALL SELECT -1, level, i, h, n FROM high),
+side AS (SELECT tree, level, i, n, coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM node),
+climb AS (SELECT r.doc_id, s.k AS home, r.i AS place, s.k AS tree, 0 AS level, r.i, r.other AS h, '' AS path, false AS over FROM r JOIN s USING (named, name)
+          UNION ALL SELECT c.doc_id, c.home, c.place, CASE WHEN x.n = 1 THEN -1 ELSE c.tree END, CASE WHEN x.n = 1 THEN 0 ELSE c.level + 1 END, CASE WHEN x.n = 1 THEN c.tree ELSE c.i // 3 END,
+                    CASE WHEN x.n = 1 THEN c.h ELSE sha256(x.before || c.h || x.after) END, CASE WHEN x.n = 1 THEN c.path ELSE c.path || x.before || x.after END, x.n = 1 AND c.tree = -1
+          FROM climb c JOIN side x ON x.tree = c.tree AND x.level = c.level AND x.i = c.i WHERE NOT c.over),
+root AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT c.doc_id, r.leaf, low.h AS subroot, root.root, sha256(c.path) AS proof_sha256, c.h AS folded_root, c.h = root.root AS verified
+FROM climb c JOIN s ON s.k = c.home JOIN r ON r.named = s.named AND r.name = s.name AND r.i = c.place JOIN low ON low.tree = c.home AND low.n = 1, root WHERE c.over
+"""
+
+
 def tokenizer() -> bpe.Tokenizer:
     import public_tokenizers
 
@@ -158,10 +191,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_html": op9_html,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_merkle": op13_merkle,
 }
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL,
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
     "op3_chat": OP3_SQL,
     "op4_warc": OP4_SQL,
     "op6_embeddings": OP6_SQL,
     "op7_sharding": OP7_SQL,
-    "op9_html": OP9_SQL}
+    "op9_html": OP9_SQL,
+    "op13_merkle": OP13_SQL,
+}
