@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvespark.llm import bpe, chat, decontamination, embeddings, html, merkle, secrets, sharding, simhash, toxicity, warc
+from curvespark.llm import bpe, chat, decontamination, embeddings, html, merkle, packing, secrets, sharding, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -141,6 +141,17 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(_read(spark, folder, "documents"), tokenizer())
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack_documents(_read(spark, folder, "documents"), word_tokenizer(), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def word_tokenizer() -> packing.WordTokenizer:
+    import public_tokenizers
+
+    return packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.digests(_read(spark, folder, "documents"))
 
@@ -191,6 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_html": op9_html,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_packing": op11_packing,
     "op13_merkle": op13_merkle,
 }
 ORACLE_SQL: dict[str, str] = {
