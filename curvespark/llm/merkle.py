@@ -12,6 +12,7 @@ joins the copy of its own block: no join key has more than ``BLOCK`` rows, and c
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -65,9 +66,10 @@ def _in_order(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame,
     placed = stored(placed, name)
     total, offsets = 0, []
     for part, n in sorted(placed.groupBy("__part").count().collect()):  # a row for each partition of the shuffle
-        offsets.append((part, total))
+        offsets.append({"__part": part, "__offset": total})
         total += n
-    return placed, rows.sparkSession.createDataFrame(offsets, "__part int, __offset long")
+    table = F.from_json(F.lit(json.dumps(offsets)), "array<struct<__part: int, __offset: bigint>>")
+    return placed, rows.sparkSession.range(1).select(F.inline(table))
 
 
 def _levels(entries: DataFrame) -> DataFrame:
