@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvespark.llm import bpe, chat, decontamination, embeddings, html, merkle, packing, secrets, sharding, simhash, toxicity, warc
+from curvespark.llm import bpe, chat, decontamination, embeddings, html, lexical, merkle, packing, secrets, sharding, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -152,6 +152,25 @@ def word_tokenizer() -> packing.WordTokenizer:
     return packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"), k=10)
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+a AS (SELECT count(*) AS rows, sum(len(w)) AS total FROM d WHERE len(w) > 0),
+qt AS (SELECT q, item_id, t, count(*) AS qn FROM (SELECT q, item_id, unnest(w) AS t FROM b) GROUP BY ALL),
+dt AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM dt GROUP BY t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * rows + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM f, a),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(qn * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * rows) // CAST(total AS BIGINT))))) AS BIGINT) AS score
+      FROM qt JOIN dt USING (t) JOIN w USING (t), a GROUP BY q, item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.digests(_read(spark, folder, "documents"))
 
@@ -203,6 +222,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_packing": op11_packing,
+    "op12_lexical": op12_lexical,
     "op13_merkle": op13_merkle,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -212,5 +232,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_embeddings": OP6_SQL,
     "op7_sharding": OP7_SQL,
     "op9_html": OP9_SQL,
+    "op12_lexical": OP12_SQL,
     "op13_merkle": OP13_SQL,
 }
