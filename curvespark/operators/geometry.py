@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvespark.operators.cloud import AXES
+from curvespark.operators.records import fixed
 from curvespark.operators.curves import arc_length
 
 GOLDEN_ANGLE = math.pi * (3 - math.sqrt(5))
@@ -103,7 +104,7 @@ def tube_faces(curves: DataFrame, sides: int) -> DataFrame:
 
 def obj_lines(curves: DataFrame) -> DataFrame:
     """``(sid, place, line)``: curves as OBJ text, vertices and then one polyline for each curve, numbered within the curve."""
-    vertex = F.format_string("v %.6f %.6f %.6f", "p0", "p1", "p2")
+    vertex = F.concat_ws(" ", F.lit("v"), *(fixed(F.col(f"p{k}"), 6) for k in AXES))
     points = curves.select("sid", F.col("k").alias("place"), vertex.alias("line"))
     lines = curves.groupBy("sid").agg(F.count("*").alias("n")).select("sid", F.col("n").alias("place"), F.concat(F.lit("l "), F.array_join(F.sequence(F.lit(1).cast("long"), F.col("n")), " ")).alias("line"))
     return points.union(lines)

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from curvespark.operators.cloud import AXES
 
 
+def fixed(x: Column, places: int) -> Column:
+    """A number with ``places`` decimals as C prints it: the double's exact value is rounded, halves to even, without separators."""
+    return F.call_function("format_number", x.cast("double"), F.lit(f"0.{'0' * places}"))
+
+
 def readable_bytes(n: Column) -> Column:
     """A number of bytes in words: whole below 1,024, else with one decimal in KB to TB."""
-    out = F.format_string("%.1f TB", n / 1024.0**4)
+    out = F.concat(fixed(n / 1024.0**4, 1), F.lit(" TB"))
     for k, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", n / 1024.0**k)).otherwise(out)
+        out = F.when(n < 1024.0 ** (k + 1), F.concat(fixed(n / 1024.0**k, 1), F.lit(f" {unit}"))).otherwise(out)
     return F.when(n < 1024, F.format_string("%d B", F.floor(n))).otherwise(out)
 
 
@@ -82,7 +87,7 @@ def longest_curve(curves: DataFrame, group: str, named: DataFrame | None = None)
 def strand_lines(curves: DataFrame, radius: float) -> DataFrame:
     """``(sid, place, line)``: curves as lines of place and radius, an empty line after each; curves of one point have none."""
     rows = curves.withColumn("n", F.count("*").over(Window.partitionBy("sid"))).where("n > 1")
-    lines = rows.select("sid", F.col("k").alias("place"), F.format_string(f"%.4f %.4f %.4f {radius:.4f}", "p0", "p1", "p2").alias("line"))
+    lines = rows.select("sid", F.col("k").alias("place"), F.concat_ws(" ", *(fixed(F.col(f"p{k}"), 4) for k in AXES), F.lit(f"{radius:.4f}")).alias("line"))
     return lines.union(rows.select("sid", F.col("n").alias("place"), F.lit("").alias("line")).distinct())
 
 
@@ -110,7 +115,7 @@ def load_version(spark: SparkSession, path: str, name: str, tags: list[str]) ->
 def obj_numbered(curves: DataFrame) -> DataFrame:
     """``(part, at, line)``: all curves as one OBJ file, vertices first and then a polyline for each curve, whose vertices are numbered through the file."""
     starts = packed_offsets(curves)
-    vertex = F.format_string("v %.6f %.6f %.6f", *(f"p{k}" for k in AXES))
+    vertex = F.concat_ws(" ", F.lit("v"), *(fixed(F.col(f"p{k}"), 6) for k in AXES))
     points = curves.join(starts, "sid").select(F.lit(0).alias("part"), (F.col("start") + F.col("k")).alias("at"), vertex.alias("line"))
     lines = starts.where("stop > start + 1").select(F.lit(1), F.col("start"), F.concat(F.lit("l "), F.array_join(F.sequence(F.col("start") + 1, F.col("stop")), " ")))
     return points.union(lines)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvespark.operators.cloud import AXES
@@ -78,29 +80,29 @@ def local_writhe(curves: DataFrame, half: int, sigma: float = 3.0, spacing: floa
     """``(sid, k, writhe)``: the Gauss integral of an evenly spaced curve, smoothed, over the pairs of points within ``half`` of each point.
 
     Tangents are central differences, those at the ends their neighbours'. Null where the window leaves the curve, and on curves that it covers whole.
+    Each pair of the band is a term once. A window's pairs are those that end by its last point less those that begin before its first one, so
+    its sum is the difference of two running sums, whatever the window's width.
     """
     by = Window.partitionBy("sid").orderBy("k")
     smooth = gaussian_smooth(curves.select("sid", "k", "p0", "p1", "p2"), ["p0", "p1", "p2"], sigma)
     inner = {f"t{i}": (F.lead(f"p{i}").over(by) - F.lag(f"p{i}").over(by)) / (2 * spacing) for i in AXES}
     ends = {f"t{i}": F.coalesce(f"t{i}", F.lead(f"t{i}").over(by), F.lag(f"t{i}").over(by), F.lit(0.0)) for i in AXES}
-    rows_of = smooth.withColumns(inner).withColumns(ends)
-
-    def rule(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        p, t = (rows[[f"{c}{i}" for i in AXES]].to_numpy(float) for c in "pt")
-        out: list[float | None] = [None] * len(p)
-        if 2 * half + 1 < len(p):
-            for c in range(half, len(p) - half):
-                r, d = p[c - half : c + half + 1], t[c - half : c + half + 1]
-                apart = r[:, None] - r[None]
-                far = (apart**2).sum(2)
-                np.fill_diagonal(far, np.inf)
-                out[c] = spacing**2 / (4 * np.pi) * float((np.einsum("ijk,ijk->ij", np.cross(d[:, None], d[None]), apart) * far**-1.5).sum())
-        return pd.DataFrame({"sid": key[0], "k": rows["k"].to_numpy(), "writhe": out}).astype({"writhe": float})
-
-    kind = curves.schema["sid"].dataType.simpleString()
-    return rows_of.select("sid", "k", *(f"{c}{i}" for c in "pt" for i in AXES)).groupBy("sid").applyInPandas(rule, f"sid {kind}, k long, writhe double")
-
+    point = F.struct("k", *(f"{c}{i}" for c in "pt" for i in AXES))
+    rows = smooth.withColumns(inner).withColumns(ends).withColumn("ahead", F.collect_list(point).over(by.rowsBetween(1, 2 * half)))
+
+    def term(other: Column) -> Column:
+        d = [F.col(f"p{i}") - other[f"p{i}"] for i in AXES]
+        s, t = [F.col(f"t{i}") for i in AXES], [other[f"t{i}"] for i in AXES]
+        turn = (s[1] * t[2] - s[2] * t[1]) * d[0] + (s[2] * t[0] - s[0] * t[2]) * d[1] + (s[0] * t[1] - s[1] * t[0]) * d[2]
+        return F.struct(other["k"].alias("k"), (2 * turn / F.pow(d[0] * d[0] + d[1] * d[1] + d[2] * d[2], 1.5)).alias("g"))
+
+    terms = rows.select("sid", "k", F.transform("ahead", term).alias("pairs"))
+    begun = terms.select("sid", "k", F.aggregate("pairs", F.lit(0.0), lambda acc, x: acc + x["g"]).alias("begun"))
+    ended = terms.select("sid", F.explode("pairs").alias("x")).groupBy("sid", F.col("x.k").alias("k")).agg(F.sum("x.g").alias("ended"))
+    sums = begun.join(ended, ["sid", "k"], "left").withColumns({"begun": F.sum("begun").over(by), "ended": F.sum(F.coalesce("ended", F.lit(0.0))).over(by), "n": F.count("*").over(Window.partitionBy("sid"))})
+    whole = F.lead("ended", half).over(by) - F.coalesce(F.lag("begun", half + 1).over(by), F.lit(0.0))
+    fits = (F.col("n") > 2 * half + 1) & (F.lag("k", half).over(by).isNotNull())
+    return sums.select("sid", "k", F.when(fits, spacing**2 / (4 * math.pi) * whole).alias("writhe"))
 
 def subsequence_warping(signal: DataFrame, template: list[float], column: str = "x") -> DataFrame:
     """``(sid, start, stop, cost)``: the stretch of each signal that a template warps onto most cheaply (absolute differences)."""

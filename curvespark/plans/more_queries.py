@@ -207,7 +207,18 @@ def bowl_meshes(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(shapes.bowls(sizes, 4, 6), 5)
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {CURVE}, t AS (SELECT sid, e AS end_, CASE WHEN e = 0 THEN k ELSE -k END AS o, p0, p1, p2 FROM curve, (VALUES (0), (1)) v(e)),
+c AS (SELECT *, row_number() OVER w AS i, coalesce(sqrt({' + '.join(f'(p{i} - lag(p{i}) OVER w) * (p{i} - lag(p{i}) OVER w)' for i in range(3))}), 0) AS chord FROM t WINDOW w AS (PARTITION BY sid, end_ ORDER BY o)),
+d AS (SELECT *, sum(chord) OVER (PARTITION BY sid, end_ ORDER BY o) AS deep, count(*) OVER (PARTITION BY sid, end_) AS n FROM c), i AS (SELECT * FROM d WHERE n > 1 AND (deep <= 30 OR i <= 2)),
+m AS (SELECT sid, end_, max(i) AS m FROM i GROUP BY 1, 2), tb AS (SELECT m.sid, m.end_, m.m, {', '.join(f'a.p{i} AS a{i}, a.p{i} - b.p{i} AS v{i}' for i in range(3))} FROM m JOIN i a ON a.sid = m.sid AND a.end_ = m.end_ AND a.i = 1 JOIN i b ON b.sid = m.sid AND b.end_ = m.end_ AND b.i = least(5, m.m)),
+nm AS (SELECT *, sqrt(v0 * v0 + v1 * v1 + v2 * v2) + 1e-12 AS norm FROM tb),
+x AS (SELECT i.sid, i.end_, CAST(m.m - i.i AS BIGINT) AS k, p0, p1, p2 FROM i JOIN m ON m.sid = i.sid AND m.end_ = i.end_ UNION ALL SELECT sid, end_, m + j - 1, {', '.join(f'a{i} + (3.0::DOUBLE * j) * (v{i} / norm)' for i in range(3))} FROM nm, (SELECT unnest(range(1, 16)) AS j)),
+g AS (SELECT *, coalesce(sqrt({' + '.join(f'(p{i} - lag(p{i}) OVER w) * (p{i} - lag(p{i}) OVER w)' for i in range(3))}), 0) AS gap, max(k) OVER (PARTITION BY sid, end_) AS last FROM x WINDOW w AS (PARTITION BY sid, end_ ORDER BY k)),
+f AS (SELECT *, sum(gap) OVER (PARTITION BY sid, end_ ORDER BY k) AS far FROM g),
+r AS (SELECT sid, end_, k, far, CAST(0 AS BIGINT) AS place, last FROM f WHERE k = 0 UNION ALL SELECT r.sid, r.end_, min(f.k), arg_min(f.far, f.k), r.place + 1, r.last FROM r JOIN f ON f.sid = r.sid AND f.end_ = r.end_ AND f.k > r.k AND (f.far - r.far >= 3 OR f.k = r.last) GROUP BY r.sid, r.end_, r.place, r.last),
+u AS (SELECT r.sid, r.end_, r.place, p0, p1, p2, coalesce(sqrt({' + '.join(f'(p{i} - lag(p{i}) OVER w) * (p{i} - lag(p{i}) OVER w)' for i in range(3))}), 0) AS gap FROM r JOIN f ON f.sid = r.sid AND f.end_ = r.end_ AND f.k = r.k WINDOW w AS (PARTITION BY r.sid, r.end_ ORDER BY r.place)),
+z AS (SELECT *, sum(gap) OVER (PARTITION BY sid, end_ ORDER BY place) AS far, sum(gap) OVER (PARTITION BY sid, end_) AS whole FROM u)
+SELECT sid, end_ AS "end", place AS k, {', '.join(f'round(p{i}, 4) + 0.0 AS p{i}' for i in range(3))}, round(3 + 25 * far / (whole + 1e-12), 4) AS radius FROM z""")
 def end_caps(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(shapes.end_caps(P.curves_from_events(spark, d)), 4)
 

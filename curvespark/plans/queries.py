@@ -521,9 +521,11 @@ def warped_stretch(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(signals.subsequence_warping(P.signal_from_lines(spark, d), [10_000.0, 30_000.0, 50_000.0, 20_000.0]), 2)
 
 
-@_query(f"""WITH {SIGNAL}, nb AS (SELECT *, lag(x) OVER o AS l, lead(x) OVER o AS r FROM sig WINDOW o AS (PARTITION BY sid ORDER BY k)), pk AS (SELECT sid, k, x FROM nb WHERE x > l AND x >= r AND x >= 50000.0),
-c AS (SELECT sid, list([k] ORDER BY x DESC, k) AS ks FROM pk GROUP BY sid), g AS (SELECT sid, unnest(list_reduce(ks, lambda acc, c: CASE WHEN len(acc) < 10 AND len(list_filter(acc, lambda a: abs(a - c[1]) < 5)) = 0 THEN list_concat(acc, c) ELSE acc END)) AS k FROM c)
-SELECT g.sid, g.k, x AS value FROM g JOIN sig USING (sid, k)""")
+@_query(f"""WITH RECURSIVE {SIGNAL}, nb AS (SELECT *, lag(x) OVER o AS l, lead(x) OVER o AS r FROM sig WINDOW o AS (PARTITION BY sid ORDER BY k)), pk AS (SELECT sid, k, x FROM nb WHERE x > l AND x >= r AND x >= 50000.0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY x DESC, k) AS r FROM pk),
+g AS (SELECT DISTINCT sid, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS ks FROM pk UNION ALL SELECT g.sid, rk.r, CASE WHEN len(ks) < 10 AND len(list_filter(ks, lambda a: abs(a - k) < 5)) = 0 THEN list_append(ks, k) ELSE ks END FROM g JOIN rk ON rk.sid = g.sid AND rk.r = g.r + 1),
+l AS (SELECT sid, unnest(arg_max(ks, r)) AS k FROM g GROUP BY sid)
+SELECT l.sid, l.k, x AS value FROM l JOIN sig USING (sid, k)""")
 def signal_peaks(spark: SparkSession, d: str) -> DataFrame:
     return signals.peaks(P.signal_from_lines(spark, d), "x", 50_000.0, 5, 10)
 

@@ -225,6 +225,12 @@ def test_bowl_meshes_lie_on_their_spheres(spark):
     assert len(faces) == 64 and max(max(r.a, r.b, r.c) for r in faces) == 39
 
 
+def test_fixed_decimals_round_the_exact_double(spark):
+    values = [298.0064935, 0.0000005, 0.0000015, 2.5, -0.00000001, 1e9 + 0.5, 123456.7890125, -298.0064935, 0.125, 1 / 3]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(*(records.fixed(F.col("x"), k).alias(str(k)) for k in (1, 2, 6))).collect()
+    assert [list(r) for r in got] == [[f"{v:.1f}", f"{v:.2f}", f"{v:.6f}"] for v in values]
+
+
 def test_readable_bytes(spark):
     sizes = [0, 1023, 1024, 1536, 1024**2 - 1, 5 * 1024**3, 3 * 1024**5]
 
