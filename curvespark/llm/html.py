@@ -1,8 +1,8 @@
 """Main text of web pages by two passes over their blocks.
 
-A page is cut into blocks of text. The first pass decides blocks by stop-word density, length and link density; what holds them is one more feature,
-which moves these limits. The second gives blocks that are left, most of them short, the label of the nearest decided neighbours in
-the same part of the page.
+A page is cut into blocks of text. The first pass decides blocks by stop-word density, length and link density, wherever they stand; what the markup names
+as page furniture is decided by its name. The second gives blocks that are left, most of them short, the label of the nearest decided neighbours: of
+those in the same element if it has any, else of the same article (but for its furniture) or page.
 """
 
 from __future__ import annotations
@@ -18,10 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GOOD, BAD, OPEN = 1, 0, -1
-#: Limits of the first pass. Blocks under _LONG characters are short; _STOPS are the least densities outside and inside of an article.
+#: Limits of the first pass: blocks under so many characters are short, so many of a good one's words are stop words, more of a bad one's characters are in links.
 _LONG = 70
-_STOPS = (0.3, 0.12)
-_FEW_STOPS = 0.1
+_STOPS = 0.12
 _LINKS = 0.4
 
 #: Stop words of the languages that pages are written in.
@@ -55,12 +54,13 @@ _WORD = re.compile(r"\w+")
 
 @dataclass
 class Block:
-    """A run of text between block tags: its text, the characters in links, the article it stands in (0: none), whether it belongs to page furniture (1: if it is mostly links)."""
+    """A run of text between block tags: its text, the characters in links, the article it stands in (0: none), whether it belongs to page furniture (1: if it is mostly links), the element that holds it."""
 
     text: str
     linked: int
     part: int
     furniture: int
+    home: int = 0
 
 
 def _furniture(name: str, rest: str, in_article: bool) -> int:
@@ -126,6 +126,7 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked = links = furniture = weak = 0
     seen, parts = 0, [0]
+    held, homes = 0, [0]
     stack: list[tuple[str, int]] = []
     standing: Counter[str] = Counter()
 
@@ -134,7 +135,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(Block(joined, min(linked, len(joined)), parts[-1], 2 if furniture else 1 if weak else 0))
+                out.append(Block(joined, min(linked, len(joined)), parts[-1], 2 if furniture else 1 if weak else 0, homes[-1]))
             text.clear()
         linked = 0
 
@@ -159,6 +160,8 @@ def blocks(page: str) -> list[Block]:
                 weak -= f == 1
                 if n in _PARTS:
                     parts.pop()
+                if n in _CONTAINERS:
+                    homes.pop()
                 if n == name:
                     break
             continue
@@ -170,6 +173,9 @@ def blocks(page: str) -> list[Block]:
             if name in _PARTS and holds:
                 seen += 1
                 parts.append(seen)
+            if holds:
+                held += 1
+                homes.append(held)
             stack.append((name, kind))
             standing[name] += 1
             furniture += kind == 2
@@ -179,47 +185,67 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(block: Block) -> int:
-    """Good, bad, or open: short ones, and those that the densities don't decide."""
+    """Bad: named furniture, outside of articles what is mostly links and copyright lines, inside links without stop words; good: long with stop words; open: short ones, links in words of an article, and long ones with too few stop words to tell."""
     density = block.linked / len(block.text)
     if block.furniture == 2 or block.furniture == 1 and density > _LINKS:
         return BAD
-    inside = block.part > 0
-    if density > _LINKS:
-        return OPEN if inside else BAD
-    if len(block.text) < _LONG:
-        return BAD if "©" in block.text and not inside else OPEN
     words = _WORD.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= _STOPS[inside]:
+    if density > _LINKS:
+        return OPEN if block.part and stops >= _STOPS else BAD
+    if len(block.text) < _LONG:
+        return BAD if "©" in block.text and not block.part else OPEN
+    if stops >= _STOPS:
         return GOOD
-    return BAD if stops < _FEW_STOPS and not inside else OPEN
+    return OPEN
+
+
+def _nearest(places: list[int], labels: list[int]) -> dict[int, tuple[int, int, int, int]]:
+    """Of each open block among ``places``, in their order: how far the last decided one before it is and its label, and the same of the next one after it; unknown ones are ``len(labels)`` away."""
+    out: dict[int, tuple[int, int, int, int]] = {}
+    near, label = len(labels), OPEN
+    for k in places:
+        near, label = (0, labels[k]) if labels[k] != OPEN else (min(near + 1, len(labels)), label)
+        out[k] = (near, label, 0, OPEN)
+    near, label = len(labels), OPEN
+    for k in reversed(places):
+        near, label = (0, labels[k]) if labels[k] != OPEN else (min(near + 1, len(labels)), label)
+        out[k] = (*out[k][:2], near, label)
+    return out
 
 
 def second_pass(found: list[Block], labels: list[int]) -> list[int]:
-    """Open blocks take the label of the nearest decided neighbour in the same article (outside: of those outside), other than furniture.
+    """Open blocks take the label of the nearest decided neighbour in the element that holds them, if it has one, else in their article, outside of articles in the page; an article's named furniture is nobody's neighbour.
 
     Between a good and a bad one equally near, and without any, they are good in an article and bad outside.
     """
+    homes: dict[int, list[int]] = {}
+    parts: dict[int, list[int]] = {}
+    for k, block in enumerate(found):
+        named = block.furniture == 2 or block.furniture == 1 and labels[k] == BAD
+        if not (named and block.part):
+            homes.setdefault(block.home, []).append(k)
+            parts.setdefault(block.part, []).append(k)
+    page = _nearest(list(range(len(found))), labels)
+    for part, places in parts.items():
+        if part:
+            page |= _nearest(places, labels)
+    own: dict[int, tuple[int, int, int, int]] = {}
+    for places in homes.values():
+        own |= _nearest(places, labels)
     out = list(labels)
-    by_part: dict[int, list[int]] = {}
     for k, block in enumerate(found):
-        if block.furniture != 2 and not (block.furniture == 1 and labels[k] == BAD):
-            by_part.setdefault(block.part, []).append(k)
-    for part, places in by_part.items():
-        far = len(places) + 1
-        before: list[tuple[int, int]] = []  # distance and label of the last decided block
-        near, label = far, OPEN
-        for k in places:
-            near, label = (0, labels[k]) if labels[k] != OPEN else (near + 1, label)
-            before.append((near, label))
-        near, label = far, OPEN
-        for i in range(len(places) - 1, -1, -1):
-            k = places[i]
-            near, label = (0, labels[k]) if labels[k] != OPEN else (near + 1, label)
-            if labels[k] == OPEN:
-                a, b = before[i], (near, label)
-                nearest = {x[1] for x in (a, b) if x[0] == min(a[0], b[0])} - {OPEN}
-                out[k] = nearest.pop() if len(nearest) == 1 else GOOD if part else BAD
+        if labels[k] != OPEN:
+            continue
+        inside = own[k][1] != OPEN or own[k][3] != OPEN
+        near, before, far, after = own[k] if inside else page[k]
+        if before == OPEN or after == OPEN:
+            label = before if after == OPEN else after
+        elif near != far:
+            label = before if near < far else after
+        else:
+            label = before if before == after else OPEN
+        out[k] = label if label != OPEN else GOOD if block.part else BAD
     return out
 
 
