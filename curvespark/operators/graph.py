@@ -56,9 +56,27 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     Every round at least halves the components that have edges, and works on joins and aggregations alone. As ties are broken, the chosen edges
     lead from each component to a root, the smaller of two that chose the same edge; pointers jump there, twice as far each time.
     """
+    chosen, _ = _merged(edges)
+    return edges.select("u", "v", "w").limit(0) if chosen is None else chosen.distinct()
+
+
+def spanning_forest_of_components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The minimum spanning forest, and ``(id, component)`` of the nodes that have edges, which the rounds of merging give along the way; a component is named by one of its nodes."""
+    chosen, groups = _merged(edges)
+    if chosen is None:
+        return edges.select("u", "v", "w").limit(0), edges.select(F.col("u").alias("id"), F.col("v").alias("component")).limit(0)
+    named = groups[0].select(F.col("node").alias("id"), "component")
+    for merged in groups[1:]:
+        after = merged.select(F.col("node").alias("component"), F.col("component").alias("after"))
+        named = named.join(after, "component", "left").select("id", F.coalesce("after", "component").alias("component"))
+    return stored(chosen.distinct(), "forest"), stored(named, "components")
+
+
+def _merged(edges: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
+    """The edges chosen in all rounds, and each round's ``(node, component)``: what the components of the round before became."""
     work = stored(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w").groupBy("u", "v").agg(F.min("w").alias("w")), "edges")
     work = work.select("u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv"))
-    chosen = None
+    chosen, rounds = None, []
     while not work.isEmpty():
         edge = F.struct("w", "u", "v", "cu", "cv")
         ends = work.select(F.col("cu").alias("c"), edge.alias("e")).union(work.select(F.col("cv"), edge))
@@ -66,30 +84,27 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         picked = best.select("u", "v", "w")
         chosen = picked if chosen is None else chosen.union(picked)
         groups = _roots(best)
+        rounds.append(groups)
         moved = work
         for end in ("cu", "cv"):
             moved = moved.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"n{end}")), end)
         work = stored(moved.where("ncu <> ncv").select("u", "v", "w", F.col("ncu").alias("cu"), F.col("ncv").alias("cv")), "edges")
-    return edges.select("u", "v", "w").limit(0) if chosen is None else chosen.distinct()
+    return chosen, rounds
 
 
 def _roots(best: DataFrame) -> DataFrame:
-    """``(node, component)``: the root that each component ``c`` comes to by its chosen edge ``(cu, cv)``."""
+    """``(node, component)``: where each component ``c`` comes to by its chosen edge ``(cu, cv)`` in up to eight steps, the root of its tree if that is no farther.
+
+    Trees that are deeper come out in parts; the edges between the parts are chosen once more in the next round, so nothing has to be asked before it begins.
+    """
     over = best.select("c", F.when(F.col("cu") == F.col("c"), F.col("cv")).otherwise(F.col("cu")).alias("to"))
     back = over.select(F.col("c").alias("to"), F.col("to").alias("back"))
     now = over.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
     now = stored(now, "pointers")
-    while True:
-        after = now
-        for _ in range(2):
-            step = after.select(F.col("c").alias("to"), F.col("to").alias("next"))
-            after = after.join(step, "to").select("c", F.col("next").alias("to"))
-        after = stored(after.join(now.select("c", F.col("to").alias("was")), "c"), "pointers")
-        moved = not after.where("to <> was").isEmpty()
-        discard(now)
-        if not moved:
-            return after.select(F.col("c").alias("node"), F.col("to").alias("component"))
-        now = after.select("c", "to")
+    for _ in range(3):
+        step = now.select(F.col("c").alias("to"), F.col("to").alias("next"))
+        now = now.join(step, "to").select("c", F.col("next").alias("to"))
+    return stored(now.select(F.col("c").alias("node"), F.col("to").alias("component")), "groups")
 
 
 def keep_largest(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from curvespark.operators import cloud as C
 from curvespark.operators import curves as V
-from curvespark.operators import assembly, graph, junctions, records, shapes
+from curvespark.operators import assembly, collapse, decisions, graph, junctions, records, shapes
+from curvespark.operators import paths
 from curvespark.plans import projections as P
+from curvespark.plans.lineage import stored
 from curvespark.plans.queries import CLOUD_EV, CURVE, _query, _rounded, pairs_sql
 
 # --- junctions of the spanning forest ---------------------------------------------
@@ -316,3 +318,77 @@ def obj_file(spark: SparkSession, d: str) -> DataFrame:
 def first_halves(spark: SparkSession, d: str) -> DataFrame:
     return shapes.first_half(P.curves_from_events(spark, d)).select("sid", "k")
 
+
+
+# --- decisions at junctions, with the published numbers -----------------------------
+
+WIDE = 8.0
+#: Whole branches, walked hop by hop; the library has them from intervals.
+WHOLE = FOREST.replace(pairs_sql("cloud", FAR), pairs_sql("cloud", WIDE)).replace(f" WHERE hops < {HOPS}", "")
+REAL_SQL = f"{WHOLE}, reals AS (SELECT junction AS id FROM size GROUP BY junction HAVING min(size) > 20)"
+
+
+def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, decisions.Forest]:
+    cloud = P.cloud_from_events(spark, d)
+    return cloud, decisions.Forest(*graph.spanning_forest_of_components(graph.proximity_edges(cloud, WIDE)))
+
+
+@_query(f"{WHOLE} SELECT junction, branch, size, CAST(depth AS BIGINT) AS depth, end_ AS tip FROM (SELECT junction, branch, count(*) AS size, max(hops) AS depth, arg_min(node, (-hops, node)) AS end_ FROM br GROUP BY 1, 2)")
+def whole_branches(spark: SparkSession, d: str) -> DataFrame:
+    """Every junction's branches to their ends: sizes and deepest nodes."""
+    _, forest = _wide(spark, d)
+    far = paths.branch_ends(forest.sizes, paths.reaches(forest.nodes, forest.steps))
+    hubs = junctions.hubs(forest.tree).withColumnRenamed("id", "junction")
+    return far.join(hubs, "junction", "left_semi").select("junction", "branch", "size", F.col("far").alias("depth"), F.col("end").alias("tip"))
+
+
+@_query(f"{REAL_SQL} SELECT junction, branch, node AS next, CAST(hops AS BIGINT) AS hops FROM br SEMI JOIN reals r ON r.id = node WHERE junction IN (SELECT id FROM reals) AND hops <= 1000 QUALIFY row_number() OVER (PARTITION BY junction, branch ORDER BY hops, node) = 1")
+def stems_to_junctions(spark: SparkSession, d: str) -> DataFrame:
+    """The next junction with branches of over 20 nodes along each branch of each of them, within 1,000 edges."""
+    _, forest = _wide(spark, d)
+    real = stored(forest.real_junctions(), "real")
+    near = paths.branch_ends(forest.sizes, paths.reaches(forest.nodes, forest.steps, real, nearest=True)).where("far <= 1000")
+    return near.join(real.withColumnRenamed("id", "junction"), "junction", "left_semi").select("junction", "branch", F.col("end").alias("next"), F.col("far").alias("hops"))
+
+
+DECIDED = f"""{WHOLE}, pv AS (SELECT junction, branch, node, {', '.join(f'q.p{k} - j.p{k} AS v{k}' for k in range(3))}, sqrt({' + '.join(f'(q.p{k} - j.p{k}) ^ 2' for k in range(3))}) AS far FROM br JOIN cloud q ON q.id = node JOIN cloud j ON j.id = junction),
+vec AS (SELECT * FROM pv QUALIFY row_number() OVER (PARTITION BY junction, branch ORDER BY round(abs(far - 10), 9), node) = 1),
+bl AS (SELECT j.id AS junction, q.id AS id, {', '.join(f'q.p{k} - j.p{k} AS r{k}' for k in range(3))} FROM (SELECT * FROM cloud SEMI JOIN vec ON id = junction) j JOIN cloud q ON q.p0 BETWEEN j.p0 - 10 AND j.p0 + 10 AND {' + '.join(f'(q.p{k} - j.p{k}) ^ 2' for k in range(3))} BETWEEN 1e-12 AND 100),
+asg AS (SELECT junction, id, branch FROM bl JOIN vec USING (junction) WHERE far > 1e-9 QUALIFY row_number() OVER (PARTITION BY junction, id ORDER BY (r0 * v0 + r1 * v1 + r2 * v2) / far DESC, branch) = 1),
+cnt AS (SELECT junction, branch, count(id) AS points FROM vec LEFT JOIN asg USING (junction, branch) GROUP BY 1, 2),
+un AS (SELECT junction, branch, points, v0 / far AS u0, v1 / far AS u1, v2 / far AS u2 FROM vec JOIN cnt USING (junction, branch) QUALIFY count(*) OVER (PARTITION BY junction) = 3 AND min(far) OVER (PARTITION BY junction) > 1e-9),
+pr AS (SELECT a.junction, a.branch AS ba, b.branch AS bb, 180 - degrees(acos(greatest(-1, least(1, a.u0 * b.u0 + a.u1 * b.u1 + a.u2 * b.u2)))) AS left_over FROM un a JOIN un b ON a.junction = b.junction AND a.branch < b.branch),
+sc AS (SELECT un.junction, branch, CASE WHEN sum(left_over) OVER j > 1e-9 THEN left_over / sum(left_over) OVER j ELSE 1.0 / 3 END AS angle, CASE WHEN sum(points) OVER j > 0 THEN points / sum(points) OVER j ELSE 1.0 / 3 END AS density FROM un JOIN pr ON un.junction = pr.junction AND branch <> ba AND branch <> bb WINDOW j AS (PARTITION BY un.junction)),
+stem AS (SELECT *, row_number() OVER (PARTITION BY junction ORDER BY round(0.4 * angle + 0.6 * density, 9) DESC, branch) = 1 AS is_stem FROM sc),
+arm AS (SELECT junction, branch, is_stem, count(*) AS size, arg_min(node, (-hops, node)) AS tip, row_number() OVER (PARTITION BY junction ORDER BY is_stem, count(*), branch) AS place FROM br JOIN stem USING (junction, branch) GROUP BY 1, 2, 3),
+row_ AS (SELECT junction, max(branch) FILTER (place = 3) AS stem, max(branch) FILTER (place = 1) AS short, max(branch) FILTER (place = 2) AS long, max(tip) FILTER (place = 1) AS tip FROM arm GROUP BY 1),
+tch AS (SELECT r.junction, br.node AS touch FROM row_ r JOIN br ON br.junction = r.junction AND br.branch = r.long JOIN cloud t ON t.id = r.tip JOIN cloud q ON q.id = br.node WHERE {' + '.join(f'(t.p{k} - q.p{k}) ^ 2' for k in range(3))} <= {{reach2}} QUALIFY row_number() OVER (PARTITION BY r.junction ORDER BY round({' + '.join(f'(t.p{k} - q.p{k}) ^ 2' for k in range(3))}, 9), br.node) = 1),
+goal AS (SELECT junction, tip AS at_, 0 AS side FROM row_ JOIN tch USING (junction) UNION ALL SELECT junction, touch, 1 FROM row_ JOIN tch USING (junction)),
+up AS (SELECT g.junction, g.side, b.node, b.hops, b.prev FROM goal g JOIN br b ON b.junction = g.junction AND b.node = g.at_ UNION ALL SELECT u.junction, u.side, b.node, b.hops, b.prev FROM up u JOIN br b ON b.junction = u.junction AND b.node = u.prev WHERE u.prev <> u.junction),
+lp AS (SELECT junction, side, node, hops FROM up UNION ALL SELECT junction, side, junction, 0 FROM goal),
+off_ AS (SELECT l.junction, l.node AS other, s.branch AS first, least(s.size, 10000) AS size FROM (SELECT DISTINCT junction, node FROM lp WHERE node <> junction) l JOIN (SELECT a AS junction, b AS branch FROM arcs) e ON e.junction = l.node JOIN every s ON s.junction = e.junction AND s.branch = e.branch WHERE s.size >= 3 AND NOT EXISTS (SELECT 1 FROM lp x WHERE x.junction = l.junction AND x.node = s.branch)),
+trn AS (SELECT * FROM off_ QUALIFY row_number() OVER (PARTITION BY junction ORDER BY size DESC, other, first) = 1)"""
+#: Sizes of the branches of every node, not of junctions only.
+EVERY = "every AS (SELECT id AS junction, branch, count(*) AS size FROM ev GROUP BY 1, 2), "
+EV = "ev AS (SELECT a AS id, b AS branch, b AS node, a AS prev FROM arcs UNION ALL SELECT id, branch, arcs.b, node FROM ev JOIN arcs ON arcs.a = node AND arcs.b <> prev), "
+REACH = 12.0
+DECIDED = DECIDED.replace("tch AS", EV + EVERY + "tch AS").replace("{reach2}", str(REACH * REACH))
+
+
+def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, decisions.Forest, DataFrame]:
+    cloud, forest = _wide(spark, d)
+    return cloud, forest, decisions.decide(forest, junctions.hubs(forest.tree), cloud, REACH)
+
+
+@_query(f"""{DECIDED} SELECT h.id AS junction, CASE WHEN r.junction IS NULL THEN 'skip' WHEN touch IS NULL THEN 'cut' WHEN trn.other IS NOT NULL THEN 'loop' ELSE 'skip' END AS action, r.stem, r.short, r.long, r.tip, touch, trn.other AS next
+FROM hub h LEFT JOIN row_ r ON r.junction = h.id LEFT JOIN tch ON tch.junction = h.id LEFT JOIN trn ON trn.junction = h.id""")
+def junction_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Every junction's action; no arm of these trees is over 1,000 edges deep."""
+    return _decided(spark, d)[2]
+
+
+@_query(f"{DECIDED}, n AS (SELECT junction, max(hops) FILTER (side = 0) AS a, max(hops) FILTER (side = 1) AS b FROM lp GROUP BY 1) SELECT junction, CAST(if(side = 0, hops, a + 1 + b - hops) AS BIGINT) AS k, node AS id FROM lp JOIN n USING (junction)")
+def loop_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The loops of all junctions whose smaller arm comes back to the larger one."""
+    _, forest, table = _decided(spark, d)
+    return decisions.loop_nodes(forest, table.where("touch is not null"))
