@@ -104,28 +104,94 @@ def local_writhe(curves: DataFrame, half: int, sigma: float = 3.0, spacing: floa
     fits = (F.col("n") > 2 * half + 1) & (F.lag("k", half).over(by).isNotNull())
     return sums.select("sid", "k", F.when(fits, spacing**2 / (4 * math.pi) * whole).alias("writhe"))
 
-def subsequence_warping(signal: DataFrame, template: list[float], column: str = "x") -> DataFrame:
-    """``(sid, start, stop, cost)``: the stretch of each signal that a template warps onto most cheaply (absolute differences)."""
-    given = np.asarray(template, float)
+def _warped(x: np.ndarray, template: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cheapest warp of a template onto a stretch that ends at each sample, and where it begins; channels are columns.
+
+    A row of the table is a running minimum: a cell is its own cost plus the best of the row above up to here, less what the cells before it add up to.
+    """
+    cost = lambda i: np.abs(template[i] - x) @ weights
+    total, start = cost(0), np.arange(len(x))
+    for i in range(1, len(template)):
+        above, begun = total.copy(), start.copy()
+        if len(x) > 1:
+            back = total[:-1] <= total[1:]
+            above[1:], begun[1:] = np.where(back, total[:-1], total[1:]), np.where(back, start[:-1], start[1:])
+        sums = np.cumsum(cost(i))
+        ahead = above - np.concatenate([[0.0], sums[:-1]])
+        least = np.minimum.accumulate(ahead)
+        taken = np.maximum.accumulate(np.where(ahead <= least, np.arange(len(x)), 0))
+        total, start = least + sums, begun[taken]
+    return total, start
+
+
+def _channels(template: list[float] | list[list[float]], columns: str | list[str], weights: list[float] | None) -> tuple[np.ndarray, list[str], np.ndarray]:
+    names = [columns] if isinstance(columns, str) else list(columns)
+    given = np.asarray(template, float).reshape(len(names), -1).T if isinstance(columns, str) else np.asarray(template, float).T
+    return given, names, np.asarray(weights if weights is not None else [1.0] * len(names), float)
+
+
+def warping_costs(signal: DataFrame, template: list[float] | list[list[float]], columns: str | list[str] = "x", weights: list[float] | None = None) -> DataFrame:
+    """``(sid, k, start, cost)``: for each sample of each signal the cheapest warp of the template onto a stretch that ends there (weighted absolute differences; a list a channel), and where that begins."""
+    given, names, shares = _channels(template, columns, weights)
 
     def rule(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k")
-        x, k = rows[column].to_numpy(float), rows["k"].to_numpy()
-        cost, start = np.abs(given[0] - x), np.arange(len(x))
-        for y in given[1:]:
-            now, begun = np.empty(len(x)), np.empty(len(x), int)
-            for j in range(len(x)):
-                ways = [(cost[j], start[j])]
-                if j:
-                    ways += [(cost[j - 1], start[j - 1]), (now[j - 1], begun[j - 1])]
-                best = min(ways)
-                now[j], begun[j] = best[0] + abs(y - x[j]), best[1]
-            cost, start = now, begun
-        j = int(np.argmin(cost))
-        return pd.DataFrame({"sid": [key[0]], "start": [k[start[j]]], "stop": [k[j]], "cost": [cost[j]]})
+        k = rows["k"].to_numpy()
+        total, start = _warped(rows[names].to_numpy(float), given, shares)
+        return pd.DataFrame({"sid": key[0], "k": k, "start": k[start], "cost": total})
 
     kind = signal.schema["sid"].dataType.simpleString()
-    return signal.select("sid", "k", column).groupBy("sid").applyInPandas(rule, f"sid {kind}, start long, stop long, cost double")
+    return signal.select("sid", "k", *names).groupBy("sid").applyInPandas(rule, f"sid {kind}, k long, start long, cost double")
+
+
+def subsequence_warping(signal: DataFrame, template: list[float], column: str = "x") -> DataFrame:
+    """``(sid, start, stop, cost)``: the stretch of each signal that a template warps onto most cheaply (absolute differences); of equal ones the first."""
+    best = F.min(F.struct("cost", F.col("k").alias("stop"), "start")).alias("m")
+    return warping_costs(signal, template, column).groupBy("sid").agg(best).select("sid", "m.start", "m.stop", "m.cost")
+
+
+def cheapest_segments(lengths: DataFrame, candidates: DataFrame, gap: float) -> DataFrame:
+    """``(sid, segment, start, stop, cost, total, gaps)``: stretches of each signal that don't overlap, chosen from ``candidates`` ``(sid, start, stop, cost)``, so that their costs and ``gap`` for each sample between them are least.
+
+    ``lengths`` is ``(sid, n)``; samples are 0 to n - 1. A gap is preferred to a stretch as dear, and of stretches that end together the first. ``total`` and ``gaps`` are the signal's least cost and its samples in gaps; signals
+    without a segment have no rows. A semi-Markov chain's best path: its durations are those of the candidates, all starts of one end are compared at once.
+    """
+
+    def rule(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n = int(rows["n"].iloc[0])
+        rows = rows[rows["stop"].notna() & (rows["stop"] < n) & (rows["start"] >= 0) & (rows["start"] <= rows["stop"])].sort_values(["stop", "start", "cost"])
+        start, stop, cost = rows["start"].to_numpy(int), rows["stop"].to_numpy(int), rows["cost"].to_numpy(float)
+        first = np.searchsorted(stop, np.arange(n + 1))
+        least, chosen = np.zeros(n + 1), np.full(n + 1, -1)
+        for j in range(n):
+            least[j + 1] = least[j] + gap
+            a, b = first[j], first[j + 1]
+            if a < b:
+                ways = least[start[a:b]] + cost[a:b]
+                k = int(np.argmin(ways))
+                if ways[k] < least[j + 1]:
+                    least[j + 1], chosen[j + 1] = ways[k], a + k
+        taken, j, gaps = [], n, 0
+        while j:
+            if chosen[j] < 0:
+                j, gaps = j - 1, gaps + 1
+            else:
+                taken.append(chosen[j])
+                j = start[chosen[j]]
+        taken.reverse()
+        return pd.DataFrame({"sid": key[0], "segment": np.arange(len(taken)), "start": start[taken], "stop": stop[taken], "cost": cost[taken], "total": least[n], "gaps": gaps}) if taken else pd.DataFrame({c: [] for c in ("sid", "segment", "start", "stop", "cost", "total", "gaps")})
+
+    kind = lengths.schema["sid"].dataType.simpleString()
+    rows = lengths.select("sid", F.col("n").cast("long").alias("n")).join(candidates.select("sid", "start", "stop", "cost"), "sid", "left")
+    return rows.groupBy("sid").applyInPandas(rule, f"sid {kind}, segment long, start long, stop long, cost double, total double, gaps long")
+
+
+def hidden_segments(signal: DataFrame, template: list[float] | list[list[float]], columns: str | list[str] = "x", weights: list[float] | None = None, gap: float = 0.8, stretch: float = 1.5) -> DataFrame:
+    """``cheapest_segments`` of the stretches that the template warps onto: the best one for each end, if it is neither ``stretch`` times longer than the template nor as much shorter (two samples at least)."""
+    m = len(_channels(template, columns, weights)[0])
+    shortest, longest = max(2, round(m / stretch)), round(m * stretch)
+    ends = warping_costs(signal, template, columns, weights).where(f"k - start + 1 between {shortest} and {longest}")
+    return cheapest_segments(signal.groupBy("sid").agg(F.count("*").alias("n")), ends.select("sid", "start", F.col("k").alias("stop"), "cost"), gap)
 
 
 def _even(p: np.ndarray, n: int) -> np.ndarray:

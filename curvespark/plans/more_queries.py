@@ -392,3 +392,40 @@ def loop_paths(spark: SparkSession, d: str) -> DataFrame:
     """The loops of all junctions whose smaller arm comes back to the larger one."""
     _, forest, table = _decided(spark, d)
     return decisions.loop_nodes(forest, table.where("touch is not null"))
+
+
+# --- collapsed regions ---------------------------------------------------------------
+
+#: Five curves a sample, two regions of two ways: ends of the first two go on in the next two, whose ends go on in the fifth and the first.
+REGIONS = ((0, 0, 0, 1, 2, 0), (0, 0, 1, 1, 3, 0), (0, 1, 0, 1, 3, 0), (0, 1, 1, 1, 2, 0), (1, 0, 2, 1, 4, 0), (1, 0, 3, 1, 0, 0), (1, 1, 2, 1, 0, 0), (1, 1, 3, 1, 4, 0))
+CHAINS = f"""WITH RECURSIVE {CURVE}, names AS (SELECT DISTINCT sid // 5 AS sample, sid FROM curve), whole AS (SELECT sample FROM names GROUP BY sample HAVING count(*) = 5),
+w(region, way, ia, a_end, ib, b_end) AS (VALUES {', '.join(map(str, REGIONS))}), ch AS (SELECT sample, c AS choice FROM whole, range(4) t(c)),
+joins AS (SELECT sample, choice, 5 * sample + ia AS a, a_end, 5 * sample + ib AS b, b_end FROM ch, w WHERE way = CASE WHEN region = 0 THEN choice // 2 ELSE choice % 2 END),
+both_ AS (SELECT * FROM joins UNION ALL SELECT sample, choice, b, b_end, a, a_end FROM joins),
+ends AS (SELECT ch.sample, choice, sid, e FROM ch JOIN names USING (sample), (VALUES (0), (1)) v(e)), free AS (SELECT * FROM ends f WHERE NOT EXISTS (SELECT 1 FROM both_ b WHERE b.sample = f.sample AND b.choice = f.choice AND b.a = f.sid AND b.a_end = f.e)),
+walk AS (SELECT sample, choice, sid AS chain, e AS chain_end, CAST(0 AS BIGINT) AS place, sid, e AS enter FROM free UNION ALL SELECT k.sample, k.choice, chain, chain_end, place + 1, b.b, b.b_end FROM walk k JOIN both_ b ON b.sample = k.sample AND b.choice = k.choice AND b.a = k.sid AND b.a_end = 1 - k.enter),
+own AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY sample, choice, sid ORDER BY chain, chain_end) = 1)"""
+
+
+def _regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    curves = P.curves_from_events(spark, d).withColumn("sample", F.expr("sid div 5"))
+    whole = curves.groupBy("sample").agg(F.countDistinct("sid").alias("n")).where("n = 5").select("sample")
+    rows = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(row, ("region", "way", "ia", "a_end", "ib", "b_end"), strict=True))) for row in REGIONS))
+    ways = whole.withColumn("w", F.explode(rows)).select("sample", "w.region", "w.way", (5 * F.col("sample") + F.col("w.ia")).alias("a"), "w.a_end", (5 * F.col("sample") + F.col("w.ib")).alias("b"), "w.b_end")
+    return curves.join(whole, "sample"), ways
+
+
+@_query(f"{CHAINS} SELECT e.sample, e.choice, e.sid, o.chain, o.chain_end, o.place, o.enter = 1 AS flipped FROM (SELECT DISTINCT sample, choice, sid FROM ends) e LEFT JOIN own o USING (sample, choice, sid)")
+def collapse_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Which curves follow each other in every combination of every sample; curves of loops have no chain."""
+    curves, ways = _regions(spark, d)
+    found = collapse.chains(curves, ways, collapse.combinations(ways))
+    return found.select("sample", "choice", "sid", F.col("chain.sid").alias("chain"), F.col("chain.end").alias("chain_end"), "place", "flipped")
+
+
+@_query()
+def collapse_solutions(spark: SparkSession, d: str) -> DataFrame:
+    """Combinations without loops, scored by their knots, and the regions in which they differ from their sample's best."""
+    curves, ways = _regions(spark, d)
+    solutions, chosen = collapse.solve(curves, ways)
+    return _rounded(solutions.join(collapse.differences(solutions, chosen), ["sample", "choice"]).select("sample", "choice", "strands", "log10_det", "is_best", F.concat_ws(",", F.transform("regions", lambda x: x.cast("string"))).alias("regions")), 4)
