@@ -54,10 +54,26 @@ def wrapped(volume: DataFrame, sizes: dict[str, int], halo: int) -> DataFrame:
     return out
 
 
-def structure_tensors(volume: DataFrame, directions: int = 128, sigma: float = 7.0, frequency: float = 0.05, reach: int = 21, edge: int = 64, wrap: dict[str, int] | None = None) -> DataFrame:
-    """``(sample, z, y, x, xx, xy, xz, yy, yz, zz, energy)`` of each voxel that isn't empty: the filters' squared responses times their directions' outer products, and the sum of their sizes.
+def volume_sizes(volume: DataFrame) -> DataFrame:
+    """``(sample, n_z, n_y, n_x)``: each volume's lengths, up to its last stored voxel."""
+    return volume.groupBy("sample").agg(*((F.max(a) + 1).alias(f"n_{a}") for a in AXES))
+
+
+def _near(stored_at: np.ndarray, reach: int) -> np.ndarray:
+    """Which voxels have a stored one within ``reach`` along all axes."""
+    out = stored_at
+    for axis in range(3):
+        sums = np.cumsum(np.pad(out.astype(np.int32), [(reach + 1, reach) if a == axis else (0, 0) for a in range(3)]), axis)
+        n = out.shape[axis]
+        out = np.take(sums, range(2 * reach + 1, 2 * reach + 1 + n), axis) - np.take(sums, range(n), axis) > 0
+    return out
+
+
+def structure_tensors(volume: DataFrame, directions: int = 128, sigma: float = 7.0, frequency: float = 0.05, reach: int = 21, edge: int = 64, wrap: dict[str, int] | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """``(sample, z, y, x, xx, xy, xz, yy, yz, zz, energy)`` of each voxel of the volume that the filters answer at: their squared responses times their directions' outer products, and the sum of their sizes.
 
-    What lies outside the volume is zero, but along the axes of ``wrap`` (with their lengths) the volume closes on itself. A block of ``edge`` voxels a side and its
+    Those are all voxels, stored or empty, with a stored one within ``reach`` along each axis; everywhere else the responses are zero. The volume's ``sizes`` ``(sample, n_z, n_y, n_x)`` are ``volume_sizes`` if not given.
+    What lies outside is zero, but along the axes of ``wrap`` (with their lengths) the volume closes on itself. A block of ``edge`` voxels a side and its
     halo is what one task holds; the filters' spectra are computed once in a task's worker.
     """
     spectra: list[np.ndarray] = []
@@ -65,33 +81,37 @@ def structure_tensors(volume: DataFrame, directions: int = 128, sigma: float = 7
     def bank() -> list[np.ndarray]:
         if not spectra:
             size = (edge + 4 * reach,) * 3
-            spectra.extend(np.fft.fftn(gabor_kernel(d, sigma, frequency, reach), size).astype(np.complex64) if directions * np.prod(size) * 8 <= _SPECTRA_BYTES else None for d in hemisphere(directions))
+            spectra.extend(np.fft.fftn(gabor_kernel(d, sigma, frequency, reach), size) if directions * np.prod(size) * 16 <= _SPECTRA_BYTES else None for d in hemisphere(directions))
         return spectra
 
     def rule(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         block = tuple(int(b) for b in key[1:])
-        inside = np.logical_and.reduce([(rows[a] >= b * edge) & (rows[a] < (b + 1) * edge) for a, b in zip(AXES, block, strict=True)])
-        for a, n in (wrap or {}).items():
-            inside &= (rows[a] >= 0) & (rows[a] < n)
-        own = rows[inside]
-        if own.empty:
-            return pd.DataFrame({c: np.zeros(0, np.int32 if c in AXES else float) for c in names}).astype({"sample": object})
         cube = _dense(rows, block, edge, reach)
+        stored_at = _dense(rows.assign(v=1.0), block, edge, reach) > 0
         size = [n + 2 * reach for n in cube.shape]
+        low = [max(0, b * edge) for b in block]
+        high = [min(int(rows[f"n_{a}"].iloc[0]), (b + 1) * edge) for a, b in zip(AXES, block, strict=True)]
+        core = np.zeros(cube.shape, bool)
+        core[tuple(slice(max(0, lo - b * edge + reach), max(0, hi - b * edge + reach)) for lo, hi, b in zip(low, high, block, strict=True))] = True
+        place = np.nonzero(core & _near(stored_at, reach))
+        if not len(place[0]):
+            return pd.DataFrame({c: np.zeros(0, np.int32 if c in AXES else float) for c in names}).astype({"sample": object})
         spectrum = np.fft.fftn(cube, size)
-        at = [own[a].to_numpy() - b * edge + 2 * reach for a, b in zip(AXES, block, strict=True)]
-        sums, energy = np.zeros((6, len(own))), np.zeros(len(own))
+        at = [p + reach for p in place]
+        sums, energy = np.zeros((6, len(place[0]))), np.zeros(len(place[0]))
         for d, known in zip(hemisphere(directions), bank(), strict=True):
             filtered = known if known is not None else np.fft.fftn(gabor_kernel(d, sigma, frequency, reach), size)
             power = np.abs(np.fft.ifftn(spectrum * filtered)[at[0], at[1], at[2]]) ** 2
             energy += np.sqrt(power)
             sums += power * np.array([d[0] * d[0], d[0] * d[1], d[0] * d[2], d[1] * d[1], d[1] * d[2], d[2] * d[2]])[:, None]
-        return pd.DataFrame({"sample": key[0]} | {a: own[a].to_numpy() for a in AXES} | dict(zip(names[4:10], sums, strict=True)) | {"energy": energy}, columns=names)
+        return pd.DataFrame({"sample": key[0]} | {a: (p + b * edge - reach).astype(np.int32) for a, b, p in zip(AXES, block, place, strict=True)} | dict(zip(names[4:10], sums, strict=True)) | {"energy": energy}, columns=names)
 
     names = ["sample", "z", "y", "x", "xx", "xy", "xz", "yy", "yz", "zz", "energy"]
     kind = volume.schema["sample"].dataType.simpleString()
+    sizes = sizes if sizes is not None else volume_sizes(volume)
+    sizes = sizes.select("sample", *((F.lit(wrap[a]) if a in (wrap or {}) else F.col(f"n_{a}")).cast("int").alias(f"n_{a}") for a in AXES))
     around = wrapped(volume.select("sample", *AXES, "v"), wrap or {}, reach)
-    blocks = with_halo(around, edge, reach)
+    blocks = with_halo(around.join(sizes, "sample"), edge, reach)
     return blocks.groupBy("sample", *(f"b_{a}" for a in AXES)).applyInPandas(rule, f"sample {kind}, z int, y int, x int, " + ", ".join(f"{c} double" for c in names[4:]))
 
 
@@ -137,7 +157,7 @@ def oriented_cloud(volume: DataFrame, energy: float = 32_000.0, linearity: float
     """``(sample, p0..p2, d0..d2, energy, linearity)``: the whole way from a volume to the cloud of the voxels whose filters answer strongly and along a line.
 
     Structure tensors, smoothed by ``ratio`` times ``sigma`` (rounded, one at least); the direction is that of the least eigenvector, positions and directions are
-    in the order z, y, x. Voxels over both limits stay, of them those whose places are multiples of ``every``. ``bank`` goes to ``structure_tensors``.
+    in the order z, y, x. Voxels over both limits stay, empty ones too, of them those whose places are multiples of ``every``. ``bank`` goes to ``structure_tensors``.
     """
     tensors = stored(structure_tensors(volume, sigma=sigma, **bank), "tensors")
     smooth = gaussian_volume(tensors, max(1, round(sigma * ratio)), TENSOR)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curvespark.operators import cloud as C
 from curvespark.operators import curves as V
-from curvespark.operators import assembly, collapse, decisions, graph, junctions, records, shapes
+from curvespark.operators import assembly, collapse, decisions, graph, junctions, records, shapes, walks
 from curvespark.operators import paths
 from curvespark.plans import projections as P
 from curvespark.plans.lineage import stored
@@ -429,3 +429,36 @@ def collapse_solutions(spark: SparkSession, d: str) -> DataFrame:
     curves, ways = _regions(spark, d)
     solutions, chosen = collapse.solve(curves, ways)
     return _rounded(solutions.join(collapse.differences(solutions, chosen), ["sample", "choice"]).select("sample", "choice", "strands", "log10_det", "is_best", F.concat_ws(",", F.transform("regions", lambda x: x.cast("string"))).alias("regions")), 4)
+
+
+# --- walks, orderings, template searches -----------------------------------------------
+
+
+@_query(f"""{WHOLE}, deg AS (SELECT a, count(*) AS n FROM arcs GROUP BY a), ln AS (SELECT a, b, a AS x, b AS y, 1 AS n FROM arcs UNION ALL SELECT l.a, l.b, l.y, r.b, l.n + 1 FROM ln l JOIN deg ON deg.a = l.y AND deg.n = 2 JOIN arcs r ON r.a = l.y AND r.b <> l.x WHERE l.n < 30),
+len_ AS (SELECT a, b, max(n) AS length FROM ln GROUP BY 1, 2), dir AS (SELECT arcs.a, arcs.b, {', '.join(f'(q.p{k} - p.p{k}) / nullif(sqrt({" + ".join(f"(q.p{i} - p.p{i}) ^ 2" for i in range(3))}), 0) AS d{k}' for k in range(3))} FROM arcs JOIN cloud p ON p.id = arcs.a JOIN cloud q ON q.id = arcs.b),
+one AS (SELECT h.id AS walker, l.b AS at_, h.id AS before FROM hub h JOIN len_ l ON l.a = h.id QUALIFY row_number() OVER (PARTITION BY h.id ORDER BY l.length DESC, l.b) = 1),
+nxt AS (SELECT u.a AS before, u.b AS at_, v.b AS to_ FROM dir u JOIN dir v ON v.a = u.b AND v.b <> u.a QUALIFY row_number() OVER (PARTITION BY u.a, u.b ORDER BY round(u.d0 * v.d0 + u.d1 * v.d1 + u.d2 * v.d2, 12) DESC, v.b) = 1),
+wk AS (SELECT walker, CAST(1 AS BIGINT) AS k, at_, before FROM one UNION ALL SELECT w.walker, w.k + 1, n.to_, w.at_ FROM wk w JOIN nxt n ON n.before = w.before AND n.at_ = w.at_ WHERE w.k < 25)
+SELECT id AS walker, CAST(0 AS BIGINT) AS k, id FROM hub UNION ALL SELECT walker, k, at_ FROM wk""")
+def greedy_walks(spark: SparkSession, d: str) -> DataFrame:
+    """25 steps from every junction."""
+    cloud = P.cloud_from_events(spark, d)
+    tree = stored(graph.spanning_forest(graph.proximity_edges(cloud, WIDE)), "tree")
+    starts = junctions.hubs(tree).select(F.col("id").alias("walker"), F.col("id").alias("start"), F.lit(None).cast("long").alias("avoid"))
+    return walks.greedy_walks(tree, cloud, starts)
+
+
+@_query()
+def ordered_points(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events along the longest path of the tree of their nearest neighbours."""
+    points = P.cloud_from_events(spark, d).select(F.col("p2").cast("long").alias("sid"), "id", "p0", "p1", (F.col("d0") * 10).alias("p2"))
+    return walks.ordered_points(points, reach=80.0)
+
+
+@_query()
+def forward_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Three curves as templates, tried from every tenth point of all curves on."""
+    curves = P.curves_from_events(spark, d)
+    library = curves.where("sid in (1, 2, 3) and k between 5 and 14").select(F.col("sid").alias("template"), (F.col("k") - 5).alias("k"), "p0", "p1", "p2")
+    starts = curves.where("k % 10 = 0").select("sid", F.col("k").alias("start"), F.explode(F.array(*(F.lit(x).cast("long") for x in (1, 2, 3)))).alias("template"))
+    return _rounded(shapes.forward_matches(curves, starts, library, spacing=180.0, samples=12, temperature=100.0).drop("fits"), 4)

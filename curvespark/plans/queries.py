@@ -516,11 +516,35 @@ def template_segments(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(signals.segment_by_template(P.curves_from_events(spark, d), shape, most=1e6), 3)
 
 
-@_query()
+def warp_sql(source: str, template: tuple[float, ...]) -> str:
+    """Recursive CTE ``warp (sid, k, cost, start)``: a column of the warping table a step, its cells one after the other."""
+    m = len(template)
+    first = ", ".join([f"{' + '.join(f'abs({t} - x)' for t in template[: i + 1])} AS d{i}, CAST(0 AS BIGINT) AS s{i}" for i in range(m)])
+    rows = f"(SELECT c.*, z.x AS nx, z.k AS nk FROM cells c JOIN {source} z ON z.sid = c.sid AND z.k = c.k + 1)"
+    rows = f"(SELECT *, abs({template[0]} - nx) AS e0, nk AS f0 FROM {rows})"
+    for i in range(1, m):
+        rows = f"(SELECT *, abs({template[i]} - nx) + least(d{i - 1}, e{i - 1}, d{i}) AS e{i}, CASE WHEN least(d{i - 1}, e{i - 1}) <= d{i} THEN CASE WHEN d{i - 1} <= e{i - 1} THEN s{i - 1} ELSE f{i - 1} END ELSE s{i} END AS f{i} FROM {rows})"
+    return f"cells AS (SELECT sid, k, {first} FROM {source} WHERE k = 0 UNION ALL SELECT sid, nk, {', '.join(f'e{i}, f{i}' for i in range(m))} FROM {rows}), warp AS (SELECT sid, k, d{m - 1} AS cost, s{m - 1} AS start FROM cells)"
+
+
+@_query(f"WITH RECURSIVE {SIGNAL}, {warp_sql('sig', (10000.0, 30000.0, 50000.0, 20000.0))} SELECT sid, start, k AS stop, round(cost, 2) + 0.0 AS cost FROM warp QUALIFY row_number() OVER (PARTITION BY sid ORDER BY cost, k) = 1")
 def warped_stretch(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(signals.subsequence_warping(P.signal_from_lines(spark, d), [10_000.0, 30_000.0, 50_000.0, 20_000.0]), 2)
 
 
+@_query(f"""WITH RECURSIVE {SIGNAL}, z AS (SELECT sid, k, coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0) AS x FROM sig WINDOW w AS (PARTITION BY sid)), {warp_sql('z', (-1.0, 0.0, 1.0, -0.5))},
+dp AS (SELECT sid, CAST(0 AS BIGINT) AS j, [0.0::DOUBLE] AS f, CAST([] AS BIGINT[]) AS b FROM z WHERE k = 0 UNION ALL
+       SELECT sid, j + 1, list_append(f, CASE WHEN take THEN c ELSE g END), list_append(b, CASE WHEN take THEN start ELSE -1 END) FROM (SELECT *, fits AND c < g AS take FROM (SELECT dp.sid, j, f, b, start, f[j + 1] + 0.8 AS g, f[start + 1] + cost AS c, k - start + 1 BETWEEN 3 AND 6 AS fits FROM dp JOIN warp w ON w.sid = dp.sid AND w.k = dp.j))),
+e AS (SELECT sid, max(j) AS n, arg_max(f, j) AS f, arg_max(b, j) AS b FROM dp GROUP BY sid),
+bt AS (SELECT sid, n AS at_, b, CAST(NULL AS BIGINT) AS start, CAST(NULL AS BIGINT) AS stop FROM e UNION ALL SELECT sid, CASE WHEN b[at_] = -1 THEN at_ - 1 ELSE b[at_] END, b, CASE WHEN b[at_] <> -1 THEN b[at_] END, CASE WHEN b[at_] <> -1 THEN at_ - 1 END FROM bt WHERE at_ > 0),
+gp AS (SELECT sid, count(*) - 1 - count(start) AS gaps FROM bt GROUP BY sid)
+SELECT bt.sid, row_number() OVER (PARTITION BY bt.sid ORDER BY bt.start) - 1 AS segment, bt.start, bt.stop, round(w.cost, 6) + 0.0 AS cost, round(e.f[e.n + 1], 6) + 0.0 AS total, gaps FROM bt JOIN warp w ON w.sid = bt.sid AND w.k = bt.stop JOIN e ON e.sid = bt.sid JOIN gp ON gp.sid = bt.sid WHERE bt.start IS NOT NULL""")
+def hidden_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every signal's stretches that a template warps onto, and gaps between them, at the least cost."""
+    z = V.z_scores(P.signal_from_lines(spark, d))
+    return _rounded(signals.hidden_segments(z.select("sid", "k", F.col("z").alias("x")), [-1.0, 0.0, 1.0, -0.5]))
+
+
 @_query(f"""WITH RECURSIVE {SIGNAL}, nb AS (SELECT *, lag(x) OVER o AS l, lead(x) OVER o AS r FROM sig WINDOW o AS (PARTITION BY sid ORDER BY k)), pk AS (SELECT sid, k, x FROM nb WHERE x > l AND x >= r AND x >= 50000.0),
 rk AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY x DESC, k) AS r FROM pk),
 g AS (SELECT DISTINCT sid, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS ks FROM pk UNION ALL SELECT g.sid, rk.r, CASE WHEN len(ks) < 10 AND len(list_filter(ks, lambda a: abs(a - k) < 5)) = 0 THEN list_append(ks, k) ELSE ks END FROM g JOIN rk ON rk.sid = g.sid AND rk.r = g.r + 1),
@@ -616,10 +640,15 @@ def ground_forces(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(rod.stretch_and_ground_forces(P.curves_from_events(spark, d), 50.0, 0.5, 1.0, p), 5)
 
 
-@_query()
+@_query(f"""WITH {VOLUME}, r AS (SELECT unnest(range(-3, 4)) AS i), o AS (SELECT a.i AS dz, b.i AS dy, c.i AS dx, exp(-(a.i ^ 2 + b.i ^ 2 + c.i ^ 2) / 2.0) AS w FROM r a, r b, r c), q AS (SELECT dz, dy, dx, w / sum(w) OVER () AS w FROM o),
+h AS (SELECT k, (k + 0.5) / 8 AS hz, 2 * pi() * k / ((1 + sqrt(5)) / 2) AS angle FROM (SELECT unnest(range(0, 8)) AS k)), d AS (SELECT k, sqrt(1 - hz * hz) * cos(angle) AS x, sqrt(1 - hz * hz) * sin(angle) AS y, hz AS z FROM h),
+kn AS (SELECT k, dz, dy, dx, w * cos(2 * pi() * 0.2 * (d.x * dx + d.y * dy + d.z * dz)) AS re, w * sin(2 * pi() * 0.2 * (d.x * dx + d.y * dy + d.z * dz)) AS im FROM q, d), n AS (SELECT sample, max(z) AS nz, max(y) AS ny, max(x) AS nx FROM vol GROUP BY sample),
+a AS (SELECT sample, z + dz AS z, y + dy AS y, x + dx AS x, k, sum(v * re) AS re, sum(v * im) AS im FROM vol, kn GROUP BY ALL), p AS (SELECT a.sample, a.z, a.y, a.x, d.x AS ux, d.y AS uy, d.z AS uz, re * re + im * im AS p FROM a JOIN d USING (k) JOIN n USING (sample) WHERE a.z BETWEEN 0 AND nz AND a.y BETWEEN 0 AND ny AND a.x BETWEEN 0 AND nx)
+SELECT sample, z, y, x, {', '.join(f'round(sum(p * u{i} * u{j}), -1) + 0.0 AS {i}{j}' for i, j in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))}, round(sum(sqrt(p)), 2) AS energy FROM p GROUP BY 1, 2, 3, 4""")
 def gabor_tensor(spark: SparkSession, d: str) -> DataFrame:
+    """Responses at all voxels, of a small bank of filters with a reach of three."""
     found = filters.structure_tensors(P.volume_from_lines(spark, d), directions=8, sigma=1.0, frequency=0.2, reach=3, edge=16)
-    return _rounded(found, 2)
+    return _rounded(_rounded(found.withColumns({c: F.round(c, -1) for c in filters.TENSOR}), 2), 2)
 
 
 @_query(f"""WITH {VOLUME}, w AS (SELECT unnest(range(-2, 3)) AS i), n AS (SELECT i, exp(-0.5 * i ^ 2) / (SELECT sum(exp(-0.5 * i ^ 2)) FROM w) AS g FROM w),

@@ -317,6 +317,38 @@ def test_structure_tensors_in_blocks(spark, wrap):
         assert np.allclose([r[c] for c in filters.TENSOR], want[r.z, r.y, r.x], rtol=1e-4, atol=1e-6) and abs(r.energy - energy[r.z, r.y, r.x]) < 1e-3 * energy.max()
 
 
+@pytest.mark.parametrize(("edge", "wrap"), [(8, {}), (64, {}), (5, {"y": 24})])
+def test_filters_answer_at_empty_voxels_too(spark, edge, wrap):
+    """A few stored voxels in a cube of 24: every voxel within reach is returned, all others have no response."""
+    from curvespark.operators import filters
+
+    rng = np.random.default_rng(8)
+    v = np.zeros((24, 24, 24))
+    for i in rng.integers(0, 24, (12, 3)):
+        v[tuple(i)] = rng.uniform(1, 5)
+    v[0, 0, 0], v[23, 23, 23] = 2.0, 3.0
+    frame = spark.createDataFrame([("s", *map(int, i), float(v[i])) for i in np.ndindex(*v.shape) if v[i]], "sample string, z int, y int, x int, v double")
+    want, energy = brute_tensors(v, 3, 1.0, 0.2, 2, [a for a, n in enumerate("zyx") if n in wrap])
+    got = {(r.z, r.y, r.x): r for r in filters.structure_tensors(frame, 3, 1.0, 0.2, 2, edge=edge, wrap=wrap).collect()}
+    assert all(min(i) >= 0 and max(i) < 24 for i in got) and len(got) > 50 * (v > 0).sum()
+    for i in np.ndindex(*v.shape):
+        if i in got:
+            assert np.allclose([got[i][c] for c in filters.TENSOR], want[i], rtol=1e-9, atol=1e-12) and abs(got[i].energy - energy[i]) < 1e-9
+        else:
+            assert energy[i] < 1e-12
+
+
+def test_clouds_hold_empty_voxels_over_the_limits(spark):
+    """A rod with every third voxel missing comes out whole."""
+    from curvespark.operators import filters
+
+    rows = [("s", z, y, x, 100.0) for z in (8, 9) for y in (8, 9) for x in range(24) if x % 3]
+    frame = spark.createDataFrame(rows + [("s", 17, 17, 23, 0.001)], "sample string, z int, y int, x int, v double")
+    cloud = filters.oriented_cloud(frame, energy=20.0, linearity=0.03, sigma=2.0, directions=32, frequency=0.15, reach=5, edge=16)
+    on = {int(r.p2): r for r in cloud.where("p0 = 8 and p1 = 8").collect()}
+    assert set(range(6, 18)) <= set(on) and all(abs(on[x].d2) > 0.9 for x in range(6, 18))
+
+
 def test_gaussian_volume_in_blocks(spark):
     from curvespark.operators import filters
 
