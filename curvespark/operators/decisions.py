@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from curvespark.operators import paths
 from curvespark.operators.cloud import AXES
 from curvespark.operators.graph import proximity_edges, spanning_forest
-from curvespark.operators.junctions import arcs, ball, sector_counts, stems
+from curvespark.operators.junctions import arcs, ball, sector_counts, stems, without_nodes
 from curvespark.operators.trees import longest_paths, rooted
 from curvespark.plans.lineage import stored
 
@@ -23,6 +23,8 @@ from curvespark.plans.lineage import stored
 REAL, PROBE, LONG_ARM, STEM_HOPS, TIP_REACH, BACK, TURN, MOST = 20, 10.0, 1000, 1000, 50.0, 0.35, 3, 10_000
 #: Fixed values of the separation: displacement, its ramp, and the edges of an arm that give its direction.
 APART, RAMP, ARM_HOPS = 15.0, 75.0, 100
+#: The edges of each arm that a deletion takes, and how far a new junction's old one may be.
+DELETED_HOPS, OLD_REACH = 50, 100.0
 
 
 class Forest:
@@ -341,3 +343,47 @@ def bridges(forest: Forest, links: DataFrame, cloud: DataFrame, step: float = 0.
     reach = 0.4 * F.col("distance")
     point = lambda i: y * y * y * F.col(f"a{i}") + 3 * y * y * x * (F.col(f"a{i}") + reach * F.col(f"s{i}")) + 3 * y * x * x * (F.col(f"b{i}") + reach * F.col(f"t{i}")) + x * x * x * F.col(f"b{i}")
     return rows.select("junction", "k", *(point(i).alias(f"p{i}") for i in AXES))
+
+
+def delete_crossings(forest: Forest, crossing: DataFrame, cloud: DataFrame, hops: int = DELETED_HOPS) -> tuple[DataFrame, DataFrame]:
+    """The forest's edges without each crossing's trunk and the first ``hops`` edges of its arms, and ``(junction, other, side, arm, id, p*)``: the nodes where its arms go on, on side 0 (the junction's) or 1."""
+    arms = crossing.where("part = 1").withColumn("side", F.when(F.col("arm") < 2, 0).otherwise(1)).withColumn("end", F.when(F.col("side") == 0, F.col("junction")).otherwise(F.col("other")))
+    met = paths.common_ancestors(forest.nodes, forest.steps, arms.select(F.col("id").alias("a"), F.col("end").alias("b")))
+    far = met.select(F.col("a").alias("id"), F.col("b").alias("end"), (F.col("a_hops") + F.col("b_hops") - 2 * F.col("m_hops")).alias("hops"))
+    rows = stored(arms.join(far, ["id", "end"]).select("junction", "other", "side", "arm", "id", "hops"), "arms")
+    gone = stored(rows.where(F.col("hops") <= hops).select("id").union(crossing.where("part = 0").select("id")).distinct(), "gone")
+    breaks = rows.where(F.col("hops") == hops + 1).join(gone, "id", "left_anti").join(cloud.select("id", *(f"p{i}" for i in AXES)), "id")
+    return without_nodes(forest.tree, gone), breaks.select("junction", "other", "side", "arm", "id", *(f"p{i}" for i in AXES))
+
+
+def pairings(breaks: DataFrame) -> DataFrame:
+    """``(junction, way, a, b)``: both ways to join the two broken arms of one side to those of the other, by the smallest node of each; crossings with other numbers of arms have none."""
+    firsts = breaks.groupBy("junction", "side", "arm").agg(F.min("id").alias("id"))
+    place = F.row_number().over(Window.partitionBy("junction", "side").orderBy("arm")) - 1
+    rows = firsts.withColumns({"place": place, "n": F.count("*").over(Window.partitionBy("junction", "side"))}).where("n = 2")
+    one = rows.where("side = 0").select("junction", F.col("place").alias("i"), F.col("id").alias("a"))
+    two = rows.where("side = 1").select("junction", F.col("place").alias("j"), F.col("id").alias("b"))
+    return one.join(two, "junction").select("junction", F.when(F.col("i") == F.col("j"), 0).otherwise(1).alias("way"), "a", "b")
+
+
+def midpoint_cuts(forest: Forest, before: DataFrame, after: DataFrame, cloud: DataFrame, reach: float = OLD_REACH, decided: DataFrame | None = None) -> DataFrame:
+    """``(junction, target, distance, u, v)``: the edge to cut half way, by length, between a new junction and the old one nearest to it.
+
+    ``before`` and ``after`` are junctions (``id``); new ones are in ``after`` alone, old ones in both. Of the new junctions whose nearest old one within ``reach`` is the same, the nearest is cut off (ties:
+    the smaller id), if a path joins them. Nothing is cut if ``decided`` says that any new junction is to separate.
+    """
+    new, old = after.join(before, "id", "left_anti"), after.join(before, "id", "left_semi")
+    if decided is not None and not decided.join(new.withColumnRenamed("id", "junction"), "junction", "left_semi").where("action = 'separate'").isEmpty():
+        new = new.limit(0)
+    at = cloud.select("id", *(f"p{i}" for i in AXES))
+    near = ball(at.join(new, "id", "left_semi"), at.join(old, "id", "left_semi"), reach).withColumn("d2", F.round("d2", 9))
+    near = near.groupBy("centre").agg(F.min(F.struct("d2", "id")).alias("m")).select("m.d2", F.col("centre").alias("junction"), F.col("m.id").alias("target"))
+    won = stored(near.groupBy("target").agg(F.min(F.struct("d2", "junction")).alias("m")).select("m.junction", "target", F.sqrt("m.d2").alias("distance")), "won")
+    named = forest.nodes.select(F.col("id").alias("junction"), "component")
+    same = won.join(named, "junction").join(named.withColumnsRenamed({"junction": "target", "component": "c"}), "target").where("component = c")
+    way = paths.tree_paths(forest.nodes, forest.steps, same.select(F.col("junction").alias("a"), F.col("target").alias("b"))).join(at, "id")
+    by = Window.partitionBy("a", "b").orderBy("k")
+    step = F.sqrt(sum(((F.lead(f"p{i}").over(by) - F.col(f"p{i}")) * (F.lead(f"p{i}").over(by) - F.col(f"p{i}")) for i in AXES), F.lit(0.0)))
+    way = way.withColumns({"v": F.lead("id").over(by), "step": step}).withColumn("stop", F.sum("step").over(by)).withColumn("half", F.max("stop").over(Window.partitionBy("a", "b")) / 2)
+    cut = way.where("v is not null and stop >= half").groupBy("a", "b").agg(F.min(F.struct("k", "id", "v")).alias("m"))
+    return same.join(cut.select(F.col("a").alias("junction"), F.col("b").alias("target"), F.col("m.id").alias("u"), "m.v"), ["junction", "target"]).select("junction", "target", "distance", "u", "v")

@@ -158,8 +158,12 @@ def cut_tangles(tree: DataFrame, junctions: DataFrame, hops: int = 50) -> tuple[
 
 
 def overridden(cloud: DataFrame, overrides: DataFrame, deleted: DataFrame) -> DataFrame:
-    """The cloud at its edited places: ``overrides`` (id, p*; the last of an id's rows in order) replace positions, ``deleted`` ids go."""
-    new = overrides.groupBy("id").agg(F.max(F.struct(*(f"p{k}" for k in AXES))).alias("o"))
+    """The cloud at its edited places: ``overrides`` (id, p*, and ``at``, the order in which they were written, if an id may have several) replace positions, ``deleted`` ids go.
+
+    The last of an id's overrides counts; of those written at the same time, or without an order, the largest position.
+    """
+    written = ["at"] if "at" in overrides.columns else []
+    new = overrides.groupBy("id").agg(F.max(F.struct(*written, *(f"p{k}" for k in AXES))).alias("o"))
     moved = cloud.join(new, "id", "left").withColumns({f"p{k}": F.coalesce(F.col(f"o.p{k}"), F.col(f"p{k}")) for k in AXES})
     return moved.join(deleted.select("id"), "id", "left_anti").select(*cloud.columns)
 

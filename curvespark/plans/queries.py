@@ -644,11 +644,11 @@ def ground_forces(spark: SparkSession, d: str) -> DataFrame:
 h AS (SELECT k, (k + 0.5) / 8 AS hz, 2 * pi() * k / ((1 + sqrt(5)) / 2) AS angle FROM (SELECT unnest(range(0, 8)) AS k)), d AS (SELECT k, sqrt(1 - hz * hz) * cos(angle) AS x, sqrt(1 - hz * hz) * sin(angle) AS y, hz AS z FROM h),
 kn AS (SELECT k, dz, dy, dx, w * cos(2 * pi() * 0.2 * (d.x * dx + d.y * dy + d.z * dz)) AS re, w * sin(2 * pi() * 0.2 * (d.x * dx + d.y * dy + d.z * dz)) AS im FROM q, d), n AS (SELECT sample, max(z) AS nz, max(y) AS ny, max(x) AS nx FROM vol GROUP BY sample),
 a AS (SELECT sample, z + dz AS z, y + dy AS y, x + dx AS x, k, sum(v * re) AS re, sum(v * im) AS im FROM vol, kn GROUP BY ALL), p AS (SELECT a.sample, a.z, a.y, a.x, d.x AS ux, d.y AS uy, d.z AS uz, re * re + im * im AS p FROM a JOIN d USING (k) JOIN n USING (sample) WHERE a.z BETWEEN 0 AND nz AND a.y BETWEEN 0 AND ny AND a.x BETWEEN 0 AND nx)
-SELECT sample, z, y, x, {', '.join(f'round(sum(p * u{i} * u{j}), -1) + 0.0 AS {i}{j}' for i, j in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))}, round(sum(sqrt(p)), 2) AS energy FROM p GROUP BY 1, 2, 3, 4""")
+SELECT sample, z, y, x, {', '.join(f'round(sum(p * u{i} * u{j}), -4) + 0.0 AS {i}{j}' for i, j in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))}, round(sum(sqrt(p)), 2) AS energy FROM p GROUP BY 1, 2, 3, 4""")
 def gabor_tensor(spark: SparkSession, d: str) -> DataFrame:
     """Responses at all voxels, of a small bank of filters with a reach of three."""
     found = filters.structure_tensors(P.volume_from_lines(spark, d), directions=8, sigma=1.0, frequency=0.2, reach=3, edge=16)
-    return _rounded(_rounded(found.withColumns({c: F.round(c, -1) for c in filters.TENSOR}), 2), 2)
+    return _rounded(_rounded(found.withColumns({c: F.round(c, -4) for c in filters.TENSOR}), 2), 2)
 
 
 @_query(f"""WITH {VOLUME}, w AS (SELECT unnest(range(-2, 3)) AS i), n AS (SELECT i, exp(-0.5 * i ^ 2) / (SELECT sum(exp(-0.5 * i ^ 2)) FROM w) AS g FROM w),

@@ -245,6 +245,41 @@ def test_crossings_come_apart(spark):
     assert moved.count() == len(points)
 
 
+def test_crossings_are_deleted_and_paired(spark):
+    points, edges, cloud, forest = crossing(spark)
+    table = spark.createDataFrame([(0, "separate", 40)], "junction long, action string, next long")
+    found = decisions.crossings_to_separate(forest, table)
+    tree, breaks = decisions.delete_crossings(forest, found, cloud, hops=50)
+    rows = {(r.side, r.arm): (r.id, r.p0) for r in breaks.collect()}
+    assert rows == {(a // 2, a): (100 * (a + 1) + 51, points[100 * (a + 1) + 51][0]) for a in range(4)}
+    assert {(r.u, r.v) for r in tree.collect()} == {e for e in edges if min(e) >= 100 and min(x % 100 for x in e) > 50}
+    assert sorted((r.way, r.a, r.b) for r in decisions.pairings(breaks).collect()) == [(0, 151, 351), (0, 251, 451), (1, 151, 451), (1, 251, 351)]
+
+
+def test_midpoint_cuts(spark, grown):
+    plain, cloud, forest = grown
+    junctions = sorted(i for i in plain.adj if len(plain.adj[i]) > 2)
+    before = [i for k, i in enumerate(junctions) if k % 3]
+    frame = lambda ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    got = {r.junction: (r.target, r.u, r.v) for r in decisions.midpoint_cuts(forest, frame(before), frame(junctions), cloud, 6.0).collect()}
+    near = {}
+    for g in sorted(set(junctions) - set(before)):
+        d, t = min((round(plain.far(g, t) ** 2, 9), t) for t in before)
+        if d <= 36:
+            near.setdefault(t, []).append((d, g))
+    want = {}
+    for t, each in near.items():
+        g = min(each)[1]
+        if t in plain.component(g):
+            way = plain.path(g, t)
+            steps = np.cumsum([plain.far(a, b) for a, b in zip(way, way[1:], strict=False)])
+            e = int(np.argmax(steps >= steps[-1] / 2))
+            want[g] = (t, way[e], way[e + 1])
+    assert got == want and len(got) > 3
+    crossing_one = spark.createDataFrame([(next(iter(got)), "separate")], "junction long, action string")
+    assert decisions.midpoint_cuts(forest, frame(before), frame(junctions), cloud, 6.0, crossing_one).count() == 0
+
+
 def test_search_links_attach_short_of_the_nearest_node(spark):
     """A long-armed junction whose stem ends near the tip of another tree."""
     points, edges = {}, []
