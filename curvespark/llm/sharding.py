@@ -3,29 +3,32 @@
 Within each source, rows are ranked in a seeded shuffle; the rank as a share of the source says where a row stands in the whole
 corpus, so sources are spread evenly over it; the sequence is cut into shards whose counts differ by one at most.
 
-Ranks need no task that holds a whole source: rows fall into buckets of the shuffle's hash (or of the fractional rank), are numbered within
-their bucket, and add the number of rows in the buckets before theirs. Bucket counts follow the number of rows.
+Ranks need no task that holds a whole source: rows are dealt out by ranges of their order, numbered within their range, and add the number of rows in the ranges before
+theirs. Ranges follow the rows, so a source with a third of all rows, or a fraction that all sources of one row share, is spread like everything else.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import json
 
-from curvespark.plans.lineage import stored, new_folder
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: About so many rows share a bucket.
-BUCKET_ROWS = 500
+from curvespark.plans.lineage import discard, new_folder, stored
 
 
-def _numbered(rows: DataFrame, group: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
-    """``rows`` with their number from 0 within ``group``, by ``bucket`` (a number that rises with the order) and by ``order`` within it."""
-    rows = rows.withColumn("__bucket", bucket)
-    counts = rows.groupBy(*group, "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")  # a row for each bucket
-    within = F.row_number().over(Window.partitionBy(*group, "__bucket").orderBy(*order))
-    return rows.withColumn("__within", within).join(counts, [*group, "__bucket"]).withColumn(name, F.col("__before") + F.col("__within") - 1).drop("__bucket", "__before", "__within")
+def _numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` stored, with their number from 0 in the order of the columns."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(placed.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), name)
+    total, before = 0, []
+    for part, n in sorted(placed.groupBy("__part").count().collect()):  # a row for each partition of the shuffle
+        before.append({"__part": part, "__before": total})
+        total += n
+    counts = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(before)), "array<struct<__part: int, __before: bigint>>")))
+    out = placed.join(F.broadcast(counts), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
+    out._stored_at = placed._stored_at
+    return out
 
 
 def shard_rows(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -43,15 +46,15 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_i
         F.col(id_col).alias("doc_id"), F.to_json(source).alias("source"), shuffled.alias("hash"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
     rows = stored(rows, "rows")  # numbers and hashes, without the texts
+    by = ["hash", "doc_id", "text_crc32", "size"]
+    ordered = _numbered(rows, ["source", *by], "number")
+    # sources are runs of the order: a row's rank is its number less that of its source's first row
+    sources = ordered.groupBy("source").agg(F.count("*").alias("of"), F.min("number").alias("first"))
+    ranked = ordered.join(sources, "source").withColumn("share", (2 * (F.col("number") - F.col("first")) + 1) / (2 * F.col("of")))
+    ranked = stored(ranked.drop("number", "first", "of"), "ranked")
+    placed = _numbered(ranked, ["share", "source", *by], "place")
     total = rows.count()
-    sizes = rows.groupBy("source").agg(F.count("*").alias("of"))
-    most = sizes.agg(F.max("of")).first()[0] or 0
-    step = max(1, (16**6 * BUCKET_ROWS) // max(most, 1))
-    bucket = F.floor(F.conv(F.substring("hash", 1, 6), 16, 10).cast("long") / step)
-    ranked = _numbered(rows, ["source"], bucket, ["hash", "doc_id", "text_crc32", "size"], "rank").join(sizes, "source")
-    ranked = ranked.withColumn("share", (2 * F.col("rank") + 1) / (2 * F.col("of")))
-    parts = max(1, total // BUCKET_ROWS)
-    placed = _numbered(ranked, [], F.floor(F.col("share") * parts), ["share", "source", "hash", "doc_id", "text_crc32", "size"], "place")
+    discard(ordered, ranked)
     shard = F.expr(f"(place * {shards}) div {max(total, 1)}")
     first = F.expr(f"(shard * {total} + {shards} - 1) div {shards}")
     return placed.withColumn("shard", shard).withColumn("slot", F.col("place") - first).select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))

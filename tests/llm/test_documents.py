@@ -314,15 +314,38 @@ def brute_shards(rows, shards, seed):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("n", "bucket"), [(997, 10), (997, 100_000), (5, 1), (1, 1)])
-def test_shards(spark, monkeypatch, n, bucket):
-    monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket)
+@pytest.mark.parametrize(("n", "ranges"), [(997, 13), (997, 1), (5, 4), (1, 1)])
+def test_shards(spark, n, ranges):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        check_shards(spark, n)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def check_shards(spark, n):
     rows = [(k, None if k % 50 == 7 else f"text é {k % 9}", "hot" if k % 3 else f"s{k % 7}") for k in range(n)] + [(3, "again", "hot"), (3, "again", "hot"), (None, "x", None)]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, shard int")
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard_rows(frame, 8, 3).collect())
     assert got == brute_shards(rows, 8, 3)
 
 
+def test_shards_of_sources_of_one_row(spark):
+    """All have the same fraction; they are ordered by name."""
+    rows = [(k, "t", f"s{k:04}") for k in range(600)]
+    got = sorted((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string, source string"), 8, 3).collect())
+    assert got == brute_shards(rows, 8, 3)
+
+
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    rows = [(k, f"text {k}", f"s{k % 3}", "old") for k in range(100)]
+    folder = sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string, source string, slot string"), str(tmp_path / "shards"), 4)
+    got = spark.read.parquet(folder).collect()
+    assert sorted((r.doc_id, r.text, r.source) for r in got) == [r[:3] for r in rows]
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(25)) for s in range(4))
+
+
 def test_shards_keep_the_mixture_and_empty(spark):
     frame = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 4 < 3, "a").otherwise("b").alias("source"))
     got = sharding.shard_rows(frame, 8).join(frame, "doc_id").groupBy("shard", "source").count().collect()
