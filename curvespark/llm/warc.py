@@ -31,6 +31,8 @@ from curvespark.plans.lineage import new_folder, stored
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 #: Records are read in ranges of about so many bytes.
 RANGE_BYTES = 8 << 20
+#: Files are read in pieces of so many bytes.
+CHUNK_BYTES = 1 << 20
 _DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -114,25 +116,58 @@ def parse_record(data: bytes) -> dict:
     }
 
 
-def split_records(data: bytes) -> Iterator[bytes]:
-    """The records of a run of bytes, plain or each in a gzip stream of its own."""
-    while data.strip(b"\r\n"):
-        if data[:2] == b"\x1f\x8b":
-            stream = zlib.decompressobj(31)
-            plain = stream.decompress(data) + stream.flush()
-            if not stream.eof:
-                raise ValueError("a record's gzip stream is cut off")
-            yield from split_records(plain)
-            data = stream.unused_data
+def records_of(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The records of a run of bytes that comes in pieces, plain or each in a gzip stream of its own; one record and a piece are held at a time."""
+    held, at = bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        for chunk in chunks:
+            if chunk:
+                del held[:at]
+                at = 0
+                held.extend(chunk)
+                return True
+        return False
+
+    while True:
+        while at < len(held) and held[at] in b"\r\n":
+            at += 1
+        if len(held) - at < 2 and more():
+            continue
+        if at == len(held):
+            return
+        if held[at : at + 2] == b"\x1f\x8b":
+            stream, plain, piece = zlib.decompressobj(31), [], bytes(held[at:])
+            at = len(held)
+            while not stream.eof:
+                plain.append(stream.decompress(piece))
+                if not stream.eof:
+                    if not more():
+                        raise ValueError("a record's gzip stream is cut off")
+                    piece, at = bytes(held), len(held)
+            held, at = bytearray(stream.unused_data), 0
+            yield from records_of(iter([b"".join(plain)]))
             continue
-        data = data.lstrip(b"\r\n")
-        end = data.find(b"\r\n\r\n")
-        size = re.search(rb"(?im)^content-length:[ \t]*(\d+)", data[: max(end, 0)])
-        if end < 0 or size is None:
+        searched = at
+        while (end := held.find(b"\r\n\r\n", searched)) < 0:
+            seen = max(0, len(held) - at - 3)
+            if not more():
+                raise ValueError("not a WARC record")
+            searched = at + seen
+        size = re.search(rb"(?im)^content-length:[ \t]*(\d+)", bytes(held[at:end]))
+        if size is None:
             raise ValueError("not a WARC record")
-        stop = end + 4 + int(size[1])
-        yield data[:stop]
-        data = data[stop:]
+        length = end + 4 + int(size[1]) - at
+        while len(held) - at < length and more():
+            pass
+        yield bytes(held[at : at + length])
+        at = min(at + length, len(held))
+
+
+def split_records(data: bytes) -> Iterator[bytes]:
+    """The records of a run of bytes."""
+    return records_of(data[k : k + CHUNK_BYTES] for k in range(0, len(data), CHUNK_BYTES))
 
 
 def _files(path: str) -> tuple[pafs.FileSystem, str]:
@@ -291,14 +326,25 @@ def _reader(with_payload: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to"] + ["payload"] * with_payload
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()] + [pa.binary()] * with_payload
 
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True)], names=names)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for ranges in batches:
+            for path, start, length in zip(*(c.to_pylist() for c in ranges.columns), strict=True):
                 files, place = _files(path)
                 with files.open_input_file(place) as file:
-                    data = file.read_at(length, start)
-                rows = [parse_record(x) for x in split_records(data)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True)], names=names)
+                    chunks = (file.read_at(min(CHUNK_BYTES, start + length - k), k) for k in range(start, start + length, CHUNK_BYTES))
+                    rows: list[dict] = []
+                    held = 0
+                    for found in records_of(chunks):
+                        rows.append(parse_record(found))
+                        held += len(found)
+                        if held > RANGE_BYTES:
+                            yield batch(rows)
+                            rows, held = [], 0
+                    if rows:
+                        yield batch(rows)
 
     return read
 

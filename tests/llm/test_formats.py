@@ -109,6 +109,30 @@ def test_archives_of_other_writers(spark, tmp_path):
         list(warc.split_records(packed[1][:-9]))
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_records_come_in_pieces_of_any_size(monkeypatch, packed):
+    rng = np.random.default_rng(4)
+    records = [warc.record(k, f"http://x/{k}", bytes(rng.integers(0, 256, int(rng.integers(0, 400)), dtype=np.uint8)), None) for k in range(40)]
+    data = b"\r\n".join(gzip.compress(r) if packed else r for r in records)
+    for size in (1, 3, 7, 64, 1000, 1 << 20):
+        monkeypatch.setattr(warc, "CHUNK_BYTES", size)
+        assert [x.rstrip(b"\r\n") for x in warc.split_records(data)] == [x.rstrip(b"\r\n") for x in records]
+    with pytest.raises(ValueError):
+        list(warc.split_records(data + b"WARC/1.1 without an end"))
+
+
+def test_long_members_without_an_index_take_linear_time(spark, tmp_path):
+    """200 MB of records that no index names, of which a task holds one and a piece at a time."""
+    one = warc.record(None, "http://x/", b"y" * 20_000, None)
+    with zipfile.ZipFile(tmp_path / "long.zip", "w") as z, z.open("archive/long.warc", "w", force_zip64=True) as member:
+        for _ in range(10_000):
+            member.write(one)
+    archives = spark.createDataFrame([(f"file://{tmp_path}/long.zip",)], "path string")
+    start = time.perf_counter()
+    assert warc.read_archives(archives, with_payload=False).where("payload_bytes = 20000").count() == 10_000
+    assert time.perf_counter() - start < 60
+
+
 def test_zip64_directory():
     with io.BytesIO() as out:
         with zipfile.ZipFile(out, "w") as z:
