@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -51,3 +52,18 @@ def discard(*tables: DataFrame | None) -> None:
 def numbered(df: DataFrame, column: str, name: str = "rows") -> DataFrame:
     """``df`` stored with a number of its own for each row, so that every later scan sees the same numbers, however it is split."""
     return stored(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
+def ordered(df: DataFrame, order: list[str], column: str, name: str = "ordered") -> DataFrame:
+    """``df`` stored with the number of each row in the order of the columns, from 0: ranges of the order are numbered each, and the counts of those before are added. No task holds more than a range."""
+    spark = df.sparkSession
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(placed.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), name)
+    total, before = 0, []
+    for part, n in sorted(placed.groupBy("__part").count().collect()):  # a row for each partition of the shuffle
+        before.append({"__part": part, "__before": total})
+        total += n
+    counts = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(before)), "array<struct<__part: int, __before: bigint>>")))
+    out = placed.join(F.broadcast(counts), "__part").withColumn(column, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
+    out._stored_at = placed._stored_at
+    return out

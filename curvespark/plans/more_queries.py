@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curvespark.operators import cloud as C
 from curvespark.operators import curves as V
-from curvespark.operators import assembly, collapse, decisions, graph, junctions, records, shapes, walks
+from curvespark.operators import assembly, collapse, decisions, graph, junctions, records, shapes, states, walks
 from curvespark.operators import paths
 from curvespark.plans import projections as P
 from curvespark.plans.lineage import stored
@@ -462,3 +462,14 @@ def forward_matches(spark: SparkSession, d: str) -> DataFrame:
     library = curves.where("sid in (1, 2, 3) and k between 5 and 14").select(F.col("sid").alias("template"), (F.col("k") - 5).alias("k"), "p0", "p1", "p2")
     starts = curves.where("k % 10 = 0").select("sid", F.col("k").alias("start"), F.explode(F.array(*(F.lit(x).cast("long") for x in (1, 2, 3)))).alias("template"))
     return _rounded(shapes.forward_matches(curves, starts, library, spacing=180.0, samples=12, temperature=100.0).drop("fits"), 4)
+
+
+@_query(f"""WITH {CLOUD_EV}, {pairs_sql('cloud', FAR)}, arcs AS (SELECT DISTINCT a_id AS a, b_id AS b FROM pairs WHERE a_id <> b_id), n AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS at_ FROM arcs),
+k AS (SELECT a, min(at_) AS start, max(at_) + 1 AS stop, string_agg(b, ' ' ORDER BY b) AS nodes FROM n GROUP BY a) SELECT row_number() OVER (ORDER BY a) - 1 AS place, a AS key, start, stop, nodes FROM k""")
+def packed_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of near points packed row by row, with its offsets, and each row's neighbours read back by them."""
+    edges = graph.proximity_edges(P.cloud_from_events(spark, d), FAR)
+    keys, neighbours = states.packed_adjacency(edges)
+    seats = keys.select("place", "key", "start", "stop", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("position"))
+    rows = seats.join(neighbours, "position").groupBy("place", "key", "start", "stop").agg(F.sort_array(F.collect_list(F.struct("position", "node"))).alias("n"))
+    return rows.select("place", "key", "start", "stop", F.concat_ws(" ", F.transform("n", lambda x: x["node"].cast("string"))).alias("nodes"))
