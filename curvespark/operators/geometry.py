@@ -108,3 +108,70 @@ def obj_lines(curves: DataFrame) -> DataFrame:
     points = curves.select("sid", F.col("k").alias("place"), vertex.alias("line"))
     lines = curves.groupBy("sid").agg(F.count("*").alias("n")).select("sid", F.col("n").alias("place"), F.concat(F.lit("l "), F.array_join(F.sequence(F.lit(1).cast("long"), F.col("n")), " ")).alias("line"))
     return points.union(lines)
+
+
+def hierarchy(curves: DataFrame, n_plies: int, pitch: float, radius: float, n_fibres: int = 0, fibre_pitch: float = 1.0, bundle: float = 0.0, migration: float = 0.0, sign: float = 1.0, shake: float = 0.0, grain: float = 0.0) -> tuple[DataFrame, DataFrame | None]:
+    """Plies ``(sid, ply, k, p*)`` about each curve and fibres ``(sid, ply, fibre, k, p*)`` about each ply (None for no fibres): frames are carried along the curve, and then along every ply.
+
+    With ``shake`` plies are moved by noise of that size and ``grain``, which their fibres follow, and fibres by half of it in a grain four times as fine. Keys nest: a ply is a curve named by
+    its curve and number, so each is a group of its own wherever it runs.
+    """
+    from curvespark.operators.noise import warped
+
+    def shaken(lines: DataFrame, keys: list[str], size: float, fine: float) -> DataFrame:
+        if not size:
+            return lines
+        named = lines.withColumn("sid", F.to_json(F.struct(*keys)))
+        moved = warped(named.select("sid", "k", "p0", "p1", "p2"), fine, size)
+        return lines.select(*keys, "k", F.to_json(F.struct(*keys)).alias("name")).join(moved.withColumnRenamed("sid", "name"), ["name", "k"]).select(*keys, "k", "p0", "p1", "p2")
+
+    strands = shaken(plies(framed(curves), n_plies, pitch, radius, sign), ["sid", "ply"], shake, grain)
+    if not n_fibres:
+        return strands, None
+    own = strands.withColumn("name", F.to_json(F.struct("sid", "ply")))
+    names = own.select("name", "sid", "ply").distinct()
+    found = fibres(framed(own.select(F.col("name").alias("sid"), "k", "p0", "p1", "p2")), n_fibres, fibre_pitch, bundle, migration, sign)
+    found = found.withColumnRenamed("sid", "name").join(names, "name").select("sid", "ply", "fibre", "k", "p0", "p1", "p2")
+    return strands, shaken(found, ["sid", "ply", "fibre"], 0.5 * shake, 4.0 * grain)
+
+
+def upsampled(curves: DataFrame, factor: int = 3) -> DataFrame:
+    """``(sid, k, p*)``: each curve with ``factor`` - 1 points more between any two, on the cubic spline through its points whose third derivative is continuous at the second and the last but one; curves of three points follow a parabola, of two a line.
+
+    The spline's equations run along the curve, so a curve is what one task holds; they are solved as a band.
+    """
+
+    def slopes(p: np.ndarray) -> np.ndarray:
+        n = len(p)
+        if n < 3:
+            return np.repeat(np.diff(p, axis=0), n, 0) if n == 2 else np.zeros_like(p)
+        d = np.diff(p, axis=0)
+        if n == 3:
+            bend = d[1] - d[0]
+            return np.stack([d[0] - bend / 2, (d[0] + d[1]) / 2, d[1] + bend / 2])
+        below, main, above, right = np.ones(n), np.full(n, 4.0), np.ones(n), np.empty_like(p)
+        right[1:-1] = 3 * (d[1:] + d[:-1])
+        main[0], above[0], right[0] = 1.0, 2.0, (5 * d[0] + d[1]) / 2
+        main[-1], below[-1], right[-1] = 1.0, 2.0, (5 * d[-1] + d[-2]) / 2
+        for k in range(1, n):
+            share = below[k] / main[k - 1]
+            main[k] -= share * above[k - 1]
+            right[k] -= share * right[k - 1]
+        out = np.empty_like(p)
+        out[-1] = right[-1] / main[-1]
+        for k in range(n - 2, -1, -1):
+            out[k] = (right[k] - above[k] * out[k + 1]) / main[k]
+        return out
+
+    def rule(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p = rows.sort_values("k")[["p0", "p1", "p2"]].to_numpy(float)
+        m = slopes(p)
+        at = np.arange((len(p) - 1) * factor + 1)
+        k = np.minimum(at // factor, max(len(p) - 2, 0))
+        u = ((at - k * factor) / factor)[:, None]
+        last = np.minimum(k + 1, len(p) - 1)
+        q = (2 * u**3 - 3 * u**2 + 1) * p[k] + (u**3 - 2 * u**2 + u) * m[k] + (3 * u**2 - 2 * u**3) * p[last] + (u**3 - u**2) * m[last]
+        return pd.DataFrame({"sid": key[0], "k": at} | {f"p{i}": q[:, i] for i in AXES})
+
+    kind = curves.schema["sid"].dataType.simpleString()
+    return curves.select("sid", "k", "p0", "p1", "p2").groupBy("sid").applyInPandas(rule, f"sid {kind}, k long, p0 double, p1 double, p2 double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curvespark.operators import cloud as C
 from curvespark.operators import curves as V
-from curvespark.operators import assembly, collapse, decisions, graph, junctions, records, shapes, states, walks
+from curvespark.operators import analysis, assembly, collapse, decisions, geometry, graph, junctions, records, shapes, states, walks
 from curvespark.operators import paths
 from curvespark.plans import projections as P
 from curvespark.plans.lineage import stored
@@ -473,3 +473,27 @@ def packed_adjacency(spark: SparkSession, d: str) -> DataFrame:
     seats = keys.select("place", "key", "start", "stop", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("position"))
     rows = seats.join(neighbours, "position").groupBy("place", "key", "start", "stop").agg(F.sort_array(F.collect_list(F.struct("position", "node"))).alias("n"))
     return rows.select("place", "key", "start", "stop", F.concat_ws(" ", F.transform("n", lambda x: x["node"].cast("string"))).alias("nodes"))
+
+
+# --- analysis and nested geometry --------------------------------------------------------
+
+
+@_query()
+def curve_periods(spark: SparkSession, d: str) -> DataFrame:
+    """The periods of every curve's curvature, with the published smoothing and numbers, samples 20 apart."""
+    found = analysis.analyse(P.curves_from_events(spark, d), spacing=20.0, least_period=200.0)
+    return _rounded(found["periods"], 5)
+
+
+@_query()
+def nested_fibres(spark: SparkSession, d: str) -> DataFrame:
+    """Fibres about the plies about all curves."""
+    _, found = geometry.hierarchy(P.curves_from_events(spark, d), 2, 80.0, 6.0, 3, 30.0, 2.0, 0.3)
+    return _rounded(found, 3)
+
+
+@_query(f"WITH {CURVE} SELECT sid, k, {', '.join(f'round(p{i}, 4) + 0.0 AS p{i}' for i in range(3))} FROM curve")
+def knots_of_upsampled(spark: SparkSession, d: str) -> DataFrame:
+    """Every third point of the curves with two points more between any two: the curves themselves."""
+    found = geometry.upsampled(P.curves_from_events(spark, d), 3)
+    return _rounded(found.where("k % 3 = 0").withColumn("k", F.expr("k div 3")), 4)

@@ -155,7 +155,7 @@ def decide_plain(plain, junctions, reach, probe, long_arm, stem_hops, tip_reach)
     return out
 
 
-@pytest.mark.parametrize(("long_arm", "stem_hops", "tip_reach"), [(1000, 1000, 50.0), (8, 25, 6.0), (8, 4, 60.0)])
+@pytest.mark.parametrize(("long_arm", "stem_hops", "tip_reach"), [(1000, 1000, 50.0), (8, 4, 60.0)])
 def test_decisions(spark, grown, long_arm, stem_hops, tip_reach):
     plain, cloud, forest = grown
     junctions = forest.real_junctions(2)
