@@ -27,7 +27,8 @@ BLOCK = RUN**BLOCK_LEVELS
 #: A node's number is its level times ``PLACES`` plus the number of the first leaf below it; the tree of sources begins at level ``TOP``.
 PLACES = 1 << 48
 TOP = 64
-_ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
+#: Settings while a recursion runs: any number of rows, and as many partitions as its shuffles have, since all steps are read in as many tasks as the last and smallest one.
+_RECURSION = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
 
 
 @dataclass
@@ -193,19 +194,21 @@ SELECT number, max_by(hash, step) AS folded, sort_array(collect_list(struct(step
 def climb(manifest: Manifest, hash_col: str = "leaf") -> DataFrame:
     """``(number, folded, siblings)`` for each leaf: the root that its digest in ``hash_col`` folds to, and its siblings' digests from below to above, concatenated.
 
-    Each step adds a row with its siblings instead of lengthening them, so a leaf moves a digest and two siblings a step. The session's limit of rows of a
-    recursion is lifted for the run and set back.
+    Each step adds a row with its siblings instead of lengthening them, so a leaf moves a digest and two siblings a step. The session's settings are
+    changed for the run and set back.
     """
     spark = manifest.leaves.sparkSession
-    before = spark.conf.get(_ROW_LIMIT)
-    spark.conf.set(_ROW_LIMIT, "-1")
+    before = {k: spark.conf.get(k) for k in _RECURSION}
+    for k, v in _RECURSION.items():
+        spark.conf.set(k, v)
     try:
         leaves = manifest.leaves.select("number", "block", "node", F.col(hash_col).alias("hash"))
         found = spark.sql(_CLIMB, leaves=leaves, lowest=manifest.nodes.where(F.col("node") < PLACES), higher=manifest.nodes.where(F.col("node") >= PLACES))
         joined = F.aggregate("path", F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["siblings"]))
         return stored(found.select("number", "folded", joined.alias("siblings")), "climbed")
     finally:
-        spark.conf.set(_ROW_LIMIT, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def document_proofs(docs: DataFrame) -> DataFrame:
