@@ -25,6 +25,8 @@ REAL, PROBE, LONG_ARM, STEM_HOPS, TIP_REACH, BACK, TURN, MOST = 20, 10.0, 1000,
 APART, RAMP, ARM_HOPS = 15.0, 75.0, 100
 #: The edges of each arm that a deletion takes, and how far a new junction's old one may be.
 DELETED_HOPS, OLD_REACH = 50, 100.0
+#: Fixed value: how far along the tree a deletion at a node reaches.
+PICK_REACH = 3.0
 
 
 class Forest:
@@ -387,3 +389,27 @@ def midpoint_cuts(forest: Forest, before: DataFrame, after: DataFrame, cloud: Da
     way = way.withColumns({"v": F.lead("id").over(by), "step": step}).withColumn("stop", F.sum("step").over(by)).withColumn("half", F.max("stop").over(Window.partitionBy("a", "b")) / 2)
     cut = way.where("v is not null and stop >= half").groupBy("a", "b").agg(F.min(F.struct("k", "id", "v")).alias("m"))
     return same.join(cut.select(F.col("a").alias("junction"), F.col("b").alias("target"), F.col("m.id").alias("u"), "m.v"), ["junction", "target"]).select("junction", "target", "distance", "u", "v")
+
+
+def walked_to(forest: Forest, picks: DataFrame, cloud: DataFrame, reach: float = PICK_REACH) -> DataFrame:
+    """``(pick, id, length)``: the nodes no farther than ``reach`` along the tree from each of ``picks`` (``id``), itself included. None of them is farther in space, so only those near are measured."""
+    here = forest.nodes.select("id", "component")
+    at = cloud.select("id", *(f"p{i}" for i in AXES))
+    near = ball(at.join(picks.select("id"), "id", "left_semi"), at.join(here, "id", "left_semi"), reach).select(F.col("centre").alias("pick"), "id")
+    same = near.join(here, "id").join(here.withColumnsRenamed({"id": "pick", "component": "c"}), "pick").where("component = c").select("pick", "id")
+    met = paths.common_ancestors(forest.nodes, forest.steps, same.select(F.col("pick").alias("a"), F.col("id").alias("b")))
+    far = forest.nodes.select("id", "far")
+    for name in ("a", "b", "meet"):
+        met = met.join(far.withColumnsRenamed({"id": name, "far": f"{name}_far"}), name)
+    rows = met.select(F.col("a").alias("pick"), F.col("b").alias("id"), (F.col("a_far") + F.col("b_far") - 2 * F.col("meet_far")).alias("length"))
+    return rows.where(F.round("length", 9) <= reach)
+
+
+def smaller_sides(forest: Forest, picks: DataFrame) -> DataFrame:
+    """``(pick, branch, id)``: the nodes of the smallest branch of each of ``picks`` (``id``; ties: the smaller first node), without the pick itself."""
+    order = F.row_number().over(Window.partitionBy("junction").orderBy("size", "branch"))
+    small = forest.sizes.join(picks.select(F.col("id").alias("junction")).distinct(), "junction", "left_semi").withColumn("place", order).where("place = 1")
+    span = lambda name: forest.nodes.select(F.col("id").alias(name), "component", F.col("down").alias(f"{name}_down"), F.col("up").alias(f"{name}_up"))
+    rows = small.select("junction", "branch", "is_below").join(span("junction"), "junction").join(span("branch").drop("component"), "branch").join(span("id"), "component")
+    under = lambda x: (F.col(f"{x}_down") >= F.col("id_down")) & (F.col(f"{x}_up") <= F.col("id_up"))
+    return rows.where(F.when(F.col("is_below"), under("branch")).otherwise(~under("junction"))).select(F.col("junction").alias("pick"), "branch", "id")

@@ -207,30 +207,37 @@ def _fit(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sqrt(max((a**2).sum() + (b**2).sum() - 2 * s.sum(), 0) / len(a)))
 
 
-def segment_by_template(curves: DataFrame, template: list[tuple[float, float, float]], first: int = 0, variation: float = 0.3, most: float = 100.0, blend: float = 0.2, samples: int = 30) -> DataFrame:
-    """``(sid, seg, a, b, cost)``: consecutive stretches that fit a template rigidly.
+def segment_by_template(curves: DataFrame, template: list[tuple[float, float, float]], first: int = 0, variation: float = 0.3, most: float = 100.0, blend: float = 0.2, samples: int = 30, backward: bool = False) -> DataFrame:
+    """``(sid, seg, a, b, cost)``: consecutive stretches that fit a template rigidly, from ``first`` on (seg 0, 1, ...), with ``backward`` also those before it (seg -1, -2, ...).
 
     From each end, the next one is sought among lengths within ``variation`` of what is expected; the smallest error wins, the first of several, and ends the walk if over
-    ``most``. The expected length follows the found ones by ``blend``. The walk is sequential, so a curve is what one task holds.
+    ``most``. The expected length follows the found ones by ``blend``, on each side for itself. Stretches are compared in the curve's own direction on both sides. The walk is sequential, so a
+    curve is what one task holds.
     """
     shape = np.asarray(template, float)
     even, length = _even(shape, samples), float(np.linalg.norm(np.diff(shape, axis=0), axis=1).sum())
 
-    def rule(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        p = rows[["p0", "p1", "p2"]].to_numpy(float)
+    def walk(p: np.ndarray, turned: np.ndarray) -> list[tuple[int, int, float]]:
+        """Stretches from the first point on; ``turned`` is the template in the direction of the walk."""
         s = np.concatenate([[0], np.cumsum(np.linalg.norm(np.diff(p, axis=0), axis=1))])
-        a, expected, out = first, length, []
+        a, expected, out = 0, length, []
         while a < len(p) - 3:
             lo, hi = np.searchsorted(s, [s[a] + (1 - variation) * expected, s[a] + (1 + variation) * expected])
             ends = [e for e in range(max(int(lo), a + 3), min(int(hi), len(p) - 1) + 1) if s[e] > s[a]]
-            costs = [_fit(_even(p[a : e + 1], samples), even) for e in ends]
+            costs = [_fit(_even(p[a : e + 1], samples), turned) for e in ends]
             if not costs or min(costs) > most:
                 break
             e, cost = ends[int(np.argmin(costs))], min(costs)
-            out.append((key[0], len(out), a, e, cost))
+            out.append((a, e, cost))
             expected = (1 - blend) * expected + blend * (s[e] - s[a])
             a = e
+        return out
+
+    def rule(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p = rows.sort_values("k")[["p0", "p1", "p2"]].to_numpy(float)
+        out = [(key[0], n, first + a, first + b, cost) for n, (a, b, cost) in enumerate(walk(p[first:], even))]
+        if backward:  # both turned round: the same pairs of points meet as in the curve's own direction
+            out += [(key[0], -1 - n, first - b, first - a, cost) for n, (a, b, cost) in enumerate(walk(p[: first + 1][::-1], even[::-1]))]
         return pd.DataFrame(out, columns=["sid", "seg", "a", "b", "cost"])
 
     kind = curves.schema["sid"].dataType.simpleString()

@@ -280,6 +280,30 @@ def test_midpoint_cuts(spark, grown):
     assert decisions.midpoint_cuts(forest, frame(before), frame(junctions), cloud, 6.0, crossing_one).count() == 0
 
 
+def test_deletions_at_a_node(spark, grown):
+    plain, cloud, forest = grown
+    picks = [0, 40, 77, 159, 200, 319]
+    frame = spark.createDataFrame([(i,) for i in picks], "id long")
+    got, want = defaultdict(set), {}
+    for r in decisions.walked_to(forest, frame, cloud, 5.0).collect():
+        got[r.pick].add(r.id)
+    for i in picks:
+        length, front = {i: 0.0}, [i]
+        for a in front:
+            for b in plain.adj[a]:
+                if b not in length and length[a] + plain.far(a, b) <= 5.0:
+                    length[b] = length[a] + plain.far(a, b)
+                    front.append(b)
+        want[i] = set(length)
+    assert got == want and max(map(len, want.values())) > 2
+    got = defaultdict(set)
+    for r in decisions.smaller_sides(forest, frame).collect():
+        got[r.pick].add(r.id)
+    for i in picks:
+        _, first = min((len(plain.walk(b, i)), b) for b in plain.adj[i])
+        assert got[i] == set(plain.walk(first, i))
+
+
 def test_search_links_attach_short_of_the_nearest_node(spark):
     """A long-armed junction whose stem ends near the tip of another tree."""
     points, edges = {}, []

@@ -186,3 +186,18 @@ def test_walks_follow_their_direction(spark):
         got[r.walker][r.k] = r.id
     assert {w: [got[w][k] for k in range(len(got[w]))] for w in got} == {w: walk(s, v, 8) for w, s, v in starts}
     assert graph.degrees(cloud, tree).count() == 120
+
+
+def test_segments_on_both_sides_of_a_start(spark):
+    """Bends of 20 points, one like the other: from the middle on and back, each is found, compared in the curve's own direction."""
+    bend = np.array([[0.5 * k, math.sin(k / 20 * math.pi) * (1 + 0.02 * k), 0.05 * k] for k in range(21)])
+    parts, at = [bend], bend[-1]
+    for _ in range(4):
+        parts.append(bend[1:] + at)
+        at = parts[-1][-1]
+    p = np.concatenate(parts)
+    table = spark.createDataFrame([(1, k, *map(float, x)) for k, x in enumerate(p)], "sid int, k long, p0 double, p1 double, p2 double")
+    rows = {r.seg: (r.a, r.b, r.cost) for r in signals.segment_by_template(table, [tuple(x) for x in bend], first=40, variation=0.2, most=0.5, backward=True).collect()}
+    assert {s: x[:2] for s, x in rows.items()} == {0: (40, 60), 1: (60, 80), 2: (80, 100), -1: (20, 40), -2: (0, 20)} and all(x[2] < 1e-6 for x in rows.values())
+    forward = signals.segment_by_template(table, [tuple(x) for x in bend], first=40, variation=0.2, most=0.5).collect()
+    assert {r.seg for r in forward} == {0, 1, 2}
