@@ -228,7 +228,7 @@ def end_caps(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def match_rates(spark: SparkSession, d: str) -> DataFrame:
     curves = P.curves_from_events(spark, d)
-    return _rounded(shapes.match_rates(curves.where("k <= 20"), curves.where("sid <= 3")), 4)
+    return _rounded(shapes.match_rates(curves, curves.where("sid <= 3")), 4)
 
 
 @_query(f"""WITH {CURVE}, b AS (SELECT *, unnest(range(0, 4)) AS band FROM (SELECT *, count(*) OVER (PARTITION BY sid) AS n FROM curve)), pc AS (SELECT sid, band, row_number() OVER (PARTITION BY sid, band ORDER BY k) AS k, p0, p1, p2 FROM b WHERE k >= round_even(band * n / 4, 0) AND k < round_even((band + 1) * n / 4, 0) + 1),
