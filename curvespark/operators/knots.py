@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import itertools
 import math
 
@@ -58,19 +59,68 @@ def _crossed(near: DataFrame) -> DataFrame:
     return near.where("t > 0 and t < 1 and u > 0 and u < 1")
 
 
+def _colouring(under: np.ndarray, over: np.ndarray) -> list[dict[int, float]]:
+    """The colouring matrix of crossings without its last row and column, a dictionary a row: at most three entries each."""
+    order = np.argsort(under)
+    n, ends = len(order), under[order]
+    above = np.searchsorted(ends, over[order]) % n
+    rows: list[dict[int, float]] = []
+    for r in range(n - 1):
+        row: dict[int, float] = {}
+        for arc, weight in ((int(above[r]), 2.0), (r, -1.0), ((r + 1) % n, -1.0)):
+            if arc < n - 1:
+                row[arc] = row.get(arc, 0.0) + weight
+        rows.append({c: x for c, x in row.items() if x})
+    return rows
+
+
 def _log_determinant(under: np.ndarray, over: np.ndarray) -> float:
-    """The logarithm of the knot determinant of crossings, given by their places along the curve below and above; below log 0.5 it is 0.
+    """The logarithm of the knot determinant of crossings, given by their places along the curve below and above; minus infinity if the matrix is singular.
 
-    Arcs run from one under-crossing to the next, and each crossing says twice the arc over it equals the two that end at it. The matrix is dense.
+    Arcs run from one under-crossing to the next, and each crossing says twice the arc over it equals the two that end at it. The matrix is eliminated as it is, sparse: the column with the
+    fewest entries goes first, by the shortest row whose entry is a tenth of its largest or more, so memory follows the crossings and what elimination fills in, not their square.
     """
-    order = np.argsort(under)
-    n, ends = len(order), under[order]
-    rows = np.arange(n - 1)
-    m = np.zeros((n - 1, n - 1))
-    for arc, weight in ((np.searchsorted(ends, over[order]) % n, 2), (np.arange(n), -1), (np.arange(1, n + 1) % n, -1)):
-        inside = arc[:-1] < n - 1
-        np.add.at(m, (rows[inside], arc[:-1][inside]), weight)
-    return float(np.linalg.slogdet(m)[1])
+    rows = _colouring(under, over)
+    columns: list[set[int]] = [set() for _ in rows]
+    for r, row in enumerate(rows):
+        for c in row:
+            columns[c].add(r)
+    queue = [(len(have), c) for c, have in enumerate(columns)]
+    heapq.heapify(queue)
+    total, gone = 0.0, [False] * len(rows)
+    while queue:
+        count, c = heapq.heappop(queue)
+        have = columns[c]
+        if gone[c] or count != len(have):
+            continue  # an older entry of the queue
+        if not have:
+            return -math.inf
+        largest = max(abs(rows[r][c]) for r in have)
+        pivot = min((r for r in have if abs(rows[r][c]) >= 0.1 * largest), key=lambda r: (len(rows[r]), r))  # noqa: B023  used at once
+        own = rows[pivot]
+        value = own.pop(c)
+        total += math.log(abs(value))
+        gone[c] = True
+        for k in own:
+            columns[k].discard(pivot)
+        for r in have:
+            if r == pivot:
+                continue
+            row = rows[r]
+            factor = row.pop(c) / value
+            for k, x in own.items():
+                now = row.get(k, 0.0) - factor * x
+                if abs(now) > 1e-12 * (1 + abs(factor * x)):
+                    if k not in row:
+                        columns[k].add(r)
+                    row[k] = now
+                elif k in row:
+                    del row[k]
+                    columns[k].discard(r)
+        columns[c] = set()
+        for k in own:
+            heapq.heappush(queue, (len(columns[k]), k))
+    return total
 
 
 def _from_log(size: float) -> tuple[float | None, float | None]:
@@ -150,7 +200,7 @@ def _curve_crossings(segments: DataFrame) -> DataFrame:
 
 
 def knot_determinants(curves: DataFrame) -> DataFrame:
-    """``(sid, det, log10_det)`` of each closed curve, from all of its vertices; a curve's crossings are what one task holds, in a dense matrix.
+    """``(sid, det, log10_det)`` of each closed curve, from all of its vertices; a curve's crossings are what one task holds, in a sparse matrix.
 
     ``det`` is whole where its logarithm is below 25, null beyond a double; ``log10_det`` is null where ``det`` is 0.
     """

@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from curvespark.operators import graph, shapes, signals, walks
+from curvespark.operators import graph, knots, shapes, signals, walks
 
 
 def plain_warp(x, template, weights):
@@ -201,3 +201,36 @@ def test_segments_on_both_sides_of_a_start(spark):
     assert {s: x[:2] for s, x in rows.items()} == {0: (40, 60), 1: (60, 80), 2: (80, 100), -1: (20, 40), -2: (0, 20)} and all(x[2] < 1e-6 for x in rows.values())
     forward = signals.segment_by_template(table, [tuple(x) for x in bend], first=40, variation=0.2, most=0.5).collect()
     assert {r.seg for r in forward} == {0, 1, 2}
+
+
+def test_sparse_determinants_equal_dense_ones():
+    """Crossings of random closed polygons, and of one."""
+    rng = np.random.default_rng(11)
+
+    def dense(under, over):
+        n, m = len(under), np.zeros((len(under) - 1, len(under) - 1))
+        for r, row in enumerate(knots._colouring(under, over)):
+            for c, x in row.items():
+                m[r, c] = x
+        return np.linalg.slogdet(m)[1] if n > 1 else 0.0
+
+    for n in (3, 8, 30, 60):
+        for _ in range(5):
+            p = rng.normal(size=(n, 3))
+            q = (p - p.mean(0)) @ np.linalg.svd(p - p.mean(0), full_matrices=False)[2].T
+            under, over = [], []
+            for i, j in itertools.combinations(range(n), 2):
+                a, b, c, d = q[i], q[(i + 1) % n], q[j], q[(j + 1) % n]
+                if (j + 1) % n == i or j == (i + 1) % n:
+                    continue
+                m = np.array([b[:2] - a[:2], c[:2] - d[:2]]).T
+                t, u = np.linalg.solve(m, c[:2] - a[:2])
+                if 0 < t < 1 and 0 < u < 1:
+                    low = a[2] + t * (b[2] - a[2]) < c[2] + u * (d[2] - c[2])
+                    under.append(i + t if low else j + u)
+                    over.append(j + u if low else i + t)
+            if under:
+                got, want = knots._log_determinant(np.array(under), np.array(over)), dense(np.array(under), np.array(over))
+                assert got == pytest.approx(want, abs=1e-6)
+                assert abs(math.exp(min(got, 20)) % 2 - 1) < 1e-3 or got > 20  # a knot's determinant is odd
+    assert knots._log_determinant(np.array([0.5]), np.array([2.5])) == 0.0
