@@ -27,8 +27,7 @@ BLOCK = RUN**BLOCK_LEVELS
 #: A node's number is its level times ``PLACES`` plus the number of the first leaf below it; the tree of sources begins at level ``TOP``.
 PLACES = 1 << 48
 TOP = 64
-#: Settings while a recursion runs: any number of rows, and as many partitions as its shuffles have, since all steps are read in as many tasks as the last and smallest one.
-_RECURSION = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+_ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 
 @dataclass
@@ -41,7 +40,7 @@ class Manifest:
     root: bytes | None
 
     def discard(self) -> None:
-        discard(self.leaves, self.nodes, self.roots)
+        discard(self.leaves, self.nodes)
 
 
 def field(column: Column) -> Column:
@@ -146,20 +145,18 @@ def build_manifest(rows: DataFrame, source_col: str, order_col: str, leaf_col: s
     raw = stored(named, "digests")  # the range partitioner samples what it deals out
     placed, offsets = _in_order(raw, ["__source", "__order", "__leaf"], "ordered")
     pieces = placed.groupBy("__part", "__source").agg(F.count("*").alias("n"), F.min("__at").alias("at")).join(F.broadcast(offsets), "__part")
-    pieces = stored(pieces.select("__part", F.col("__source").alias("s"), "n", (F.col("at") + F.col("__offset")).alias("start"), "__offset"), "pieces")
-    sources = stored(pieces.groupBy("s").agg(F.min("start").alias("tree"), F.sum("n").alias("of")), "sources")
+    pieces = pieces.select("__part", F.col("__source").alias("s"), "n", (F.col("at") + F.col("__offset")).alias("start"), "__offset")
+    sources = pieces.groupBy("s").agg(F.min("start").alias("tree"), F.sum("n").alias("of"))
     spans = pieces.select("__part", "s", "__offset").join(sources.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t"))).withColumnRenamed("__part", "p")
     leaves = placed.join(spans, (F.col("__part") == F.col("p")) & F.col("__source").eqNullSafe(F.col("s")))
     number = (F.col("__at") + F.col("__offset")).alias("number")
     leaves = leaves.select(number, "tree", "of", F.col("__leaf").alias("leaf"), *(F.col(f"__keep_{k}").alias(c) for k, c in enumerate(keep)))
     leaves = leaves.withColumn("block", F.expr(f"number div {BLOCK}")).withColumn("node", F.when(F.col("of") == 1, F.lit(TOP)).otherwise(F.lit(0)).cast("long") * PLACES + F.col("number"))
     leaves = stored(leaves, "leaves")
+    most = leaves.agg(F.max("of")).first()[0] or 0
     discard(raw, placed)
-
-    most = sources.agg(F.max("of")).first()[0] or 0
     entries = leaves.select("tree", (F.col("number") - F.col("tree")).alias("at"), "of", F.col("leaf").alias("hash"), F.col("number").alias("first"), F.col("number").alias("last"))
     nodes, subroots, kept = _build(entries, most, 0, True)
-    subroots = stored(subroots, "subroots")
     ranked, offsets = _in_order(subroots, ["first"], "ranked")
     count = ranked.count()
     above = ranked.join(F.broadcast(offsets), "__part").select(F.lit(-1).cast("long").alias("tree"), (F.col("__at") + F.col("__offset")).alias("at"), F.lit(count).cast("long").alias("of"), "hash", "first", "last")
@@ -174,9 +171,8 @@ def build_manifest(rows: DataFrame, source_col: str, order_col: str, leaf_col: s
         every = spark.createDataFrame([], "block long, node long, parent long, before binary, after binary")
     every = stored(every, "nodes")
     top = root.select("hash").first()
-    below = stored(subroots.select(blocks, "tree", F.col("hash").alias("subroot")), "roots")
-    discard(*kept, *more, subroots, ranked, pieces, sources)
-    return Manifest(leaves, every, below, bytes(top[0]) if top else None)
+    discard(*kept, *more)
+    return Manifest(leaves, every, ranked.select(blocks, "tree", F.col("hash").alias("subroot")), bytes(top[0]) if top else None)
 
 
 _CLIMB = """
@@ -194,21 +190,19 @@ SELECT number, max_by(hash, step) AS folded, sort_array(collect_list(struct(step
 def climb(manifest: Manifest, hash_col: str = "leaf") -> DataFrame:
     """``(number, folded, siblings)`` for each leaf: the root that its digest in ``hash_col`` folds to, and its siblings' digests from below to above, concatenated.
 
-    Each step adds a row with its siblings instead of lengthening them, so a leaf moves a digest and two siblings a step. The session's settings are
-    changed for the run and set back.
+    Each step adds a row with its siblings instead of lengthening them, so a leaf moves a digest and two siblings a step. The session's limit of rows of a
+    recursion is lifted for the run and set back.
     """
     spark = manifest.leaves.sparkSession
-    before = {k: spark.conf.get(k) for k in _RECURSION}
-    for k, v in _RECURSION.items():
-        spark.conf.set(k, v)
+    before = spark.conf.get(_ROW_LIMIT)
+    spark.conf.set(_ROW_LIMIT, "-1")
     try:
         leaves = manifest.leaves.select("number", "block", "node", F.col(hash_col).alias("hash"))
         found = spark.sql(_CLIMB, leaves=leaves, lowest=manifest.nodes.where(F.col("node") < PLACES), higher=manifest.nodes.where(F.col("node") >= PLACES))
         joined = F.aggregate("path", F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["siblings"]))
         return stored(found.select("number", "folded", joined.alias("siblings")), "climbed")
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set(_ROW_LIMIT, before)
 
 
 def document_proofs(docs: DataFrame) -> DataFrame:
