@@ -88,19 +88,25 @@ def central_tangents(curves: DataFrame) -> DataFrame:
 
 
 def gaussian_smooth(curves: DataFrame, columns: list[str], sigma: float) -> DataFrame:
-    """Columns smoothed along the index; beyond an end the curve is mirrored (its end value twice)."""
+    """Columns smoothed along the index (``k`` from 0 on without gaps); beyond an end the curve is mirrored (its end value twice).
+
+    What a point takes is among the rows within reach of it, mirrored or not, so a sliding frame holds it: there is no join, and no row has copies.
+    """
     reach = int(4 * sigma + 0.5)
     weights = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-reach, reach + 1)]
     total = sum(weights)
-    n = F.count("*").over(_by())
-    rows = curves.withColumns({"n": n}).withColumn("i", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-    at = F.pmod(F.col("k") + F.col("i"), 2 * F.col("n"))
-    to = F.when(at < F.col("n"), at).otherwise(2 * F.col("n") - 1 - at)
-    # each point gives its value to the places it counts for: j and its mirror images are within reach of it
-    asked = rows.select("sid", "k", to.alias("j"), (F.exp(-0.5 * (F.col("i") / sigma) * (F.col("i") / sigma)) / total).alias("w"))
-    given = curves.select("sid", F.col("k").alias("j"), *(F.col(c).alias(f"{c}_j") for c in columns))
-    smooth = asked.join(given, ["sid", "j"]).groupBy("sid", "k").agg(*(F.sum(F.col("w") * F.col(f"{c}_j")).alias(c) for c in columns))
-    return curves.drop(*columns).join(smooth, ["sid", "k"])
+    frame = _order().rowsBetween(-reach, reach)
+    rows = curves.withColumns({"__n": F.count("*").over(_by()), "__near": F.collect_list(F.struct("k", *columns)).over(frame)})
+    at = lambda i: F.pmod(F.col("k") + i, 2 * F.col("__n"))
+    place = lambda i: F.when(at(i) < F.col("__n"), at(i)).otherwise(2 * F.col("__n") - 1 - at(i)) - F.col("__near")[0]["k"]
+    asked = F.transform(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w / total).alias("w")) for i, w in zip(range(-reach, reach + 1), weights, strict=True))), lambda x: F.struct(F.get("__near", place(x["i"]).cast("int")).alias("v"), x["w"].alias("w")))
+    rows = rows.withColumn("__asked", asked)
+
+    def mean(c: str) -> Column:
+        term = lambda x: x["w"] * x["v"][c]
+        return F.aggregate("__asked", F.lit(None).cast("double"), lambda acc, x: F.when(term(x).isNull(), acc).otherwise(F.coalesce(acc, F.lit(0.0)) + term(x)))
+
+    return rows.withColumns({c: mean(c) for c in columns}).drop("__n", "__near", "__asked")
 
 
 def curvature(curves: DataFrame, spacing: float = 1.0) -> DataFrame:

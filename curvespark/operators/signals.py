@@ -88,18 +88,19 @@ def local_writhe(curves: DataFrame, half: int, sigma: float = 3.0, spacing: floa
     inner = {f"t{i}": (F.lead(f"p{i}").over(by) - F.lag(f"p{i}").over(by)) / (2 * spacing) for i in AXES}
     ends = {f"t{i}": F.coalesce(f"t{i}", F.lead(f"t{i}").over(by), F.lag(f"t{i}").over(by), F.lit(0.0)) for i in AXES}
     point = F.struct("k", *(f"{c}{i}" for c in "pt" for i in AXES))
-    rows = smooth.withColumns(inner).withColumns(ends).withColumn("ahead", F.collect_list(point).over(by.rowsBetween(1, 2 * half)))
+    near = {"ahead": F.collect_list(point).over(by.rowsBetween(1, 2 * half)), "behind": F.collect_list(point).over(by.rowsBetween(-2 * half, -1))}
+    rows = smooth.withColumns(inner).withColumns(ends).withColumns(near)
 
     def term(other: Column) -> Column:
         d = [F.col(f"p{i}") - other[f"p{i}"] for i in AXES]
         s, t = [F.col(f"t{i}") for i in AXES], [other[f"t{i}"] for i in AXES]
         turn = (s[1] * t[2] - s[2] * t[1]) * d[0] + (s[2] * t[0] - s[0] * t[2]) * d[1] + (s[0] * t[1] - s[1] * t[0]) * d[2]
-        return F.struct(other["k"].alias("k"), (2 * turn / F.pow(d[0] * d[0] + d[1] * d[1] + d[2] * d[2], 1.5)).alias("g"))
+        return 2 * turn / F.pow(d[0] * d[0] + d[1] * d[1] + d[2] * d[2], 1.5)
 
-    terms = rows.select("sid", "k", F.transform("ahead", term).alias("pairs"))
-    begun = terms.select("sid", "k", F.aggregate("pairs", F.lit(0.0), lambda acc, x: acc + x["g"]).alias("begun"))
-    ended = terms.select("sid", F.explode("pairs").alias("x")).groupBy("sid", F.col("x.k").alias("k")).agg(F.sum("x.g").alias("ended"))
-    sums = begun.join(ended, ["sid", "k"], "left").withColumns({"begun": F.sum("begun").over(by), "ended": F.sum(F.coalesce("ended", F.lit(0.0))).over(by), "n": F.count("*").over(Window.partitionBy("sid"))})
+    # a pair has the same term seen from either point: its other end's rows need no join
+    total = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + term(x))
+    sums = rows.select("sid", "k", total("ahead").alias("begun"), total("behind").alias("ended"))
+    sums = sums.withColumns({"begun": F.sum("begun").over(by), "ended": F.sum("ended").over(by), "n": F.count("*").over(Window.partitionBy("sid"))})
     whole = F.lead("ended", half).over(by) - F.coalesce(F.lag("begun", half + 1).over(by), F.lit(0.0))
     fits = (F.col("n") > 2 * half + 1) & (F.lag("k", half).over(by).isNotNull())
     return sums.select("sid", "k", F.when(fits, spacing**2 / (4 * math.pi) * whole).alias("writhe"))
