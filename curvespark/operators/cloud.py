@@ -54,28 +54,48 @@ def voxel_bins(cloud: DataFrame, scale: float = 4.0) -> DataFrame:
     return first.select("r.*", "members")
 
 
-def _near(cloud: DataFrame, radius: float) -> DataFrame:
-    """The cloud with its grid cell."""
-    return cloud.withColumns({f"c{k}": F.floor(F.col(f"p{k}") / radius) for k in AXES})
+#: A grid cell's side in radii: wider cells make fewer copies of a point and more pairs to compare.
+CELL = 3.0
 
 
-def neighbours(cloud: DataFrame, radius: float, inclusive: bool = True, half: bool = False) -> DataFrame:
-    """Pairs of different points no farther apart than ``radius``, with both points' columns (``a_`` and ``b_``) and ``d2``.
+def cell(p: str, radius: float) -> Column:
+    """The number of the grid cell along one axis."""
+    return F.floor(F.col(p) / (CELL * radius))
 
-    A grid of cells as wide as the radius makes the distance join an equi-join: one side goes to its 27 neighbouring cells. ``half`` gives each pair
-    once, with ``a_id < b_id``. AQE splits cells that are very full.
+
+def cells_within(p: str, radius: float) -> Column:
+    """The cells along one axis that ``radius`` reaches from a point, one or two (rounding is on the safe side)."""
+    margin = F.lit(radius * (1 + 1e-9)) + F.abs(F.col(p)) * 1e-15
+    side = CELL * radius
+    return F.array_distinct(F.array(F.floor((F.col(p) - margin) / side), F.floor(F.col(p) / side), F.floor((F.col(p) + margin) / side)))
+
+
+def neighbours(cloud: DataFrame, radius: float, inclusive: bool = True, half: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of different points no farther apart than ``radius``, with both points' columns (``a_`` and ``b_``) and ``d2``; only of points whose ``by`` columns are equal, if there are such.
+
+    A grid makes the distance join an equi-join: one side goes to the cells that its radius reaches, but to no cell before its own, so each pair of cells meets once and a
+    point has about three copies. The join sorts both sides: by their tables' sizes Spark would broadcast them, copies and all. ``half`` gives each pair
+    once, with ``a_id < b_id``; else both ways are made of that. AQE splits cells that are very full.
     """
-    placed = _near(cloud, radius)
-    a = placed.select(*(F.col(c).alias(f"a_{c}") for c in placed.columns))
+    names = cloud.columns
+    a = cloud.select(*(F.col(c).alias(f"a_{c}") for c in names))
     for k in AXES:
-        a = a.withColumn(f"n{k}", F.explode(F.array(*(F.col(f"a_c{k}") + s for s in (-1, 0, 1)))))
-    b = placed.select(*(F.col(c).alias(f"b_{c}") for c in placed.columns))
+        a = a.withColumn(f"n{k}", F.explode(cells_within(f"a_p{k}", radius)))
+    there, own = F.struct(*(F.col(f"n{k}") for k in AXES)), F.struct(*(cell(f"a_p{k}", radius) for k in AXES))
+    a = a.where(there >= own).withColumn("here", there == own)
+    b = cloud.select(*(F.col(c).alias(f"b_{c}") for c in names)).withColumns({f"m{k}": cell(f"b_p{k}", radius) for k in AXES})
     d2 = squared_distance("a_p", "b_p")
-    apart = F.col("a_id") < F.col("b_id") if half else F.col("a_id") != F.col("b_id")
+    apart = F.when(F.col("here"), F.col("a_id") < F.col("b_id")).otherwise(F.col("a_id") != F.col("b_id"))
     close = d2 <= radius * radius if inclusive else d2 < radius * radius
-    joined = a.join(b, (F.col("n0") == F.col("b_c0")) & (F.col("n1") == F.col("b_c1")) & (F.col("n2") == F.col("b_c2")) & apart & close)
-    drop = [f"{s}_c{k}" for s in "ab" for k in AXES] + [f"n{k}" for k in AXES]
-    return joined.withColumn("d2", d2).drop(*drop)
+    equal = close & apart
+    for left, right in (*((f"n{k}", f"m{k}") for k in AXES), *((f"a_{c}", f"b_{c}") for c in by)):
+        equal = (F.col(left) == F.col(right)) & equal
+    joined = a.join(b.hint("merge"), equal).withColumn("d2", d2)
+    first = F.col("a_id") < F.col("b_id") if half else F.col("forth")
+    if not half:
+        joined = joined.withColumn("forth", F.explode(F.array(F.lit(True), F.lit(False))))
+    pick = lambda x, y, c: F.when(first, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}")
+    return joined.select(*(pick("a", "b", c) for c in names), *(pick("b", "a", c) for c in names), "d2")
 
 
 def nearest(cloud: DataFrame, k: int, radius: float, inclusive: bool = True) -> DataFrame:
@@ -116,11 +136,11 @@ def united_filter(cloud: DataFrame, radius: float, similarity: float = 0.85, kee
 
 def nearest_accepted(points: DataFrame, accepted: DataFrame, radius: float) -> DataFrame:
     """``(id, distance)`` of each point to the nearest accepted one within ``radius`` (null beyond it)."""
-    a = _near(points, radius)
+    a = points
     for k in AXES:
-        a = a.withColumn(f"n{k}", F.explode(F.array(*(F.col(f"c{k}") + s for s in (-1, 0, 1)))))
-    b = _near(accepted, radius).select(*(F.col(f"{x}{k}").alias(f"b_{x}{k}") for x in "pc" for k in AXES))
+        a = a.withColumn(f"n{k}", F.explode(cells_within(f"p{k}", radius)))
+    b = accepted.select(*(F.col(f"p{k}").alias(f"b_p{k}") for k in AXES)).withColumns({f"m{k}": cell(f"b_p{k}", radius) for k in AXES})
     d2 = squared_distance("p", "b_p")
-    near = a.join(b, (F.col("n0") == F.col("b_c0")) & (F.col("n1") == F.col("b_c1")) & (F.col("n2") == F.col("b_c2")) & (d2 <= radius * radius))
+    near = a.join(b.hint("merge"), (F.col("n0") == F.col("m0")) & (F.col("n1") == F.col("m1")) & (F.col("n2") == F.col("m2")) & (d2 <= radius * radius))
     found = near.groupBy("id").agg(F.sqrt(F.min(d2)).alias("distance"))
     return points.select("id").join(found, "id", "left")

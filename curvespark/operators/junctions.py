@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvespark.operators.cloud import AXES
+from curvespark.operators.cloud import AXES, cell, cells_within
 from curvespark.plans.lineage import discard, stored
 
 #: The weight of density against angles when the stem is chosen.
@@ -83,13 +83,15 @@ def probe_vectors(found: DataFrame, cloud: DataFrame, radius: float = 10.0) -> D
 
 
 def ball(centres: DataFrame, cloud: DataFrame, radius: float) -> DataFrame:
-    """``(centre, id, d2, r0..r2)``: the points within ``radius`` of each centre ``(id, p*)`` and where they are from it, by an equi-join on grid cells."""
-    cells = lambda p: [F.floor(F.col(f"{p}{k}") / radius) for k in AXES]
+    """``(centre, id, d2, r0..r2)``: the points within ``radius`` of each centre ``(id, p*)`` and where they are from it, by an equi-join on grid cells.
+
+    Centres are copied into the cells that their radius reaches, so let them be the fewer; both sides are sorted, as Spark would broadcast the copies by their table's size.
+    """
     a = _positions(centres, "centre", "j")
-    for k, cell in enumerate(cells("j")):
-        a = a.withColumn(f"c{k}", F.explode(F.array(*(cell + s for s in (-1, 0, 1)))))
-    b = _positions(cloud, "id", "q").withColumns({f"c{k}": cell for k, cell in enumerate(cells("q"))})
-    near = a.join(b, ["c0", "c1", "c2"]).withColumns({f"r{k}": F.col(f"q{k}") - F.col(f"j{k}") for k in AXES})
+    for k in AXES:
+        a = a.withColumn(f"c{k}", F.explode(cells_within(f"j{k}", radius)))
+    b = _positions(cloud, "id", "q").withColumns({f"c{k}": cell(f"q{k}", radius) for k in AXES})
+    near = a.join(b.hint("merge"), ["c0", "c1", "c2"]).withColumns({f"r{k}": F.col(f"q{k}") - F.col(f"j{k}") for k in AXES})
     near = near.withColumn("d2", F.col("r0") * F.col("r0") + F.col("r1") * F.col("r1") + F.col("r2") * F.col("r2")).where(F.col("d2") <= radius * radius)
     return near.select("centre", "id", "d2", *(f"r{k}" for k in AXES))
 
@@ -179,6 +181,6 @@ def nearest_ends(points: DataFrame, curves: DataFrame, reach: float) -> DataFram
     first, last = (f(F.struct("k", *(f"p{k}" for k in AXES))) for f in (F.min, F.max))
     ends = curves.groupBy("sid").agg(F.count("*").alias("n"), first.alias("a"), last.alias("b")).where("n > 1")
     ends = ends.select("sid", F.posexplode(F.array("a", "b")).alias("end", "e")).select(F.struct("sid", "end").alias("id"), *(F.col(f"e.p{k}").alias(f"p{k}") for k in AXES))
-    near = ball(points, ends, reach)
-    best = near.groupBy("centre").agg(F.min(F.struct("d2", "id.sid", "id.end")).alias("m"))
-    return best.select(F.col("centre").alias("id"), "m.sid", "m.end", F.sqrt("m.d2").alias("distance"))
+    near = ball(ends, points, reach)  # curves have many points and two ends
+    best = near.groupBy("id").agg(F.min(F.struct("d2", "centre.sid", "centre.end")).alias("m"))
+    return best.select("id", "m.sid", "m.end", F.sqrt("m.d2").alias("distance"))
