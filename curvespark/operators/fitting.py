@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curvespark.operators.cloud import neighbours
 from curvespark.operators.curves import total_length
-from curvespark.plans.lineage import stored
+from curvespark.plans.lineage import discard, stored
 
 
 def _basis(t: np.ndarray, knots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,29 +141,33 @@ def fit_curves(curves: DataFrame, smooth: float = 1.5, spacing: float = 1.0) ->
 def without_repeats(curves: DataFrame, near: float = 6.0, share: float = 0.6) -> DataFrame:
     """Curves less those of which ``share`` or more of the points lie nearer than ``near`` to longer curves that stay.
 
-    Curves are taken longest first (ties: the smaller id). In each round, all curves whose longer neighbours are decided are decided at once, so the rounds follow the longest
-    chain of neighbours and not the number of curves.
+    Curves are taken longest first (ties: the smaller id). In each round, a curve goes as soon as those that surely stay cover enough of it, and stays as soon as those that
+    may still stay cover too little: what the rest comes to can't change that. So nobody waits for all longer neighbours, and rounds follow the logarithm of the number of curves.
     """
     length = total_length(curves).select("sid", "length")
     points = curves.withColumn("id", F.monotonically_increasing_id())
     points = stored(points.join(length, "sid"), "points")
     pairs = neighbours(points.select("id", "p0", "p1", "p2", "sid", "length"), near, inclusive=False)
     longer = (F.col("b_length") > F.col("a_length")) | ((F.col("b_length") == F.col("a_length")) & (F.col("b_sid") < F.col("a_sid")))
-    covers = stored(pairs.where((F.col("a_sid") != F.col("b_sid")) & longer).select(F.col("a_sid").alias("sid"), F.col("a_id").alias("id"), F.col("b_sid").alias("over")).distinct(), "covers")
-    sizes = points.groupBy("sid").agg(F.count("*").alias("n"))
-    decided = None
-    left = stored(sizes, "left")
+    covers = pairs.where((F.col("a_sid") != F.col("b_sid")) & longer).select(F.col("a_sid").alias("sid"), F.col("a_id").alias("id"), F.col("b_sid").alias("over")).distinct()
+    covers = stored(covers.withColumn("sure", F.lit(False)), "covers")  # ``sure``: the longer curve stays
+    left = stored(points.groupBy("sid").agg(F.count("*").alias("n")), "left")
+    rounds = []
     while not left.isEmpty():
-        waits = covers.join(left.select(F.col("sid").alias("over")), "over", "left_semi").select("sid").distinct()
-        ready = left.join(waits, "sid", "left_anti")
-        if decided is None:
-            new = ready.select("sid", F.lit(True).alias("stays"))
-        else:
-            staying = decided.where("stays").select(F.col("sid").alias("over"))
-            hit = covers.join(ready, "sid", "left_semi").join(staying, "over", "left_semi").groupBy("sid").agg(F.countDistinct("id").alias("hit"))
-            new = ready.join(hit, "sid", "left").select("sid", (F.coalesce("hit", F.lit(0)) < share * F.col("n")).alias("stays"))
-        decided = stored(new if decided is None else decided.union(new), "decided")
-        left = stored(left.join(decided, "sid", "left_anti"), "left")
-    if decided is None:
-        return curves
-    return curves.join(decided.where("stays"), "sid", "left_semi")
+        each = covers.groupBy("sid", "id").agg(F.max("sure").alias("sure")).groupBy("sid").agg(F.sum(F.col("sure").cast("long")).alias("hit"), F.count("*").alias("most"))
+        judged = left.join(each, "sid", "left").withColumns({"hit": F.coalesce("hit", F.lit(0)), "most": F.coalesce("most", F.lit(0))})
+        stays = F.when(F.col("hit") >= share * F.col("n"), False).when(F.col("most") < share * F.col("n"), True)
+        judged = stored(judged.select("sid", "n", stays.alias("stays")), "judged")
+        new = judged.where("stays is not null").select("sid", "stays")
+        rounds.append(new)
+        rest = stored(judged.where("stays is null").select("sid", "n"), "left")
+        fates = new.select(F.col("sid").alias("over"), "stays")
+        still = covers.join(rest.select("sid"), "sid", "left_semi").join(fates, "over", "left").where("stays is null or stays").select("sid", "id", "over", (F.col("sure") | F.coalesce("stays", F.lit(False))).alias("sure"))
+        still = stored(still, "covers")
+        discard(covers, left)
+        covers, left = still, rest
+    kept = None
+    for new in rounds:
+        staying = new.where("stays").select("sid")
+        kept = staying if kept is None else kept.union(staying)
+    return curves if kept is None else curves.join(kept, "sid", "left_semi")
