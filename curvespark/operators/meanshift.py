@@ -67,12 +67,25 @@ def _kernel(bw: float, p: ShiftParameters) -> tuple[Column, Column]:
     return F.when(inside, near * F.pow(F.abs(dot("a_d", "b_d")), F.lit(p.alpha))).otherwise(0.0), along
 
 
-def shift_step(cloud: DataFrame, bw: float, p: ShiftParameters = ShiftParameters()) -> DataFrame:
+def _longest(bw: float, p: ShiftParameters) -> float:
+    """The kernel's longer half-axis."""
+    return bw * max(p.ratio, 1.0)
+
+
+def step_neighbours(cloud: DataFrame, bw: float, *variants: ShiftParameters) -> DataFrame:
+    """The neighbours that steps of all ``variants`` ask for, to be stored and given to each: ranks count within any smaller reach as well."""
+    columns = [F.col(f"{s}_{c}") for s in "ab" for c in ("id", *(f"{x}{k}" for x in "pd" for k in AXES))]
+    return nearest(cloud, max(p.most for p in variants), max(_longest(bw, p) for p in variants)).select(*columns, "d2", "rank")
+
+
+def shift_step(cloud: DataFrame, bw: float, p: ShiftParameters = ShiftParameters(), near: DataFrame | None = None) -> DataFrame:
     """The cloud after one step: each point moves to its neighbours' weighted mean, across its own direction, and its direction turns to theirs.
 
     The kernel ends at an ellipsoid, so the neighbours within its longer half-axis are all that count; of them, the ``most`` nearest are taken.
+    ``near`` may give them, and more: see ``step_neighbours``.
     """
-    near = nearest(cloud, p.most, bw * max(p.ratio, 1.0))
+    reach = _longest(bw, p)
+    near = nearest(cloud, p.most, reach) if near is None else near.where((F.col("d2") <= reach * reach) & (F.col("rank") <= p.most))
     weight, along = _kernel(bw, p)
     side = F.when(dot("a_d", "b_d") < 0, -1.0).otherwise(1.0)
     near = near.withColumns({"w": weight, "t": F.signum(along), "side": side})

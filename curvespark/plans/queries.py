@@ -11,6 +11,7 @@ from curvespark.operators import cloud as C
 from curvespark.operators import curves as V
 from curvespark.operators import edits, files, filters, fitting, geometry, graph, joining, knots, meanshift, noise, rod, signals, trees, volume
 from curvespark.plans import projections as P
+from curvespark.plans.lineage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -245,10 +246,12 @@ _VARIANTS = {"full": (2.0, 2.0, 2.0, 0.1, True), "without_anisotropy": (1.0, 1.0
 
 @_query(f"WITH {CLOUD_EV}, {pairs_sql('cloud', 2 * BW)} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, id, {', '.join(f'round({c}{k}, 5) + 0.0 AS {c}{k}' for c in 'pd' for k in range(3))} FROM ({_step_sql(*v)})" for n, v in _VARIANTS.items()))
 def shift_variants(spark: SparkSession, d: str) -> DataFrame:
-    """A step of each variant that changes the step; the others change the schedule or the links."""
+    """A step of each variant that changes the step; the others change the schedule or the links. All take their neighbours from one join."""
     cloud, out = P.cloud_from_events(spark, d), None
-    for name in _VARIANTS:
-        step = _rounded(meanshift.shift_step(cloud, BW, meanshift.ablated(meanshift.ShiftParameters(), name)).select(F.lit(name).alias("variant"), "id", *(f"{c}{k}" for c in "pd" for k in range(3))), 5)
+    variants = {name: meanshift.ablated(meanshift.ShiftParameters(), name) for name in _VARIANTS}
+    near = stored(meanshift.step_neighbours(cloud, BW, *variants.values()), "near")
+    for name, p in variants.items():
+        step = _rounded(meanshift.shift_step(cloud, BW, p, near).select(F.lit(name).alias("variant"), "id", *(f"{c}{k}" for c in "pd" for k in range(3))), 5)
         out = step if out is None else out.unionByName(step)
     return out
 
