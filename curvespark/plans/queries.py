@@ -285,8 +285,9 @@ s AS (SELECT component, count(*) AS size FROM c GROUP BY component), l AS (SELEC
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The cloud, and its edges stored, as components, forests and what is kept of them all ask for these."""
     cloud = P.cloud_from_events(spark, d)
-    return cloud, graph.proximity_edges(cloud, LINK)
+    return cloud, stored(graph.proximity_edges(cloud, LINK), "edges")
 
 
 @_query(f"{COMPONENTS} SELECT id, component, size, label FROM c JOIN l USING (component)")
