@@ -356,7 +356,8 @@ def peel_paths(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"""WITH {CLOUD_EV}, {pairs_sql('cloud', 3.0)}, h AS (SELECT a_id AS id, count(*) AS n3, count(*) FILTER (d2 <= 4) AS n2 FROM pairs GROUP BY a_id) SELECT id FROM h WHERE n3 >= 3 AND n2 < 3""")
 def junction_diff(spark: SparkSession, d: str) -> DataFrame:
     cloud = P.cloud_from_events(spark, d)
-    return edits.new_junctions(graph.proximity_edges(cloud, 2.0), graph.proximity_edges(cloud, 3.0))
+    pairs = stored(C.neighbours(cloud.select("id", "p0", "p1", "p2"), 3.0, half=True).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"), "d2"), "pairs")
+    return edits.new_junctions(pairs.where("d2 <= 4"), pairs)
 
 
 # --- curves -------------------------------------------------------------------
