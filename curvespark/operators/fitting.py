@@ -142,7 +142,7 @@ def without_repeats(curves: DataFrame, near: float = 6.0, share: float = 0.6) ->
     """Curves less those of which ``share`` or more of the points lie nearer than ``near`` to longer curves that stay.
 
     Curves are taken longest first (ties: the smaller id). In each round, a curve goes as soon as those that surely stay cover enough of it, and stays as soon as those that
-    may still stay cover too little: what the rest comes to can't change that. So nobody waits for all longer neighbours, and rounds follow the logarithm of the number of curves.
+    may still stay cover too little: what the rest comes to can't change that. So nobody waits for all longer neighbours; a chain in which each curve lies on the next alone still takes a round a link.
     """
     length = total_length(curves).select("sid", "length")
     points = curves.withColumn("id", F.monotonically_increasing_id())
