@@ -44,13 +44,19 @@ class Forest:
         return found.where((F.col("n") > 2) & (F.col("size") > least)).select(F.col("junction").alias("id"))
 
 
+def _named(forest: Forest, cloud: DataFrame) -> DataFrame:
+    """``(id, component, p*)`` of the forest's nodes, so that points of other trees aren't paired only to be left out."""
+    return forest.nodes.select("id", "component").join(cloud.select("id", *(f"p{i}" for i in AXES)), "id")
+
+
 def probes(forest: Forest, junctions: DataFrame, cloud: DataFrame, radius: float = PROBE) -> DataFrame:
     """``(junction, branch, node, v0..v2, far)``: of each branch the node whose distance from the junction is nearest to ``radius``, seen from there; ties go to the smaller id.
 
     Nodes beyond twice the radius are farther from it than the branch's first node can be, unless that one is itself farther away: it is always among those compared.
     """
-    at = cloud.join(junctions.select("id"), "id", "left_semi")
-    near = paths.on_branches(forest.nodes, ball(at, cloud, 2 * radius).select(F.col("centre").alias("junction"), "id"), forest.sizes)
+    placed = _named(forest, cloud)
+    at = placed.join(junctions.select("id"), "id", "left_semi")
+    near = paths.on_branches(forest.nodes, ball(at, placed, 2 * radius, ("component",)).select(F.col("centre").alias("junction"), "id"), forest.sizes)
     first = forest.sizes.join(junctions.select(F.col("id").alias("junction")), "junction", "left_semi").select("junction", F.col("branch").alias("id"), "branch")
     rows = near.select("junction", "id", "branch").union(first).distinct()
     place = lambda name, p: cloud.select(F.col("id").alias(name), *(F.col(f"p{k}").alias(f"{p}{k}") for k in AXES))
@@ -60,12 +66,11 @@ def probes(forest: Forest, junctions: DataFrame, cloud: DataFrame, radius: float
     return rows.groupBy("junction", "branch").agg(best).select("junction", "branch", "b.node", "b.v0", "b.v1", "b.v2", "b.far")
 
 
-def decide(forest: Forest, junctions: DataFrame, cloud: DataFrame, reach: float = 4.0, probe: float = PROBE, long_arm: int = LONG_ARM, stem_hops: int = STEM_HOPS, tip_reach: float = TIP_REACH) -> DataFrame:
-    """``(junction, action, stem, short, long, tip, touch, next)`` for each of ``junctions``, which have three branches or more.
+def arms(forest: Forest, junctions: DataFrame, cloud: DataFrame, reach: float = 4.0, probe: float = PROBE, long_arm: int = LONG_ARM) -> DataFrame:
+    """``(junction, stem, short, long, depth, tip, touch)`` for those of ``junctions`` that have three branches with directions.
 
-    ``short`` and ``long`` are the smaller and the larger arm (ties: the smaller id first), ``tip`` the smaller one's deepest node, ``touch`` the nearest node of the larger one
-    within ``reach`` of it. ``next`` is what the stem leads to: the next junction within ``stem_hops``, the loop's other junction, or the tip of another tree. Junctions
-    of more than three branches, without directions, or where nothing is found are skipped.
+    ``short`` and ``long`` are the smaller and the larger arm (ties: the smaller id first), ``tip`` the smaller one's deepest node, ``depth`` edges away, ``touch`` the nearest
+    node of the larger one within ``reach`` of it.
     """
     vectors = stored(probes(forest, junctions, cloud, probe), "vectors")
     scored = stems(vectors, sector_counts(vectors, cloud, probe)).select("junction", "branch", "is_stem")
@@ -76,16 +81,31 @@ def decide(forest: Forest, junctions: DataFrame, cloud: DataFrame, reach: float
     table = rows.withColumn("place", order).groupBy("junction").agg(pick(3, "branch").alias("stem"), pick(1, "branch").alias("short"), pick(2, "branch").alias("long"), pick(1, "depth").alias("depth"), pick(1, "end").alias("tip"))
     table = stored(table, "arms")
 
-    tips = cloud.join(table.where(F.col("depth") <= long_arm).select(F.col("tip").alias("id")).distinct(), "id", "left_semi")
-    near = table.join(ball(tips, cloud, reach).select(F.col("centre").alias("tip"), "id", "d2"), "tip").where("id <> tip").select("junction", "long", "id", "d2")
+    placed = _named(forest, cloud)
+    tips = placed.join(table.where(F.col("depth") <= long_arm).select(F.col("tip").alias("id")).distinct(), "id", "left_semi")
+    near = table.join(ball(tips, placed, reach, ("component",)).select(F.col("centre").alias("tip"), "id", "d2"), "tip").where("id <> tip").select("junction", "long", "id", "d2")
     near = paths.on_branches(forest.nodes, near, forest.sizes).where(F.col("branch") == F.col("long"))
     touch = near.groupBy("junction").agg(F.min(F.struct(F.round("d2", 9).alias("d2"), "id")).alias("t")).select("junction", F.col("t.id").alias("touch"))
 
+    return stored(table.join(touch, "junction", "left"), "touched")
+
+
+def decide(forest: Forest, junctions: DataFrame, cloud: DataFrame, reach: float = 4.0, probe: float = PROBE, long_arm: int = LONG_ARM, stem_hops: int = STEM_HOPS, tip_reach: float = TIP_REACH) -> DataFrame:
+    """``(junction, action, stem, short, long, tip, touch, next)`` for each of ``junctions``, which have three branches or more.
+
+    The first columns are those of ``arms``. ``next`` is what the stem leads to: the next junction within ``stem_hops``, the loop's other junction, or the tip of another tree.
+    Junctions of more than three branches, without directions, or where nothing is found are skipped.
+    """
+    table = arms(forest, junctions, cloud, reach, probe, long_arm)
     others = paths.branch_ends(forest.sizes, paths.reaches(forest.nodes, forest.steps, junctions, nearest=True)).where(F.col("far") <= stem_hops).select("junction", F.col("branch").alias("stem"), F.col("end").alias("ahead"))
-    table = stored(table.join(touch, "junction", "left").join(others, ["junction", "stem"], "left"), "decided")
+    table = stored(table.join(others, ["junction", "stem"], "left"), "decided")
     turns = turning_points(forest, loop_nodes(forest, table.where(F.col("touch").isNotNull() & (F.col("depth") <= long_arm)))).select("junction", "other")
-    links = search_links(forest, table.where((F.col("depth") > long_arm) & F.col("ahead").isNull()), cloud, stem_hops, tip_reach).select("junction", F.col("tip").alias("loose"))
-    table = junctions.select(F.col("id").alias("junction")).join(table, "junction", "left").join(turns, "junction", "left").join(links, "junction", "left")
+    lost = table.where((F.col("depth") > long_arm) & F.col("ahead").isNull())
+    table = junctions.select(F.col("id").alias("junction")).join(table, "junction", "left").join(turns, "junction", "left")
+    if lost.isEmpty():  # no stem to search from, so the trees' tips aren't asked for
+        table = table.withColumn("loose", F.lit(None).cast(table.schema["tip"].dataType))
+    else:
+        table = table.join(search_links(forest, lost, cloud, stem_hops, tip_reach).select("junction", F.col("tip").alias("loose")), "junction", "left")
     is_long = F.col("depth") > long_arm
     action = (
         F.when(F.col("stem").isNull(), "skip")

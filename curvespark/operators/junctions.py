@@ -69,8 +69,8 @@ def next_junctions(found: DataFrame, junctions: DataFrame) -> DataFrame:
     return others.groupBy("junction", "branch").agg(F.min(F.struct("hops", F.col("node").alias("next"))).alias("n")).select("junction", "branch", "n.next", "n.hops")
 
 
-def _positions(cloud: DataFrame, name: str, prefix: str) -> DataFrame:
-    return cloud.select(F.col("id").alias(name), *(F.col(f"p{k}").alias(f"{prefix}{k}") for k in AXES))
+def _positions(cloud: DataFrame, name: str, prefix: str, more: tuple[str, ...] = ()) -> DataFrame:
+    return cloud.select(F.col("id").alias(name), *(F.col(f"p{k}").alias(f"{prefix}{k}") for k in AXES), *more)
 
 
 def probe_vectors(found: DataFrame, cloud: DataFrame, radius: float = 10.0) -> DataFrame:
@@ -82,16 +82,16 @@ def probe_vectors(found: DataFrame, cloud: DataFrame, radius: float = 10.0) -> D
     return rows.groupBy("junction", "branch").agg(best).select("junction", "branch", "b.node", "b.v0", "b.v1", "b.v2", "b.far")
 
 
-def ball(centres: DataFrame, cloud: DataFrame, radius: float) -> DataFrame:
-    """``(centre, id, d2, r0..r2)``: the points within ``radius`` of each centre ``(id, p*)`` and where they are from it, by an equi-join on grid cells.
+def ball(centres: DataFrame, cloud: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(centre, id, d2, r0..r2)``: the points within ``radius`` of each centre ``(id, p*)`` and where they are from it, by an equi-join on grid cells; only points whose ``by`` columns are the centre's, if there are such.
 
     Centres are copied into the cells that their radius reaches, so let them be the fewer; both sides are sorted, as Spark would broadcast the copies by their table's size.
     """
-    a = _positions(centres, "centre", "j")
+    a = _positions(centres, "centre", "j", by)
     for k in AXES:
         a = a.withColumn(f"c{k}", F.explode(cells_within(f"j{k}", radius)))
-    b = _positions(cloud, "id", "q").withColumns({f"c{k}": cell(f"q{k}", radius) for k in AXES})
-    near = a.join(b.hint("merge"), ["c0", "c1", "c2"]).withColumns({f"r{k}": F.col(f"q{k}") - F.col(f"j{k}") for k in AXES})
+    b = _positions(cloud, "id", "q", by).withColumns({f"c{k}": cell(f"q{k}", radius) for k in AXES})
+    near = a.join(b.hint("merge"), ["c0", "c1", "c2", *by]).withColumns({f"r{k}": F.col(f"q{k}") - F.col(f"j{k}") for k in AXES})
     near = near.withColumn("d2", F.col("r0") * F.col("r0") + F.col("r1") * F.col("r1") + F.col("r2") * F.col("r2")).where(F.col("d2") <= radius * radius)
     return near.select("centre", "id", "d2", *(f"r{k}" for k in AXES))
 

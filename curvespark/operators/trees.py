@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvespark.operators.components import connected_components
-from curvespark.plans.lineage import discard, stored
+from curvespark.plans.lineage import discard, numbered, stored
 
 #: Lengths are compared after rounding to so many decimals, so that the order of additions doesn't decide ties.
 DECIMALS = 9
@@ -19,12 +19,15 @@ DECIMALS = 9
 def _doubled(start: DataFrame, key: str, pointer: str, sums: tuple[str, ...]) -> DataFrame:
     """Follow pointers to their end (null), adding up ``sums`` on the way."""
     now = stored(start, "pointers")
+    order = now.columns
     while not now.where(F.col(pointer).isNotNull()).isEmpty():
         after = now
         for _ in range(2):
             ahead = after.select(F.col(key).alias(pointer), F.col(pointer).alias("__next"), *(F.col(c).alias(f"__{c}") for c in sums))
-            others = [c for c in now.columns if c not in (pointer, *sums)]
-            after = after.join(ahead, pointer, "left").select(*others, F.col("__next").alias(pointer), *((F.col(c) + F.coalesce(F.col(f"__{c}"), F.lit(0))).alias(c) for c in sums))
+            on = after.where(F.col(pointer).isNotNull()).join(ahead, pointer)
+            summed = {c: F.col(c) + F.col(f"__{c}") for c in sums} | {pointer: F.col("__next")}
+            # rows that have come to their end stay where they are: they have no place in a join
+            after = on.select(*(summed.get(c, F.col(c)).alias(c) for c in order)).union(after.where(F.col(pointer).isNull()))
         after = stored(after, "pointers")
         discard(now)
         now = after
@@ -34,20 +37,26 @@ def _doubled(start: DataFrame, key: str, pointer: str, sums: tuple[str, ...]) ->
 def rooted(tree: DataFrame, components: DataFrame) -> DataFrame:
     """``(component, id, parent, down, up, far, hops)`` of each node of a forest ``(u, v, w)`` that has an edge: its parent (null for the root, each component's smallest node), where the
     walk comes down to it and goes up from it for good (counted from the walk's end), and its distance from the root in length and edges."""
-    named = tree.join(components.select(F.col("id").alias("u"), "component"), "u")
-    arcs = named.select("component", F.col("u").alias("a"), F.col("v").alias("b"), "w").union(named.select("component", "v", "u", "w"))
+    named = numbered(tree.select("u", "v", "w").join(components.select(F.col("id").alias("u"), "component"), "u"), "edge", "arcs")
+    # arc 2e goes from an edge's u to its v, arc 2e + 1 back: one number is carried around, not both ends
+    there, back = (F.col("edge") * 2).alias("arc"), (F.col("edge") * 2 + 1).alias("arc")
+    arcs = named.select("component", F.col("u").alias("a"), F.col("v").alias("b"), there).union(named.select("component", "v", "u", back))
     around = Window.partitionBy("a").orderBy("b")
-    arcs = arcs.withColumn("after", F.lead("b").over(around)).withColumn("first", F.first("b").over(around))
+    arcs = arcs.withColumn("after", F.lead("arc").over(around)).withColumn("first", F.first("arc").over(around))
     ends = F.col("after").isNull() & (F.col("a") == F.col("component"))  # the last return to the root ends the walk
-    after = F.when(~ends, F.struct(F.col("a").alias("a"), F.coalesce("after", "first").alias("b")))
-    walk = arcs.select("component", "w", F.struct(F.col("b").alias("a"), F.col("a").alias("b")).alias("arc"), after.alias("next")).withColumn("rank", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long"))
-    ranked = _doubled(walk, "arc", "next", ("rank",)).select("component", "w", "arc.a", "arc.b", "rank")
-    back = ranked.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rank").alias("back"))
-    nodes = ranked.join(back, ["a", "b"]).where("rank > back").select("component", F.col("b").alias("id"), F.col("a").alias("parent"), F.col("rank").alias("down"), F.col("back").alias("up"), "w")
+    walk = arcs.select(F.col("arc").bitwiseXOR(F.lit(1)).alias("arc"), F.when(~ends, F.coalesce("after", "first")).alias("next"))
+    ranked = _doubled(walk.withColumn("rank", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long")), "arc", "next", ("rank",))
+    way = lambda odd: F.max(F.when(F.col("arc").bitwiseAND(F.lit(1)) == odd, F.col("rank"))).alias("back" if odd else "there")
+    both = ranked.groupBy(F.shiftright("arc", 1).alias("edge")).agg(way(0), way(1))
+    down = F.col("there") > F.col("back")
+    nodes = named.join(both, "edge").select("component", F.when(down, F.col("v")).otherwise(F.col("u")).alias("id"), F.when(down, F.col("u")).otherwise(F.col("v")).alias("parent"), F.greatest("there", "back").alias("down"), F.least("there", "back").alias("up"), "w")
+    nodes = stored(nodes, "nodes")
     roots = nodes.groupBy("component").agg(F.max("down").alias("most")).select("component", F.col("component").alias("id"), F.lit(None).cast("long").alias("parent"), (F.col("most") + 1).alias("down"), F.lit(-1).cast("long").alias("up"), F.lit(0.0).alias("w"))
-    nodes = nodes.union(roots)
-    lengths = _doubled(nodes.select("id", F.col("parent").alias("above"), F.col("w").alias("far"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("hops")), "id", "above", ("far", "hops"))
-    return stored(nodes.drop("w").join(lengths.select("id", "far", "hops"), "id").select("component", "id", "parent", "down", "up", "far", "hops"), "rooted")
+    every = nodes.union(roots)
+    lengths = _doubled(every.select("id", F.col("parent").alias("above"), F.col("w").alias("far"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("hops")), "id", "above", ("far", "hops"))
+    found = stored(every.drop("w").join(lengths.select("id", "far", "hops"), "id").select("component", "id", "parent", "down", "up", "far", "hops"), "rooted")
+    discard(named, ranked, nodes, lengths)
+    return found
 
 
 def _above(nodes: DataFrame, ends: DataFrame) -> DataFrame:

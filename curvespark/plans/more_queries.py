@@ -390,7 +390,8 @@ def junction_decisions(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"{DECIDED}, n AS (SELECT junction, max(hops) FILTER (side = 0) AS a, max(hops) FILTER (side = 1) AS b FROM lp GROUP BY 1) SELECT junction, CAST(if(side = 0, hops, a + 1 + b - hops) AS BIGINT) AS k, node AS id FROM lp JOIN n USING (junction)")
 def loop_paths(spark: SparkSession, d: str) -> DataFrame:
     """The loops of all junctions whose smaller arm comes back to the larger one."""
-    _, forest, table = _decided(spark, d)
+    cloud, forest = _wide(spark, d)
+    table = decisions.arms(forest, junctions.hubs(forest.tree), cloud, REACH)
     return decisions.loop_nodes(forest, table.where("touch is not null"))
 
 
