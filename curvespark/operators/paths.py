@@ -83,22 +83,27 @@ def reaches(nodes: DataFrame, steps: list[DataFrame], marked: DataFrame | None =
     else:
         own = own.withColumn("is_marked", F.lit(True))
     own = stored(own.withColumn("own", F.when(F.col("is_marked"), F.struct((sign * F.col("hops")).alias("d"), F.col("id").alias("node")))).drop("is_marked"), "own")
-    best = own.select("id", F.col("own").alias("best"))
-    for table in steps:
-        more = best.where("best is not null").join(table, "id").groupBy(F.col("to").alias("id")).agg(F.min("best").alias("more"))
-        best = stored(best.join(more, "id", "left").select("id", F.least("best", "more").alias("best")), "below")
-    rows = stored(own.join(best, "id"), "branches")
+    best, before = own.select("id", "hops", F.col("own").alias("best")), None
+    for power, table in enumerate(steps):  # a node less deep than a step is long takes no part in it
+        more = best.where((F.col("hops") >= 1 << power) & F.col("best").isNotNull()).join(table, "id").groupBy(F.col("to").alias("id")).agg(F.min("best").alias("more"))
+        best = stored(best.join(more, "id", "left").select("id", "hops", F.least("best", "more").alias("best")), "below")
+        discard(before)
+        before = best
+    rows = stored(own.join(best.drop("hops"), "id"), "branches")
     beside = Window.partitionBy("parent").orderBy(F.asc_nulls_last("best"), "id")
     whole = beside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turns = rows.where("parent is not null").withColumns({"place": F.row_number().over(beside), "one": F.first("best").over(whole), "two": F.nth_value("best", 2).over(whole)})
     above = own.select(F.col("id").alias("parent"), F.col("own").alias("at_parent"), F.col("hops").alias("p_hops"))
     turns = turns.join(above, "parent").withColumn("turn", F.least(F.when(F.col("place") == 1, F.col("two")).otherwise(F.col("one")), "at_parent"))
     start = turns.select("id", F.when(F.col("turn").isNotNull(), F.struct((F.col("turn.d") - 2 * sign * F.col("p_hops")).alias("d"), F.col("turn.node").alias("node"))).alias("turn"))
-    turn = own.select("id").join(start, "id", "left")
-    for table in steps:
+    turn = stored(own.select("id", "hops").join(start, "id", "left"), "above")
+    for power, table in enumerate(steps):
         ahead = turn.select(F.col("id").alias("to"), F.col("turn").alias("more"))
-        turn = stored(turn.join(table, "id", "left").join(ahead, "to", "left").select("id", F.least("turn", "more").alias("turn")), "above")
-    out = rows.join(turn, "id")
+        deep = turn.where(F.col("hops") >= 1 << power).join(table, "id").join(ahead, "to").select("id", "hops", F.least("turn", "more").alias("turn"))
+        after = stored(deep.union(turn.where(F.col("hops") < 1 << power)), "above")
+        discard(turn)
+        turn = after
+    out = rows.join(turn.drop("hops"), "id")
     return stored(
         out.select(
             "id", (sign * F.col("best.d") - F.col("hops")).alias("below"), F.col("best.node").alias("below_node"),
