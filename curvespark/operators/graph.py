@@ -75,7 +75,7 @@ def spanning_forest_of_components(edges: DataFrame) -> tuple[DataFrame, DataFram
 def _merged(edges: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
     """The edges chosen in all rounds, and each round's ``(node, component)``: what the components of the round before became."""
     work = stored(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w").groupBy("u", "v").agg(F.min("w").alias("w")), "edges")
-    work = work.select("u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv"))
+    first, work = work, work.select("u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv"))
     chosen, rounds = None, []
     while not work.isEmpty():
         edge = F.struct("w", "u", "v", "cu", "cv")
@@ -88,7 +88,12 @@ def _merged(edges: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
         moved = work
         for end in ("cu", "cv"):
             moved = moved.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"n{end}")), end)
-        work = stored(moved.where("ncu <> ncv").select("u", "v", "w", F.col("ncu").alias("cu"), F.col("ncv").alias("cv")), "edges")
+        # of the edges between two components only the lightest can be chosen
+        between = F.min(F.struct("w", "u", "v", F.col("ncu").alias("cu"), F.col("ncv").alias("cv"))).alias("e")
+        lightest = moved.where("ncu <> ncv").groupBy(F.least("ncu", "ncv").alias("one"), F.greatest("ncu", "ncv").alias("two")).agg(between)
+        after = stored(lightest.select("e.u", "e.v", "e.w", "e.cu", "e.cv"), "edges")
+        discard(first)
+        work, first = after, after
     return chosen, rounds
 
 
