@@ -98,18 +98,24 @@ def _merged(edges: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
 
 
 def _roots(best: DataFrame) -> DataFrame:
-    """``(node, component)``: where each component ``c`` comes to by its chosen edge ``(cu, cv)`` in up to eight steps, the root of its tree if that is no farther.
+    """``(node, component)``: where each component ``c`` comes to by its chosen edge ``(cu, cv)`` in up to eight steps or more, the root of its tree if that is no farther.
 
+    Most components of a sparse graph are one of two that chose the same edge, or beside such a pair, and have their root at once: pointers are only followed for the rest.
     Trees that are deeper come out in parts; the edges between the parts are chosen once more in the next round, so nothing has to be asked before it begins.
     """
     over = best.select("c", F.when(F.col("cu") == F.col("c"), F.col("cv")).otherwise(F.col("cu")).alias("to"))
     back = over.select(F.col("c").alias("to"), F.col("to").alias("back"))
-    now = over.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
-    now = stored(now, "pointers")
+    met = stored(over.join(back, "to").select("c", "to", (F.col("back") == F.col("c")).alias("paired")), "pointers")
+    pairs = met.where("paired").select("c", F.least("c", "to").alias("root"))
+    beside = stored(met.where("not paired").join(pairs.select(F.col("c").alias("to"), "root"), "to", "left").select("c", "to", "root"), "beside")
+    near, now = beside.where("root is not null").select("c", "root"), beside.where("root is null").select("c", "to")
     for _ in range(3):
         step = now.select(F.col("c").alias("to"), F.col("to").alias("next"))
-        now = now.join(step, "to").select("c", F.col("next").alias("to"))
-    return stored(now.select(F.col("c").alias("node"), F.col("to").alias("component")), "groups")
+        now = now.join(step, "to", "left").select("c", F.coalesce("next", "to").alias("to"))
+    deep = now.join(near.select(F.col("c").alias("to"), "root"), "to", "left").select("c", F.coalesce("root", "to").alias("root"))
+    groups = stored(pairs.union(near).union(deep).select(F.col("c").alias("node"), F.col("root").alias("component")), "groups")
+    discard(met, beside)
+    return groups
 
 
 def keep_largest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
