@@ -73,6 +73,12 @@ def _positions(cloud: DataFrame, name: str, prefix: str, more: tuple[str, ...] =
     return cloud.select(F.col("id").alias(name), *(F.col(f"p{k}").alias(f"{prefix}{k}") for k in AXES), *more)
 
 
+def places(found: DataFrame, cloud: DataFrame) -> DataFrame:
+    """The cloud's points that are a junction or a node of its branches, stored: positions of these are then looked up in that table, and the cloud is sent by its ids once."""
+    ids = found.select(F.col("node").alias("id")).union(found.select("junction")).distinct()
+    return stored(cloud.select("id", *(f"p{k}" for k in AXES)).join(ids, "id", "left_semi"), "places")
+
+
 def probe_vectors(found: DataFrame, cloud: DataFrame, radius: float = 10.0) -> DataFrame:
     """``(junction, branch, node, v0..v2, far)``: of each branch the node whose distance from the junction is nearest to ``radius``, seen from there (ties: fewer hops, then the smaller id)."""
     rows = found.join(_positions(cloud, "node", "q"), "node").join(_positions(cloud, "junction", "j"), "junction")
@@ -96,9 +102,9 @@ def ball(centres: DataFrame, cloud: DataFrame, radius: float, by: tuple[str, ...
     return near.select("centre", "id", "d2", *(f"r{k}" for k in AXES))
 
 
-def sector_counts(vectors: DataFrame, cloud: DataFrame, radius: float = 10.0) -> DataFrame:
-    """``(junction, branch, points)``: the points about each junction within ``radius``, each counted for the branch that it lies most nearly along (ties: the smaller branch); the junction's own place isn't counted."""
-    centres = cloud.join(vectors.select(F.col("junction").alias("id")).distinct(), "id", "left_semi")
+def sector_counts(vectors: DataFrame, cloud: DataFrame, radius: float = 10.0, at: DataFrame | None = None) -> DataFrame:
+    """``(junction, branch, points)``: the points about each junction within ``radius``, each counted for the branch that it lies most nearly along (ties: the smaller branch); the junction's own place isn't counted. ``at`` may give the junctions' points, see ``places``."""
+    centres = (cloud if at is None else at).join(vectors.select(F.col("junction").alias("id")).distinct(), "id", "left_semi")
     near = ball(centres, cloud, radius).where("d2 > 1e-12").withColumnRenamed("centre", "junction")
     lean = (F.col("r0") * F.col("v0") + F.col("r1") * F.col("v1") + F.col("r2") * F.col("v2")) / F.col("far")
     best = near.join(vectors.where("far > 1e-9"), "junction").groupBy("junction", "id").agg(F.max(F.struct(lean.alias("lean"), (-F.col("branch")).alias("b"))).alias("m"))
@@ -131,7 +137,7 @@ def stems(vectors: DataFrame, counts: DataFrame, weight: float = DENSITY_WEIGHT)
 def short_arms(found: DataFrame, stem: DataFrame, cloud: DataFrame, near: float = 4.0) -> DataFrame:
     """``(junction, branch, tip)`` of arms to cut: the smaller of a junction's two arms, if no node of the larger one lies within ``near`` of the smaller one's deepest node.
 
-    Sizes are as far as the branches were walked; ties go to the smaller branch, of equally deep nodes to the smaller id.
+    Sizes are as far as the branches were walked; ties go to the smaller branch, of equally deep nodes to the smaller id. Of the cloud only the branches' nodes count: ``places`` are enough.
     """
     arms = found.join(stem.where("not is_stem").select("junction", "branch"), ["junction", "branch"])
     tip = F.min(F.struct((-F.col("hops")).alias("deep"), "node")).alias("t")

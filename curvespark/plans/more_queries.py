@@ -67,9 +67,11 @@ stem AS (SELECT *, 0.4 * angle + 0.6 * density AS score, row_number() OVER (PART
 
 
 def _stems(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The places of all branches, the branches, and the stems."""
     cloud, _, found = _branches(spark, d)
-    vectors = junctions.probe_vectors(found, cloud, PROBE)
-    return cloud, found, junctions.stems(vectors, junctions.sector_counts(vectors, cloud, PROBE))
+    at = junctions.places(found, cloud)
+    vectors = stored(junctions.probe_vectors(found, at, PROBE), "vectors")
+    return at, found, junctions.stems(vectors, junctions.sector_counts(vectors, cloud, PROBE, at))
 
 
 @_query(f"{STEMS} SELECT junction, branch, node, round(far, 6) AS far, {', '.join(f'round(v{k}, 6) + 0.0 AS v{k}' for k in range(3))} FROM vec")
@@ -81,7 +83,8 @@ def probe_vectors(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"{STEMS} SELECT junction, branch, points FROM cnt")
 def sector_counts(spark: SparkSession, d: str) -> DataFrame:
     cloud, _, found = _branches(spark, d)
-    return junctions.sector_counts(junctions.probe_vectors(found, cloud, PROBE), cloud, PROBE)
+    at = junctions.places(found, cloud)
+    return junctions.sector_counts(junctions.probe_vectors(found, at, PROBE), cloud, PROBE, at)
 
 
 @_query(f"{STEMS} SELECT junction, branch, round(angle, 6) AS angle, round(density, 6) AS density, round(score, 6) AS score, is_stem FROM stem")
@@ -95,8 +98,8 @@ oth AS (SELECT br.junction, br.branch, node FROM br JOIN stem USING (junction, b
 hit AS (SELECT DISTINCT sm.junction FROM sm JOIN oth ON sm.junction = oth.junction AND oth.branch <> sm.branch JOIN cloud t ON t.id = sm.tip JOIN cloud q ON q.id = oth.node WHERE {' + '.join(f'(t.p{k} - q.p{k}) ^ 2' for k in range(3))} <= 16)
 SELECT junction, branch, tip FROM sm WHERE junction NOT IN (SELECT junction FROM hit)""")
 def short_arms(spark: SparkSession, d: str) -> DataFrame:
-    cloud, found, stem = _stems(spark, d)
-    return junctions.short_arms(found, stem, cloud, 4.0)
+    at, found, stem = _stems(spark, d)
+    return junctions.short_arms(found, stem, at, 4.0)
 
 
 @_query(f"""{FOREST}, gone AS (SELECT node AS id FROM br WHERE hops <= 2 UNION SELECT id FROM hub) SELECT u, v, round(w, 6) + 0.0 AS w FROM tree WHERE u NOT IN (SELECT id FROM gone) AND v NOT IN (SELECT id FROM gone)""")
