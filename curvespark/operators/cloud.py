@@ -107,15 +107,19 @@ def nearest(cloud: DataFrame, k: int, radius: float, inclusive: bool = True) ->
     return neighbours(cloud, radius, inclusive).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def cone_links(cloud: DataFrame, reach: float, degrees: float = 30.0) -> DataFrame:
-    """Pairs within reach where the other point lies in the cone about either point's direction, forwards or backwards; points without a direction have no links."""
+def cone_links(cloud: DataFrame, reach: float, degrees: float = 30.0, offsets: bool = False) -> DataFrame:
+    """Pairs within reach where the other point lies in the cone about either point's direction, forwards or backwards; points without a direction have no links.
+
+    ``offsets`` adds ``e0`` to ``e2``, the way from ``a`` to ``b``, for steps on the same cloud: see ``meanshift.spring_step``.
+    """
     import math
 
     least = math.cos(math.radians(degrees))
     pairs = neighbours(cloud.where(dot("d", "d") > 1e-12), reach, half=True).where("d2 > 0")
     along = [F.col(f"b_p{k}") - F.col(f"a_p{k}") for k in AXES]
-    lean = lambda s: F.abs(along[0] * F.col(f"{s}_d0") + along[1] * F.col(f"{s}_d1") + along[2] * F.col(f"{s}_d2")) / F.sqrt("d2")
-    return pairs.where((lean("a") >= least) | (lean("b") >= least)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.sqrt("d2").alias("rest"))
+    lean = lambda s: F.abs(along[0] * F.col(f"{s}_d0") + along[1] * F.col(f"{s}_d1") + along[2] * F.col(f"{s}_d2")) / F.nullif(F.sqrt("d2"), F.lit(0.0))
+    more = [along[k].alias(f"e{k}") for k in AXES] if offsets else []
+    return pairs.where((lean("a") >= least) | (lean("b") >= least)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.sqrt("d2").alias("rest"), *more)
 
 
 def united_degree(cloud: DataFrame, radius: float, similarity: float = 0.85, most: int = 512, least: int = 1) -> DataFrame:

@@ -108,14 +108,20 @@ def shift_step(cloud: DataFrame, bw: float, p: ShiftParameters = ShiftParameters
 
 
 def spring_step(cloud: DataFrame, links: DataFrame, weight: float = 1.0, cap: float = 10.0) -> DataFrame:
-    """The cloud after its links (a, b, rest) have pulled or pushed their ends towards the rest length; a point takes its links' mean, ``cap`` at most."""
-    at = cloud.select("id", *(f"p{k}" for k in AXES))
-    a, b = (at.select(F.col("id").alias(s), *(F.col(f"p{k}").alias(f"{s}{k}") for k in AXES)) for s in "ab")
-    seg = links.join(a, "a").join(b, "b").withColumns({f"e{k}": F.col(f"b{k}") - F.col(f"a{k}") for k in AXES})
+    """The cloud after its links (a, b, rest) have pulled or pushed their ends towards the rest length; a point takes its links' mean, ``cap`` at most.
+
+    Links that were just made of this cloud may bring their offsets ``e0`` to ``e2``; the ends of others are looked up where the cloud is now.
+    """
+    seg = links
+    if "e0" not in links.columns:
+        at = cloud.select("id", *(f"p{k}" for k in AXES))
+        a, b = (at.select(F.col("id").alias(s), *(F.col(f"p{k}").alias(f"{s}{k}") for k in AXES)) for s in "ab")
+        seg = links.join(a, "a").join(b, "b").withColumns({f"e{k}": F.col(f"b{k}") - F.col(f"a{k}") for k in AXES})
     seg = seg.withColumn("len", F.sqrt(dot("e", "e"))).where("len > 1e-9")
     pull = {f"f{k}": weight * (F.col("len") - F.col("rest")) * F.col(f"e{k}") / F.col("len") for k in AXES}
     seg = seg.withColumns(pull)
-    ends = seg.select(F.col("a").alias("id"), *(F.col(f"f{k}") for k in AXES)).union(seg.select("b", *(-F.col(f"f{k}") for k in AXES)))
+    both = [F.struct(F.col(end).alias("id"), *((sign * F.col(f"f{k}")).alias(f"f{k}") for k in AXES)) for end, sign in (("a", 1.0), ("b", -1.0))]
+    ends = seg.select(F.inline(F.array(*both)))  # not a union, which would find the links twice
     moved = ends.groupBy("id").agg(*(F.avg(f"f{k}").alias(f"f{k}") for k in AXES))
     size = F.sqrt(dot("f", "f"))
     moved = moved.withColumn("size", size).withColumn("by", F.when(F.col("size") > cap, cap / F.nullif(F.col("size"), F.lit(0.0))).otherwise(1.0))

@@ -217,7 +217,7 @@ m AS (SELECT id, {', '.join(f'avg(f{k}) AS f{k}' for k in range(3))} FROM f GROU
 SELECT id, {', '.join(f'round(p{k} + coalesce(f{k} * CASE WHEN s > 1.0 THEN 1.0 / s ELSE 1 END, 0), 6) + 0.0 AS p{k}' for k in range(3))} FROM cloud LEFT JOIN n USING (id)""")
 def spring_step(spark: SparkSession, d: str) -> DataFrame:
     cloud = P.cloud_from_events(spark, d)
-    links = C.cone_links(cloud, RADIUS).withColumn("rest", F.lit(3.0))
+    links = C.cone_links(cloud, RADIUS, offsets=True).withColumn("rest", F.lit(3.0))
     return _rounded(meanshift.spring_step(cloud, links, 1.0, 1.0).select("id", "p0", "p1", "p2"))
 
 
