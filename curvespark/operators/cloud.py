@@ -122,14 +122,14 @@ def cone_links(cloud: DataFrame, reach: float, degrees: float = 30.0, offsets: b
     return pairs.where((lean("a") >= least) | (lean("b") >= least)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.sqrt("d2").alias("rest"), *more)
 
 
-def united_degree(cloud: DataFrame, radius: float, similarity: float = 0.85, most: int = 512, least: int = 1) -> DataFrame:
-    """``(id, n, degree, saturated)``: the share of a point's neighbours whose direction agrees with its own, zero with fewer than ``least`` neighbours."""
+def united_degree(cloud: DataFrame, radius: float, similarity: float = 0.85, most: int = 512, least: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, n, degree, saturated)``: the share of a point's neighbours whose direction agrees with its own, zero with fewer than ``least`` neighbours; and the point's ``keep`` columns."""
     near = nearest(cloud, most, radius, inclusive=False)
     agrees = F.when(F.abs(dot("a_d", "b_d")) >= similarity, 1.0).otherwise(0.0)
     found = near.groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n"), F.avg(agrees).alias("degree"))
-    out = cloud.select("id").join(found, "id", "left")
+    out = cloud.select("id", *keep).join(found, "id", "left")
     n = F.coalesce("n", F.lit(0))
-    return out.select("id", n.alias("n"), F.when(n >= least, F.col("degree")).otherwise(F.lit(0.0)).alias("degree"), (n == most).alias("saturated"))
+    return out.select("id", n.alias("n"), F.when(n >= least, F.col("degree")).otherwise(F.lit(0.0)).alias("degree"), (n == most).alias("saturated"), *keep)
 
 
 def united_filter(cloud: DataFrame, radius: float, similarity: float = 0.85, keep: float = 0.85, most: int = 512) -> DataFrame:

@@ -788,9 +788,8 @@ SELECT CAST(p2 AS BIGINT) AS user_id, count(*) AS points, coalesce(sum(n), 0)::B
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Coherence of each user's points: the neighbour join, the united degree and a summary."""
     cloud = P.cloud_from_events(spark, d)
-    degree = C.united_degree(cloud, RADIUS)
-    joined = cloud.where("energy > 20").join(degree, "id")
-    return joined.groupBy(F.col("p2").cast("long").alias("user_id")).agg(F.count("*").alias("points"), F.sum("n").alias("links"), F.round(F.avg("degree"), 6).alias("degree"))
+    degree = C.united_degree(cloud, RADIUS, keep=("p2", "energy"))
+    return degree.where("energy > 20").groupBy(F.col("p2").cast("long").alias("user_id")).agg(F.count("*").alias("points"), F.sum("n").alias("links"), F.round(F.avg("degree"), 6).alias("degree"))
 
 
 from curvespark.plans import more_queries  # noqa: E402, F401  adds its own to both tables
