@@ -22,6 +22,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 REFINE_ABOVE = 8_000_000
 #: Places in which a large group's fingerprints meet what its group is called.
 SALTS = 16
+#: A hint for joins on tables that grow with the fingerprints: Spark takes the size of variants for that of what they are made of, a 64th, and would broadcast them.
+SORTED = "merge"
 _CHUNK = 1 << 16
 
 
@@ -104,13 +106,13 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     refine = prints.count() > REFINE_ABOVE
     buckets = _variants(prints, refine)
     least = buckets.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v <> w").drop("w")
-    stars = buckets.join(least, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= MAX_DISTANCE)
+    stars = buckets.join(least.hint(SORTED), "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= MAX_DISTANCE)
     stars = stored(stars.where("fp <> v").select(F.col("fp").alias("u"), "v").distinct(), "stars")
     joined = connected_components(stars)
-    named = prints.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+    named = prints.join(joined.withColumnRenamed("node", "fp").hint(SORTED), "fp", "left")
     named = stored(named.select("fp", F.coalesce("component", "fp").alias("c")), "named")
     buckets = _variants(named, refine)
-    a, b = buckets.select("key", F.col("fp").alias("u"), F.col("c").alias("cu")), buckets.select("key", F.col("fp").alias("v"), F.col("c").alias("cv"))
+    a, b = buckets.select("key", F.col("fp").alias("u"), F.col("c").alias("cu")), buckets.select("key", F.col("fp").alias("v"), F.col("c").alias("cv")).hint(SORTED)
     xor = F.col("u").bitwiseXOR(F.col("v"))
     close = (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & (F.bit_count(xor) <= MAX_DISTANCE)
     if refine:
@@ -118,7 +120,7 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     else:
         found = a.join(b, (a["key"] == b["key"]) & close & _first_shared(xor, a["key"]))
     merged = connected_components(found.select("cu", "cv"), "cu", "cv")
-    out = named.join(merged.withColumnRenamed("node", "c"), "c", "left")
+    out = named.join(merged.withColumnRenamed("node", "c").hint(SORTED), "c", "left")
     return stored(out.select("fp", F.coalesce("component", "c").alias("component")), "linked")
 
 
@@ -130,14 +132,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     prints = stored(fingerprints(docs, {"doc_id": id_col}, text_col), "fingerprints")
     groups = link_fingerprints(prints)
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(groups, "fp")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(groups.hint(SORTED), "fp")
     smallest = stored(least.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
     # a group's other fingerprints, maybe a third of all, meet its smallest id in several places
-    alone = least.where("fp = component").join(smallest, "component").select("fp", "component_id")
+    alone = least.where("fp = component").join(smallest.hint(SORTED), "component").select("fp", "component_id")
     spread = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     others = least.where("fp <> component").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-    names = alone.union(others.join(spread, ["component", "salt"]).select("fp", "component_id"))
-    return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    names = alone.union(others.join(spread.hint(SORTED), ["component", "salt"]).select("fp", "component_id"))
+    return prints.join(names.hint(SORTED), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,6 +150,6 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     placed = numbered(docs, "__row", "documents")
     prints = stored(fingerprints(placed, {"__row": "__row", "doc_id": id_col}, text_col), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first")
-    least = prints.groupBy("fp").agg(first).join(link_fingerprints(prints), "fp")
+    least = prints.groupBy("fp").agg(first).join(link_fingerprints(prints).hint(SORTED), "fp")
     kept = least.groupBy("component").agg(F.min("first").alias("first")).select("first.__row")
     return placed.join(kept, "__row", "left_semi").select(*docs.columns)
