@@ -14,7 +14,7 @@ from curvespark.operators.cloud import AXES
 from curvespark.operators.curves import bezier_bridge
 from curvespark.operators.joining import _unit
 from curvespark.operators.knots import knot_determinants
-from curvespark.plans.lineage import discard, stored
+from curvespark.plans.lineage import discard, numbered, stored
 
 #: Samples with more combinations than this are not solved.
 MOST = 20_000
@@ -71,18 +71,19 @@ def without_loops(found: DataFrame) -> DataFrame:
 def distinct_chains(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(chain_id, sample, path)`` of the different chains, ``path`` their curves in order, and ``(sample, choice, chain_id)``: which combinations have them."""
     path = F.transform(F.sort_array(F.collect_list(F.struct("place", "sid", "flipped"))), lambda x: F.struct(x["sid"].alias("sid"), x["flipped"].alias("flipped")))
-    each = stored(found.where("chain is not null").groupBy("sample", "choice", "chain").agg(path.alias("path")).withColumn("chain_id", F.sha2(F.to_json(F.struct("sample", "path")), 256)), "strands")
-    return each.select("chain_id", "sample", "path").dropDuplicates(["chain_id"]), each.select("sample", "choice", "chain_id")
+    each = stored(found.where("chain is not null").groupBy("sample", "choice", "chain").agg(path.alias("path")).withColumn("same", F.sha2(F.to_json(F.struct("sample", "path")), 256)), "strands")
+    # a number, not the digest, goes with every point
+    names = numbered(each.select("same", "sample", "path").dropDuplicates(["same"]), "chain_id", "names")
+    return names.select("chain_id", "sample", "path"), each.join(names.select("same", "chain_id"), "same").select("sample", "choice", "chain_id")
 
 
 def assembled(curves: DataFrame, strands: DataFrame, points: int = 16) -> DataFrame:
     """``(sid, k, p*)``: each chain ``(chain_id, path)`` as one curve named by its id, its curves in order with a smooth bridge of ``points`` points, both ends counted, between any two."""
     xyz = [f"p{i}" for i in AXES]
     parts = strands.select("chain_id", F.posexplode("path").alias("place", "c")).select("chain_id", "place", "c.sid", "c.flipped")
-    rows = parts.join(curves.select("sid", "k", *xyz), "sid")
-    count = F.count("*").over(Window.partitionBy("chain_id", "place"))
-    last = F.max("k").over(Window.partitionBy("chain_id", "place"))
-    rows = stored(rows.withColumn("n", count).withColumn("at", F.when(F.col("flipped"), last - F.col("k")).otherwise(F.col("k"))).select("chain_id", "place", "n", "at", *xyz), "parts")
+    whole = Window.partitionBy("sid")
+    rows = parts.join(curves.select("sid", "k", *xyz).withColumn("n", F.count("*").over(whole)).withColumn("last", F.max("k").over(whole)), "sid")
+    rows = stored(rows.withColumn("at", F.when(F.col("flipped"), F.col("last") - F.col("k")).otherwise(F.col("k"))).select("chain_id", "place", "n", "at", *xyz), "parts")
     pick = lambda name, where: [F.max(F.when(where, F.col(f"p{i}"))).alias(f"{name}{i}") for i in AXES]
     ends = rows.groupBy("chain_id", "place").agg(*pick("h", F.col("at") == 0), *pick("g", F.col("at") == F.least(F.lit(1), F.col("n") - 1)), *pick("z", F.col("at") == F.col("n") - 1), *pick("y", F.col("at") == F.greatest(F.lit(0), F.col("n") - 2)))
     one = _unit({i: F.col(f"z{i}") - F.col(f"y{i}") for i in AXES})
@@ -106,7 +107,7 @@ def solve(curves: DataFrame, ways: DataFrame, most: int = MOST, points: int = 16
     found = chains(curves, ways, chosen)
     kept = stored(without_loops(found), "kept")
     strands, having = distinct_chains(found.join(kept.where("strands = 1"), ["sample", "choice"], "left_semi"))
-    knots = knot_determinants(assembled(curves, strands, points)).withColumnRenamed("sid", "chain_id")
+    knots = knot_determinants(assembled(curves, strands, points), strands.select(F.col("chain_id").alias("sid"))).withColumnRenamed("sid", "chain_id")
     scored = kept.join(having, ["sample", "choice"], "left").join(knots, "chain_id", "left")
     order = F.row_number().over(Window.partitionBy("sample").orderBy(F.asc_nulls_last(F.round("log10_det", 9)), "choice"))
     return stored(scored.select("sample", "choice", "strands", "det", "log10_det", (order == 1).alias("is_best")), "solutions"), chosen

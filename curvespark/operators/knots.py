@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from curvespark.operators.cloud import AXES
 from curvespark.plans.lineage import stored
 
+#: Cells in which a curve's crossings are looked for are so many mean extents of its segments wide: about two copies a segment, where cells of one extent and their neighbours make ten.
+CELL = 2
+
 
 def matchings(left: int, right: int, most: int = 8) -> list[tuple[tuple[int, int], ...]]:
     """Ways to pair arms of one side with arms of the other, up to ``most``; arms that are left over stay loose."""
@@ -154,16 +157,16 @@ def determinant(p: np.ndarray) -> float | None:
 
 
 def _closed_segments(curves: DataFrame) -> DataFrame:
-    """``(sid, k, n, x0..z1, wx, wy)``: the segments of each closed curve, seen along its axis of least spread, how many they are and their mean extents.
+    """``(sid, k, last, x0..z1, wx, wy)``: the segments of each closed curve, seen along its axis of least spread, whether it is the closing one and their mean extents.
 
     Points that repeat the one before them, or close the curve by themselves, are no vertices.
     """
     by, whole, names = Window.partitionBy("sid").orderBy("k"), Window.partitionBy("sid"), [f"p{k}" for k in AXES]
     equal = lambda pairs: functools.reduce(lambda a, b: a & b, (F.col(a).eqNullSafe(b) for a, b in pairs))
     p = curves.select("sid", "k", *names).withColumn("again", equal((c, F.lag(c).over(by)) for c in names)).where("not again")
-    p = p.withColumns({f"f{k}": F.first(f"p{k}").over(by) for k in AXES} | {f"n{k}": F.lead(f"p{k}").over(by) for k in AXES} | {"last": F.lead("k").over(by).isNull()})
+    p = p.withColumns({f"f{k}": F.first(f"p{k}").over(by) for k in AXES} | {"last": F.lead("k").over(by).isNull()})
     p = p.where(~(F.col("last") & equal((f"p{k}", F.col(f"f{k}")) for k in AXES)))
-    p = stored(p.select("sid", (F.row_number().over(by) - 1).alias("k"), F.count("*").over(whole).alias("n"), *names, *(F.when(F.col("last"), F.col(f"f{k}")).otherwise(F.col(f"n{k}")).alias(f"n{k}") for k in AXES)), "vertices")
+    p = stored(p.select("sid", (F.row_number().over(by) - 1).alias("k"), *names), "vertices")
     spread = p.groupBy("sid").agg(*(F.avg(c).alias(f"m{c[1]}") for c in names), *(F.covar_pop(f"p{i}", f"p{j}").alias(f"c{i}{j}") for i in AXES for j in AXES))
 
     def axes(batches):  # noqa: ANN001, ANN202
@@ -172,37 +175,44 @@ def _closed_segments(curves: DataFrame) -> DataFrame:
             yield rows[["sid", "m0", "m1", "m2"]].assign(**{f"{c}{k}": vectors[:, k, 2 - at] for at, c in enumerate("xyz") for k in AXES})
 
     kind = curves.schema["sid"].dataType.simpleString()
-    seen = spread.mapInPandas(axes, f"sid {kind}, " + ", ".join(f"{c}{k} double" for c in "mxyz" for k in AXES))
-    at = lambda c, point: sum(((F.col(f"{point}{k}") - F.col(f"m{k}")) * F.col(f"{c}{k}") for k in AXES), F.lit(0.0))
-    out = p.join(seen, "sid").select("sid", "k", "n", *(at(c, point).alias(f"{c}{end}") for c in "xyz" for end, point in enumerate("pn")))
+    seen = stored(spread.mapInPandas(axes, f"sid {kind}, " + ", ".join(f"{c}{k} double" for c in "mxyz" for k in AXES)), "axes")
+    at = lambda c: sum(((F.col(f"p{k}") - F.col(f"m{k}")) * F.col(f"{c}{k}") for k in AXES), F.lit(0.0))
+    out = p.join(seen, "sid").select("sid", "k", *(at(c).alias(f"{c}0") for c in "xyz"))
+    out = out.withColumns({"last": F.lead("k").over(by).isNull()} | {f"f{c}": F.first(f"{c}0").over(by) for c in "xyz"} | {f"{c}1": F.lead(f"{c}0").over(by) for c in "xyz"})
+    out = out.select("sid", "k", "last", *(f"{c}0" for c in "xyz"), *(F.when(F.col("last"), F.col(f"f{c}")).otherwise(F.col(f"{c}1")).alias(f"{c}1") for c in "xyz"))
     return out.withColumns({f"w{c}": F.avg(F.abs(F.col(f"{c}1") - F.col(f"{c}0"))).over(whole) for c in "xy"})
 
 
 def _curve_crossings(segments: DataFrame) -> DataFrame:
     """``(sid, under, over)``: where along its curve each crossing passes below and above itself.
 
-    Cells are as wide as the mean extent of a curve's segments, and longer segments meet others piece by piece: three pieces a segment on the average, however long the closing one is.
+    A segment goes to all cells that it may pass, so two that cross share one, and both sides of the join are one shuffle. Segments longer than a cell go there piece by
+    piece: less than two pieces a segment on the average, however long the closing one is. Pairs that share several cells are found several times and count once.
     """
-    extent = lambda c: F.try_divide(F.abs(F.col(f"{c}1") - F.col(f"{c}0")), F.col(f"w{c}"))
-    pieces = F.greatest(F.lit(1), F.ceil(1.01 * F.coalesce(F.greatest(extent("x"), extent("y")), F.lit(0.0))))
+    cells = lambda c, x: F.coalesce(F.try_divide(x, CELL * F.col(f"w{c}")), F.lit(0.0))
+    extent = lambda c: cells(c, F.abs(F.col(f"{c}1") - F.col(f"{c}0")))
+    pieces = F.greatest(F.lit(1), F.ceil(F.greatest(extent("x"), extent("y"))))
     placed = segments.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    middle = lambda c: F.col(f"{c}0") + (F.col("piece") + 0.5) / F.col("pieces") * (F.col(f"{c}1") - F.col(f"{c}0"))
-    placed = placed.select("sid", "k", "n", *(f"{c}{e}" for c in "xyz" for e in (0, 1)), *(F.coalesce(F.floor(F.try_divide(middle(c), F.col(f"w{c}"))), F.lit(0)).alias(f"c{c}") for c in "xy"))
+    for c in "xy":
+        one, two = (cells(c, F.col(f"{c}0") + (F.col("piece") + at) / F.col("pieces") * (F.col(f"{c}1") - F.col(f"{c}0"))) for at in (0, 1))
+        # a hundredth of a cell more, so that rounding loses none
+        placed = placed.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.least(one, two) - 0.01), F.floor(F.greatest(one, two) + 0.01))))
+    placed = placed.select("sid", "k", F.col("last").cast("int").alias("last"), *(f"{c}{e}" for c in "xyz" for e in (0, 1)), "cx", "cy")
     a, b = (placed.select(*(F.col(c).alias(f"{s}_{c}") for c in placed.columns)) for s in "ab")
-    for c in ("cx", "cy"):
-        a = a.withColumn(f"n{c}", F.explode(F.array(*(F.col(f"a_{c}") + s for s in (-1, 0, 1)))))
-    apart = (F.col("a_k") + 1 < F.col("b_k")) & ~((F.col("a_k") == 0) & (F.col("b_k") == F.col("a_n") - 1))
-    near = a.join(b, (F.col("a_sid") == F.col("b_sid")) & (F.col("ncx") == F.col("b_cx")) & (F.col("ncy") == F.col("b_cy")) & apart)
-    found = _crossed(near).dropDuplicates(["a_sid", "a_k", "b_k"])
+    # neighbours don't cross, nor do the first segment and the closing one; as a comes before b, a_last is 0: it is there so that both sides have the same columns and filters
+    apart = (F.col("a_k") + 1 < F.col("b_k")) & (F.col("a_k") >= F.col("a_last") + F.col("b_last"))
+    near = a.join(b.hint("merge"), (F.col("a_sid") == F.col("b_sid")) & (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy")) & apart)
     height = lambda s, x: F.col(f"{s}_z0") + F.col(x) * (F.col(f"{s}_z1") - F.col(f"{s}_z0"))
     below, on_a, on_b = height("a", "t") < height("b", "u"), F.col("a_k") + F.col("t"), F.col("b_k") + F.col("u")
-    return found.select(F.col("a_sid").alias("sid"), F.when(below, on_a).otherwise(on_b).alias("under"), F.when(below, on_b).otherwise(on_a).alias("over"))
+    found = _crossed(near).select(F.col("a_sid").alias("sid"), "a_k", "b_k", F.when(below, on_a).otherwise(on_b).alias("under"), F.when(below, on_b).otherwise(on_a).alias("over"))
+    return found.repartition("sid").dropDuplicates(["sid", "a_k", "b_k"]).select("sid", "under", "over")  # whole curves are wanted next
 
 
-def knot_determinants(curves: DataFrame) -> DataFrame:
+def knot_determinants(curves: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """``(sid, det, log10_det)`` of each closed curve, from all of its vertices; a curve's crossings are what one task holds, in a sparse matrix.
 
-    ``det`` is whole where its logarithm is below 25, null beyond a double; ``log10_det`` is null where ``det`` is 0.
+    ``det`` is whole where its logarithm is below 25, null beyond a double; ``log10_det`` is null where ``det`` is 0. ``names`` has the curves' different ``sid`` where
+    they are at hand; else the curves are read a second time for them.
     """
 
     def rule(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -210,9 +220,9 @@ def knot_determinants(curves: DataFrame) -> DataFrame:
         return pd.DataFrame({"sid": [key[0]], "det": [det], "log10_det": [log10]}).astype({"det": float, "log10_det": float})
 
     kind = curves.schema["sid"].dataType.simpleString()
-    crossed = _curve_crossings(stored(_closed_segments(curves), "segments")).groupBy("sid").applyInPandas(rule, f"sid {kind}, det double, log10_det double").withColumn("crosses", F.lit(True))
+    crossed = _curve_crossings(_closed_segments(curves)).groupBy("sid").applyInPandas(rule, f"sid {kind}, det double, log10_det double").withColumn("crosses", F.lit(True))
     plain = F.col("crosses").isNull()
-    return curves.select("sid").distinct().join(crossed, "sid", "left").select("sid", F.when(plain, 1.0).otherwise(F.col("det")).alias("det"), F.when(plain, 0.0).otherwise(F.col("log10_det")).alias("log10_det"))
+    return (curves.select("sid").distinct() if names is None else names.select("sid")).join(crossed, "sid", "left").select("sid", F.when(plain, 1.0).otherwise(F.col("det")).alias("det"), F.when(plain, 0.0).otherwise(F.col("log10_det")).alias("log10_det"))
 
 
 def ranked(solutions: DataFrame, group: str, score: str) -> DataFrame:
