@@ -50,7 +50,8 @@ def chains(curves: DataFrame, ways: DataFrame, chosen: DataFrame) -> DataFrame:
     now = stored(now, "runs")
     for _ in range(max(1, (most - 1).bit_length())):
         more = now.select("sample", "choice", F.col("at").alias("next"), F.col("next").alias("then"), F.col("rank").alias("more"), F.col("last").alias("end"))
-        step = now.join(more, ["sample", "choice", "next"], "left").select("sample", "choice", "at", F.col("then").alias("next"), (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank"), F.coalesce("last", "end").alias("last"))
+        # sorted: runs take a few bytes in a file, but a hundred or more in a broadcast
+        step = now.join(more.hint("merge"), ["sample", "choice", "next"], "left").select("sample", "choice", "at", F.col("then").alias("next"), (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank"), F.coalesce("last", "end").alias("last"))
         after = stored(step, "runs")
         discard(now)
         now = after
